@@ -1,3 +1,120 @@
-"""Queries (filled in as operators land)."""
+"""Queries of the data-quality checks."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from ..sources.fixtures import chat_tables
+from .catalog import register
+from .oracle_fixtures import with_fixtures as W
+
+
+@register("check_enums", W("""
+select 'messages' as table_name, 'role_in_list' as rule, count(*) as n_checked,
+       count(*) filter (where not coalesce(role in ('user', 'assistant', 'system'), false)) as n_violations
+from messages
+union all
+select 'feedback', 'feedback_type_in_list', count(*),
+       count(*) filter (where not coalesce(feedback_type in ('thumbs_up', 'thumbs_down', 'regenerate', 'report'), false))
+from feedback
+union all
+select 'feedback', 'score_in_range', count(*),
+       count(*) filter (where score_centi is not null and score_centi not between -100 and 100)
+from feedback""", "messages", "feedback"))
+def q_check_enums(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    return Q.check_enums(t.messages, t.feedback)
+
+
+_NN_COLS = ["id", "conversation_id", "role", "content", "model_version", "inference_time_ms", "created_s"]
+
+
+@register("check_not_null", W(" union all ".join(
+    f"select 'messages' as table_name, '{c}_not_null' as rule, count(*) as n_checked, "
+    f"count(*) filter (where {c} is null) as n_violations from messages" for c in _NN_COLS), "messages"))
+def q_check_not_null(spark, sf_dir):
+    return Q.check_not_null(chat_tables(spark, sf_dir).messages, "messages", _NN_COLS)
+
+
+@register("check_users", W("""
+select id, coalesce(regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$'), false) as email_ok,
+       coalesce(length(username) between 3 and 50, false) as username_ok
+from users""", "users"))
+def q_check_users(spark, sf_dir):
+    return Q.check_users(chat_tables(spark, sf_dir).users)
+
+
+@register("duplicate_keys", W("""
+select 'users' as table_name, 'email' as key_columns, email as key_value, count(*) as n_rows
+from users group by email having count(*) > 1
+union all
+select 'users', 'username', username, count(*) from users group by username having count(*) > 1
+union all
+select 'rate_limits', 'user_id,endpoint,window_start', concat_ws('|', cast(user_id as varchar), endpoint,
+       cast(floor(epoch(ts) / 60)::bigint * 60 as varchar)), count(*)
+from requests group by user_id, endpoint, floor(epoch(ts) / 60)::bigint * 60 having count(*) > 1""",
+    "users", "requests"))
+def q_duplicate_keys(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    r = t.requests.withColumn("window_start", (F.floor(F.unix_micros("ts") / 60_000_000) * 60).cast("bigint"))
+    return (Q.duplicate_keys(t.users, "users", ["email"])
+            .unionByName(Q.duplicate_keys(t.users, "users", ["username"]))
+            .unionByName(Q.duplicate_keys(r, "rate_limits", ["user_id", "endpoint", "window_start"])))
+
+
+@register("orphan_feedback", W("""
+select 'feedback.message_id' as foreign_key, f.id as child_id, f.message_id as missing_key
+from feedback f where f.message_id is not null and f.message_id not in (select id from messages)
+union all
+select 'feedback.user_id', f.id, f.user_id from feedback f
+where f.user_id is not null and f.user_id not in (select id from users)
+union all
+select 'conversations.user_id', c.id, c.user_id from conversations_hdr c
+where c.user_id is not null and c.user_id not in (select id from users)
+union all
+select 'message_embeddings.message_id', e.message_id, e.message_id from message_embeddings e
+where e.message_id is not null and e.message_id not in (select id from messages)""",
+    "feedback", "messages", "users", "conversations_hdr", "message_embeddings"))
+def q_orphans(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    return (Q.orphans(t.feedback, "feedback", "message_id", t.messages, "id")
+            .unionByName(Q.orphans(t.feedback, "feedback", "user_id", t.users, "id"))
+            .unionByName(Q.orphans(t.conversations, "conversations", "user_id", t.users, "id"))
+            .unionByName(Q.orphans(t.message_embeddings, "message_embeddings", "message_id", t.messages, "id",
+                                   child_id="message_id")))
+
+
+@register("cascade_delete", W("""
+select table_name, n_before, n_kept, n_before - n_kept as n_deleted from (
+  select 'users' as table_name, (select count(*) from users) as n_before,
+         (select count(*) from users where id not in (select id from du)) as n_kept
+  union all
+  select 'conversations', (select count(*) from conversations_hdr),
+         (select count(*) from conversations_hdr where id not in (select id from dc))
+  union all
+  select 'messages', (select count(*) from messages),
+         (select count(*) from messages where id not in (select id from dm))
+  union all
+  select 'feedback', (select count(*) from feedback),
+         (select count(*) from feedback where message_id not in (select id from dm)
+                                          and user_id not in (select id from du))
+  union all
+  select 'message_embeddings', (select count(*) from message_embeddings),
+         (select count(*) from message_embeddings where message_id not in (select id from dm)))""",
+    "users", "conversations_hdr", "messages", "feedback", "message_embeddings", ctes="""
+du as (select id from users where not is_active),
+dc as (select id from conversations_hdr where user_id in (select id from du)),
+dm as (select id from messages where conversation_id in (select id from dc))"""))
+def q_cascade(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    out = Q.cascade_delete(t.users, t.conversations, t.messages, t.feedback, t.message_embeddings,
+                           t.users.filter(~F.col("is_active")))
+    return out["counts"].select("table_name", "n_before", "n_kept", "n_deleted")
+
+
+@register("check_dims", W("""
+select message_id, len(embedding)::bigint as dims, coalesce(len(embedding) = 64, false) as dims_ok
+from message_embeddings""", "message_embeddings"))
+def q_check_dims(spark, sf_dir):
+    return Q.check_dims(chat_tables(spark, sf_dir).message_embeddings, 64)
