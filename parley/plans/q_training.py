@@ -1,3 +1,146 @@
-"""Queries (filled in as operators land)."""
+"""Queries over training runs, evaluation summaries, splits and reward models."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import feedback as fb
+from ..operators import preference as pr
+from ..operators import reward as RW
+from ..operators import training as TR
+from ..sources.fixtures import chat_tables
+from .catalog import register
+from .oracle_fixtures import with_fixtures as W
+
+SPLIT_SQL = "(((feedback_id % 1000003) * 2654435761 + 0) % 4294967296) % 100 < 20"
+
+_PROGRESS = """
+ev as (select session_id, epoch - 1 as epoch, step % 100 as step, 7 as n_epochs, 100 as steps_per_epoch,
+              concat('{"eval_loss": ', printf('%.4f', eval_loss), '}') as metrics, created_s as ts_s
+       from training_steps)"""
+
+
+def _progress_events(t):
+    s = t.training_steps
+    return s.select("session_id", (F.col("epoch") - 1).alias("epoch"), (F.col("step") % 100).alias("step"),
+                    F.lit(7).alias("n_epochs"), F.lit(100).alias("steps_per_epoch"),
+                    F.concat(F.lit('{"eval_loss": '), F.format_string("%.4f", "eval_loss"), F.lit("}")).alias("metrics"),
+                    F.col("created_s").alias("ts_s"))
+
+
+@register("training_progress", W("""
+select session_id,
+       arg_max(round((epoch * steps_per_epoch + step + 1) * 100.0 / (n_epochs * steps_per_epoch), 6),
+               (ts_s, epoch, step, metrics)) as progress,
+       arg_max(metrics, (ts_s, epoch, step, metrics)) as metrics, max(ts_s) as updated_s
+from ev group by session_id""", "training_steps", ctes=_PROGRESS))
+def q_training_progress(spark, sf_dir):
+    ev = _progress_events(chat_tables(spark, sf_dir))
+    # metrics join the ordering so same-instant duplicates resolve identically
+    order = F.struct("ts_s", "epoch", "step", "metrics")
+    pct = TR.progress_pct(F.col("epoch"), F.col("step"), F.col("n_epochs"), F.col("steps_per_epoch"))
+    return (ev.withColumn("progress", F.round(pct, 6)).groupBy("session_id")
+              .agg(F.max_by("progress", order).alias("progress"), F.max_by("metrics", order).alias("metrics"),
+                   F.max("ts_s").alias("updated_s")))
+
+
+@register("epoch_stats", W("""
+select epoch, count(*) as n_steps, round(avg(eval_loss), 6) as mean_loss, round(min(eval_loss), 6) as min_loss,
+       round(max(eval_loss), 6) as max_loss
+from training_steps group by epoch""", "training_steps"))
+def q_epoch_stats(spark, sf_dir):
+    return TR.epoch_stats(chat_tables(spark, sf_dir).training_steps)
+
+
+@register("checkpoint_retention", W("""
+select session_id, step, created_s, eval_loss, rank from (
+  select session_id, step, created_s, eval_loss,
+         row_number() over (partition by session_id order by step desc, created_s desc, eval_loss asc) as rank
+  from training_steps) where rank <= 5""", "training_steps"))
+def q_checkpoint_retention(spark, sf_dir):
+    s = chat_tables(spark, sf_dir).training_steps.select("session_id", "step", "created_s", "eval_loss")
+    return TR.checkpoint_retention(s, 5)
+
+
+@register("best_checkpoint", W("""
+select session_id, arg_min(step, (eval_loss, step)) as best_step, round(min(eval_loss), 6) as best_eval_loss
+from training_steps group by session_id""", "training_steps"))
+def q_best_checkpoint(spark, sf_dir):
+    return TR.best_checkpoint(chat_tables(spark, sf_dir).training_steps)
+
+
+_EVAL = """
+rated as (select message_id, sum(score_centi) as sum_centi, count(*) as n_ratings
+          from feedback where score_centi is not null group by message_id),
+qa as (select u.id as query_id, u.content as query, a.content as response, r.sum_centi, r.n_ratings
+       from messages u join messages a on a.conversation_id = u.conversation_id and a.created_s > u.created_s
+       join rated r on r.message_id = a.id where u.role = 'user' and a.role = 'assistant'),
+ev as (select query_id, response, round(s::double / n / 100.0, 6) as avg_score, s::double / n as exact
+       from (select query_id, query, response, sum(sum_centi) as s, sum(n_ratings) as n
+             from qa group by query_id, query, response having sum(n_ratings) >= 2)
+       order by exact desc, query_id, response limit 100)"""
+
+
+@register("evaluate_summary", W("""
+select coalesce(round(avg(avg_score), 6), 0.0) as mean_reward, count(*) as n_samples
+from (select * from ev order by exact desc, query_id, response limit 50)""", "feedback", "messages", ctes=_EVAL))
+def q_evaluate_summary(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    e = pr.evaluation_dataset(t.messages, t.feedback, 2, 100)
+    return TR.evaluate_summary(e, [F.col("avg_score").desc(), "query_id", "response"], "avg_score", 50)
+
+
+_FD = """
+fd as (select f.id as feedback_id, u.content as query, a.content as response, f.score_centi / 100.0 as feedback_score
+       from feedback f join messages a on a.id = f.message_id and a.role = 'assistant'
+       join messages u on u.conversation_id = a.conversation_id and u.turn = a.turn - 1 and u.role = 'user'
+       where f.score_centi is not null)"""
+
+
+@register("train_test_split", W(f"select feedback_id, {SPLIT_SQL} as is_test from fd",
+                                "feedback", "messages", ctes=_FD))
+def q_train_test_split(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    d = fb.feedback_dataset(t.messages, t.feedback)
+    return TR.train_test_split(d, "feedback_id", 20, 0).select("feedback_id", "is_test")
+
+
+@register("reward_mse", W(f"""
+select round(avg(power(m.mean_label - fd.feedback_score, 2)), 6) as mse, count(*) as n
+from fd, (select avg(feedback_score) as mean_label from fd where not ({SPLIT_SQL})) m
+where {SPLIT_SQL}""", "feedback", "messages", ctes=_FD))
+def q_reward_mse(spark, sf_dir):
+    """Held-out MSE of the mean-label baseline (the yardstick of the reward model)."""
+    t = chat_tables(spark, sf_dir)
+    d = TR.train_test_split(fb.feedback_dataset(t.messages, t.feedback), "feedback_id", 20, 0)
+    mean_label = d.filter(~F.col("is_test")).agg(F.avg("feedback_score")).scalar()
+    return TR.mse(d.filter("is_test").withColumn("prediction", mean_label), "prediction", "feedback_score")
+
+
+def _reward(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    d = TR.train_test_split(fb.feedback_dataset(t.messages, t.feedback), "feedback_id", 20, 0)
+    return d, RW.train_reward_model(d)
+
+
+@register("reward_model_eval")
+def q_reward_model_eval(spark, sf_dir):
+    _, (model, metrics) = _reward(spark, sf_dir)
+    return metrics.select("n_train", "n_test", F.round("mse", 6).alias("mse"),
+                          F.round("baseline_mse", 6).alias("baseline_mse"))
+
+
+@register("score_pairs")
+def q_score_pairs(spark, sf_dir):
+    d, (model, _) = _reward(spark, sf_dir)
+    return RW.score_pairs(model, d.select("feedback_id", "query", "response")).select(
+        "feedback_id", F.round("reward", 6).alias("reward"))
+
+
+@register("pairwise_preference")
+def q_pairwise(spark, sf_dir):
+    t = chat_tables(spark, sf_dir)
+    pairs = pr.preference_pairs(pr.response_scores(t.messages, t.feedback, 2), 20, ordered=True)
+    _, out = RW.train_pairwise_model(pairs)
+    return out.select("query", "response_a", "response_b", "preference", "predicted",
+                      F.round("p_a_preferred", 6).alias("p_a_preferred"))
