@@ -234,3 +234,44 @@ select version_name, model_type, try_cast(json_extract_string(config, '$.max_tok
 from model_versions where is_active""", "model_versions"))
 def q_active_models(spark, sf_dir):
     return TK.active_models(chat_tables(spark, sf_dir).model_versions)
+
+
+CACHE_AS_OF = 200_000
+
+
+@register("cache_live", W(f"""
+select concat('context:', cast(id as varchar)) as cache_key,
+       to_json({{'id': id, 'user_id': user_id, 'updated_s': updated_s}})::varchar as payload,
+       updated_s + 3600 * (1 + id % 48) as expires_s
+from conversations_hdr where updated_s + 3600 * (1 + id % 48) > {CACHE_AS_OF}""", "conversations_hdr"))
+def q_cache_live(spark, sf_dir):
+    """Per-conversation context caches written at their last update with a
+    1–48 h TTL; the live ones at ``CACHE_AS_OF``."""
+    from ..sources import sinks
+    c = chat_tables(spark, sf_dir).conversations
+    entries = c.select(
+        F.concat(F.lit("context:"), F.col("id").cast("string")).alias("cache_key"),
+        F.to_json(F.struct("id", "user_id", "updated_s")).alias("payload"),
+        (F.col("updated_s") + F.lit(3600) * (1 + F.col("id") % 48)).alias("expires_s"))
+    return sinks.live_cache(entries, CACHE_AS_OF)
+
+
+@register("eval_results", W("""
+select concat('eval_', cast(t.id as varchar)) as version_name, 'evaluation' as model_type,
+       json_extract_string(t.input_data, '$.model_path') as model_path,
+       to_json({'n_tasks': s.n, 'pending': s.pending})::varchar as performance_metrics, false as is_active
+from agent_tasks t join (select agent_type, count(*) as n, count(*) filter (where status = 'pending') as pending
+                         from agent_tasks group by agent_type) s on s.agent_type = t.agent_type
+where t.task_type = 'evaluate_model'""", "agent_tasks"))
+def q_eval_results(spark, sf_dir):
+    """Evaluation tasks stored as ``eval_<task>`` model versions; metrics are
+    the queue statistics of the task's agent type (the reference's metrics
+    are constants, so none are invented here)."""
+    t = chat_tables(spark, sf_dir).agent_tasks
+    stats = t.groupBy("agent_type").agg(F.count(F.lit(1)).alias("n"),
+                                        F.count_if(F.col("status") == "pending").cast("bigint").alias("pending"))
+    ev = (t.filter(F.col("task_type") == "evaluate_model").join(stats, "agent_type")
+           .select(F.col("id").alias("task_id"),
+                   F.get_json_object("input_data", "$.model_path").alias("model_path"),
+                   F.struct(F.col("n").alias("n_tasks"), "pending").alias("metrics")))
+    return TK.eval_results(ev)
