@@ -77,7 +77,7 @@ def rate_limit_stream(requests: DataFrame, limit: int, ttl_s: int,
 class ChunkAssembler(StatefulProcessor):
     """Buffers content pieces per message until a finish / done marker."""
 
-    def __init__(self, abandon_after_ms: int):
+    def __init__(self, abandon_after_ms: int | None):
         self.abandon_after_ms = abandon_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -98,26 +98,31 @@ class ChunkAssembler(StatefulProcessor):
         new = pdf[(pdf["kind"] == "content") & pdf["content"].notna()][["seq", "content"]]
         if end is None:
             if len(new):
-                self.pieces.appendList(new.astype({"seq": "int64"}))
+                self.pieces.appendList([(int(q), c) for q, c in zip(new["seq"], new["content"])])
             return
-        old = pd.DataFrame(list(self.pieces.get()), columns=["seq", "content"]) if self.pieces.exists() \
-            else pd.DataFrame(columns=["seq", "content"])
-        allp = pd.concat([old, new], ignore_index=True)
-        allp = allp[allp["seq"].astype("int64") < end].sort_values("seq", kind="stable")
+        held = [(int(q), c) for q, c in self.pieces.get()] if self.pieces.exists() else []
+        allp = held + [(int(q), c) for q, c in zip(new["seq"], new["content"])]
+        text = "".join(c for q, c in sorted(allp, key=lambda x: x[0]) if q < end)
         self.pieces.clear()
         self.end.clear()
         self.done.update((True,))
-        yield pd.DataFrame({"message_id": [key[0]], "content": ["".join(allp["content"].tolist())]})
+        yield pd.DataFrame({"message_id": [key[0]], "content": [text]})
 
     def close(self) -> None:
         pass
 
 
-def assemble_chunks_stream(chunks: DataFrame, abandon_after_ms: int = 600_000) -> DataFrame:
-    """Streaming assembly of (message_id, seq, line) chunks into finished messages."""
+def assemble_chunks_stream(chunks: DataFrame, abandon_after_ms: int | None = None) -> DataFrame:
+    """Streaming assembly of (message_id, seq, line) chunks into finished messages.
+
+    ``abandon_after_ms`` (e.g. the 10-minute request timeout) expires buffers
+    of messages that never finish; it needs processing-time mode, which runs
+    extra no-data batches, so it is meant for continuously running queries,
+    not for ``availableNow`` replays.
+    """
     use_rocksdb(chunks.sparkSession)
     p = parse_chunks(chunks).select("message_id", "seq", "kind", "content")
     schema = f"message_id {chunks.schema['message_id'].dataType.simpleString()}, content string"
     return p.groupBy("message_id").transformWithStateInPandas(
         statefulProcessor=ChunkAssembler(abandon_after_ms), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="ProcessingTime" if abandon_after_ms else "None")
