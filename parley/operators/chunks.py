@@ -24,44 +24,46 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
 
     ``kind``: 'content', 'finish', 'done', 'malformed' (bad JSON or no
     choices) or 'ignored' (no ``data: `` prefix, e.g. blank keep-alives).
+    The JSON of a line is parsed once; the later projections only read the
+    parsed struct (Catalyst keeps the projections apart because ``from_json``
+    is not cheap to duplicate).
     """
     line = F.col("line")
     has_prefix = line.startswith(SSE_PREFIX)
     payload = F.when(has_prefix, F.substring(line, len(SSE_PREFIX) + 1, 1 << 30))
-    parsed = F.from_json(payload, CHUNK_SCHEMA)
-    first = F.get(parsed["choices"], 0)
-    content = first["delta"]["content"]
-    finish = first["finish_reason"]
-    kind = (F.when(~has_prefix | line.isNull(), "ignored")
-             .when(payload == SSE_DONE, "done")
-             .when(first.isNull(), "malformed")
-             .when(finish.isNotNull(), "finish")
+    p1 = chunks.select("message_id", "seq", has_prefix.alias("_has"), payload.alias("_payload"),
+                       F.from_json(payload, CHUNK_SCHEMA).alias("_json"))
+    p2 = p1.select("message_id", "seq", "_has", "_payload", F.get(F.col("_json.choices"), 0).alias("_first"))
+    kind = (F.when(~F.coalesce(F.col("_has"), F.lit(False)), "ignored")
+             .when(F.col("_payload") == SSE_DONE, "done")
+             .when(F.col("_first").isNull(), "malformed")
+             .when(F.col("_first.finish_reason").isNotNull(), "finish")
              .otherwise("content"))
-    return chunks.select("message_id", "seq", kind.alias("kind"),
-                         F.when(kind.isin("content", "finish"), content).alias("content"),
-                         F.when(kind == "finish", finish).alias("finish_reason"))
+    p3 = p2.select("message_id", "seq", kind.alias("kind"), "_first")
+    return p3.select("message_id", "seq", "kind",
+                     F.when(F.col("kind").isin("content", "finish"), F.col("_first.delta.content")).alias("content"),
+                     F.when(F.col("kind") == "finish", F.col("_first.finish_reason")).alias("finish_reason"))
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
     """Finished messages: content pieces in sequence order up to the first
     finish / done marker; unfinished messages are not emitted.
 
-    Two aggregations keep every group bounded to one row per task before the
-    shuffle: (1) the end position per message, (2) the ordered text of the
-    pieces before it.  The text itself is the output, so gathering one
-    message's pieces is inherent in the result.
+    One parse and one aggregation per message: the end position (first
+    finish/done) and the pieces are gathered together, then the pieces before
+    the end are joined in order.  The text is the output row itself, so one
+    message's pieces meet in one task by definition (partial aggregation
+    still combines map-side).
     """
     p = parse_chunks(chunks)
-    end = (p.filter(F.col("kind").isin("finish", "done"))
-            .groupBy("message_id").agg(F.min("seq").alias("end_seq")))
-    pieces = (p.filter((F.col("kind") == "content") & F.col("content").isNotNull())
-               .join(end, "message_id")
-               .filter(F.col("seq") < F.col("end_seq")))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "content")))
-    return (pieces.groupBy("message_id")
-                  .agg(F.array_join(F.transform(ordered, lambda s: s["content"]), "").alias("content"))
-                  .join(end.select("message_id"), "message_id", "right")
-                  .select("message_id", F.coalesce("content", F.lit("")).alias("content")))
+    is_end = F.col("kind").isin("finish", "done")
+    is_piece = (F.col("kind") == "content") & F.col("content").isNotNull()
+    g = p.groupBy("message_id").agg(
+        F.min(F.when(is_end, F.col("seq"))).alias("end_seq"),
+        F.collect_list(F.when(is_piece, F.struct("seq", "content"))).alias("pieces"))
+    ordered = F.array_sort(F.filter("pieces", lambda x: x["seq"] < F.col("end_seq")))
+    return (g.filter(F.col("end_seq").isNotNull())
+             .select("message_id", F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("content")))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
