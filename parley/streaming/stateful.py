@@ -126,3 +126,74 @@ def assemble_chunks_stream(chunks: DataFrame, abandon_after_ms: int | None = Non
     return p.groupBy("message_id").transformWithStateInPandas(
         statefulProcessor=ChunkAssembler(abandon_after_ms), outputStructType=schema,
         outputMode="Append", timeMode="ProcessingTime" if abandon_after_ms else "None")
+
+
+class StuckTaskDetector(StatefulProcessor):
+    """Event-time timer per task: armed at the first 'running' event for
+    ``hours``; a terminal event before the deadline disarms it; if the
+    watermark passes the deadline first, the task is reported stuck once.
+    A task is decided once (state: started, deadline, closed)."""
+
+    def __init__(self, hours: float):
+        self.timeout_ms = int(hours * 3600 * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "started_ms bigint, deadline_ms bigint, closed boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        # same instant: a start is applied before an end (start-and-finish is not stuck)
+        pdf["_rank"] = (pdf["status"] != "running").astype("int8")
+        pdf = pdf.sort_values(["ts_ms", "_rank"], kind="stable")
+        st = self.run.get() if self.run.exists() else None
+        for ts, status in zip(pdf["ts_ms"].tolist(), pdf["status"].tolist()):
+            if st is not None and st[2]:
+                break                                   # already decided
+            if status == "running" and st is None:
+                st = (int(ts), int(ts) + self.timeout_ms, False)
+                self.handle.registerTimer(st[1])
+            elif status in ("completed", "failed") and st is not None and int(ts) < st[1]:
+                self.handle.deleteTimer(st[1])
+                st = (st[0], st[1], True)
+        if st is not None:
+            self.run.update(st)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.run.exists():
+            started, deadline, closed = self.run.get()
+            if not closed:
+                self.run.update((started, deadline, True))
+                yield pd.DataFrame({"task_id": [key[0]], "started_s": [int(started) // 1000],
+                                    "deadline_s": [int(deadline) // 1000]})
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_tasks_stream(events: DataFrame, hours: float = 1.0, watermark: str = "10 minutes") -> DataFrame:
+    """Streaming stuck-task alerts from a (task_id, status, ts) event stream."""
+    use_rocksdb(events.sparkSession)
+    src = (events.withWatermark("ts", watermark)
+                 .select("task_id", "status", "ts", F.unix_millis("ts").alias("ts_ms")))
+    schema = f"task_id {events.schema['task_id'].dataType.simpleString()}, started_s bigint, deadline_s bigint"
+    return src.groupBy("task_id").transformWithStateInPandas(
+        statefulProcessor=StuckTaskDetector(hours), outputStructType=schema,
+        outputMode="Append", timeMode="EventTime")
+
+
+def stuck_tasks_batch(events: DataFrame, hours: float = 1.0, as_of_s: int | None = None) -> DataFrame:
+    """Batch reference of the stream: first 'running' event per task, no
+    terminal event before its deadline, deadline passed by ``as_of_s``."""
+    ts_s = F.unix_seconds("ts")
+    g = events.groupBy("task_id").agg(F.min(F.when(F.col("status") == "running", ts_s)).alias("started_s"))
+    term = events.filter(F.col("status").isin("completed", "failed")).select("task_id", ts_s.alias("t_s"))
+    deadline = F.col("started_s") + int(hours * 3600)
+    s = g.filter(F.col("started_s").isNotNull()).withColumn("deadline_s", deadline)
+    ended = s.join(term, "task_id").filter((F.col("t_s") >= F.col("started_s")) & (F.col("t_s") < F.col("deadline_s"))) \
+             .select("task_id").distinct()
+    out = s.join(ended, "task_id", "left_anti")
+    if as_of_s is not None:
+        out = out.filter(F.col("deadline_s") <= as_of_s)
+    return out.select("task_id", "started_s", "deadline_s")

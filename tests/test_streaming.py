@@ -14,6 +14,12 @@ from parley.streaming import windows as SW
 from conftest import SF_SMALL
 
 
+def _link_in_order(src, dst, i):
+    """The file source reads files in modification-time order: stamp them."""
+    os.link(src, dst)
+    os.utime(dst, (1_600_000_000 + i, 1_600_000_000 + i))
+
+
 def _run(df, scratch, name):
     out, ck = os.path.join(scratch, name), os.path.join(scratch, name + "_ck")
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
@@ -34,7 +40,7 @@ def _requests_stream(spark, scratch):
     flat = os.path.join(scratch, "requests_flat")
     os.makedirs(flat)
     for i, f in enumerate(files):
-        os.link(f, os.path.join(flat, f"{i:05d}.json"))
+        _link_in_order(f, os.path.join(flat, f"{i:05d}.json"), i)
     return t.requests, spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).json(flat)
 
 
@@ -69,9 +75,33 @@ def test_chunk_assembly_stream_equals_batch(spark, scratch):
     for p in range(3):
         d = os.path.join(src, f"part={p}")
         for i, f in enumerate(sorted(x for x in os.listdir(d) if x.endswith(".json"))):
-            os.link(os.path.join(d, f), os.path.join(flat, f"{p}_{i:04d}.json"))
+            _link_in_order(os.path.join(d, f), os.path.join(flat, f"{p}_{i:04d}.json"), p * 1000 + i)
     stream_in = (spark.readStream.schema("message_id bigint, seq bigint, line string")
                  .option("maxFilesPerTrigger", 1).json(flat))
     got = _run(ST.assemble_chunks_stream(stream_in), scratch, "chunks")
     want = CH.assemble_chunks(chunks)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_stuck_tasks_stream_equals_batch(spark, scratch):
+    t = chat_tables(spark, SF_SMALL)
+    # task events as timestamps; every task starts with a 'running' event
+    ev = t.task_events.select("task_id", "status", F.timestamp_seconds(F.col("ts_s") * 10).alias("ts"))
+    src = os.path.join(scratch, "task_src")
+    # files hold consecutive time ranges, so no event is behind the watermark
+    ev.withColumn("part", F.floor(F.unix_seconds("ts") / 200000)).repartition("part") \
+      .write.partitionBy("part").json(src)
+    flat = os.path.join(scratch, "task_flat")
+    os.makedirs(flat)
+    files = sorted((int(r.rsplit("=", 1)[1]), os.path.join(r, f))
+                   for r, _, fs in os.walk(src) for f in fs if f.endswith(".json"))
+    for i, (_, f) in enumerate(files):
+        _link_in_order(f, os.path.join(flat, f"{i:05d}.json"), i)
+    stream_in = spark.readStream.schema("task_id bigint, status string, ts timestamp") \
+        .option("maxFilesPerTrigger", 2).json(flat)
+    got = _run(ST.stuck_tasks_stream(stream_in, hours=1.0, watermark="0 seconds"), scratch, "stuck")
+    last_wm = ev.agg(F.max(F.unix_seconds("ts"))).scalar()
+    want = ST.stuck_tasks_batch(ev, hours=1.0, as_of_s=last_wm)
+    g = {r.task_id for r in got.collect()}
+    w = {r.task_id for r in want.collect()}
+    assert g == w and len(w) > 0
