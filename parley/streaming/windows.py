@@ -50,3 +50,12 @@ def route_stream(decoded: DataFrame, sinks: dict, checkpoint: str):
         r.unpersist()
 
     return decoded.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch).start()
+
+
+def live_gauges_stream(samples: DataFrame) -> DataFrame:
+    """Latest value per gauge key as a continuously updated table (update
+    mode); readers apply the TTL with ``parley.operators.tasks.live_gauges``
+    semantics: ``ts_s > as_of - ttl``."""
+    return (samples.groupBy("key")
+                   .agg(F.max_by("value", F.struct("ts_s", "value")).alias("value"),
+                        F.max("ts_s").alias("ts_s")))

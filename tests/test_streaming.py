@@ -105,3 +105,22 @@ def test_stuck_tasks_stream_equals_batch(spark, scratch):
     g = {r.task_id for r in got.collect()}
     w = {r.task_id for r in want.collect()}
     assert g == w and len(w) > 0
+
+
+def test_live_gauges_stream_equals_batch(spark, scratch):
+    from parley.operators.tasks import live_gauges
+    t = chat_tables(spark, SF_SMALL)
+    e = t.raw("events").select(F.concat(F.lit("q:"), "event_type").alias("key"), "value",
+                               F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_s"))
+    src = os.path.join(scratch, "gauges")
+    e.repartition(3).write.json(src)
+    s = spark.readStream.schema("key string, value double, ts_s bigint").option("maxFilesPerTrigger", 1).json(src)
+    q = (SW.live_gauges_stream(s).writeStream.format("memory").queryName("gauges_t")
+           .option("checkpointLocation", os.path.join(scratch, "g_ck")).outputMode("complete")
+           .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.sql("select * from gauges_t")
+    as_of = e.agg(F.max("ts_s")).scalar()
+    live = got.filter(F.col("ts_s") > as_of - 86400 * 30)
+    want = live_gauges(e, as_of, 86400 * 30)
+    assert sorted(live.collect()) == sorted(want.select("key", "value", "ts_s").collect())
