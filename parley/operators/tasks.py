@@ -28,6 +28,13 @@ def json_field(col: str, path: str, cast: str = "string") -> Column:
     return F.get_json_object(F.col(col), f"$.{path}").try_cast(cast)
 
 
+def json_number(x: Column, decimals: int = 6) -> Column:
+    """Shortest plain decimal text of a rounded number (``0.000897``, ``0.11``,
+    ``12``), the same text any JSON writer without exponent notation emits."""
+    t = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{decimals}f", x), "0+$", ""), r"\.$", "")
+    return F.when(x.isNull(), F.lit("null")).when(x == 0, F.lit("0")).otherwise(t)
+
+
 def task_payload(tasks: DataFrame) -> DataFrame:
     """Fields of ``input_data`` with their defaults (days_old → 30)."""
     return tasks.select(
@@ -155,9 +162,11 @@ def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFra
     from .feedback import feedback_stats
     stats = (feedback_stats(feedback, messages, conversations)
              .groupBy("user_id")
-             .agg(F.array_sort(F.collect_list(F.struct(
-                  F.col("feedback_type").alias("type"), F.col("avg_score"),
-                  F.col("feedback_count").alias("count")))).alias("summary"))
+             .agg(F.array_join(F.transform(
+                  F.array_sort(F.collect_list(F.struct("feedback_type", "avg_score", "feedback_count"))),
+                  lambda x: F.concat(F.lit('{"type":"'), x["feedback_type"], F.lit('","avg_score":'),
+                                     json_number(x["avg_score"]), F.lit(',"count":'),
+                                     x["feedback_count"].cast("string"), F.lit("}"))), ",").alias("summary"))
              .withColumnRenamed("user_id", "payload_user_id"))
     p = p.join(stats, "payload_user_id", "left")
 
@@ -185,11 +194,9 @@ def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFra
          .when((a == "db_manager") & (t == "backup_feedback_data"), F.to_json(F.struct(
              F.coalesce(F.get_json_object("input_data", "$.backup_path"), F.lit(DEFAULT_BACKUP_PATH)).alias("backup_path"),
              backup_n.alias("records_count"))))
-         .when((a == "support") & (t == "analyze_user_feedback"), F.to_json(F.struct(
-             F.col("payload_user_id").alias("user_id"),
-             F.coalesce(F.col("summary"), F.array().cast(
-                 "array<struct<type:string,avg_score:double,count:bigint>>")).alias("feedback_summary")),
-             _JSON_OPTS))
+         .when((a == "support") & (t == "analyze_user_feedback"), F.concat(
+             F.lit('{"user_id":'), F.coalesce(F.col("payload_user_id").cast("string"), F.lit("null")),
+             F.lit(',"feedback_summary":['), F.coalesce(F.col("summary"), F.lit("")), F.lit("]}")))
     )
     failed = out.isNull()
     return p.select(

@@ -105,7 +105,11 @@ st as (select c.user_id, f.feedback_type as type,
               count(*) as count
        from feedback f join messages m on f.message_id = m.id join conversations_hdr c on m.conversation_id = c.id
        group by c.user_id, f.feedback_type),
-summ as (select user_id, list({{'type': type, 'avg_score': avg_score, 'count': count}} order by type, avg_score, count) as summary
+summ as (select user_id,
+                string_agg(concat('{{"type":"', type, '","avg_score":',
+                                  case when avg_score = 0 then '0' else
+                                  regexp_replace(regexp_replace(printf('%.6f', avg_score), '0+$', ''), '[.]$', '') end,
+                                  ',"count":', cast(count as varchar), '}}'), ',' order by type, avg_score, count) as summary
          from st group by user_id),
 bk as (select count(*) as n from feedback f join messages m on f.message_id = m.id
        where f.created_s >= {TASK_AS_OF} - {BACKUP_DAYS} * 86400),
@@ -125,7 +129,8 @@ o as (select p.id, p.agent_type, p.task_type,
                to_json({{'backup_path': coalesce(json_extract_string(p.input_data, '$.backup_path'), '/tmp/feedback_backup.json'),
                         'records_count': (select n from bk)}})::varchar
              when p.agent_type = 'support' and p.task_type = 'analyze_user_feedback' then
-               to_json({{'user_id': p.payload_user_id, 'feedback_summary': coalesce(s.summary, [])}})::varchar
+               concat('{{"user_id":', coalesce(cast(p.payload_user_id as varchar), 'null'),
+                      ',"feedback_summary":[', coalesce(s.summary, ''), ']}}')
         end as output_data
       from p left join arch a on a.days_old = p.days_old
       left join summ s on s.user_id = p.payload_user_id)"""
