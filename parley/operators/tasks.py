@@ -148,10 +148,15 @@ def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFra
     Unknown evaluator / db_manager / support types fail.
     """
     a, t = F.col("agent_type"), F.col("task_type")
-    p = tasks.select(
-        "id", "agent_type", "task_type", "input_data",
-        F.coalesce(json_field("input_data", "days_old", "bigint"), F.lit(DEFAULT_DAYS_OLD)).alias("days_old"),
-        json_field("input_data", "user_id", "bigint").alias("payload_user_id"))
+    # One parse of the payload for every field any handler reads.
+    fields = ("user_id", "days_old", "content", "content_id", "response", "context",
+              "response_id", "backup_path")
+    raw = tasks.select("id", "agent_type", "task_type",
+                       F.json_tuple("input_data", *fields).alias(*[f"in_{f}" for f in fields]))
+    p = raw.select(
+        "id", "agent_type", "task_type", *[f"in_{f}" for f in fields[2:]],
+        F.coalesce(F.col("in_days_old").try_cast("bigint"), F.lit(DEFAULT_DAYS_OLD).cast("bigint")).alias("days_old"),
+        F.col("in_user_id").try_cast("bigint").alias("payload_user_id"))
 
     # db_manager / cleanup: archive counts per distinct days_old (small join).
     cleanup = p.filter((a == "db_manager") & (t == "cleanup_old_conversations"))
@@ -175,24 +180,24 @@ def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFra
                         .join(messages.select(F.col("id").alias("message_id")), "message_id")
                         .agg(F.count(F.lit(1))).scalar())
 
-    content = F.coalesce(F.get_json_object("input_data", "$.content"), F.lit(""))
-    response = F.coalesce(F.get_json_object("input_data", "$.response"), F.lit(""))
-    context = F.coalesce(F.get_json_object("input_data", "$.context"), F.lit(""))
+    content = F.coalesce(F.col("in_content"), F.lit(""))
+    response = F.coalesce(F.col("in_response"), F.lit(""))
+    context = F.coalesce(F.col("in_context"), F.lit(""))
     toxic = T.is_toxic(content)
     out = (
         F.when(a == "trainer", F.to_json(F.struct(F.lit("submitted").alias("status"))))
          .when((a == "evaluator") & (t == "toxicity_check"), F.to_json(F.struct(
              toxic.alias("is_toxic"),
              F.when(toxic, F.lit(0.95)).otherwise(F.lit(0.05)).alias("confidence"),
-             F.get_json_object("input_data", "$.content_id").alias("content_id")), _JSON_OPTS))
+             F.col("in_content_id").alias("content_id")), _JSON_OPTS))
          .when((a == "evaluator") & (t == "hallucination_detection"), F.to_json(F.struct(
              T.is_hallucination(response, context).alias("has_hallucination"),
              F.lit(0.8).alias("confidence"),
-             F.get_json_object("input_data", "$.response_id").alias("response_id")), _JSON_OPTS))
+             F.col("in_response_id").alias("response_id")), _JSON_OPTS))
          .when((a == "db_manager") & (t == "cleanup_old_conversations"), F.to_json(F.struct(
              F.coalesce(F.col("archived"), F.lit(0).cast("bigint")).alias("archived_conversations"))))
          .when((a == "db_manager") & (t == "backup_feedback_data"), F.to_json(F.struct(
-             F.coalesce(F.get_json_object("input_data", "$.backup_path"), F.lit(DEFAULT_BACKUP_PATH)).alias("backup_path"),
+             F.coalesce(F.col("in_backup_path"), F.lit(DEFAULT_BACKUP_PATH)).alias("backup_path"),
              backup_n.alias("records_count"))))
          .when((a == "support") & (t == "analyze_user_feedback"), F.concat(
              F.lit('{"user_id":'), F.coalesce(F.col("payload_user_id").cast("string"), F.lit("null")),
