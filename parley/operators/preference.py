@@ -129,9 +129,3 @@ def training_batch(pool: DataFrame, n: int = 8, seed: int = 42) -> DataFrame:
     return (pool.withColumn("sample_key", key)
                 .orderBy("sample_key", "conversation_id", "query")
                 .limit(n))
-
-
-def train_test_split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 0) -> DataFrame:
-    """Stable disjoint split: ``is_test`` when pmod(hash, 100) < test_pct."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100))
-    return df.withColumn("is_test", h < test_pct)
