@@ -280,3 +280,18 @@ def q_eval_results(spark, sf_dir):
                    F.get_json_object("input_data", "$.model_path").alias("model_path"),
                    F.struct(F.col("n").alias("n_tasks"), "pending").alias("metrics")))
     return TK.eval_results(ev)
+
+
+@register("start_tasks", W(f"""
+select t.id, t.agent_type, t.task_type,
+       case when d.id is not null then 'running' else t.status end as status,
+       t.input_data, t.priority, t.created_s,
+       case when d.id is not null then {AS_OF_TASKS} else t.started_s end as started_s
+from agent_tasks t left join (
+  select id from agent_tasks where status = 'pending'
+  order by priority desc nulls first, created_s asc nulls last, id limit 50) d on d.id = t.id""", "agent_tasks"))
+def q_start_tasks(spark, sf_dir):
+    """Dequeue then rewrite the task table: the picked tasks become running."""
+    t = chat_tables(spark, sf_dir).agent_tasks
+    return TK.start_tasks(t, TK.dequeue_tasks(t, 50), AS_OF_TASKS).select(
+        "id", "agent_type", "task_type", "status", "input_data", "priority", "created_s", "started_s")

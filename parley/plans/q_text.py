@@ -174,3 +174,15 @@ select message_id, max(seq) + 2, 'done', null, null from w where message_id % 5
     "messages", ctes=_WORDS))
 def q_parse(spark, sf_dir):
     return CH.parse_chunks(_chunks(chat_tables(spark, sf_dir)))
+
+
+@register("chunk_stats", W("""
+select message_id, count(*) as n_lines, count(*) filter (where seq % 11 = 5 and is_word) as n_malformed,
+       bool_or(not is_word) as finished
+from (select message_id, seq, true as is_word from w
+      union all select message_id, max(seq) + 1, false from w where message_id % 5 <> 0 group by message_id
+      union all select message_id, max(seq) + 2, false from w where message_id % 5 <> 0 group by message_id)
+group by message_id""", "messages", ctes=_WORDS))
+def q_chunk_stats(spark, sf_dir):
+    """Lines, malformed lines (counted, not silently skipped) and finish per message."""
+    return CH.chunk_stats(_chunks(chat_tables(spark, sf_dir)))
