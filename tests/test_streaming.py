@@ -124,3 +124,20 @@ def test_live_gauges_stream_equals_batch(spark, scratch):
     live = got.filter(F.col("ts_s") > as_of - 86400 * 30)
     want = live_gauges(e, as_of, 86400 * 30)
     assert sorted(live.collect()) == sorted(want.select("key", "value", "ts_s").collect())
+
+
+def test_route_stream_writes_each_route(spark, scratch):
+    from parley.operators import tasks as TK
+    t = chat_tables(spark, SF_SMALL)
+    rec = TK.encode_requests(t.agent_tasks)
+    src = os.path.join(scratch, "topic_src")
+    rec.repartition(2).write.json(src)
+    s = spark.readStream.schema("topic string, key string, value string").option("maxFilesPerTrigger", 1).json(src)
+    sinks = {r: os.path.join(scratch, f"route_{r}") for r in ("rlhf", "evaluation")}
+    q = SW.route_stream(TK.decode_requests(s), sinks, os.path.join(scratch, "route_ck"))
+    q.processAllAvailable()
+    q.stop()
+    want = TK.route_requests(TK.decode_requests(rec))
+    for r, p in sinks.items():
+        got = spark.read.parquet(p).drop("batch_id")
+        assert sorted(got.select(want.columns).collect()) == sorted(want.filter(F.col("route") == r).collect())
