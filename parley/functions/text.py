@@ -77,9 +77,14 @@ def format_duration(ms) -> Column:
 def prompt_piece(role, content) -> Column:
     """One message rendered for the model prompt; unknown roles render empty."""
     r, c = _c(role), _c(content)
-    return (F.when(r == "system", F.concat(c, F.lit("\n\n")))
-             .when(r == "user", F.concat(F.lit("### Instruction:\n"), c, F.lit("\n\n")))
-             .when(r == "assistant", F.concat(F.lit("### Response:\n"), c, F.lit("\n\n")))
+
+    def render(template: str) -> Column:
+        head, tail = template.split("{content}")
+        return F.concat(F.lit(head), c, F.lit(tail))
+
+    return (F.when(r == "system", render(PROMPT_SYSTEM))
+             .when(r == "user", render(PROMPT_USER))
+             .when(r == "assistant", render(PROMPT_ASSISTANT))
              .otherwise(F.lit("")))
 
 
@@ -114,3 +119,13 @@ def display_title(title_col, fallback: str = "New Conversation") -> Column:
 
 def initial(name) -> Column:
     return F.upper(F.substring(_c(name), 1, 1))
+
+
+def is_blank(text) -> Column:
+    """True for null or whitespace-only input (the chat box refuses to send it)."""
+    return F.coalesce(strip(text) == "", F.lit(True))
+
+
+def composite_key(*parts) -> Column:
+    """Cache / counter key such as ``rate_limit:<user>:<path>``."""
+    return F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

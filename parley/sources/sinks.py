@@ -100,3 +100,18 @@ def live_cache(entries: DataFrame, as_of: int) -> DataFrame:
 def read_cache(spark: SparkSession, root: str, key: str, as_of: int) -> DataFrame:
     e = spark.read.schema("cache_key string, payload string, expires_s bigint").json(f"{root.rstrip('/')}/{key}")
     return live_cache(e, as_of)
+
+
+def append_checked(df: DataFrame, path: str, violation) -> DataFrame:
+    """Append the rows that pass a data-quality predicate and return the
+    rejected ones (e.g. feedback with an unknown type or a score outside
+    −1..1), instead of failing the whole write."""
+    ok = F.coalesce(~violation, F.lit(False))
+    append_parquet(df.filter(ok), path)
+    return df.filter(~ok)
+
+
+def new_messages(messages: DataFrame) -> DataFrame:
+    """Incoming chat messages minus blank ones (whitespace only / null)."""
+    from ..functions.text import is_blank
+    return messages.filter(~is_blank(F.col("content")))

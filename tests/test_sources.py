@@ -55,3 +55,18 @@ def test_append_and_json_export(spark, scratch):
     b = feedback_backup(t.feedback, t.messages, as_of=10**9, days=100000)
     sinks.write_json(b, out)
     assert spark.read.json(out).count() == b.count()
+
+
+def test_append_checked_and_blank_messages(spark, scratch):
+    from parley.functions.text import composite_key
+    from parley.operators.quality import FEEDBACK_TYPES
+    fb = spark.createDataFrame([(1, "thumbs_up", 50), (2, "meh", 10), (3, "report", 300)],
+                               "id bigint, feedback_type string, score_centi bigint")
+    bad = ~F.col("feedback_type").isin(*FEEDBACK_TYPES) | ~F.col("score_centi").between(-100, 100)
+    rejected = sinks.append_checked(fb, os.path.join(scratch, "fb"), bad)
+    assert sorted(r.id for r in rejected.collect()) == [2, 3]
+    assert [r.id for r in spark.read.parquet(os.path.join(scratch, "fb")).collect()] == [1]
+    msgs = spark.createDataFrame([(1, "hi"), (2, "  \n\t"), (3, None), (4, " ")], "id bigint, content string")
+    assert [r.id for r in sinks.new_messages(msgs).collect()] == [1]
+    k = spark.range(1).select(composite_key("rate_limit", F.lit(7).cast("string"), "/api/chat").alias("k"))
+    assert k.collect()[0].k == "rate_limit:7:/api/chat"
