@@ -73,7 +73,7 @@ def conversation_context(messages: DataFrame, n: int = 10, latest: bool = False)
         else [F.col("created_s").asc_nulls_last(), F.col("id").asc()]
     w = Window.partitionBy("conversation_id").orderBy(*order)
     return (messages.select("conversation_id", "id", "role", "content", "created_s")
-                    .withColumn("position", F.row_number().over(w))
+                    .withColumn("position", F.row_number().over(w).cast("bigint"))
                     .filter(F.col("position") <= n))
 
 

@@ -37,7 +37,7 @@ def checkpoint_retention(checkpoints: DataFrame, keep: int = 5) -> DataFrame:
     planned with a partial per-task limit before the shuffle)."""
     w = Window.partitionBy("session_id").orderBy(F.col("step").desc(), F.col("created_s").desc(),
                                                  F.col("eval_loss").asc())
-    return (checkpoints.withColumn("rank", F.row_number().over(w))
+    return (checkpoints.withColumn("rank", F.row_number().over(w).cast("bigint"))
                        .filter(F.col("rank") <= keep))
 
 

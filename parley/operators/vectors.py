@@ -60,7 +60,7 @@ def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str
     if n_q == 0:
         return spark.createDataFrame([], f"query_id {qdf.schema['qid'].dataType.simpleString()}, "
                                          f"{corpus_id} {corpus.schema[corpus_id].dataType.simpleString()}, "
-                                         "rank int, score double")
+                                         "rank bigint, score double")
     per_row = max(dim, 1) * 8 + 64
     rows_cap = query_batch_rows or max(1, MAX_BROADCAST_BYTES // per_row)
     n_batches = -(-n_q // rows_cap)
@@ -97,5 +97,5 @@ def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str
     for p in parts[1:]:
         cand = cand.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
                 .select(F.col("qid").alias("query_id"), F.col("cid").alias(corpus_id), "rank", "score"))

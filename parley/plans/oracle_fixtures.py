@@ -61,7 +61,7 @@ select l_orderkey as task_id,
             when l_linestatus='F' then 'completed' else 'running' end as status,
        l_orderkey*10+l_linenumber*60 as ts_s,
        case when l_returnflag='R' then concat('line ', cast(l_linenumber as varchar), ' returned') end as error_message,
-       to_json({'quantity': l_quantity}) as output_data
+       to_json({'quantity': l_quantity})::varchar as output_data
 from lineitem"""),
     "model_versions": (("messages",), """
 select model_version as version_name,

@@ -86,7 +86,7 @@ def q_score_feedback_types(spark, sf_dir):
 @register("normalize_feedback", W("""
 select id, message_id, user_id,
        case s when 1 then 'thumbs_up' when -1 then 'thumbs_down' when 0 then 'regenerate' else 'report' end as feedback_type,
-       s * 100 as score_centi, comment as feedback_text, created_s
+       (s * 100)::bigint as score_centi, comment as feedback_text, created_s
 from (select id, message_id, user_id,
              case when score_centi is null then null when score_centi > 33 then 1 when score_centi < -33 then -1 else 0 end as s,
              case when score_centi % 3 = 0 then concat('comment ', cast(id as varchar)) end as comment, created_s

@@ -2,4 +2,4 @@ import os
 import sys
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
-from check_oracle import digest  # noqa: E402,F401
+from check_oracle import digest, type_mismatches  # noqa: E402,F401

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from parley.sources.tables import DRIVER_TABLES
-from scripts_check import digest
+from scripts_check import digest, type_mismatches
 
 from conftest import SF_SMALL
 
@@ -35,6 +35,7 @@ def test_parity(spark, duck, key):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    assert type_mismatches(sdf, cur.description) == []
     assert len(srows) == len(drows)
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
 
