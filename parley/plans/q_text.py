@@ -146,8 +146,12 @@ def q_latency(spark, sf_dir):
 
 
 def _chunks(t):
-    return CH.build_sse_lines(t.messages, finished_when=F.col("message_id") % 5 != 0,
-                              malformed_when=F.col("seq") % 11 == 5)
+    # A chunk log is a many-file table written by many servers; the derived
+    # one comes from a single small conversations file, so it is spread by
+    # message over the cluster's cores, as the real log would be.
+    lines = CH.build_sse_lines(t.messages, finished_when=F.col("message_id") % 5 != 0,
+                               malformed_when=F.col("seq") % 11 == 5)
+    return lines.repartition(t.spark.sparkContext.defaultParallelism, "message_id")
 
 
 _WORDS = """
