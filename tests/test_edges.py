@@ -176,3 +176,29 @@ def test_split_is_disjoint_and_stable(spark):
     assert a == b
     share = sum(r.is_test for r in a) / len(a)
     assert 0.15 < share < 0.25
+
+
+def test_pairing_next_and_latest_context(spark):
+    m = spark.createDataFrame([
+        (1, 1, 0, "user", "q1", 0), (2, 1, 1, "assistant", "a1", 60),
+        (3, 1, 2, "user", "q2", 120), (4, 1, 3, "assistant", "a2", 180)], MSG)
+    f = spark.createDataFrame([(1, 2, 1, "t", 10, 0), (2, 4, 1, "t", 30, 0)], FBK)
+    later = {(r.query, r.response) for r in PR.query_answer_pairs(m, f, "later").collect()}
+    nxt = {(r.query, r.response) for r in PR.query_answer_pairs(m, f, "next").collect()}
+    assert later == {("q1", "a1"), ("q1", "a2"), ("q2", "a2")}
+    assert nxt == {("q1", "a1"), ("q2", "a2")}
+    first = [r.content for r in H.conversation_context(m, 2).orderBy("position").collect()]
+    last = [r.content for r in H.conversation_context(m, 2, latest=True).orderBy("position").collect()]
+    assert first == ["q1", "a1"] and last == ["a2", "q2"]
+
+
+def test_conversation_documents_nested_matches_flat(spark):
+    m = spark.createDataFrame([(1, 1, 0, "user", "q", 0), (2, 1, 1, "assistant", "a", 5),
+                               (3, 2, 0, "user", "x", 1)], MSG)
+    c = spark.createDataFrame([(1, 7, None, 5), (2, 8, "t", 1)],
+                              "id bigint, user_id bigint, title string, updated_s bigint")
+    nested = {r.conversation_id: [x.message_id for x in r.messages]
+              for r in H.conversation_documents(c, m, nested=True).collect()}
+    flat = H.conversation_documents(c, m).collect()
+    assert nested == {1: [1, 2], 2: [3]}
+    assert [r.message_id for r in flat] == [1, 2, 3]
