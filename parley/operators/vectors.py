@@ -99,3 +99,34 @@ def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
                 .select(F.col("qid").alias("query_id"), F.col("cid").alias(corpus_id), "rank", "score"))
+
+
+def semantic_topk_lsh(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 1.0,
+                      bucket_length: float = 0.5, num_hash_tables: int = 4,
+                      query_id: str = "query_id", query_vec: str = "embedding",
+                      corpus_id: str = "message_id", corpus_vec: str = "embedding") -> DataFrame:
+    """Approximate cosine top-k for query sets too large to broadcast.
+
+    Vectors are L2-normalised (cosine order = Euclidean order on the unit
+    sphere), bucketed with random projections, and joined on equal buckets
+    (an equi-join: no pair outside a shared bucket is ever formed).  Pairs
+    farther than ``threshold`` (Euclidean, unit vectors) are not considered.
+    Opt-in and approximate: a true neighbour that shares no bucket can be
+    missed; ``semantic_topk`` is the exact form.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+
+    def unit(df, id_col, vec_col, out_id):
+        v = df.select(F.col(id_col).alias(out_id), array_to_vector(F.col(vec_col)).alias("raw"))
+        return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(v).drop("raw")
+
+    q = unit(queries, query_id, query_vec, "qid")
+    c = unit(corpus, corpus_id, corpus_vec, "cid")
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=7,
+                                      bucketLength=bucket_length, numHashTables=num_hash_tables).fit(c)
+    j = lsh.approxSimilarityJoin(q, c, threshold, distCol="dist").select(
+        F.col("datasetA.qid").alias("qid"), F.col("datasetB.cid").alias("cid"),
+        (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("score"))     # cosine from unit distance
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid").asc())
+    return (j.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+             .select(F.col("qid").alias("query_id"), F.col("cid").alias(corpus_id), "rank", "score"))

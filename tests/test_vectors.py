@@ -46,3 +46,14 @@ def test_mean_pool_matches_numpy(spark):
     for label, g in p.groupby("label"):
         want = np.vstack(g["embedding"].map(lambda v: np.asarray(v, dtype=np.float64))).mean(0)
         assert np.allclose(got[label], want, atol=1e-9)
+
+
+def test_lsh_topk_is_close_to_exact(spark):
+    emb = chat_tables(spark, SF_SMALL).message_embeddings
+    queries = V.mean_pool(emb, "label").select(F.col("label").alias("query_id"),
+                                               F.col("mean_vector").alias("embedding"))
+    exact = {(r.query_id, r.message_id) for r in V.semantic_topk(queries, emb, 5).collect()}
+    approx = V.semantic_topk_lsh(queries, emb, 5, threshold=2.0, bucket_length=2.0, num_hash_tables=8).collect()
+    got = {(r.query_id, r.message_id) for r in approx}
+    assert len(got & exact) / len(exact) >= 0.6
+    assert all(-1.0 - 1e-9 <= r.score <= 1.0 + 1e-9 for r in approx)
