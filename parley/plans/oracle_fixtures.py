@@ -65,7 +65,7 @@ select l_orderkey as task_id,
 from lineitem"""),
     "model_versions": (("messages",), """
 select model_version as version_name,
-       case when model_version='model-0' then 'deepseek' else 'custom' end as model_type,
+       case when model_version='model-0' then 'primary' else 'custom' end as model_type,
        concat('{"max_tokens": ', cast(count(*)*8 as varchar), ', "temperature": ', printf('%.1f', (max(inference_time_ms)%20)/10.0),
               case when model_version='model-2' then '' else ', "top_p": 0.9' end, '}') as config,
        model_version='model-0' as is_active

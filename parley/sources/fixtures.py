@@ -184,7 +184,7 @@ class ChatTables:
         mv = F.col("model_version")
         return g.select(
             mv.alias("version_name"),
-            F.when(mv == "model-0", "deepseek").otherwise("custom").alias("model_type"),
+            F.when(mv == "model-0", "primary").otherwise("custom").alias("model_type"),
             F.concat(
                 F.lit('{"max_tokens": '), (F.col("n") * 8).cast("string"),
                 F.lit(', "temperature": '), F.format_string("%.1f", (F.col("mx") % 20) / 10.0),
