@@ -2,11 +2,12 @@
 
 The reference ships no data.  Its schema (users, conversations, messages,
 feedback, agent tasks, ...) is filled here from the driver's tables with
-rules that DuckDB can evaluate identically (``parley.plans.oracle`` holds
+rules that DuckDB can evaluate identically (``parley.plans.oracle_fixtures`` holds
 the same rules as SQL), so every operator can be checked against an oracle.
 
-Every derivation is a narrow projection (plus at most one aggregation for the
-conversation header), so the fixtures scale linearly with the driver tables.
+Every derivation is a narrow projection (plus one aggregation for the
+conversation header and one for the model table), so the fixtures scale
+linearly with the driver tables.
 """
 
 from __future__ import annotations
