@@ -17,10 +17,10 @@ def main(argv: list[str]) -> int:
         return 2
     qs = queries()
     if argv[0] == "list":
+        from .plans.descriptions import DESCRIPTIONS
         orc = oracle_sql()
         for k in sorted(qs):
-            doc = (qs[k].__doc__ or "").strip().splitlines()
-            print(f"{k:28s} {'oracle' if k in orc else 'rows-only':9s} {doc[0] if doc else ''}")
+            print(f"{k:28s} {'oracle' if k in orc else 'rows-only':9s} {DESCRIPTIONS.get(k, '')}")
         return 0
     from .session import get_session
     spark = get_session()

@@ -31,3 +31,8 @@ def test_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<conv_id:bigint,turn:bigint,text:string>" in p
     d = E.queries()["feedback_dataset"](spark, SF_SMALL)
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)" in _plan(d)
+
+
+def test_every_query_is_described():
+    from parley.plans.descriptions import DESCRIPTIONS
+    assert set(DESCRIPTIONS) == set(E.queries())
