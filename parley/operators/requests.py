@@ -8,6 +8,7 @@ Stream forms of the same logic live in ``parley.streaming``.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,47 +42,163 @@ def rate_limit_fold(ts_us: np.ndarray, limit: int, ttl_us: int, state=None):
     return allowed, remaining, (count, last)
 
 
-def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
-                         keys: tuple[str, ...] = ("user_id", "endpoint")) -> DataFrame:
-    """Allow / deny every request as the idle-reset limiter would have.
-
-    Plan: hash-partition by key, sort each partition by (key, ts, id), then
-    one ordered scan per partition carries the limiter state from row to row
-    (``mapInPandas`` over Arrow batches).  Memory is one batch plus O(1) state
-    no matter how many requests a key has; no key is ever gathered into one
-    in-memory group.
-    """
-    ks = list(keys)
-    r = requests.select(*ks, "id", F.unix_micros("ts").alias("ts_us"))
-    sorted_parts = r.repartition(*ks).sortWithinPartitions(*ks, "ts_us", "id")
-    key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in ks)
-    schema = f"{key_types}, id {requests.schema['id'].dataType.simpleString()}, allowed boolean, remaining bigint"
-    ttl_us = ttl_s * 1_000_000
+def _fold_scan(sorted_rows: DataFrame, group_cols: list[str], out_cols: list[str], schema: str,
+               limit: int, ttl_us: int) -> DataFrame:
+    """Ordered scan of partitions sorted by (group, ts, id): the limiter state
+    restarts at every new group and is carried across Arrow batches."""
 
     def scan(batches):
-        cur_key, state = None, None
+        cur, state = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            key_tuples = list(zip(*[pdf[k].tolist() for k in ks]))
+            groups = list(zip(*[pdf[c].tolist() for c in group_cols]))
             ts = pdf["ts_us"].to_numpy()
             allowed = np.zeros(len(pdf), dtype=bool)
             remaining = np.zeros(len(pdf), dtype=np.int64)
             start = 0
             for i in range(1, len(pdf) + 1):
-                if i == len(pdf) or key_tuples[i] != key_tuples[start]:
-                    k = key_tuples[start]
-                    if k != cur_key:
-                        cur_key, state = k, None
+                if i == len(pdf) or groups[i] != groups[start]:
+                    if groups[start] != cur:
+                        cur, state = groups[start], None
                     a, rem, state = rate_limit_fold(ts[start:i], limit, ttl_us, state)
                     allowed[start:i], remaining[start:i] = a, rem
                     start = i
-            out = pdf[ks + ["id"]].copy()
+            out = pdf[out_cols].copy()
             out["allowed"] = allowed
             out["remaining"] = remaining
             yield out
 
-    return sorted_parts.mapInPandas(scan, schema)
+    return sorted_rows.mapInPandas(scan, schema)
+
+
+def idle_segments(requests: DataFrame, ttl_s: int, keys: list[str],
+                  num_partitions: int | None = None) -> DataFrame:
+    """Cut every key's request timeline at idle gaps of at least ``ttl_s``.
+
+    Such a gap always resets the limiter (its last accepted request is at
+    most the previous request), so segments are independent units of work
+    and a hot key with idle periods is spread over many tasks.
+
+    Plan: range-partition the global (key, ts, id) order, so a hot key spans
+    many partitions in order, and checkpoint it to the shared checkpoint
+    folder, so both passes see identical partitions.  Pass 1 summarises each
+    partition: first row, last row, last segment start (one row per
+    partition).  The driver chains these summaries; they are bounded by the
+    partition count, not by the data.  Pass 2 labels every row with the
+    (ts, id) of its segment's first request.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
+    ttl_us = ttl_s * 1_000_000
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = requests.select(*keys, "id", F.unix_micros("ts").alias("ts_us"),
+                        F.to_json(F.struct(*keys)).alias("_k"))
+    ranged = (r.repartitionByRange(n, *keys, "ts_us", "id")
+               .sortWithinPartitions(*keys, "ts_us", "id")
+               .withColumn("_pid", F.spark_partition_id())
+               .checkpoint(eager=True))
+
+    def boundaries(k, t, prev_k, prev_t):
+        pk = np.empty(len(k), dtype=object)
+        pt = np.empty(len(t), dtype=np.int64)
+        pk[1:], pt[1:] = k[:-1], t[:-1]
+        pk[0], pt[0] = prev_k, (prev_t if prev_t is not None else 0)
+        return (k != pk) | (t - pt >= ttl_us)
+
+    def summarize(batches):
+        first = last = last_start = None
+        pid = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k, t, ids = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy(), pdf["id"].to_numpy()
+            st = boundaries(k, t, None if last is None else last[0], None if last is None else last[1])
+            if first is None:
+                pid = int(pdf["_pid"].iloc[0])
+                first = (k[0], int(t[0]), int(ids[0]))
+                st[0] = False                       # decided by the previous partition
+            hit = np.nonzero(st)[0]
+            if len(hit):
+                last_start = (int(t[hit[-1]]), int(ids[hit[-1]]))
+            last = (k[-1], int(t[-1]))
+        if first is not None:
+            yield pd.DataFrame({"pid": [pid], "first_k": [first[0]], "first_ts": [first[1]],
+                                "first_id": [first[2]], "last_k": [last[0]], "last_ts": [last[1]],
+                                "ls_ts": [None if last_start is None else last_start[0]],
+                                "ls_id": [None if last_start is None else last_start[1]]})
+
+    summary = ranged.mapInPandas(
+        summarize, "pid int, first_k string, first_ts bigint, first_id bigint, last_k string, "
+                   "last_ts bigint, ls_ts bigint, ls_id bigint").collect()
+    info, prev, active = {}, None, None
+    for s_ in sorted(summary, key=lambda x: x.pid):
+        row0_start = (prev is None or prev.last_k != s_.first_k or s_.first_ts - prev.last_ts >= ttl_us)
+        carry = None if row0_start else active
+        info[s_.pid] = (row0_start, carry)
+        if s_.ls_ts is not None:
+            active = (s_.ls_ts, s_.ls_id)
+        elif row0_start:
+            active = (s_.first_ts, s_.first_id)
+        else:
+            active = carry
+        prev = s_
+    bc = spark.sparkContext.broadcast(info)
+
+    out_schema = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys) + \
+        f", id {requests.schema['id'].dataType.simpleString()}, ts_us bigint, _seg_ts bigint, _seg_id bigint"
+
+    def label(batches):
+        last, seg = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k, t, ids = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy(), pdf["id"].to_numpy()
+            st = boundaries(k, t, None if last is None else last[0], None if last is None else last[1])
+            if last is None:
+                row0_start, carry = bc.value[int(pdf["_pid"].iloc[0])]
+                st[0] = row0_start
+                seg = carry
+            pos = np.where(st, np.arange(len(st)), -1)
+            ff = np.maximum.accumulate(pos)
+            seg_ts = np.where(ff >= 0, t[np.maximum(ff, 0)], seg[0] if seg else 0)
+            seg_id = np.where(ff >= 0, ids[np.maximum(ff, 0)], seg[1] if seg else 0)
+            out = pdf[keys + ["id", "ts_us"]].copy()
+            out["_seg_ts"], out["_seg_id"] = seg_ts.astype(np.int64), seg_id.astype(np.int64)
+            last, seg = (k[-1], int(t[-1])), (int(seg_ts[-1]), int(seg_id[-1]))
+            yield out
+
+    return ranged.mapInPandas(label, out_schema)
+
+
+def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
+                         keys: tuple[str, ...] = ("user_id", "endpoint"),
+                         split_at_idle: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Allow / deny every request as the idle-reset limiter would have.
+
+    With ``split_at_idle`` (default) each key's timeline is first cut into
+    independent segments at idle gaps ≥ ttl (``idle_segments``), and segments,
+    not keys, are distributed.  Each segment is decided by one ordered scan:
+    hash-partition by segment, sort by (segment, ts, id), then carry the
+    limiter state from row to row (``mapInPandas`` over Arrow batches).
+    Memory is one batch plus O(1) state.  Without idle gaps a key's traffic is
+    one sequential segment, which the limiter's semantics require.
+    """
+    ks = list(keys)
+    key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in ks)
+    schema = f"{key_types}, id {requests.schema['id'].dataType.simpleString()}, allowed boolean, remaining bigint"
+    ttl_us = ttl_s * 1_000_000
+    if split_at_idle:
+        seg = idle_segments(requests, ttl_s, ks, num_partitions)
+        group = ks + ["_seg_ts", "_seg_id"]
+        rows = seg.repartition(*group).sortWithinPartitions(*group, "ts_us", "id")
+    else:
+        group = ks
+        r = requests.select(*ks, "id", F.unix_micros("ts").alias("ts_us"))
+        rows = r.repartition(*ks).sortWithinPartitions(*ks, "ts_us", "id")
+    return _fold_scan(rows, group, ks + ["id"], schema, limit, ttl_us)
 
 
 # ------------------------------------------------------------ windows

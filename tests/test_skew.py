@@ -99,3 +99,31 @@ def test_rate_limiter_hot_key_is_whole(spark, skew_conf):
                 want[i] = (False, 0)
     assert got == want and len(got) == pdf.shape[0]
     assert isinstance(pdf, pd.DataFrame)
+
+
+def _brute_limiter(pdf, limit, ttl_s, keys):
+    want = {}
+    for _, g in pdf.sort_values(["t", "id"]).groupby(keys, sort=False):
+        count, last = 0, None
+        for i, t in zip(g["id"], g["t"]):
+            if last is not None and t - last >= ttl_s * 10**6:
+                count = 0
+            if count < limit:
+                want[i] = (True, limit - count - 1)
+                count, last = count + 1, t
+            else:
+                want[i] = (False, 0)
+    return want
+
+
+@pytest.mark.parametrize("ttl_s,parts", [(60, 3), (3600, 16), (7200, 64), (86400, 7)])
+def test_idle_segmentation_across_partitions(spark, ttl_s, parts):
+    r = chat_tables(spark, SF_SMALL).requests
+    r = r.withColumn("user_id", F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("user_id")))
+    got = {row.id: (row.allowed, row.remaining)
+           for row in RQ.rate_limit_decisions(r, 3, ttl_s, num_partitions=parts).collect()}
+    pdf = r.select("id", "user_id", "endpoint", F.unix_micros("ts").alias("t")).toPandas()
+    assert got == _brute_limiter(pdf, 3, ttl_s, ["user_id", "endpoint"])
+    seg = RQ.idle_segments(r, ttl_s, ["user_id", "endpoint"], parts)
+    hot = seg.filter("user_id = 1").select("_seg_ts", "_seg_id").distinct().count()
+    assert hot > 1            # the hot key is split into several independent segments
