@@ -288,3 +288,17 @@ def alert_latency(requests: DataFrame, threshold_s: float = 5.0, hold_s: int = 3
     h = held(firing.select(*ks, "window_start_s"), ks, "window_start_s", step_s, hold_s)
     return firing.join(h, ks + ["window_start_s"], "left_semi").select(*ks, "window_end_s", "total", "p95_s")
 
+
+
+def latency_windows_exact(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,
+                          step_s: int = 60, q: float = 0.95) -> DataFrame:
+    """Sliding windows with the exact interpolated quantile of the raw latencies
+    (seconds), next to the histogram estimate of ``latency_windows``.  The exact
+    aggregate keeps a count per distinct value in the window (integer ms,
+    bounded by the request timeout), not every row."""
+    w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
+    return (requests.groupBy(*keys, w)
+                    .agg(F.count(F.lit(1)).alias("total"),
+                         F.percentile(F.col("latency_ms").cast("double"), F.lit(q)).alias("_p"))
+                    .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"), "total",
+                            F.round(F.col("_p") / 1000.0, 6).alias("p95_exact_s")))

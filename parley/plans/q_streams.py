@@ -86,3 +86,11 @@ fire as (select endpoint, window_start_s, window_end_s, total, round({_quantile_
          from win where round({_quantile_sql()} / 1000.0, 6) > {LAT_THRESHOLD_S})"""))
 def q_alert_latency(spark, sf_dir):
     return RQ.alert_latency(chat_tables(spark, sf_dir).requests, LAT_THRESHOLD_S, LAT_HOLD_S)
+
+
+@register("latency_p95_exact", W("""
+select endpoint, window_start_s, count(*) as total,
+       round(quantile_cont(latency_ms::double, 0.95) / 1000.0, 6) as p95_exact_s
+from sl group by endpoint, window_start_s""", "requests", ctes=_SLIDING))
+def q_latency_p95_exact(spark, sf_dir):
+    return RQ.latency_windows_exact(chat_tables(spark, sf_dir).requests)
