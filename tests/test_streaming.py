@@ -141,3 +141,16 @@ def test_route_stream_writes_each_route(spark, scratch):
     for r, p in sinks.items():
         got = spark.read.parquet(p).drop("batch_id")
         assert sorted(got.select(want.columns).collect()) == sorted(want.filter(F.col("route") == r).collect())
+
+
+def test_runner_uses_shared_checkpoint_folder(spark, scratch):
+    from parley.session import checkpoint_path
+    from parley.streaming.runner import start_parquet
+    batch_in, stream_in = _requests_stream(spark, scratch)
+    out = os.path.join(scratch, "runner_out")
+    q = start_parquet(SW.requests_per_window_stream(stream_in), out, "runner_test_counts",
+                      trigger={"availableNow": True})
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert os.path.isdir(checkpoint_path(spark, "runner_test_counts").replace("file:", ""))
+    assert spark.read.parquet(out).count() > 0
