@@ -38,10 +38,16 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class IdleResetLimiter(StatefulProcessor):
-    def __init__(self, limit: int, ttl_s: int, key_cols: tuple[str, ...]):
-        self.limit, self.ttl_us, self.key_cols = limit, ttl_s * 1_000_000, key_cols
+    """With ``expire`` (event-time mode) a timer at last-accept + ttl drops the
+    key's state once the watermark passes it: an expired counter and no
+    counter decide every later request identically, so cleanup is exact and
+    state stays proportional to the keys active within one ttl."""
+
+    def __init__(self, limit: int, ttl_s: int, key_cols: tuple[str, ...], expire: bool = False):
+        self.limit, self.ttl_us, self.key_cols, self.expire = limit, ttl_s * 1_000_000, key_cols, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("limiter", "count bigint, last_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -51,27 +57,42 @@ class IdleResetLimiter(StatefulProcessor):
             c, last = self.state.get()
             st = (int(c), None if last is None else int(last))
         allowed, remaining, (count, last) = rate_limit_fold(pdf["ts_us"].to_numpy(), self.limit, self.ttl_us, st)
+        if self.expire and last is not None and (st is None or st[1] != int(last)):
+            if st is not None and st[1] is not None:
+                self.handle.deleteTimer((st[1] + self.ttl_us) // 1000)
+            self.handle.registerTimer((int(last) + self.ttl_us) // 1000)
         self.state.update((int(count), None if last is None else int(last)))
         out = pdf[list(self.key_cols) + ["id"]].copy()
         out["allowed"] = allowed
         out["remaining"] = remaining.astype(np.int64)
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, ttl_s: int,
-                      keys: tuple[str, ...] = ("user_id", "endpoint")) -> DataFrame:
-    """Streaming decisions; ``requests`` is a streaming frame with ts, id and keys."""
+                      keys: tuple[str, ...] = ("user_id", "endpoint"),
+                      watermark: str | None = None) -> DataFrame:
+    """Streaming decisions; ``requests`` is a streaming frame with ts, id and keys.
+
+    With a ``watermark`` the query runs in event-time mode and expired keys'
+    state is dropped by timers (rows behind the watermark are dropped by
+    Spark, so choose it above the expected lateness)."""
     use_rocksdb(requests.sparkSession)
     ks = list(keys)
     key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in ks)
     schema = f"{key_types}, id {requests.schema['id'].dataType.simpleString()}, allowed boolean, remaining bigint"
-    src = requests.select(*ks, "id", F.unix_micros("ts").alias("ts_us"))
+    src = requests if watermark is None else requests.withWatermark("ts", watermark)
+    src = src.select(*ks, "id", "ts", F.unix_micros("ts").alias("ts_us"))
     return src.groupBy(*ks).transformWithStateInPandas(
-        statefulProcessor=IdleResetLimiter(limit, ttl_s, keys), outputStructType=schema,
-        outputMode="Append", timeMode="None")
+        statefulProcessor=IdleResetLimiter(limit, ttl_s, keys, expire=watermark is not None),
+        outputStructType=schema, outputMode="Append",
+        timeMode="None" if watermark is None else "EventTime")
 
 
 class ChunkAssembler(StatefulProcessor):

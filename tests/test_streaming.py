@@ -3,6 +3,7 @@ source in several micro-batches, give the batch operators' answers."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import chunks as CH
@@ -44,9 +45,10 @@ def _requests_stream(spark, scratch):
     return t.requests, spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).json(flat)
 
 
-def test_rate_limiter_stream_equals_batch(spark, scratch):
+@pytest.mark.parametrize("watermark", [None, "1 hour"])
+def test_rate_limiter_stream_equals_batch(spark, scratch, watermark):
     batch_in, stream_in = _requests_stream(spark, scratch)
-    got = _run(ST.rate_limit_stream(stream_in, 5, 86400), scratch, "rl")
+    got = _run(ST.rate_limit_stream(stream_in, 5, 86400, watermark=watermark), scratch, "rl")
     want = RQ.rate_limit_decisions(batch_in, 5, 86400)
     cols = ["user_id", "endpoint", "id", "allowed", "remaining"]
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
