@@ -59,3 +59,11 @@ def live_gauges_stream(samples: DataFrame) -> DataFrame:
     return (samples.groupBy("key")
                    .agg(F.max_by("value", F.struct("ts_s", "value")).alias("value"),
                         F.max("ts_s").alias("ts_s")))
+
+
+def latency_stream(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,
+                   step_s: int = 60, watermark: str = "5 minutes") -> DataFrame:
+    """Closed sliding windows with the histogram p95 (same expression as the
+    batch ``latency_windows``); the 5-minute hold is ``held`` downstream."""
+    from ..operators.requests import latency_windows
+    return latency_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s)

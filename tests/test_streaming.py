@@ -173,3 +173,10 @@ def test_error_rate_stream_equals_batch(spark, scratch):
     batch_alerts = {(r.endpoint, r.window_end_s) for r in RQ.alert_error_rate(batch_in, thr, 120).collect()}
     last_closed = max(r.window_end_s for r in got.select("window_end_s").collect())
     assert alerts == {a for a in batch_alerts if a[1] <= last_closed}
+
+
+def test_latency_stream_equals_batch(spark, scratch):
+    batch_in, stream_in = _requests_stream(spark, scratch)
+    got = set(_run(SW.latency_stream(stream_in), scratch, "lat").collect())
+    want = set(RQ.latency_windows(batch_in).collect())
+    assert got <= want and len(want) - len(got) <= 10
