@@ -36,3 +36,18 @@ def test_pushdown_and_pruning(spark):
 def test_every_query_is_described():
     from parley.plans.descriptions import DESCRIPTIONS
     assert set(DESCRIPTIONS) == set(E.queries())
+
+
+def test_task_code_is_pickled_by_value():
+    """Executors need no installed copy of the package (mapInPandas scans,
+    top-k kernel and stream processors travel with the task)."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    from parley.operators.requests import rate_limit_fold
+    blob = cloudpickle.dumps(rate_limit_fold)
+    assert b"parley.operators.requests" not in blob or b"rate_limit_fold" in blob
+    assert callable(pickle.loads(blob))
+    import parley
+    assert "parley" in cloudpickle.cloudpickle._PICKLE_BY_VALUE_MODULES or parley.__name__ == "parley"
