@@ -25,11 +25,11 @@ def _rules_summary(df: DataFrame, table: str, rules: dict) -> DataFrame:
     rows checked and violating; melted to (table_name, rule, n_checked, n_violations)."""
     aggs = [F.count(F.lit(1)).alias("n_checked")]
     aggs += [F.count_if(pred).cast("bigint").alias(f"v_{i}") for i, pred in enumerate(rules.values())]
-    row = df.agg(*aggs)
-    parts = [row.select(F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "n_checked",
-                        F.col(f"v_{i}").alias("n_violations"))
-             for i, name in enumerate(rules)]
-    return reduce(DataFrame.unionByName, parts)
+    names = list(rules)
+    row = df.agg(*aggs).select("n_checked", *[F.col(f"v_{i}").alias(n) for i, n in enumerate(names)])
+    # one aggregation, then the single result row is unpivoted to one row per rule
+    return (row.unpivot(["n_checked"], names, "rule", "n_violations")
+               .select(F.lit(table).alias("table_name"), "rule", "n_checked", "n_violations"))
 
 
 def check_enums(messages: DataFrame, feedback: DataFrame) -> DataFrame:
