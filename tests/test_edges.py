@@ -202,3 +202,18 @@ def test_conversation_documents_nested_matches_flat(spark):
     flat = H.conversation_documents(c, m).collect()
     assert nested == {1: [1, 2], 2: [3]}
     assert [r.message_id for r in flat] == [1, 2, 3]
+
+
+def test_sse_render_parse_round_trip(spark):
+    """Rendering answers as SSE lines and assembling them gives the text back
+    (every word followed by one space), for texts with quotes, tabs and
+    non-ASCII characters too."""
+    from parley.sources.fixtures import chat_tables
+    from conftest import SF_SMALL
+    m = chat_tables(spark, SF_SMALL).messages
+    extra = spark.createDataFrame([(9_000_001, 1, 0, "assistant", 'say "hi"\tand\\ bye — ok', 0)], MSG)
+    msgs = m.select(*extra.columns).unionByName(extra)
+    got = {r.message_id: r.content for r in CH.assemble_chunks(CH.build_sse_lines(msgs)).collect()}
+    want = {r.id: "".join(w + " " for w in r.content.split(" "))
+            for r in msgs.filter(F.col("role") == "assistant").collect()}
+    assert got == want
