@@ -217,3 +217,21 @@ def test_sse_render_parse_round_trip(spark):
     want = {r.id: "".join(w + " " for w in r.content.split(" "))
             for r in msgs.filter(F.col("role") == "assistant").collect()}
     assert got == want
+
+
+def test_title_matches_python_rule_on_random_text(spark):
+    """The Column title rule equals the plain-Python rule (split on Unicode
+    whitespace, 5 words, 50 characters) on 500 random strings."""
+    import random
+    rnd = random.Random(7)
+    alphabet = list("abcdé xyz") + [" ", " ", "\t", "\n", " ", "　", "ß", "語"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 80))) for _ in range(500)]
+
+    def rule(t):
+        w = t.split()
+        base = " ".join(w[:5]) + "..." if len(w) > 5 else (" ".join(w) if w else t)
+        return base[:50] + "..." if len(base) > 50 else base
+
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+           .orderBy("i").select(T.title("t")).collect()]
+    assert got == [rule(t) for t in texts]
