@@ -235,3 +235,23 @@ def test_title_matches_python_rule_on_random_text(spark):
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
            .orderBy("i").select(T.title("t")).collect()]
     assert got == [rule(t) for t in texts]
+
+
+def test_tokens_strip_duration_match_python(spark):
+    import random
+    rnd = random.Random(11)
+    alphabet = list("ab é") + [" ", "\t", "\n", " ", "　", "\r", "語"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    ms = [rnd.randint(0, 200_000) for _ in range(300)]
+
+    def dur(m):
+        if m >= 60000:
+            s = (m % 60000) // 1000
+            return f"{m // 60000}m {s}s" if s > 0 else f"{m // 60000}m"
+        return f"{m // 1000}s" if m >= 1000 else f"{m}ms"
+
+    df = spark.createDataFrame([(i, t, m) for i, (t, m) in enumerate(zip(texts, ms))], "i int, t string, m bigint")
+    rows = df.orderBy("i").select(T.token_count("t"), T.strip("t"), T.format_duration("m")).collect()
+    assert [r[0] for r in rows] == [len(t.split()) for t in texts]
+    assert [r[1] for r in rows] == [t.strip() for t in texts]
+    assert [r[2] for r in rows] == [dur(m) for m in ms]
