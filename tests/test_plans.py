@@ -51,3 +51,10 @@ def test_task_code_is_pickled_by_value():
     fn = pickle.loads(cloudpickle.dumps(rate_limit_fold))
     allowed, remaining, _ = fn([0, 1, 2], 2, 10, None)
     assert list(allowed) == [True, True, False] and list(remaining) == [1, 0, 0]
+
+
+def test_response_scores_computed_once_for_both_pair_sides(spark):
+    df = E.queries()["preference_pairs"](spark, SF_SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final
