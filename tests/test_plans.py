@@ -58,3 +58,8 @@ def test_response_scores_computed_once_for_both_pair_sides(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in final
+
+
+def test_top_n_per_group_limits_before_the_shuffle(spark):
+    p = _plan(E.queries()["conversation_context"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p and "Partial" in p
