@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, sharding, url_filter
+from . import chat_format, decontaminate, exact_dedup, packing, secrets, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,14 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.find_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_decontaminate")
+def op3_decontaminate(spark, sf_dir):
+    hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    marked = decontaminate.n_marked()
+    return hits.select("doc_id", "n_words", marked.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       decontaminate.items_digest().alias("items_sha256"), (marked > 0).alias("contaminated"))
+
+
 @query("op4_url_filter", url_filter.ORACLE)
 def op4_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("alias_class")
@@ -38,6 +46,24 @@ def op5_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secrets")
+def op6_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secrets.BASE],
+                        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query("op8_chat_format", chat_format.ORACLE)
 def op8_chat_format(spark, sf_dir):
     said = r"\### Assistant: </turn> ok"
