@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, packing, secrets, sharding, url_filter
+from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.find_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op2_near_dedup", near_dedup.ORACLE)
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query("op3_decontaminate")
 def op3_decontaminate(spark, sf_dir):
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
