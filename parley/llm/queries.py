@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, url_filter
+from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, quality, secrets, sharding, substring_dedup, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,16 @@ def op8_chat_format(spark, sf_dir):
         F.char_length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
