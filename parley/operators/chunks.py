@@ -3,7 +3,8 @@
 A model streams one SSE line per token: ``data: {json}`` with
 ``choices[0].delta.content`` and a ``finish_reason``, then ``data: [DONE]``.
 Only messages that saw a finish marker are emitted; malformed lines are
-skipped and counted; chunks after the finish marker are ignored.
+skipped and counted, valid JSON without choices is skipped.  Text on the chunk
+that carries the finish reason belongs to the message; chunks after it do not.
 """
 
 from __future__ import annotations
@@ -16,27 +17,30 @@ from ..functions import text as T
 # SSE framing of the reference model server.
 SSE_PREFIX = "data: "
 SSE_DONE = "[DONE]"
-CHUNK_SCHEMA = "choices array<struct<delta: struct<content: string>, finish_reason: string>>"
+CHUNK_SCHEMA = "choices array<struct<delta: struct<content: string>, finish_reason: string>>, _broken string"
+_KEEP_BROKEN = {"columnNameOfCorruptRecord": "_broken"}
 
 
 def parse_chunks(chunks: DataFrame) -> DataFrame:
     """(message_id, seq, line) → typed chunk columns.
 
-    ``kind``: 'content', 'finish', 'done', 'malformed' (bad JSON or no
-    choices) or 'ignored' (no ``data: `` prefix, e.g. blank keep-alives).
+    ``kind``: 'content', 'finish', 'done', 'malformed' (bad JSON) or 'ignored'
+    (no ``data: `` prefix, e.g. blank keep-alives, or no choices).
     The JSON of a line is parsed once; the later projections only read the
     parsed struct (Catalyst keeps the projections apart because ``from_json``
     is not cheap to duplicate).
     """
     line = F.col("line")
     has_prefix = line.startswith(SSE_PREFIX)
-    payload = F.when(has_prefix, F.substring(line, len(SSE_PREFIX) + 1, 1 << 30))
+    payload = F.when(has_prefix, F.substr(line, F.lit(len(SSE_PREFIX) + 1)))
     p1 = chunks.select("message_id", "seq", has_prefix.alias("_has"), payload.alias("_payload"),
-                       F.from_json(payload, CHUNK_SCHEMA).alias("_json"))
-    p2 = p1.select("message_id", "seq", "_has", "_payload", F.get(F.col("_json.choices"), 0).alias("_first"))
+                       F.from_json(payload, CHUNK_SCHEMA, _KEEP_BROKEN).alias("_json"))
+    p2 = p1.select("message_id", "seq", "_has", "_payload", F.get(F.col("_json.choices"), 0).alias("_first"),
+                   (F.col("_json").isNull() | F.col("_json._broken").isNotNull()).alias("_bad"))
     kind = (F.when(~F.coalesce(F.col("_has"), F.lit(False)), "ignored")
              .when(F.col("_payload") == SSE_DONE, "done")
-             .when(F.col("_first").isNull(), "malformed")
+             .when(F.col("_bad"), "malformed")
+             .when(F.col("_first").isNull(), "ignored")
              .when(F.col("_first.finish_reason").isNotNull(), "finish")
              .otherwise("content"))
     p3 = p2.select("message_id", "seq", kind.alias("kind"), "_first")
@@ -46,22 +50,22 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
-    """Finished messages: content pieces in sequence order up to the first
-    finish / done marker; unfinished messages are not emitted.
+    """Finished messages: the pieces in sequence order up to and including the
+    first finish / done marker; unfinished messages are not emitted.
 
     One parse and one aggregation per message: the end position (first
-    finish/done) and the pieces are gathered together, then the pieces before
+    finish/done) and the pieces are gathered together, then the pieces up to
     the end are joined in order.  The text is the output row itself, so one
     message's pieces meet in one task by definition (partial aggregation
     still combines map-side).
     """
     p = parse_chunks(chunks)
     is_end = F.col("kind").isin("finish", "done")
-    is_piece = (F.col("kind") == "content") & F.col("content").isNotNull()
+    is_piece = F.col("kind").isin("content", "finish") & F.col("content").isNotNull()
     g = p.groupBy("message_id").agg(
         F.min(F.when(is_end, F.col("seq"))).alias("end_seq"),
         F.collect_list(F.when(is_piece, F.struct("seq", "content"))).alias("pieces"))
-    ordered = F.array_sort(F.filter("pieces", lambda x: x["seq"] < F.col("end_seq")))
+    ordered = F.array_sort(F.filter("pieces", lambda x: x["seq"] <= F.col("end_seq")))
     return (g.filter(F.col("end_seq").isNotNull())
              .select("message_id", F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("content")))
 
@@ -75,34 +79,51 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
         F.max(F.col("kind").isin("finish", "done")).alias("finished"))
 
 
-def build_sse_lines(messages: DataFrame, finished_when=None, malformed_when=None) -> DataFrame:
+def build_sse_lines(messages: DataFrame, finished_when=None, malformed_when=None, empty_when=None,
+                    last_text_when=None) -> DataFrame:
     """Render assistant messages as the SSE stream the model server would send:
     one line per word, then a finish line and ``[DONE]`` (unless
     ``finished_when`` is false for the message).  ``malformed_when`` replaces
-    matching word lines by a broken payload (failure-tolerance fixtures)."""
-    w = messages.filter(F.col("role") == "assistant").select(
-        F.col("id").alias("message_id"), F.posexplode(F.split("content", " ")).alias("seq", "word"))
-    lines = w.select("message_id", F.col("seq").cast("bigint").alias("seq"),
-                     F.concat(F.lit('data: {"choices":[{"delta":'),
-                              F.to_json(F.struct(F.concat("word", F.lit(" ")).alias("content"))),
-                              F.lit(',"finish_reason":null}]}')).alias("line"))
+    matching word lines by a broken payload, ``empty_when`` by JSON without
+    choices; where ``last_text_when`` holds, the finish line carries text.
+    All lines of a message come from one explode of its words."""
+    w = messages.filter(F.col("role") == "assistant").select(F.col("id").alias("message_id"), F.split("content", " ").alias("ws"))
+    finished = F.lit(True) if finished_when is None else F.coalesce(finished_when, F.lit(False))
+    ends = F.when(finished, F.array(F.lit("finish"), F.lit("done"))).otherwise(F.array().cast("array<string>"))
+    item = "struct<kind:string,word:string>"
+    items = F.concat(F.transform("ws", lambda x: F.struct(F.lit("word").alias("kind"), x.alias("word")).cast(item)),
+                     F.transform(ends, lambda k: F.struct(k.alias("kind"), F.lit(None).cast("string").alias("word")).cast(item)))
+    rows = w.select("message_id", F.posexplode(items).alias("seq", "i")).select(
+        "message_id", F.col("seq").cast("bigint").alias("seq"), "i.kind", "i.word")
+
+    def line(delta, reason):
+        return F.concat(F.lit('data: {"choices":[{"delta":'), delta, F.lit(f',"finish_reason":{reason}}}]}}'))
+
+    word = line(F.to_json(F.struct(F.concat("word", F.lit(" ")).alias("content"))), "null")
+    if empty_when is not None:
+        word = F.when(empty_when, F.lit('data: {"usage":{"total":1}}')).otherwise(word)
     if malformed_when is not None:
-        lines = lines.withColumn("line", F.when(malformed_when, F.lit("data: {bad")).otherwise(F.col("line")))
-    last = w.groupBy("message_id").agg(F.max("seq").cast("bigint").alias("last_seq"))
-    if finished_when is not None:
-        last = last.filter(finished_when)
-    fin = last.select("message_id", (F.col("last_seq") + 1).alias("seq"),
-                      F.lit('data: {"choices":[{"delta":{},"finish_reason":"stop"}]}').alias("line"))
-    done = last.select("message_id", (F.col("last_seq") + 2).alias("seq"), F.lit("data: [DONE]").alias("line"))
-    return lines.unionByName(fin).unionByName(done)
+        word = F.when(malformed_when, F.lit("data: {bad")).otherwise(word)
+    finish = line(F.lit("{}"), '"stop"')
+    if last_text_when is not None:
+        finish = F.when(last_text_when, line(F.lit('{"content":"THE END"}'), '"stop"')).otherwise(finish)
+    return rows.select("message_id", "seq", F.when(F.col("kind") == "word", word).when(F.col("kind") == "finish", finish)
+                       .otherwise(F.lit("data: [DONE]")).alias("line"))
 
 
 def token_usage(messages: DataFrame) -> DataFrame:
     """Whitespace-token usage per conversation and model: prompt tokens (user
-    and system text), completion tokens (assistant text) and their total."""
+    and system text), completion tokens (assistant text) and their total.
+
+    Prompt rows carry no model of their own; they count for the model that the
+    conversation's assistant messages name (the smallest, if they name several,
+    whose other models then have completions alone)."""
     n = T.token_count("content")
     asst = F.col("role") == "assistant"
-    conv_model = messages.groupBy("conversation_id").agg(
+    model = messages.groupBy(F.col("conversation_id").alias("_c")).agg(F.min(F.when(asst, F.col("model_version"))).alias("_m"))
+    named = messages.join(model, messages["conversation_id"] == model["_c"]).withColumn(
+        "model_version", F.when(asst, F.col("model_version")).otherwise(F.col("_m")))
+    conv_model = named.groupBy("conversation_id", "model_version").agg(
         F.sum(F.when(~asst, n).otherwise(0)).cast("bigint").alias("prompt_tokens"),
         F.sum(F.when(asst, n).otherwise(0)).cast("bigint").alias("completion_tokens"),
         F.sum(F.length("content")).cast("bigint").alias("characters"))

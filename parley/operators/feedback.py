@@ -69,7 +69,8 @@ def feedback_dataset(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     """
     fb = (feedback.filter(F.col("score_centi").isNotNull())
                   .select(F.col("id").alias("feedback_id"), F.col("message_id").alias("id"),
-                          "feedback_type", "score_centi", F.col("created_s").alias("feedback_created_s")))
+                          "feedback_type", "feedback_text", "score_centi",
+                          F.col("created_s").alias("feedback_created_s")))
     asst = messages.filter(F.col("role") == "assistant").select("id", "conversation_id", "turn", "content")
     rated = fb.join(asst, "id")
     users = messages.filter(F.col("role") == "user").select(
@@ -77,7 +78,7 @@ def feedback_dataset(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     return rated.join(users, ["conversation_id", "turn"]).select(
         "feedback_id", F.col("id").alias("message_id"), "query",
         F.col("content").alias("response"), "score_centi",
-        (F.col("score_centi") / 100.0).alias("feedback_score"), "feedback_type", "feedback_created_s")
+        (F.col("score_centi") / 100.0).alias("feedback_score"), "feedback_type", "feedback_text", "feedback_created_s")
 
 
 def sample_check(dataset: DataFrame, min_count: int = 10) -> DataFrame:

@@ -66,7 +66,7 @@ def evaluation_dataset(messages: DataFrame, feedback: DataFrame, min_count: int
     return (g.orderBy(exact.desc(), F.col("query_id").asc(), F.col("response").asc())
              .limit(limit)
              .select("query_id", "query", "response",
-                     avg_score(F.col("sum_centi"), F.col("n_ratings")).alias("avg_score")))
+                     avg_score(F.col("sum_centi"), F.col("n_ratings")).alias("avg_score"), "sum_centi", "n_ratings"))
 
 
 def response_scores(messages: DataFrame, feedback: DataFrame, min_count: int = 2,

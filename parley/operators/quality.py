@@ -18,6 +18,12 @@ FEEDBACK_TYPES = ("thumbs_up", "thumbs_down", "regenerate", "report")
 SCORE_RANGE_CENTI = (-100, 100)
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 USERNAME_LEN = (3, 50)
+REQUIRED = {
+    "users": ("id", "email", "username"),
+    "conversations": ("id", "user_id", "model_version"),
+    "messages": ("id", "conversation_id", "role", "content"),
+    "feedback": ("id", "message_id", "user_id", "feedback_type"),
+}
 
 
 def _rules_summary(df: DataFrame, table: str, rules: dict) -> DataFrame:
@@ -58,51 +64,60 @@ def check_users(users: DataFrame) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, table: str, key_cols: list[str]) -> DataFrame:
-    """A15/DQ5: key values occurring more than once (partial aggregation first)."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
-    return (df.groupBy(key.alias("key_value")).agg(F.count(F.lit(1)).alias("n_rows"))
-              .filter(F.col("n_rows") > 1)
-              .select(F.lit(table).alias("table_name"), F.lit(",".join(key_cols)).alias("key_columns"),
-                      "key_value", "n_rows"))
+    """A15/DQ5: key values occurring more than once (partial aggregation first).
+
+    Groups by the columns themselves; rows with a null key column are never
+    duplicates, as in SQL UNIQUE.  ``key_value`` is the JSON of the columns."""
+    present = df.dropna(subset=key_cols).select(*[F.col(c).cast("string").alias(c) for c in key_cols])
+    return (present.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_rows"))
+                   .filter(F.col("n_rows") > 1)
+                   .select(F.lit(table).alias("table_name"), F.lit(",".join(key_cols)).alias("key_columns"),
+                           F.to_json(F.array(*key_cols)).alias("key_value"), "n_rows"))
 
 
 def orphans(child: DataFrame, child_table: str, fk: str, parent: DataFrame, parent_key: str,
             child_id: str = "id") -> DataFrame:
     """J9/DQ6: child rows whose foreign key has no parent (left-anti join)."""
-    p = parent.select(F.col(parent_key).alias(fk)).distinct()
+    p = parent.select(F.col(parent_key).alias(fk))
     return (child.filter(F.col(fk).isNotNull())
                  .join(p, fk, "left_anti")
                  .select(F.lit(f"{child_table}.{fk}").alias("foreign_key"),
-                         F.col(child_id).alias("child_id"), F.col(fk).alias("missing_key")))
+                         F.col(child_id).cast("string").alias("child_id"), F.col(fk).cast("string").alias("missing_key")))
 
 
 def cascade_delete(users: DataFrame, conversations: DataFrame, messages: DataFrame,
-                   feedback: DataFrame, embeddings: DataFrame, deleted_users: DataFrame) -> dict:
+                   feedback: DataFrame, embeddings: DataFrame, rate_limits: DataFrame,
+                   deleted_users: DataFrame) -> dict:
     """J10: ON DELETE CASCADE along users → conversations → messages →
-    (feedback, embeddings) and users → feedback.  Returns the surviving
-    tables (left-anti joins against the deleted key sets) and a count frame.
+    (feedback, embeddings), users → feedback and users → rate limits.
+
+    Every table is read once and gets a ``_gone`` flag by left joins with the
+    keys deleted above it; survivors and counts both come from the flag.
     """
-    du = deleted_users.select(F.col("id").alias("user_id")).distinct()
-    dc = (conversations.select(F.col("id").alias("conversation_id"), "user_id")
-                       .join(du, "user_id", "left_semi").select("conversation_id"))
-    dm = (messages.select(F.col("id").alias("message_id"), "conversation_id")
-                  .join(dc, "conversation_id", "left_semi").select("message_id"))
-    kept = {
-        "users": users.join(du.withColumnRenamed("user_id", "id"), "id", "left_anti"),
-        "conversations": conversations.join(dc.withColumnRenamed("conversation_id", "id"), "id", "left_anti"),
-        "messages": messages.join(dm.withColumnRenamed("message_id", "id"), "id", "left_anti"),
-        "feedback": feedback.join(dm, "message_id", "left_anti").join(du, "user_id", "left_anti"),
-        "message_embeddings": embeddings.join(dm, "message_id", "left_anti"),
-    }
-    before = {"users": users, "conversations": conversations, "messages": messages,
-              "feedback": feedback, "message_embeddings": embeddings}
+    gone = F.coalesce(F.col("_d"), F.lit(False))
+    du = deleted_users.select(F.col("id").alias("user_id")).distinct().withColumn("_d", F.lit(True))
+
+    def flagged(table, keys, on):
+        return table.join(keys.withColumnRenamed(keys.columns[0], on), on, "left").withColumn("_gone", gone).drop("_d")
+
+    def keys(table, name):
+        return table.filter("_gone").select(F.col("id").alias(name), F.lit(True).alias("_d"))
+
+    u = flagged(users, du, "id")
+    c = flagged(conversations, du, "user_id")
+    m = flagged(messages, keys(c, "conversation_id"), "conversation_id")
+    dm = keys(m, "message_id")
+    f = flagged(feedback, dm, "message_id").withColumnRenamed("_gone", "_by_message")
+    f = flagged(f, du, "user_id").withColumn("_gone", F.col("_gone") | F.col("_by_message")).drop("_by_message")
+    tables = {"users": u, "conversations": c, "messages": m, "feedback": f,
+              "message_embeddings": flagged(embeddings, dm, "message_id"), "rate_limits": flagged(rate_limits, du, "user_id")}
+    source = {"users": users, "conversations": conversations, "messages": messages, "feedback": feedback,
+              "message_embeddings": embeddings, "rate_limits": rate_limits}
     counts = reduce(DataFrame.unionByName, [
-        before[n].agg(F.count(F.lit(1)).alias("n_before"))
-                 .select(F.lit(n).alias("table_name"), "n_before",
-                         kept[n].agg(F.count(F.lit(1))).scalar().alias("n_kept"))
-        for n in before])
+        t.agg(F.count(F.lit(1)).alias("n_before"), F.count_if(~F.col("_gone")).cast("bigint").alias("n_kept"))
+         .select(F.lit(n).alias("table_name"), "n_before", "n_kept") for n, t in tables.items()])
     counts = counts.withColumn("n_deleted", F.col("n_before") - F.col("n_kept"))
-    return {"kept": kept, "counts": counts}
+    return {"kept": {n: t.filter(~F.col("_gone")).select(*source[n].columns) for n, t in tables.items()}, "counts": counts}
 
 
 def check_dims(embeddings: DataFrame, dim: int, col: str = "embedding", id_col: str = "message_id") -> DataFrame:

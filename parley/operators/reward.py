@@ -6,6 +6,8 @@ pairwise sigmoid head; here both are distributed Spark ML pipelines:
 * reward regressor: RegexTokenizer → HashingTF → IDF → LinearRegression
   (squared error) on "Query: q / Response: r" texts, trained on a disjoint
   hash split and evaluated on the held-out part;
+* reward on numeric features of the texts (``size_features``): unregularised
+  least squares, the form that plain SQL can check;
 * pairwise model: text features of both responses concatenated
   (VectorAssembler) → LogisticRegression on the preference label.
 """
@@ -38,6 +40,35 @@ def reward_pipeline(text_col: str = "pair_text", label_col: str = "label",
     ])
 
 
+def size_features(df: DataFrame, query: str = "query", response: str = "response") -> DataFrame:
+    """Thousands of characters of the response."""
+    return df.withColumn("response_size", F.char_length(response) / F.lit(1000.0))
+
+
+def least_squares_pipeline(features: tuple[str, ...] = ("response_size",), label_col: str = "label") -> Pipeline:
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="features"),
+        LinearRegression(featuresCol="features", labelCol=label_col, predictionCol="reward", solver="normal", regParam=0.0)])
+
+
+def fit_least_squares(dataset: DataFrame, is_test: str = "is_test", label: str = "feedback_score") -> PipelineModel:
+    """Fitted on the rows that are not held out."""
+    train = size_features(dataset.filter(~F.col(is_test))).select("response_size", F.col(label).cast("double").alias("label"))
+    return least_squares_pipeline().fit(train)
+
+
+def least_squares_scores(model: PipelineModel, pairs: DataFrame, query: str = "query", response: str = "response",
+                         out: str = "reward") -> DataFrame:
+    """``pairs`` with the model's reward for each row as ``out``."""
+    scored = model.transform(size_features(pairs, query, response)).drop("features", "response_size")
+    return scored.withColumnRenamed("reward", out) if out != "reward" else scored
+
+
+def preference_probability(reward_a, reward_b):
+    """P(a preferred over b): the sigmoid of the rewards' difference."""
+    return 1.0 / (1.0 + F.exp(reward_b - reward_a))
+
+
 def with_pair_text(df: DataFrame, query: str = "query", response: str = "response") -> DataFrame:
     return df.withColumn("pair_text", T.pair_text(query, response))
 
@@ -60,6 +91,7 @@ def train_reward_model(dataset: DataFrame, is_test: str = "is_test", label: str
         F.avg(F.pow(F.col("reward") - F.col("label"), 2)).alias("mse"),
         F.avg(F.pow(mean_label - F.col("label"), 2)).alias("baseline_mse"),
     ).withColumn("n_train", train.agg(F.count(F.lit(1))).scalar())
+    train.unpersist()
     return model, metrics
 
 
@@ -72,9 +104,13 @@ def evaluator_mse(pred: DataFrame, label: str = "label", prediction: str = "rewa
     return RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName="mse").evaluate(pred)
 
 
-def train_pairwise_model(pairs: DataFrame, num_features: int = 1 << 16, max_iter: int = 50):
-    """Pairwise preference: P(a preferred over b) from concat(features(a), features(b))."""
-    d = (pairs.withColumn("text_a", T.pair_text("query", "response_a"))
+def train_pairwise_model(pairs: DataFrame, num_features: int = 1 << 16, max_iter: int = 50, test_pct: int = 20):
+    """Pairwise preference: P(a preferred over b) from concat(features(a), features(b)).
+
+    Fitted on the pairs of ``100 - test_pct`` percent of the queries; only the
+    held-out queries' pairs are scored."""
+    is_test = F.pmod(F.xxhash64("query"), F.lit(100)) < test_pct
+    d = (pairs.withColumn("is_test", is_test).withColumn("text_a", T.pair_text("query", "response_a"))
               .withColumn("text_b", T.pair_text("query", "response_b"))
               .withColumn("label", F.col("preference").cast("double")))
     stages = []
@@ -83,8 +119,8 @@ def train_pairwise_model(pairs: DataFrame, num_features: int = 1 << 16, max_iter
                    HashingTF(inputCol=f"_tok_{side}", outputCol=f"_tf_{side}", numFeatures=num_features)]
     stages += [VectorAssembler(inputCols=["_tf_a", "_tf_b"], outputCol="features"),
                LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01)]
-    model = Pipeline(stages=stages).fit(d)
-    out = model.transform(d).select(
+    model = Pipeline(stages=stages).fit(d.filter("not is_test"))
+    out = model.transform(d.filter("is_test")).select(
         "query", "response_a", "response_b", "preference",
         F.col("prediction").cast("int").alias("predicted"),
         F.get(vector_to_array("probability"), 1).alias("p_a_preferred"))

@@ -7,7 +7,7 @@ columnar pass over the task table (per-type results are built with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,6 +17,7 @@ PENDING_STATES = ("pending", "queued")
 TERMINAL_STATES = ("completed", "failed")
 DEFAULT_DAYS_OLD = 30
 DEFAULT_BACKUP_PATH = "/tmp/feedback_backup.json"
+MODEL_TYPE = "deepseek"
 TOPIC_TRAINING = "training_requests"
 TOPIC_EVALUATION = "evaluation_requests"
 
@@ -39,7 +40,7 @@ def task_payload(tasks: DataFrame) -> DataFrame:
     """Fields of ``input_data`` with their defaults (days_old → 30)."""
     return tasks.select(
         "id", "task_type",
-        json_field("input_data", "user_id", "bigint").alias("user_id"),
+        json_field("input_data", "user_id").alias("user_id"),
         F.coalesce(json_field("input_data", "days_old", "bigint"), F.lit(DEFAULT_DAYS_OLD)).alias("days_old"))
 
 
@@ -75,12 +76,13 @@ def queue_depth(tasks: DataFrame, alarm: int = 100) -> DataFrame:
                  .withColumn("alarm", F.col("queue_size") > alarm))
 
 
-def status_rollup(events: DataFrame, key: str) -> DataFrame:
+def status_rollup(events: DataFrame, key: str, end_sets_error: bool = False) -> DataFrame:
     """Current state of each entity from its status event log.
 
-    status = latest status; started = first 'running'; completed = last
-    terminal event; output/error taken from the latest completed/failed event.
-    One partial+final aggregation per key, so a hot entity costs one row per
+    status = latest status; started = last 'running' (every start overwrites);
+    completed = last terminal event; output/error taken from the latest
+    completed/failed event; with ``end_sets_error`` the last terminal event sets
+    the error, so a completion clears it.  One partial+final aggregation per key, so a hot entity costs one row per
     task before the shuffle.
     """
     ts = F.col("ts_s")
@@ -89,14 +91,15 @@ def status_rollup(events: DataFrame, key: str) -> DataFrame:
     # Total order of events: time, then status and payloads (same-instant ties).
     order = F.struct(ts, F.col("status"), F.coalesce("output_data", F.lit("")),
                      F.coalesce("error_message", F.lit("")))
+    sets_error = term if end_sets_error else F.col("status") == "failed"
     return events.groupBy(key).agg(
         F.max_by("status", order).alias("status"),
-        F.min(F.when(running, ts)).alias("started_s"),
+        F.max(F.when(running, ts)).alias("started_s"),
         F.max(F.when(term, ts)).alias("completed_s"),
         F.max_by(F.when(F.col("status") == "completed", F.col("output_data")),
                  F.when(F.col("status") == "completed", order)).alias("output_data"),
         F.max_by(F.when(F.col("status") == "failed", F.col("error_message")),
-                 F.when(F.col("status") == "failed", order)).alias("error_message"),
+                 F.when(sets_error, order)).alias("error_message"),
     )
 
 
@@ -114,26 +117,31 @@ def task_state(tasks: DataFrame, events: DataFrame) -> DataFrame:
 
 def session_state(events: DataFrame) -> DataFrame:
     """Training session state (started only when running, completed only when
-    done): the same roll-up over the session event log."""
-    return status_rollup(events, "session_id")
+    done): the same roll-up over the session event log, where the end of a
+    session writes its error, null on completion."""
+    return status_rollup(events, "session_id", end_sets_error=True)
 
 
 # ------------------------------------------------------------------ dispatch
 
-def _archive_counts_by_days(conversations: DataFrame, days: DataFrame, as_of: int) -> DataFrame:
-    """For each distinct ``days_old``: conversations a cleanup would archive.
+def _archive_counts(conversations: DataFrame, as_of: int) -> Column:
+    """Conversations a cleanup would archive, by ``days_old``: one array of
+    (least day, counts), the count for day d at d - least.
 
     A conversation qualifies for every integer d with d·86400 < as_of − created,
     i.e. d ≤ ceil((as_of − created)/86400) − 1.  Conversations are reduced to a
-    histogram over that bound (one row per day value, bounded by the time span,
-    not by the row count) before the small range join with the distinct d's.
+    histogram over that bound and summed from the largest day down; each row
+    then fills the days back to the one below.  The array has one entry for each
+    day of the time span, whatever the number of rows.
     """
     maxd = (F.ceil((F.lit(as_of) - F.col("created_s")) / 86400.0) - 1).cast("bigint")
-    hist = (conversations.filter(~F.col("is_archived"))
+    hist = (conversations.filter(~F.col("is_archived") & F.col("created_s").isNotNull())
                          .groupBy(maxd.alias("maxd")).agg(F.count(F.lit(1)).alias("n")))
-    d = days.select("days_old").distinct()
-    return (d.join(hist, hist.maxd >= d.days_old, "left")
-             .groupBy("days_old").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("archived")))
+    down = Window.orderBy(F.desc("maxd"))
+    sums = hist.select("maxd", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
+                       F.coalesce(F.lead("maxd").over(down) + 1, F.col("maxd")).alias("least"))
+    days = sums.select(F.explode(F.sequence("least", "maxd")).alias("day"), "n")
+    return days.agg(F.array_sort(F.collect_list(F.struct("day", "n")))).scalar()
 
 
 def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFrame,
@@ -156,24 +164,26 @@ def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFra
     p = raw.select(
         "id", "agent_type", "task_type", *[f"in_{f}" for f in fields[2:]],
         F.coalesce(F.col("in_days_old").try_cast("bigint"), F.lit(DEFAULT_DAYS_OLD).cast("bigint")).alias("days_old"),
-        F.col("in_user_id").try_cast("bigint").alias("payload_user_id"))
+        F.col("in_user_id").alias("payload_user_id"))
 
-    # db_manager / cleanup: archive counts per distinct days_old (small join).
-    cleanup = p.filter((a == "db_manager") & (t == "cleanup_old_conversations"))
-    counts = _archive_counts_by_days(conversations, cleanup, as_of)
-    p = p.join(counts, "days_old", "left")
+    # db_manager / cleanup: the count for the task's days_old is looked up.
+    by_day = _archive_counts(conversations, as_of)
+    least = F.get(by_day, F.lit(0))["day"]
+    archived = F.coalesce(F.get(by_day, F.greatest(F.col("days_old") - least, F.lit(0)).try_cast("int"))["n"], F.lit(0)).cast("bigint")
 
     # support / analyze: per-owner summary, bounded (one entry per feedback type).
     from .feedback import feedback_stats
     stats = (feedback_stats(feedback, messages, conversations)
-             .groupBy("user_id")
+             .groupBy(F.col("user_id").cast("string").alias("payload_user_id"))
              .agg(F.array_join(F.transform(
                   F.array_sort(F.collect_list(F.struct("feedback_type", "avg_score", "feedback_count"))),
                   lambda x: F.concat(F.lit('{"type":"'), x["feedback_type"], F.lit('","avg_score":'),
                                      json_number(x["avg_score"]), F.lit(',"count":'),
-                                     x["feedback_count"].cast("string"), F.lit("}"))), ",").alias("summary"))
-             .withColumnRenamed("user_id", "payload_user_id"))
-    p = p.join(stats, "payload_user_id", "left")
+                                     x["feedback_count"].cast("string"), F.lit("}"))), ",").alias("summary")))
+    # Only those tasks meet the summaries; all others stay on the map side.
+    wants = F.coalesce((a == "support") & (t == "analyze_user_feedback"), F.lit(False))
+    p = p.filter(wants).join(stats, "payload_user_id", "left").unionByName(
+        p.filter(~wants).withColumn("summary", F.lit(None).cast("string")))
 
     # db_manager / backup: one global count, attached as a scalar subquery.
     backup_n = (feedback.filter(F.col("created_s") >= F.lit(as_of) - backup_days * 86400)
@@ -195,12 +205,14 @@ def dispatch_tasks(tasks: DataFrame, conversations: DataFrame, feedback: DataFra
              F.lit(0.8).alias("confidence"),
              F.col("in_response_id").alias("response_id")), _JSON_OPTS))
          .when((a == "db_manager") & (t == "cleanup_old_conversations"), F.to_json(F.struct(
-             F.coalesce(F.col("archived"), F.lit(0).cast("bigint")).alias("archived_conversations"))))
+             archived.alias("archived_conversations"))))
          .when((a == "db_manager") & (t == "backup_feedback_data"), F.to_json(F.struct(
              F.coalesce(F.col("in_backup_path"), F.lit(DEFAULT_BACKUP_PATH)).alias("backup_path"),
              backup_n.alias("records_count"))))
          .when((a == "support") & (t == "analyze_user_feedback"), F.concat(
-             F.lit('{"user_id":'), F.coalesce(F.col("payload_user_id").cast("string"), F.lit("null")),
+             F.lit('{"user_id":'), F.coalesce(F.when(F.col("payload_user_id").try_cast("bigint").isNotNull(), F.col("payload_user_id"))
+                                              .when(F.col("payload_user_id").isNotNull(), F.concat(F.lit('"'), "payload_user_id", F.lit('"'))),
+                                              F.lit("null")),
              F.lit(',"feedback_summary":['), F.coalesce(F.col("summary"), F.lit("")), F.lit("]}")))
     )
     failed = out.isNull()
@@ -215,9 +227,12 @@ def encode_requests(tasks: DataFrame) -> DataFrame:
     """Trainer tasks → (topic, JSON value) records for the request topics."""
     t = F.col("task_type")
     trainer = tasks.filter((F.col("agent_type") == "trainer") & t.isin("start_rlhf_training", "evaluate_model"))
-    cfg = F.from_json("input_data", "map<string,string>")
-    value = (F.when(t == "start_rlhf_training", F.to_json(F.struct(
-                 F.col("id").alias("task_id"), F.lit("rlhf_training").alias("type"), cfg.alias("config"))))
+    # The config is passed on as the JSON text it is, types and nesting kept.
+    cfg = F.when(F.try_parse_json("input_data").isNotNull(), F.col("input_data")).otherwise(F.lit("{}"))
+    kind = F.when(F.get_json_object("input_data", "$.mode") == "supervised", "supervised_training").otherwise("rlhf_training")
+    head = F.to_json(F.struct(F.col("id").alias("task_id"), kind.alias("type")))
+    value = (F.when(t == "start_rlhf_training",
+                    F.concat(F.left(head, F.char_length(head) - 1), F.lit(',"config":'), cfg, F.lit("}")))
               .otherwise(F.to_json(F.struct(
                  F.col("id").alias("task_id"), F.lit("model_evaluation").alias("type"),
                  F.get_json_object("input_data", "$.model_path").alias("model_path"),
@@ -227,16 +242,16 @@ def encode_requests(tasks: DataFrame) -> DataFrame:
         F.col("id").cast("string").alias("key"), value.alias("value"))
 
 
-REQUEST_SCHEMA = ("task_id bigint, type string, config map<string,string>, "
-                  "model_path string, eval_dataset string")
+REQUEST_SCHEMA = "task_id string, type string, model_path string, eval_dataset string"
 
 
 def decode_requests(records: DataFrame) -> DataFrame:
-    """(topic, value) JSON records → typed request columns; malformed → nulls."""
+    """(topic, value) JSON records → typed request columns; malformed → nulls.
+    Ids are text, as any id type can be written so."""
     r = F.from_json(F.col("value"), REQUEST_SCHEMA)
-    return records.select("topic", r.alias("r")).select(
+    return records.select("topic", "value", r.alias("r")).select(
         "topic", "r.task_id", "r.type",
-        F.col("r.config").getItem("user_id").try_cast("bigint").alias("config_user_id"),
+        F.get_json_object("value", "$.config.user_id").alias("config_user_id"),
         "r.model_path", "r.eval_dataset")
 
 
@@ -282,7 +297,7 @@ def eval_results(evaluations: DataFrame) -> DataFrame:
     """Evaluation outcomes stored as model-version rows named ``eval_<task>``."""
     return evaluations.select(
         F.concat(F.lit("eval_"), F.col("task_id").cast("string")).alias("version_name"),
-        F.lit("evaluation").alias("model_type"),
+        F.lit(MODEL_TYPE).alias("model_type"),
         F.col("model_path"),
         F.to_json(F.col("metrics")).alias("performance_metrics"),
         F.lit(False).alias("is_active"))

@@ -15,7 +15,8 @@ def progress_pct(epoch: Column, step: Column, n_epochs: Column, steps_per_epoch:
 def training_progress(events: DataFrame) -> DataFrame:
     """Latest progress and metrics per session (last write wins), from a log of
     (session_id, epoch, step, n_epochs, steps_per_epoch, metrics, ts_s)."""
-    order = F.struct("ts_s", "epoch", "step")
+    # metrics join the order, so that rows of one instant resolve the same way everywhere
+    order = F.struct("ts_s", "epoch", "step", "metrics")
     pct = progress_pct(F.col("epoch"), F.col("step"), F.col("n_epochs"), F.col("steps_per_epoch"))
     return (events.withColumn("progress", F.round(pct, 6))
                   .groupBy("session_id")

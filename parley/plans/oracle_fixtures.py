@@ -5,7 +5,7 @@ from __future__ import annotations
 
 FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "messages": ((), """
-select conv_id*1000+turn as id, conv_id as conversation_id, turn, role, text as content,
+select conv_id*4294967296+turn as id, conv_id as conversation_id, turn, role, text as content,
        case when role='assistant' then concat('model-', cast(conv_id%3 as varchar)) else null end as model_version,
        case when role='assistant' then (conv_id*7919+turn*104729)%120000 else null end as inference_time_ms,
        conv_id*3600+turn*60 as created_s
@@ -17,11 +17,12 @@ select conv_id as id, conv_id%20 as user_id, cast(null as varchar) as title,
        conv_id*3600 as created_s, conv_id*3600+max(turn)*60 as updated_s, conv_id%4=3 as is_archived
 from conversations group by conv_id"""),
     "feedback": (("messages",), """
-select m.id*10+m.k as id, m.id as message_id, (m.conversation_id*13+m.k)%50 as user_id,
+select m.id*4+m.k as id, m.id as message_id, (m.conversation_id*13+m.k)%50 as user_id,
        case (m.conversation_id+m.turn*3+m.k)%4 when 0 then 'thumbs_up' when 1 then 'thumbs_down'
             when 2 then 'regenerate' else 'report' end as feedback_type,
        case when (m.conversation_id*5+m.turn+m.k)%7=0 then null
             else (m.conversation_id*37+m.turn*53+m.k*29)%201-100 end as score_centi,
+       case when (m.conversation_id+m.k)%3<>0 then concat('note ', cast(m.conversation_id as varchar)) end as feedback_text,
        m.created_s+30+m.k as created_s
 from (select id, conversation_id, turn, created_s, unnest([0,1,2]) as k
       from messages where role='assistant') m
@@ -39,7 +40,12 @@ select o_orderkey as id,
             when 3 then 'hallucination_detection' when 4 then 'cleanup_old_conversations' when 5 then 'backup_feedback_data'
             when 6 then 'analyze_user_feedback' else 'unknown' end as task_type,
        case o_orderstatus when 'O' then 'pending' when 'P' then 'running' else 'completed' end as status,
-       concat('{"user_id": ', cast(o_custkey as varchar), case when o_orderkey%3=0 then ', "days_old": 7' else '' end, '}') as input_data,
+       concat('{"user_id": ', cast(o_custkey as varchar), case when o_orderkey%3=0 then ', "days_old": 7' else '' end,
+              case when o_orderkey%9=2 then concat(', "content_id": "c1", "content": "', case when o_orderkey%8<4 then 'a Toxic line' else 'a fine line' end, '"')
+                   when o_orderkey%9=3 then concat(', "response_id": "r1", "context": "short", "response": "', case when o_orderkey%8<4 then 'an answer far longer' else 'brief' end, '"')
+                   when o_orderkey%9=0 and o_orderkey%8<4 then ', "mode": "supervised", "lr": 0.5, "opt": {"k": [1, 2]}'
+                   when o_orderkey%9=1 then concat(', "model_path": "models/', cast(o_orderkey as varchar), '"')
+                   else '' end, '}') as input_data,
        cast(substr(o_orderpriority,1,1) as bigint) as priority,
        o_orderkey*10 as created_s,
        case when o_orderstatus='O' then null else o_orderkey*10+o_custkey%7200 end as started_s

@@ -33,7 +33,7 @@ def q_feedback_stats(spark, sf_dir):
 
 _FEEDBACK_DATASET_SQL = W("""
 select f.id as feedback_id, a.id as message_id, u.content as query, a.content as response,
-       f.score_centi, f.score_centi / 100.0 as feedback_score, f.feedback_type,
+       f.score_centi, f.score_centi / 100.0 as feedback_score, f.feedback_type, f.feedback_text,
        f.created_s as feedback_created_s
 from feedback f
 join messages a on a.id = f.message_id and a.role = 'assistant'
@@ -58,7 +58,7 @@ def q_sample_check(spark, sf_dir):
 
 
 @register("recent_feedback", W(f"""
-select id, message_id, user_id, feedback_type, score_centi, created_s from feedback
+select id, message_id, user_id, feedback_type, score_centi, feedback_text, created_s from feedback
 where created_s >= {AS_OF} - {BACKUP_DAYS} * 86400""", "feedback"))
 def q_recent_feedback(spark, sf_dir):
     t = chat_tables(spark, sf_dir)
@@ -66,13 +66,13 @@ def q_recent_feedback(spark, sf_dir):
 
 
 @register("feedback_backup", W(f"""
-select f.id, f.message_id, f.user_id, f.feedback_type, f.score_centi, f.created_s, m.content as message_content
+select f.id, f.message_id, f.user_id, f.feedback_type, f.score_centi, f.feedback_text, f.created_s, m.content as message_content
 from feedback f join messages m on f.message_id = m.id
 where f.created_s >= {AS_OF} - {BACKUP_DAYS} * 86400""", "feedback", "messages"))
 def q_feedback_backup(spark, sf_dir):
     t = chat_tables(spark, sf_dir)
     return fb.feedback_backup(t.feedback, t.messages, AS_OF, BACKUP_DAYS).select(
-        "id", "message_id", "user_id", "feedback_type", "score_centi", "created_s", "message_content")
+        "id", "message_id", "user_id", "feedback_type", "score_centi", "feedback_text", "created_s", "message_content")
 
 
 @register("score_feedback_types", W("""
@@ -121,7 +121,7 @@ from (select query_id, query, response, sum(sum_centi) as s, sum(n_ratings) as n
 order by s::double / n desc, query_id, response limit 100""", "feedback", "messages", ctes=_PAIRS_LATER))
 def q_evaluation_dataset(spark, sf_dir):
     t = chat_tables(spark, sf_dir)
-    return pr.evaluation_dataset(t.messages, t.feedback, 2, 100)
+    return pr.evaluation_dataset(t.messages, t.feedback, 2, 100).drop("sum_centi", "n_ratings")
 
 
 _SCORES = _PAIRS_LATER + """,

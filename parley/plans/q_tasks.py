@@ -8,6 +8,7 @@ from ..operators import tasks as TK
 from ..sources.fixtures import chat_tables
 from .catalog import register
 from .oracle_fixtures import with_fixtures as W
+from .q_training import MEAN_REWARD_SQL, MODEL_CTES, mean_reward
 
 AS_OF_TASKS = 120_000_000     # epoch seconds; task created_s = orderkey * 10
 TASK_AS_OF = 360_000          # for conversation archive counts inside dispatch
@@ -16,7 +17,7 @@ BACKUP_DAYS = 2
 
 
 @register("task_payload", W("""
-select id, task_type, try_cast(json_extract_string(input_data, '$.user_id') as bigint) as user_id,
+select id, task_type, json_extract_string(input_data, '$.user_id') as user_id,
        coalesce(try_cast(json_extract_string(input_data, '$.days_old') as bigint), 30) as days_old
 from agent_tasks""", "agent_tasks"))
 def q_task_payload(spark, sf_dir):
@@ -48,17 +49,19 @@ def q_queue_depth(spark, sf_dir):
 _ROLLUP = """
 select {key},
        arg_max(status, (ts_s, status, coalesce(output_data, ''), coalesce(error_message, ''))) as status,
-       min(ts_s) filter (where status = 'running') as started_s,
+       max(ts_s) filter (where status = 'running') as started_s,
        max(ts_s) filter (where status in ('completed', 'failed')) as completed_s,
        arg_max(output_data, (ts_s, status, coalesce(output_data, ''), coalesce(error_message, ''))) filter (where status = 'completed') as output_data,
-       arg_max(error_message, (ts_s, status, coalesce(output_data, ''), coalesce(error_message, ''))) filter (where status = 'failed') as error_message
+       {error} as error_message
 from {src} group by {key}"""
+_LAST = "arg_max_null(error_message, (ts_s, status, coalesce(output_data, ''), coalesce(error_message, ''))) filter (where status {})"
+_TASK_ERROR, _SESSION_ERROR = _LAST.format("= 'failed'"), _LAST.format("in ('completed', 'failed')")
 
 
 @register("task_state", W(f"""
 select t.id, t.agent_type, t.task_type, coalesce(r.status, t.status) as status,
        coalesce(r.started_s, t.started_s) as started_s, r.completed_s, r.output_data, r.error_message
-from agent_tasks t left join ({_ROLLUP.format(key='task_id', src='task_events')}) r on r.task_id = t.id""",
+from agent_tasks t left join ({_ROLLUP.format(key='task_id', src='task_events', error=_TASK_ERROR)}) r on r.task_id = t.id""",
     "agent_tasks", "task_events"))
 def q_task_state(spark, sf_dir):
     t = chat_tables(spark, sf_dir)
@@ -84,7 +87,7 @@ def _session_events(t):
         F.concat(F.lit('{"step": '), F.col("step").cast("string"), F.lit("}")).alias("output_data"))
 
 
-@register("session_state", W(_ROLLUP.format(key="session_id", src="session_events"),
+@register("session_state", W(_ROLLUP.format(key="session_id", src="session_events", error=_SESSION_ERROR),
                              "training_steps", ctes=_SESSION_EVENTS))
 def q_session_state(spark, sf_dir):
     return TK.session_state(_session_events(chat_tables(spark, sf_dir)))
@@ -150,9 +153,8 @@ _ENCODED = """
 enc as (select case when task_type = 'start_rlhf_training' then 'training_requests' else 'evaluation_requests' end as topic,
                cast(id as varchar) as key,
                case when task_type = 'start_rlhf_training'
-                    then to_json({'task_id': id, 'type': 'rlhf_training',
-                                  'config': map_from_entries([(k, json_extract_string(input_data, '$.' || k))
-                                                              for k in json_keys(input_data)])})::varchar
+                    then concat('{"task_id":', id, ',"type":"', case when json_extract_string(input_data, '$.mode') = 'supervised'
+                                then 'supervised_training' else 'rlhf_training' end, '","config":', input_data, '}')
                     else to_json({'task_id': id, 'type': 'model_evaluation',
                                   'model_path': json_extract_string(input_data, '$.model_path'),
                                   'eval_dataset': json_extract_string(input_data, '$.eval_dataset')})::varchar end as value,
@@ -166,21 +168,24 @@ def q_encode(spark, sf_dir):
 
 
 @register("decode_requests", W("""
-select topic, id as task_id, case when task_type = 'start_rlhf_training' then 'rlhf_training' else 'model_evaluation' end as type,
-       case when task_type = 'start_rlhf_training' then try_cast(json_extract_string(input_data, '$.user_id') as bigint) end as config_user_id,
-       json_extract_string(input_data, '$.model_path') as model_path,
-       json_extract_string(input_data, '$.eval_dataset') as eval_dataset
+select topic, cast(id as varchar) as task_id, case when task_type <> 'start_rlhf_training' then 'model_evaluation'
+            when json_extract_string(input_data, '$.mode') = 'supervised' then 'supervised_training' else 'rlhf_training' end as type,
+       case when task_type = 'start_rlhf_training' then json_extract_string(input_data, '$.user_id') end as config_user_id,
+       case when task_type <> 'start_rlhf_training' then json_extract_string(input_data, '$.model_path') end as model_path,
+       case when task_type <> 'start_rlhf_training' then json_extract_string(input_data, '$.eval_dataset') end as eval_dataset
 from enc""", "agent_tasks", ctes=_ENCODED))
 def q_decode(spark, sf_dir):
     return TK.decode_requests(TK.encode_requests(chat_tables(spark, sf_dir).agent_tasks))
 
 
 @register("route_requests", W("""
-select topic, id as task_id, case when task_type = 'start_rlhf_training' then 'rlhf_training' else 'model_evaluation' end as type,
-       case when task_type = 'start_rlhf_training' then try_cast(json_extract_string(input_data, '$.user_id') as bigint) end as config_user_id,
-       json_extract_string(input_data, '$.model_path') as model_path,
-       json_extract_string(input_data, '$.eval_dataset') as eval_dataset,
-       case when task_type = 'start_rlhf_training' then 'rlhf' else 'evaluation' end as route
+select topic, cast(id as varchar) as task_id, case when task_type <> 'start_rlhf_training' then 'model_evaluation'
+            when json_extract_string(input_data, '$.mode') = 'supervised' then 'supervised_training' else 'rlhf_training' end as type,
+       case when task_type = 'start_rlhf_training' then json_extract_string(input_data, '$.user_id') end as config_user_id,
+       case when task_type <> 'start_rlhf_training' then json_extract_string(input_data, '$.model_path') end as model_path,
+       case when task_type <> 'start_rlhf_training' then json_extract_string(input_data, '$.eval_dataset') end as eval_dataset,
+       case when task_type <> 'start_rlhf_training' then 'evaluation'
+            when json_extract_string(input_data, '$.mode') = 'supervised' then 'supervised' else 'rlhf' end as route
 from enc""", "agent_tasks", ctes=_ENCODED))
 def q_route(spark, sf_dir):
     return TK.route_requests(TK.decode_requests(TK.encode_requests(chat_tables(spark, sf_dir).agent_tasks)))
@@ -261,24 +266,20 @@ def q_cache_live(spark, sf_dir):
     return sinks.live_cache(entries, CACHE_AS_OF)
 
 
-@register("eval_results", W("""
-select concat('eval_', cast(t.id as varchar)) as version_name, 'evaluation' as model_type,
+@register("eval_results", W(f"""
+select concat('eval_', cast(t.id as varchar)) as version_name, 'deepseek' as model_type,
        json_extract_string(t.input_data, '$.model_path') as model_path,
-       to_json({'n_tasks': s.n, 'pending': s.pending})::varchar as performance_metrics, false as is_active
-from agent_tasks t join (select agent_type, count(*) as n, count(*) filter (where status = 'pending') as pending
-                         from agent_tasks group by agent_type) s on s.agent_type = t.agent_type
-where t.task_type = 'evaluate_model'""", "agent_tasks"))
+       to_json({{'mean_reward': m.mean_reward, 'n_samples': m.n_samples}})::varchar as performance_metrics, false as is_active
+from agent_tasks t, ({MEAN_REWARD_SQL}) m
+where t.task_type = 'evaluate_model'""", "agent_tasks", "feedback", "messages", ctes=MODEL_CTES))
 def q_eval_results(spark, sf_dir):
-    """Evaluation tasks stored as ``eval_<task>`` model versions; metrics are
-    the queue statistics of the task's agent type (the reference's metrics
-    are constants, so none are invented here)."""
-    t = chat_tables(spark, sf_dir).agent_tasks
-    stats = t.groupBy("agent_type").agg(F.count(F.lit(1)).alias("n"),
-                                        F.count_if(F.col("status") == "pending").cast("bigint").alias("pending"))
-    ev = (t.filter(F.col("task_type") == "evaluate_model").join(stats, "agent_type")
-           .select(F.col("id").alias("task_id"),
-                   F.get_json_object("input_data", "$.model_path").alias("model_path"),
-                   F.struct(F.col("n").alias("n_tasks"), "pending").alias("metrics")))
+    """Evaluation tasks stored as ``eval_<task>`` model versions with the mean
+    reward that the fitted reward model gives the evaluation set."""
+    t = chat_tables(spark, sf_dir)
+    ev = (t.agent_tasks.filter(F.col("task_type") == "evaluate_model")
+           .select(F.col("id").alias("task_id"), F.get_json_object("input_data", "$.model_path").alias("model_path"))
+           .crossJoin(F.broadcast(mean_reward(t)))    # one row
+           .select("task_id", "model_path", F.struct("mean_reward", "n_samples").alias("metrics")))
     return TK.eval_results(ev)
 
 

@@ -126,13 +126,15 @@ def q_code_blocks(spark, sf_dir):
 
 
 @register("token_usage", W(f"""
-select conversation_id,
+select conversation_id, model_version,
        sum(case when role <> 'assistant' then {_ntok('content')} else 0 end)::bigint as prompt_tokens,
        sum(case when role = 'assistant' then {_ntok('content')} else 0 end)::bigint as completion_tokens,
        sum(length(content))::bigint as characters,
        (sum(case when role <> 'assistant' then {_ntok('content')} else 0 end)
         + sum(case when role = 'assistant' then {_ntok('content')} else 0 end))::bigint as total_tokens
-from messages group by conversation_id""", "messages"))
+from (select conversation_id, role, content, case when role = 'assistant' then model_version else
+             min(model_version) filter (role = 'assistant') over (partition by conversation_id) end as model_version
+      from messages) group by conversation_id, model_version""", "messages"))
 def q_token_usage(spark, sf_dir):
     return CH.token_usage(chat_tables(spark, sf_dir).messages)
 
@@ -146,12 +148,9 @@ def q_latency(spark, sf_dir):
 
 
 def _chunks(t):
-    # A chunk log is a many-file table written by many servers; the derived
-    # one comes from a single small conversations file, so it is spread by
-    # message over the cluster's cores, as the real log would be.
-    lines = CH.build_sse_lines(t.messages, finished_when=F.col("message_id") % 5 != 0,
-                               malformed_when=F.col("seq") % 11 == 5)
-    return lines.repartition(t.spark.sparkContext.defaultParallelism, "message_id")
+    return CH.build_sse_lines(t.messages, finished_when=F.col("message_id") % 5 != 0,
+                              malformed_when=F.col("seq") % 11 == 5, empty_when=F.col("seq") % 13 == 6,
+                              last_text_when=F.col("message_id") % 3 == 0)
 
 
 _WORDS = """
@@ -161,18 +160,19 @@ w as (select id as message_id, unnest(string_split(content, ' ')) as word,
 
 
 @register("assemble_chunks", W("""
-select message_id, string_agg(word || ' ', '' order by seq) as content
-from w where seq % 11 <> 5 and message_id % 5 <> 0 group by message_id""", "messages", ctes=_WORDS))
+select message_id, coalesce(string_agg(word || ' ', '' order by seq) filter (seq % 11 <> 5 and seq % 13 <> 6), '')
+       || case when message_id % 3 = 0 then 'THE END' else '' end as content
+from w where message_id % 5 <> 0 group by message_id""", "messages", ctes=_WORDS))
 def q_assemble(spark, sf_dir):
     return CH.assemble_chunks(_chunks(chat_tables(spark, sf_dir)))
 
 
 @register("parse_chunks", W("""
-select message_id, seq, case when seq % 11 = 5 then 'malformed' else 'content' end as kind,
-       case when seq % 11 = 5 then null else word || ' ' end as content, null::varchar as finish_reason
+select message_id, seq, case when seq % 11 = 5 then 'malformed' when seq % 13 = 6 then 'ignored' else 'content' end as kind,
+       case when seq % 11 = 5 or seq % 13 = 6 then null else word || ' ' end as content, null::varchar as finish_reason
 from w
 union all
-select message_id, max(seq) + 1, 'finish', null, 'stop' from w where message_id % 5 <> 0 group by message_id
+select message_id, max(seq) + 1, 'finish', case when message_id % 3 = 0 then 'THE END' end, 'stop' from w where message_id % 5 <> 0 group by message_id
 union all
 select message_id, max(seq) + 2, 'done', null, null from w where message_id % 5 <> 0 group by message_id""",
     "messages", ctes=_WORDS))

@@ -35,13 +35,7 @@ select session_id,
        arg_max(metrics, (ts_s, epoch, step, metrics)) as metrics, max(ts_s) as updated_s
 from ev group by session_id""", "training_steps", ctes=_PROGRESS))
 def q_training_progress(spark, sf_dir):
-    ev = _progress_events(chat_tables(spark, sf_dir))
-    # metrics join the ordering so same-instant duplicates resolve identically
-    order = F.struct("ts_s", "epoch", "step", "metrics")
-    pct = TR.progress_pct(F.col("epoch"), F.col("step"), F.col("n_epochs"), F.col("steps_per_epoch"))
-    return (ev.withColumn("progress", F.round(pct, 6)).groupBy("session_id")
-              .agg(F.max_by("progress", order).alias("progress"), F.max_by("metrics", order).alias("metrics"),
-                   F.max("ts_s").alias("updated_s")))
+    return TR.training_progress(_progress_events(chat_tables(spark, sf_dir)))
 
 
 @register("epoch_stats", W("""
@@ -81,15 +75,6 @@ ev as (select query_id, response, round(s::double / n / 100.0, 6) as avg_score,
        order by exact desc, query_id, response limit 100)"""
 
 
-@register("evaluate_summary", W("""
-select coalesce(round(avg(avg_score), 6), 0.0) as mean_reward, count(*) as n_samples
-from (select * from ev order by exact desc, query_id, response limit 50)""", "feedback", "messages", ctes=_EVAL))
-def q_evaluate_summary(spark, sf_dir):
-    t = chat_tables(spark, sf_dir)
-    e = pr.evaluation_dataset(t.messages, t.feedback, 2, 100)
-    return TR.evaluate_summary(e, [F.col("avg_score").desc(), "query_id", "response"], "avg_score", 50)
-
-
 _FD = """
 fd as (select f.id as feedback_id, u.content as query, a.content as response, f.score_centi / 100.0 as feedback_score
        from feedback f join messages a on a.id = f.message_id and a.role = 'assistant'
@@ -117,30 +102,77 @@ def q_reward_mse(spark, sf_dir):
     return TR.mse(d.filter("is_test").withColumn("prediction", mean_label), "prediction", "feedback_score")
 
 
-def _reward(spark, sf_dir):
-    t = chat_tables(spark, sf_dir)
-    d = TR.train_test_split(fb.feedback_dataset(t.messages, t.feedback), "feedback_id", 20, 0)
-    return d, RW.train_reward_model(d)
+# Least squares of the score on the response's size, fitted on the rows not held out.
+MODEL_CTES = _EVAL + "," + _FD + f""",
+model as (select regr_slope(feedback_score, length(response) / 1000.0) as slope,
+                 regr_intercept(feedback_score, length(response) / 1000.0) as base,
+                 avg(feedback_score) as mean_label, count(*) as n_train
+          from fd where not ({SPLIT_SQL}))"""
+MEAN_REWARD_SQL = """
+select coalesce(round(avg(base + slope * length(response) / 1000.0), 6), 0.0) as mean_reward, count(response) as n_samples
+from (select * from ev order by exact desc, query_id, response limit 50), model"""
 
 
-@register("reward_model_eval")
-def q_reward_model_eval(spark, sf_dir):
-    _, (model, metrics) = _reward(spark, sf_dir)
-    return metrics.select("n_train", "n_test", F.round("mse", 6).alias("mse"),
-                          F.round("baseline_mse", 6).alias("baseline_mse"))
+def _split(t):
+    return TR.train_test_split(fb.feedback_dataset(t.messages, t.feedback), "feedback_id", 20, 0)
 
 
-@register("score_pairs")
-def q_score_pairs(spark, sf_dir):
-    d, (model, _) = _reward(spark, sf_dir)
-    return RW.score_pairs(model, d.select("feedback_id", "query", "response")).select(
-        "feedback_id", F.round("reward", 6).alias("reward"))
+def mean_reward(t):
+    """Mean model reward of the 50 best rated pairs of the evaluation set."""
+    model = RW.fit_least_squares(_split(t))
+    ranked = RW.least_squares_scores(model, pr.evaluation_dataset(t.messages, t.feedback, 2, 100))
+    exact = F.col("sum_centi") / F.col("n_ratings")
+    return TR.evaluate_summary(ranked, [exact.desc(), "query_id", "response"], "reward", 50)
+
+
+@register("evaluate_summary", W(MEAN_REWARD_SQL, "feedback", "messages", ctes=MODEL_CTES))
+def q_evaluate_summary(spark, sf_dir):
+    return mean_reward(chat_tables(spark, sf_dir))
 
 
-@register("pairwise_preference")
+@register("reward_model_eval", W(f"""
+select any_value(n_train)::bigint as n_train, count(*) as n_test,
+       round(avg(power(base + slope * length(response) / 1000.0 - feedback_score, 2)), 6) as mse,
+       round(avg(power(mean_label - feedback_score, 2)), 6) as baseline_mse
+from fd, model where {SPLIT_SQL}""", "feedback", "messages", ctes=MODEL_CTES))
+def q_reward_model_eval(spark, sf_dir):
+    d = _split(chat_tables(spark, sf_dir))
+    train = d.filter(~F.col("is_test")).agg(F.avg("feedback_score").alias("mean_label"), F.count(F.lit(1)).alias("n_train"))
+    pred = RW.least_squares_scores(RW.fit_least_squares(d), d.filter("is_test")).crossJoin(F.broadcast(train))    # one row
+    label = F.col("feedback_score")
+    return pred.agg(F.max("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"),
+                    F.round(F.avg(F.pow(F.col("reward") - label, 2)), 6).alias("mse"),
+                    F.round(F.avg(F.pow(F.col("mean_label") - label, 2)), 6).alias("baseline_mse"))
+
+
+@register("score_pairs", W(f"""
+select feedback_id, round(base + slope * length(response) / 1000.0, 6) as reward
+from fd, model where {SPLIT_SQL}""", "feedback", "messages", ctes=MODEL_CTES))
+def q_score_pairs(spark, sf_dir):
+    """Rewards of the held-out pairs."""
+    d = _split(chat_tables(spark, sf_dir))
+    scored = RW.least_squares_scores(RW.fit_least_squares(d), d.filter("is_test").select("feedback_id", "query", "response"))
+    return scored.select("feedback_id", F.round("reward", 6).alias("reward"))
+
+
+@register("pairwise_preference", W("""
+select a.query, a.response as response_a, b.response as response_b,
+       case when a.sum_centi * b.feedback_count > b.sum_centi * a.feedback_count then 1 else 0 end as preference,
+       case when slope * (length(a.response) - length(b.response)) > 0 then 1 else 0 end as predicted,
+       round(1.0 / (1.0 + exp(slope * (length(b.response) - length(a.response)) / 1000.0)), 6) as p_a_preferred
+from scores a join scores b on a.query = b.query and a.response <> b.response, model
+where abs(a.sum_centi * b.feedback_count - b.sum_centi * a.feedback_count) > 20 * a.feedback_count * b.feedback_count""",
+    "feedback", "messages", ctes=MODEL_CTES + """,
+scores as (select query, response, sum(sum_centi) as sum_centi, sum(n_ratings) as feedback_count
+           from qa group by query, response having sum(n_ratings) >= 2)"""))
 def q_pairwise(spark, sf_dir):
+    """P(a over b) from the reward model's scores of both responses."""
     t = chat_tables(spark, sf_dir)
+    model = RW.fit_least_squares(_split(t))
     pairs = pr.preference_pairs(pr.response_scores(t.messages, t.feedback, 2), 20, ordered=True)
-    _, out = RW.train_pairwise_model(pairs)
-    return out.select("query", "response_a", "response_b", "preference", "predicted",
-                      F.round("p_a_preferred", 6).alias("p_a_preferred"))
+    scored = RW.least_squares_scores(model, pairs, response="response_a", out="reward_a")
+    scored = RW.least_squares_scores(model, scored, response="response_b", out="reward_b")
+    p = RW.preference_probability(F.col("reward_a"), F.col("reward_b"))
+    return scored.select("query", "response_a", "response_b", "preference",
+                         (F.col("reward_a") > F.col("reward_b")).cast("int").alias("predicted"),
+                         F.round(p, 6).alias("p_a_preferred"))

@@ -36,7 +36,7 @@ class ChatTables:
         conv, turn = F.col("conv_id"), F.col("turn")
         is_asst = F.col("role") == "assistant"
         return c.select(
-            (conv * 1000 + turn).alias("id"),
+            (conv * (1 << 32) + turn).alias("id"),   # no two turns share an id
             conv.alias("conversation_id"),
             turn.alias("turn"),
             F.col("role"),
@@ -78,13 +78,14 @@ class ChatTables:
         k = F.col("k").cast("bigint")
         ftype = (conv + turn * 3 + k) % 4
         return m.select(
-            (F.col("id") * 10 + k).alias("id"),
+            (F.col("id") * 4 + k).alias("id"),
             F.col("id").alias("message_id"),
             ((conv * 13 + k) % 50).alias("user_id"),
             F.when(ftype == 0, "thumbs_up").when(ftype == 1, "thumbs_down")
              .when(ftype == 2, "regenerate").otherwise("report").alias("feedback_type"),
             F.when((conv * 5 + turn + k) % 7 == 0, F.lit(None).cast("bigint"))
              .otherwise((conv * 37 + turn * 53 + k * 29) % 201 - 100).alias("score_centi"),
+            F.when((conv + k) % 3 != 0, F.concat(F.lit("note "), conv.cast("string"))).alias("feedback_text"),
             (F.col("created_s") + 30 + k).alias("created_s"),
         )
 
@@ -118,6 +119,14 @@ class ChatTables:
             F.when(st == "O", "pending").when(st == "P", "running").otherwise("completed").alias("status"),
             F.concat(F.lit('{"user_id": '), F.col("o_custkey").cast("string"),
                      F.when(key % 3 == 0, F.lit(', "days_old": 7')).otherwise(F.lit("")),
+                     # what an evaluator judges: text with and without a flagged word, a long and a short answer
+                     F.when(t == 2, F.concat(F.lit(', "content_id": "c1", "content": "'),
+                                             F.when(key % 8 < 4, F.lit("a Toxic line")).otherwise(F.lit("a fine line")), F.lit('"')))
+                      .when(t == 3, F.concat(F.lit(', "response_id": "r1", "context": "short", "response": "'),
+                                             F.when(key % 8 < 4, F.lit("an answer far longer")).otherwise(F.lit("brief")), F.lit('"')))
+                      .when((t == 0) & (key % 8 < 4), F.lit(', "mode": "supervised", "lr": 0.5, "opt": {"k": [1, 2]}'))
+                      .when(t == 1, F.concat(F.lit(', "model_path": "models/'), key.cast("string"), F.lit('"')))
+                      .otherwise(F.lit("")),
                      F.lit("}")).alias("input_data"),
             F.substring("o_orderpriority", 1, 1).cast("bigint").alias("priority"),
             (key * 10).alias("created_s"),
