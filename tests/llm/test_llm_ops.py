@@ -113,15 +113,19 @@ def test_near_dedup(docs, none, size):
     assert near_dedup.drop_near_duplicates(docs).columns == docs.columns
 
 
-def test_near_dedup_hub_and_chain(spark):
-    """A hub whose variants are not linked to each other, and a chain of small steps."""
+@pytest.mark.parametrize("linear", [near_dedup.LINEAR, 0])
+def test_near_dedup_hub_and_chain(spark, monkeypatch, linear):
+    """A hub whose variants are not linked to each other, and a chain of small steps;
+    with ``linear`` 0 every bucket that is left over goes through the blocks."""
+    monkeypatch.setattr(near_dedup, "LINEAR", linear)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
     r, rows = random.Random(5), []
     base = prose(20, 220).split()
     rows.append((500, " ".join(base)))
     for i in range(60):
         own = list(base)
-        for j in r.sample(range(220), 9):
-            own[j] = f"w{i}x{j}"
+        for j in r.sample(range(220), 9 if i % 3 else 13):  # every third is too far from the hub
+            own[j] = f"w{i}x{j}" if i % 5 else f"same{j}"
         rows.append((100 + i, " ".join(own)))
     step = prose(21, 200).split()
     for i in range(25):
