@@ -25,20 +25,33 @@ def rate_limit_fold(ts_us: np.ndarray, limit: int, ttl_us: int, state=None):
     state = (count, last_accept_us).  The counter expires ``ttl`` after the
     last *accepted* request; an allowed request increments it and renews the
     expiry; a denied one changes nothing.  Returns (allowed, remaining, state).
+
+    Jumps instead of stepping: a run of accepted rows ends at the limit or at
+    an idle gap, and the denied rows after it end at a binary search for the
+    expiry, so the loop runs once for each reset, not for each row.
     """
     n = len(ts_us)
+    ts_us = np.asarray(ts_us, dtype=np.int64)
     allowed = np.zeros(n, dtype=bool)
     remaining = np.zeros(n, dtype=np.int64)
     count, last = state if state is not None else (0, None)
-    for i in range(n):
-        t = int(ts_us[i])
-        if last is not None and t - last >= ttl_us:
+    gaps = np.flatnonzero(np.diff(ts_us) >= ttl_us) + 1
+    i = 0
+    while i < n:
+        if last is not None and ts_us[i] - last >= ttl_us:
             count = 0
-        if count < limit:
-            allowed[i] = True
-            remaining[i] = limit - count - 1
-            count += 1
-            last = t
+        if count >= limit:
+            if last is None:   # a limit of zero denies everything
+                break
+            i = max(int(np.searchsorted(ts_us, last + ttl_us, side="left")), i + 1 if limit <= 0 else i)
+            continue
+        end = min(n, i + limit - count)
+        g = int(np.searchsorted(gaps, i, side="right"))
+        if g < len(gaps):
+            end = min(end, int(gaps[g]))
+        allowed[i:end] = True
+        remaining[i:end] = limit - count - 1 - np.arange(end - i)
+        count, last, i = count + end - i, int(ts_us[end - 1]), end
     return allowed, remaining, (count, last)
 
 
@@ -81,23 +94,23 @@ def idle_segments(requests: DataFrame, ttl_s: int, keys: list[str],
     and a hot key with idle periods is spread over many tasks.
 
     Plan: range-partition the global (key, ts, id) order, so a hot key spans
-    many partitions in order, and checkpoint it to the shared checkpoint
-    folder, so both passes see identical partitions.  Pass 1 summarises each
-    partition: first row, last row, last segment start (one row per
-    partition).  The driver chains these summaries; they are bounded by the
-    partition count, not by the data.  Pass 2 labels every row with the
-    (ts, id) of its segment's first request.
+    many partitions in order, and checkpoint it to the cluster's shared folder,
+    so both passes see identical partitions.  Pass 1 summarises each partition
+    (first row, last row, last segment start: one row for each partition, not
+    for each row of data), which the driver chains.  Pass 2 labels every row
+    with the time of its segment's first request; within a key two segments
+    cannot start at the same time.  Ids may have any type.
     """
     from ..session import ensure_checkpoint_dir
 
     spark = requests.sparkSession
     ensure_checkpoint_dir(spark)
     ttl_us = ttl_s * 1_000_000
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = requests.select(*keys, "id", F.unix_micros("ts").alias("ts_us"),
                         F.to_json(F.struct(*keys)).alias("_k"))
-    ranged = (r.repartitionByRange(n, *keys, "ts_us", "id")
-               .sortWithinPartitions(*keys, "ts_us", "id")
+    order = [*keys, "ts_us", "id"]
+    ranged = r.repartitionByRange(num_partitions, *order) if num_partitions else r.repartitionByRange(*order)
+    ranged = (ranged.sortWithinPartitions(*order)
                .withColumn("_pid", F.spark_partition_id())
                .checkpoint(eager=True))
 
@@ -114,60 +127,49 @@ def idle_segments(requests: DataFrame, ttl_s: int, keys: list[str],
         for pdf in batches:
             if pdf.empty:
                 continue
-            k, t, ids = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy(), pdf["id"].to_numpy()
+            k, t = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy()
             st = boundaries(k, t, None if last is None else last[0], None if last is None else last[1])
             if first is None:
                 pid = int(pdf["_pid"].iloc[0])
-                first = (k[0], int(t[0]), int(ids[0]))
+                first = (k[0], int(t[0]))
                 st[0] = False                       # decided by the previous partition
             hit = np.nonzero(st)[0]
             if len(hit):
-                last_start = (int(t[hit[-1]]), int(ids[hit[-1]]))
+                last_start = int(t[hit[-1]])
             last = (k[-1], int(t[-1]))
         if first is not None:
             yield pd.DataFrame({"pid": [pid], "first_k": [first[0]], "first_ts": [first[1]],
-                                "first_id": [first[2]], "last_k": [last[0]], "last_ts": [last[1]],
-                                "ls_ts": [None if last_start is None else last_start[0]],
-                                "ls_id": [None if last_start is None else last_start[1]]})
+                                "last_k": [last[0]], "last_ts": [last[1]], "ls_ts": [last_start]})
 
-    summary = ranged.mapInPandas(
-        summarize, "pid int, first_k string, first_ts bigint, first_id bigint, last_k string, "
-                   "last_ts bigint, ls_ts bigint, ls_id bigint").collect()
+    summary = ranged.select("_k", "ts_us", "_pid").mapInPandas(
+        summarize, "pid int, first_k string, first_ts bigint, last_k string, last_ts bigint, ls_ts bigint").collect()
     info, prev, active = {}, None, None
     for s_ in sorted(summary, key=lambda x: x.pid):
         row0_start = (prev is None or prev.last_k != s_.first_k or s_.first_ts - prev.last_ts >= ttl_us)
         carry = None if row0_start else active
         info[s_.pid] = (row0_start, carry)
-        if s_.ls_ts is not None:
-            active = (s_.ls_ts, s_.ls_id)
-        elif row0_start:
-            active = (s_.first_ts, s_.first_id)
-        else:
-            active = carry
+        active = s_.ls_ts if s_.ls_ts is not None else s_.first_ts if row0_start else carry
         prev = s_
     bc = spark.sparkContext.broadcast(info)
 
     out_schema = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys) + \
-        f", id {requests.schema['id'].dataType.simpleString()}, ts_us bigint, _seg_ts bigint, _seg_id bigint"
+        f", id {requests.schema['id'].dataType.simpleString()}, ts_us bigint, _seg_ts bigint"
 
     def label(batches):
         last, seg = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            k, t, ids = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy(), pdf["id"].to_numpy()
+            k, t = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy()
             st = boundaries(k, t, None if last is None else last[0], None if last is None else last[1])
             if last is None:
-                row0_start, carry = bc.value[int(pdf["_pid"].iloc[0])]
+                row0_start, seg = bc.value[int(pdf["_pid"].iloc[0])]
                 st[0] = row0_start
-                seg = carry
-            pos = np.where(st, np.arange(len(st)), -1)
-            ff = np.maximum.accumulate(pos)
-            seg_ts = np.where(ff >= 0, t[np.maximum(ff, 0)], seg[0] if seg else 0)
-            seg_id = np.where(ff >= 0, ids[np.maximum(ff, 0)], seg[1] if seg else 0)
+            ff = np.maximum.accumulate(np.where(st, np.arange(len(st)), -1))
+            seg_ts = np.where(ff >= 0, t[np.maximum(ff, 0)], seg if seg is not None else 0)
             out = pdf[keys + ["id", "ts_us"]].copy()
-            out["_seg_ts"], out["_seg_id"] = seg_ts.astype(np.int64), seg_id.astype(np.int64)
-            last, seg = (k[-1], int(t[-1])), (int(seg_ts[-1]), int(seg_id[-1]))
+            out["_seg_ts"] = seg_ts.astype(np.int64)
+            last, seg = (k[-1], int(t[-1])), int(seg_ts[-1])
             yield out
 
     return ranged.mapInPandas(label, out_schema)
@@ -192,7 +194,7 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
     ttl_us = ttl_s * 1_000_000
     if split_at_idle:
         seg = idle_segments(requests, ttl_s, ks, num_partitions)
-        group = ks + ["_seg_ts", "_seg_id"]
+        group = ks + ["_seg_ts"]
         rows = seg.repartition(*group).sortWithinPartitions(*group, "ts_us", "id")
     else:
         group = ks
@@ -215,32 +217,48 @@ def requests_per_window(requests: DataFrame, width: str = "1 minute",
                     .select(epoch_s(F.col("w.start")).alias("window_start_s"), *keys, "request_count"))
 
 
-def held(windows: DataFrame, keys: list[str], start_col: str, step_s: int, hold_s: int) -> DataFrame:
+def held(windows: DataFrame, keys: list[str], start_col: str, step_s: int, hold_s: int,
+         values: tuple[str, ...] = ()) -> DataFrame:
     """Gaps-and-islands "for: hold" on evaluation windows: a firing window at
     start s holds when the windows at s−step, …, s−hold also fire.
 
     Each firing window votes for itself and the next hold/step windows; a
-    window holds when it collects hold/step + 1 votes.  One explode and one
-    aggregation — no window function over a whole key, no self-join.
+    window holds when it collects hold/step + 1 votes.  Its own vote carries
+    its ``values``.  One explode and one aggregation — no window function over
+    a whole key, no self-join, one read of the source.
     """
     m = hold_s // step_s
-    votes = windows.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(m))).alias("d"), start_col)
+    votes = windows.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(m))).alias("d"), start_col, *values)
     target = (F.col(start_col) + F.col("d") * step_s).alias(start_col)
-    return (votes.select(*keys, target)
-                 .groupBy(*keys, start_col).agg(F.count(F.lit(1)).alias("_votes"))
+    return (votes.select(*keys, target, *[F.when(F.col("d") == 0, F.col(v)).alias(v) for v in values])
+                 .groupBy(*keys, start_col).agg(F.count(F.lit(1)).alias("_votes"), *[F.max(v).alias(v) for v in values])
                  .filter(F.col("_votes") == m + 1).drop("_votes"))
 
 
+def _sliding(requests: DataFrame, keys: tuple[str, ...], width_s: int, step_s: int, aggs: dict[str, Column]) -> DataFrame:
+    """Sliding windows of additive counts: rows are first summed for each step,
+    then each step's one row is added to the windows that hold it.  A stream
+    (whose watermark needs the window column) and widths that steps do not
+    divide go through Spark's own sliding window instead."""
+    if requests.isStreaming or width_s % step_s:
+        w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
+        return (requests.groupBy(*keys, w).agg(*[a.alias(n) for n, a in aggs.items()])
+                .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"), epoch_s(F.col("w.end")).alias("window_end_s"), *aggs))
+    step = (F.floor(epoch_s(F.col("ts")) / step_s) * step_s).cast("bigint")
+    steps = (requests.filter(F.col("ts").isNotNull()).groupBy(*keys, step.alias("_step"))
+             .agg(*[a.alias(n) for n, a in aggs.items()]))
+    starts = F.sequence(F.col("_step") - width_s + step_s, F.col("_step"), F.lit(step_s).cast("bigint"))
+    return (steps.select(*keys, F.explode(starts).alias("window_start_s"), *aggs)
+            .groupBy(*keys, "window_start_s").agg(*[F.sum(n).alias(n) for n in aggs])
+            .select(*keys, "window_start_s", (F.col("window_start_s") + width_s).alias("window_end_s"), *aggs))
+
+
 def error_rate_windows(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",),
                        width_s: int = 300, step_s: int = 60) -> DataFrame:
     """Sliding windows (width, step) with error count and errors per second."""
-    w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
-    return (requests.groupBy(*keys, w)
-                    .agg(F.count(F.lit(1)).alias("requests"),
-                         F.count_if(F.col("status") >= 500).cast("bigint").alias("errors"))
-                    .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"),
-                            epoch_s(F.col("w.end")).alias("window_end_s"), "requests", "errors",
-                            F.round(F.col("errors") / float(width_s), 6).alias("error_rate")))
+    w = _sliding(requests, keys, width_s, step_s, {
+        "requests": F.count(F.lit(1)), "errors": F.count_if(F.col("status") >= 500).cast("bigint")})
+    return w.withColumn("error_rate", F.round(F.col("errors") / float(width_s), 6))
 
 
 def alert_error_rate(requests: DataFrame, threshold_per_s: float = 0.1, hold_s: int = 120,
@@ -249,8 +267,7 @@ def alert_error_rate(requests: DataFrame, threshold_per_s: float = 0.1, hold_s:
     ks = list(keys)
     w = error_rate_windows(requests, keys, width_s, step_s)
     firing = w.filter(F.col("errors") > F.lit(threshold_per_s) * width_s)
-    h = held(firing.select(*ks, "window_start_s"), ks, "window_start_s", step_s, hold_s)
-    return firing.join(h, ks + ["window_start_s"], "left_semi").select(
+    return held(firing, ks, "window_start_s", step_s, hold_s, ("window_end_s", "errors", "error_rate")).select(
         *ks, "window_end_s", "errors", "error_rate")
 
 
@@ -270,13 +287,11 @@ def histogram_quantile(q: float, cums: list[Column], total: Column, bounds=LATEN
 def latency_windows(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,
                     step_s: int = 60, q: float = 0.95, bounds=LATENCY_BUCKETS_MS) -> DataFrame:
     """Sliding windows with cumulative bucket counts and the interpolated quantile (seconds)."""
-    w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
-    aggs = [F.count(F.lit(1)).alias("total")]
-    aggs += [F.count_if(F.col("latency_ms") <= b).cast("bigint").alias(f"le_{b}") for b in bounds]
-    g = requests.groupBy(*keys, w).agg(*aggs)
+    aggs = {"total": F.count(F.lit(1))}
+    aggs |= {f"le_{b}": F.count_if(F.col("latency_ms") <= b).cast("bigint") for b in bounds}
+    g = _sliding(requests, keys, width_s, step_s, aggs)
     cums = [F.col(f"le_{b}") for b in bounds]
-    return g.select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"),
-                    epoch_s(F.col("w.end")).alias("window_end_s"), "total",
+    return g.select(*keys, "window_start_s", "window_end_s", "total",
                     F.round(histogram_quantile(q, cums, F.col("total"), bounds) / 1000.0, 6).alias("p95_s"))
 
 
@@ -285,9 +300,8 @@ def alert_latency(requests: DataFrame, threshold_s: float = 5.0, hold_s: int = 3
     ks = list(keys)
     w = latency_windows(requests, keys, width_s, step_s)
     firing = w.filter(F.col("p95_s") > threshold_s)
-    h = held(firing.select(*ks, "window_start_s"), ks, "window_start_s", step_s, hold_s)
-    return firing.join(h, ks + ["window_start_s"], "left_semi").select(*ks, "window_end_s", "total", "p95_s")
-
+    return held(firing, ks, "window_start_s", step_s, hold_s, ("window_end_s", "total", "p95_s")).select(
+        *ks, "window_end_s", "total", "p95_s")
 
 
 def latency_windows_exact(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,
@@ -296,9 +310,8 @@ def latency_windows_exact(requests: DataFrame, keys: tuple[str, ...] = ("endpoin
     (seconds), next to the histogram estimate of ``latency_windows``.  The exact
     aggregate keeps a count per distinct value in the window (integer ms,
     bounded by the request timeout), not every row."""
-    w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
-    return (requests.groupBy(*keys, w)
-                    .agg(F.count(F.lit(1)).alias("total"),
-                         F.percentile(F.col("latency_ms").cast("double"), F.lit(q)).alias("_p"))
-                    .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"), "total",
-                            F.round(F.col("_p") / 1000.0, 6).alias("p95_exact_s")))
+    # One row for each step and latency value, then the windows weigh values by their counts.
+    w = _sliding(requests.filter(F.col("latency_ms").isNotNull()), (*keys, "latency_ms"), width_s, step_s, {"n": F.count(F.lit(1))})
+    return (w.groupBy(*keys, "window_start_s")
+             .agg(F.sum("n").alias("total"), F.percentile(F.col("latency_ms").cast("double"), F.lit(q), F.col("n")).alias("_p"))
+             .select(*keys, "window_start_s", "total", F.round(F.col("_p") / 1000.0, 6).alias("p95_exact_s")))

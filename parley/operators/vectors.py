@@ -1,11 +1,11 @@
 """Vector operators over ``array<float>`` embeddings: mean pooling and exact
 top-k similarity search.
 
-Top-k is a distributed brute-force scan: the (small, size-checked) query set
-is broadcast once, every corpus partition scores its rows against all queries
-with one matrix product and keeps only its local top-k per query, and a final
-per-query top-k merges (#partitions × #queries × k) candidates.  Nothing is
-paired row-by-row in a join, and no corpus row ever reaches the driver.
+Top-k is a distributed brute-force scan in blocks: queries and corpus rows are
+packed into tiles of bounded size, every pair of tiles is scored with one matrix
+product, and each pair keeps its local top-k for each query; a final per-query
+top-k merges those.  Neither side is collected or held whole by a task, at any
+size of either.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound for the broadcast query matrix (rows × dims × 8 bytes).
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows of one tile; a task holds one tile of each side and their score matrix.
+QUERY_TILE = 128
+CORPUS_TILE = 2048
 
 
 def mean_pool(df: DataFrame, group: str, col: str = "embedding") -> DataFrame:
@@ -43,59 +44,87 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
+def _one_score(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of one query, each summed in the same order wherever its row stands,
+    so that equal vectors have equal scores."""
+    if metric == "l2":
+        return -np.sqrt(((x - q) ** 2).sum(1))
+    dot = (x * q).sum(1)
+    if metric == "dot":
+        return dot
+    return dot / (np.maximum(np.sqrt((x * x).sum(1)), 1e-300) * max(float(np.sqrt((q * q).sum())), 1e-300))
+
+
+def _tiles(rows: int):
+    """Rows (id, vector) → tiles (dims, ids, matrix); null vectors and vectors that hold nulls are left out."""
+    def run(it):
+        held: dict[int, list] = {}
+
+        def tile(n):
+            own = held.pop(n)
+            return pd.DataFrame({"dims": [n], "ids": [[i for i, _ in own]],
+                                 "matrix": [np.asarray([v for _, v in own], dtype=np.float64).tobytes()]})
+
+        for pdf in it:
+            for i, v in zip(pdf["id"], pdf["v"]):
+                if v is None or len(v) == 0:
+                    continue
+                v = np.asarray(v, dtype=np.float64)
+                if np.isnan(v).any():
+                    continue
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) == rows:
+                    yield tile(len(v))
+        for n in list(held):
+            yield tile(n)
+    return run
+
+
 def semantic_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, metric: str = "cosine",
                   query_id: str = "query_id", query_vec: str = "embedding",
                   corpus_id: str = "message_id", corpus_vec: str = "embedding",
-                  query_batch_rows: int | None = None) -> DataFrame:
-    """Exact top-``k`` corpus rows per query by cosine / dot / (negative) L2.
-
-    The query set is size-checked before it is broadcast; above the bound the
-    queries are processed in hash batches (each batch broadcast on its own),
-    so the broadcast never exceeds ``MAX_BROADCAST_BYTES``.
-    """
-    spark = corpus.sparkSession
-    qdf = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv"))
-    stats = qdf.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    n_q, dim = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n_q == 0:
-        return spark.createDataFrame([], f"query_id {qdf.schema['qid'].dataType.simpleString()}, "
-                                         f"{corpus_id} {corpus.schema[corpus_id].dataType.simpleString()}, "
-                                         "rank bigint, score double")
-    per_row = max(dim, 1) * 8 + 64
-    rows_cap = query_batch_rows or max(1, MAX_BROADCAST_BYTES // per_row)
-    n_batches = -(-n_q // rows_cap)
-    qid_type = qdf.schema["qid"].dataType.simpleString()
+                  query_tile: int = QUERY_TILE, corpus_tile: int = CORPUS_TILE) -> DataFrame:
+    """Exact top-``k`` corpus rows per query by cosine / dot / (negative) L2,
+    ties by id.
+
+    Null vectors, vectors with null elements and corpus vectors of another
+    length than the query's are not scored (``quality.check_dims`` reports
+    them).  Within a pair of tiles a matrix product finds each query's
+    candidates, with a margin for rounding; their scores are then summed again
+    in a fixed order, and the cut takes (score desc, id asc)."""
+    if metric not in ("cosine", "dot", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    qid_type = queries.schema[query_id].dataType.simpleString()
     cid_type = corpus.schema[corpus_id].dataType.simpleString()
-    out_schema = f"qid {qid_type}, cid {cid_type}, score double"
-    cor = corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).alias("cv"))
-
-    parts = []
-    for b in range(n_batches):
-        qb = qdf if n_batches == 1 else qdf.filter(F.pmod(F.xxhash64("qid"), F.lit(n_batches)) == b)
-        # Bounded by the size check above: at most rows_cap query vectors.
-        rows = qb.collect()
-        qids = [r["qid"] for r in rows]
-        qmat = np.asarray([np.asarray(r["qv"], dtype=np.float64) for r in rows], dtype=np.float64)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-
-        def score_partition(it, _bc=bc, _k=k, _metric=metric):
-            ids, q = _bc.value
-            for pdf in it:
-                if pdf.empty:
+    q = queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v")).mapInPandas(
+        _tiles(query_tile), f"dims int, ids array<{qid_type}>, matrix binary")
+    c = corpus.select(F.col(corpus_id).alias("id"), F.col(corpus_vec).alias("v")).mapInPandas(
+        _tiles(corpus_tile), f"dims int, ids array<{cid_type}>, matrix binary")
+    # Blocks against blocks: the product is of tiles, not of rows.
+    pairs = c.crossJoin(q.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")))
+
+    def score(it):
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                if row.dims != row.q_dims:
                     continue
-                x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["cv"]])
-                s = _scores(_metric, q, x)                      # rows × queries
-                kk = min(_k, s.shape[0])
-                top = np.argpartition(-s, kk - 1, axis=0)[:kk]  # local top-k per query
-                cols = np.arange(s.shape[1])[None, :].repeat(kk, 0)
-                yield pd.DataFrame({"qid": np.asarray(ids, dtype=object)[cols.ravel()],
-                                    "cid": pdf["cid"].to_numpy()[top.ravel()],
-                                    "score": s[top, cols].ravel()})
-
-        parts.append(cor.mapInPandas(score_partition, out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+                ids = list(row.ids)
+                x = np.frombuffer(row.matrix, dtype=np.float64).reshape(-1, row.dims)
+                qs = np.frombuffer(row.q_matrix, dtype=np.float64).reshape(-1, row.dims)
+                rough = _scores(metric, qs, x)
+                out = []
+                for j, qid in enumerate(row.q_ids):
+                    s = rough[:, j]
+                    near = np.arange(len(s))
+                    if len(s) > k:
+                        least = np.partition(s, len(s) - k)[len(s) - k]
+                        near = np.flatnonzero(s >= least - 1e-6 * max(1.0, abs(float(least))))
+                    exact = _one_score(metric, qs[j], x[near]).tolist()
+                    best = sorted(zip(exact, (ids[i] for i in near.tolist())), key=lambda p: (-p[0], p[1]))[:k]
+                    out += [(qid, cid, value) for value, cid in best]
+                yield pd.DataFrame(out, columns=["qid", "cid", "score"])
+
+    cand = pairs.mapInPandas(score, f"qid {qid_type}, cid {cid_type}, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("cid").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
                 .select(F.col("qid").alias("query_id"), F.col("cid").alias(corpus_id), "rank", "score"))

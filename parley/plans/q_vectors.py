@@ -25,16 +25,32 @@ def q_mean_pool(spark, sf_dir):
         "label", F.col("dim_index").cast("bigint"), F.round("mean_value", 6).alias("mean_value"))
 
 
+# Every third vector also stands under a second id (a tie), some are null or short.
+_CORPUS = _CENTROIDS + """,
+corpus as (select message_id, embedding from message_embeddings
+           union all select message_id + 1000000, embedding from message_embeddings where message_id % 3 = 0
+           union all select message_id + 2000000, case when message_id % 2 = 0 then embedding[1:10] end from message_embeddings
+                     where message_id % 50 = 0)"""
+
+
+def _corpus(emb):
+    m = F.col("message_id")
+    short = F.when(m % 2 == 0, F.slice("embedding", 1, 10)).alias("embedding")
+    return (emb.select("message_id", "embedding")
+            .unionByName(emb.filter(m % 3 == 0).select((m + 1000000).alias("message_id"), "embedding"))
+            .unionByName(emb.filter(m % 50 == 0).select((m + 2000000).alias("message_id"), short)))
+
+
 @register("semantic_topk", W(f"""
 select query_id, message_id, rank, round(score, 6) as score from (
   select c.label as query_id, e.message_id, s.score,
          row_number() over (partition by c.label order by s.score desc, e.message_id) as rank
-  from cent c join message_embeddings e on true,
+  from cent c join corpus e on len(e.embedding) = len(c.c),
   lateral (select list_cosine_similarity(c.c, e.embedding::double[]) as score) s)
-where rank <= {TOPK}""", "message_embeddings", ctes=_CENTROIDS))
+where rank <= {TOPK}""", "message_embeddings", ctes=_CORPUS))
 def q_semantic_topk(spark, sf_dir):
     emb = chat_tables(spark, sf_dir).message_embeddings
     queries = V.mean_pool(emb, "label").select(F.col("label").alias("query_id"),
                                                F.col("mean_vector").alias("embedding"))
-    r = V.semantic_topk(queries, emb, TOPK, "cosine")
+    r = V.semantic_topk(queries, _corpus(emb), TOPK, "cosine")
     return r.select("query_id", "message_id", "rank", F.round("score", 6).alias("score"))

@@ -51,11 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is set by the operator to a shared file system and we
-    only read it.  Only when it is unset (local tests) do we create a scratch
-    folder of our own.
+    only read it; unset there, it is an error.  Only in local mode (tests), where
+    every task runs in this one process, do we create a scratch folder of our own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

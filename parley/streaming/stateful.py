@@ -5,11 +5,14 @@
   micro-batches.  Rows of one key inside a micro-batch are decided in
   (ts, id) order; a row arriving in a later batch is decided on arrival, as
   the reference's Redis counter would.
-* ``ChunkAssembler`` — per message: buffered pieces until the finish marker,
-  then one output row; later chunks are ignored; abandoned buffers expire.
-
-Both keep O(1) or O(message) state per key in the RocksDB state store, so
-the stream scales with the number of live keys, not with history.
+* ``ChunkAssembler`` — per message: the lines seen so far, until all lines up
+  to the finish marker are there, in whatever order batches bring them; then
+  one output row.  State of finished and of abandoned messages expires.
+
+The limiter and the detector drop a key's state by event-time timers, the
+assembler by its TTL, so state follows the live keys, not the history.  Without
+a watermark (limiter) or a TTL (assembler) nothing can expire: replays of a
+bounded log alone should run so.
 """
 
 from __future__ import annotations
@@ -96,50 +99,53 @@ def rate_limit_stream(requests: DataFrame, limit: int, ttl_s: int,
 
 
 class ChunkAssembler(StatefulProcessor):
-    """Buffers content pieces per message until a finish / done marker."""
+    """Keeps a message's lines until every line up to its first finish / done
+    marker has come (sequence numbers start at 0), as the batch form sees them."""
 
     def __init__(self, abandon_after_ms: int | None):
         self.abandon_after_ms = abandon_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.abandon_after_ms
-        self.pieces = handle.getListState("pieces", "seq bigint, content string", ttl)
+        self.lines = handle.getListState("lines", "seq bigint, content string", ttl)
         self.end = handle.getValueState("end", "end_seq bigint", ttl)
         self.done = handle.getValueState("done", "flag boolean", ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.done.exists():
-            return  # chunks after the finished message are ignored
+            return  # the message is out
         pdf = pd.concat(list(rows), ignore_index=True)
         ends = pdf.loc[pdf["kind"].isin(["finish", "done"]), "seq"]
         end = int(ends.min()) if len(ends) else None
         if self.end.exists():
-            prev = int(self.end.get()[0])
-            end = prev if end is None else min(end, prev)
-        new = pdf[(pdf["kind"] == "content") & pdf["content"].notna()][["seq", "content"]]
-        if end is None:
-            if len(new):
-                self.pieces.appendList([(int(q), c) for q, c in zip(new["seq"], new["content"])])
+            before = int(self.end.get()[0])
+            end = before if end is None else min(end, before)
+        text = pdf["content"].where(pdf["kind"].isin(["content", "finish"]), None)
+        new = [(int(q), c if isinstance(c, str) else None) for q, c in zip(pdf["seq"], text)]
+        held = [(int(q), c) for q, c in self.lines.get()] if self.lines.exists() else []
+        lines = dict(held)
+        lines.update(dict(new))   # a line sent twice counts once
+        if end is None or any(q not in lines for q in range(end + 1)):
+            self.lines.appendList(new)
+            if end is not None:
+                self.end.update((end,))
             return
-        held = [(int(q), c) for q, c in self.pieces.get()] if self.pieces.exists() else []
-        allp = held + [(int(q), c) for q, c in zip(new["seq"], new["content"])]
-        text = "".join(c for q, c in sorted(allp, key=lambda x: x[0]) if q < end)
-        self.pieces.clear()
+        self.lines.clear()
         self.end.clear()
         self.done.update((True,))
-        yield pd.DataFrame({"message_id": [key[0]], "content": [text]})
+        yield pd.DataFrame({"message_id": [key[0]], "content": ["".join(lines[q] or "" for q in range(end + 1))]})
 
     def close(self) -> None:
         pass
 
 
-def assemble_chunks_stream(chunks: DataFrame, abandon_after_ms: int | None = None) -> DataFrame:
+def assemble_chunks_stream(chunks: DataFrame, abandon_after_ms: int | None = 600_000) -> DataFrame:
     """Streaming assembly of (message_id, seq, line) chunks into finished messages.
 
-    ``abandon_after_ms`` (e.g. the 10-minute request timeout) expires buffers
-    of messages that never finish; it needs processing-time mode, which runs
-    extra no-data batches, so it is meant for continuously running queries,
-    not for ``availableNow`` replays.
+    ``abandon_after_ms`` (by default the 10-minute request timeout) expires the
+    state of finished messages and of those that never finish; it needs
+    processing-time mode, which runs extra no-data batches, so ``availableNow``
+    replays of a bounded log pass None.
     """
     use_rocksdb(chunks.sparkSession)
     p = parse_chunks(chunks).select("message_id", "seq", "kind", "content")
@@ -153,7 +159,9 @@ class StuckTaskDetector(StatefulProcessor):
     """Event-time timer per task: armed at the first 'running' event for
     ``hours``; a terminal event before the deadline disarms it; if the
     watermark passes the deadline first, the task is reported stuck once.
-    A task is decided once (state: started, deadline, closed)."""
+    A task is decided once (state: started, deadline, closed).  The deadline's
+    timer stays armed for decided tasks too and clears their state one timeout
+    later, when no event of the run can come any more."""
 
     def __init__(self, hours: float):
         self.timeout_ms = int(hours * 3600 * 1000)
@@ -175,7 +183,6 @@ class StuckTaskDetector(StatefulProcessor):
                 st = (int(ts), int(ts) + self.timeout_ms, False)
                 self.handle.registerTimer(st[1])
             elif status in ("completed", "failed") and st is not None and int(ts) < st[1]:
-                self.handle.deleteTimer(st[1])
                 st = (st[0], st[1], True)
         if st is not None:
             self.run.update(st)
@@ -184,6 +191,10 @@ class StuckTaskDetector(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.run.exists():
             started, deadline, closed = self.run.get()
+            if expiredTimerInfo.getExpiryTimeInMs() > deadline:
+                self.run.clear()
+                return
+            self.handle.registerTimer(int(deadline) + self.timeout_ms)
             if not closed:
                 self.run.update((started, deadline, True))
                 yield pd.DataFrame({"task_id": [key[0]], "started_s": [int(started) // 1000],

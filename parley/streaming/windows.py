@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.requests import epoch_s
+from ..operators.requests import epoch_s, error_rate_windows
 
 
 def requests_per_window_stream(requests: DataFrame, width: str = "1 minute", watermark: str = "10 minutes",
@@ -25,26 +25,22 @@ def error_rate_stream(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",)
                       step_s: int = 60, watermark: str = "5 minutes") -> DataFrame:
     """Closed sliding windows with error counts; the hold ("for: 2m") is then
     ``parley.operators.requests.held`` over the emitted windows."""
-    w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
-    return (requests.withWatermark("ts", watermark)
-                    .groupBy(*keys, w)
-                    .agg(F.count(F.lit(1)).alias("requests"),
-                         F.count_if(F.col("status") >= 500).cast("bigint").alias("errors"))
-                    .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"),
-                            epoch_s(F.col("w.end")).alias("window_end_s"), "requests", "errors",
-                            F.round(F.col("errors") / float(width_s), 6).alias("error_rate")))
+    return error_rate_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s)
 
 
-def route_stream(decoded: DataFrame, sinks: dict, checkpoint: str):
+def route_stream(decoded: DataFrame, sinks: dict, checkpoint: str, default: str):
     """Route decoded requests per type with ``foreachBatch``: each micro-batch
-    is written once per route to that route's path; a replayed batch
-    overwrites its own ``batch_id`` partition, so retries do not duplicate."""
+    is written once per route to that route's path, rows of any other route to
+    ``default``, so none is lost; a replayed batch overwrites its own
+    ``batch_id`` partition, so retries do not duplicate."""
     from ..operators.tasks import route_requests
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         r = route_requests(batch).persist()
-        for route, path in sinks.items():
-            (r.filter(F.col("route") == route).withColumn("batch_id", F.lit(batch_id))
+        named = F.coalesce(F.col("route").isin(*sinks), F.lit(False))
+        parts = [(F.col("route") == route, path) for route, path in sinks.items()] + [(~named, default)]
+        for rows, path in parts:
+            (r.filter(rows).withColumn("batch_id", F.lit(batch_id))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("batch_id").parquet(path))
         r.unpersist()
@@ -52,13 +48,17 @@ def route_stream(decoded: DataFrame, sinks: dict, checkpoint: str):
     return decoded.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch).start()
 
 
-def live_gauges_stream(samples: DataFrame) -> DataFrame:
-    """Latest value per gauge key as a continuously updated table (update
-    mode); readers apply the TTL with ``parley.operators.tasks.live_gauges``
-    semantics: ``ts_s > as_of - ttl``."""
-    return (samples.groupBy("key")
-                   .agg(F.max_by("value", F.struct("ts_s", "value")).alias("value"),
-                        F.max("ts_s").alias("ts_s")))
+def live_gauges_stream(samples: DataFrame, ttl_s: int = 300) -> DataFrame:
+    """Latest value per gauge key, for as long as it is within ``ttl_s`` of the
+    newest event time: samples (key, value, ts) go into windows of the TTL's
+    length, and the watermark drops the state of every window that has ended
+    before it, so state holds the keys of one TTL.  Emits (key, value, ts_s,
+    expires_s) in update mode; readers skip rows whose ``expires_s`` has passed."""
+    ts_s = epoch_s(F.col("ts"))
+    return (samples.withWatermark("ts", f"{ttl_s} seconds")
+                   .groupBy("key", F.window("ts", f"{ttl_s} seconds").alias("w"))
+                   .agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max(ts_s).alias("ts_s"))
+                   .select("key", "value", "ts_s", (F.col("ts_s") + ttl_s).alias("expires_s")))
 
 
 def latency_stream(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,

@@ -67,10 +67,11 @@ def test_window_counts_stream_equals_batch(spark, scratch):
 def test_chunk_assembly_stream_equals_batch(spark, scratch):
     t = chat_tables(spark, SF_SMALL)
     chunks = CH.build_sse_lines(t.messages, finished_when=F.col("message_id") % 5 != 0,
-                                malformed_when=F.col("seq") % 11 == 5)
+                                malformed_when=F.col("seq") % 11 == 5, empty_when=F.col("seq") % 13 == 6,
+                                last_text_when=F.col("message_id") % 3 == 0)
     src = os.path.join(scratch, "chunks_src")
-    # chunks arrive in order: earlier sequence numbers in earlier files
-    (chunks.withColumn("part", F.least(F.floor(F.col("seq") / 40), F.lit(2)))
+    # some lines arrive after the finish marker of their message, in a later file
+    (chunks.withColumn("part", F.when(F.col("seq") % 7 == 1, 2).otherwise(F.least(F.floor(F.col("seq") / 40), F.lit(1))))
            .repartition(3, "part").sortWithinPartitions("part").write.partitionBy("part").json(src))
     flat = os.path.join(scratch, "chunks_flat")
     os.makedirs(flat)
@@ -80,7 +81,7 @@ def test_chunk_assembly_stream_equals_batch(spark, scratch):
             _link_in_order(os.path.join(d, f), os.path.join(flat, f"{p}_{i:04d}.json"), p * 1000 + i)
     stream_in = (spark.readStream.schema("message_id bigint, seq bigint, line string")
                  .option("maxFilesPerTrigger", 1).json(flat))
-    got = _run(ST.assemble_chunks_stream(stream_in), scratch, "chunks")
+    got = _run(ST.assemble_chunks_stream(stream_in, None), scratch, "chunks")
     want = CH.assemble_chunks(chunks)
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -111,21 +112,33 @@ def test_stuck_tasks_stream_equals_batch(spark, scratch):
 
 def test_live_gauges_stream_equals_batch(spark, scratch):
     from parley.operators.tasks import live_gauges
-    t = chat_tables(spark, SF_SMALL)
-    e = t.raw("events").select(F.concat(F.lit("q:"), "event_type").alias("key"), "value",
-                               F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts_s"))
+    t, ttl = chat_tables(spark, SF_SMALL), 86400
+    e = t.raw("events").select(F.concat(F.lit("q:"), "event_type").alias("key"), "value", F.col("ts").cast("timestamp").alias("ts"))
     src = os.path.join(scratch, "gauges")
-    e.repartition(3).write.json(src)
-    s = spark.readStream.schema("key string, value double, ts_s bigint").option("maxFilesPerTrigger", 1).json(src)
-    q = (SW.live_gauges_stream(s).writeStream.format("memory").queryName("gauges_t")
-           .option("checkpointLocation", os.path.join(scratch, "g_ck")).outputMode("complete")
+    # one file for each range of days, so that no sample is behind the watermark
+    e.withColumn("day", F.floor(F.unix_seconds("ts") / 86400)).repartition("day").write.partitionBy("day").json(src)
+    flat = os.path.join(scratch, "gauges_flat")
+    os.makedirs(flat)
+    files = sorted((int(r.rsplit("=", 1)[1]), os.path.join(r, f)) for r, _, fs in os.walk(src) for f in fs if f.endswith(".json"))
+    for i, (_, f) in enumerate(files):
+        _link_in_order(f, os.path.join(flat, f"{i:05d}.json"), i)
+    s = spark.readStream.schema("key string, value double, ts timestamp").option("maxFilesPerTrigger", 4).json(flat)
+    emitted = []
+    q = (SW.live_gauges_stream(s, ttl).writeStream.foreachBatch(lambda b, i: emitted.extend(b.collect()))
+           .option("checkpointLocation", os.path.join(scratch, "g_ck")).outputMode("update")
            .trigger(availableNow=True).start())
     q.awaitTermination(300)
-    got = spark.sql("select * from gauges_t")
-    as_of = e.agg(F.max("ts_s")).scalar()
-    live = got.filter(F.col("ts_s") > as_of - 86400 * 30)
-    want = live_gauges(e, as_of, 86400 * 30)
-    assert sorted(live.collect()) == sorted(want.select("key", "value", "ts_s").collect())
+    assert q.exception() is None
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    # state falls back as windows expire: a few windows of a few keys, never all of them
+    assert max(kept) <= 10 * e.select("key").distinct().count() < e.select("key", F.to_date("ts")).distinct().count()
+    as_of = e.agg(F.max(F.unix_seconds("ts"))).first()[0]
+    last = {}
+    for r in emitted:
+        if r.expires_s > as_of and r.ts_s >= last.get(r.key, (-1,))[0]:
+            last[r.key] = (r.ts_s, r.value)
+    want = live_gauges(e.select("key", "value", F.unix_seconds("ts").alias("ts_s")), as_of, ttl)
+    assert {(k, v[0]) for k, v in last.items()} == {(r.key, r.ts_s) for r in want.collect()}
 
 
 def test_route_stream_writes_each_route(spark, scratch):
@@ -136,13 +149,16 @@ def test_route_stream_writes_each_route(spark, scratch):
     rec.repartition(2).write.json(src)
     s = spark.readStream.schema("topic string, key string, value string").option("maxFilesPerTrigger", 1).json(src)
     sinks = {r: os.path.join(scratch, f"route_{r}") for r in ("rlhf", "evaluation")}
-    q = SW.route_stream(TK.decode_requests(s), sinks, os.path.join(scratch, "route_ck"))
+    rest = os.path.join(scratch, "route_rest")
+    q = SW.route_stream(TK.decode_requests(s), sinks, os.path.join(scratch, "route_ck"), rest)
     q.processAllAvailable()
     q.stop()
     want = TK.route_requests(TK.decode_requests(rec))
     for r, p in sinks.items():
         got = spark.read.parquet(p).drop("batch_id")
         assert sorted(got.select(want.columns).collect()) == sorted(want.filter(F.col("route") == r).collect())
+    others = spark.read.parquet(rest).drop("batch_id").select(want.columns).collect()
+    assert sorted(others) == sorted(want.filter("route = 'supervised'").collect()) and len(others) > 0
 
 
 def test_runner_uses_shared_checkpoint_folder(spark, scratch):

@@ -1,5 +1,5 @@
-"""Exact top-k against numpy brute force, for every metric and for the
-batched-broadcast path (query set split over several broadcasts)."""
+"""Exact top-k against numpy brute force, for every metric and for one tile
+and many tiles of either side."""
 
 import numpy as np
 import pytest
@@ -25,13 +25,13 @@ def _brute(q_ids, Q, c_ids, C, k, metric):
     return out
 
 
-@pytest.mark.parametrize("metric,batch_rows", [("cosine", None), ("dot", None), ("l2", None), ("cosine", 3)])
-def test_topk_matches_brute_force(spark, metric, batch_rows):
+@pytest.mark.parametrize("metric,tiles", [("cosine", {}), ("dot", {}), ("l2", {}), ("cosine", {"query_tile": 3, "corpus_tile": 17})])
+def test_topk_matches_brute_force(spark, metric, tiles):
     emb = chat_tables(spark, SF_SMALL).message_embeddings
     queries = emb.filter(F.col("message_id") % 50 == 7).select(
         F.col("message_id").alias("query_id"), "embedding")
     got = {(r.query_id, r.message_id, r.rank)
-           for r in V.semantic_topk(queries, emb, 4, metric, query_batch_rows=batch_rows).collect()}
+           for r in V.semantic_topk(queries, emb, 4, metric, **tiles).collect()}
     qp, cp = queries.toPandas(), emb.toPandas()
     Q = np.vstack(qp["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
     C = np.vstack(cp["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
@@ -39,6 +39,16 @@ def test_topk_matches_brute_force(spark, metric, batch_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("tiles", [{}, {"query_tile": 1, "corpus_tile": 9}])
+def test_topk_ties_nulls_and_lengths(spark, tiles):
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(200, 0, -1)] + [(900, None), (901, [1.0]), (902, [1.0, None, 0.5])]
+    corpus = spark.createDataFrame(rows, "message_id long, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(1, [1.0, 2.0, 0.5]), (2, None)], "query_id long, embedding array<double>")
+    got = V.semantic_topk(queries, corpus, 5, **tiles).collect()
+    assert [(r.query_id, r.message_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, i) for i in range(1, 6)]
+    assert V.semantic_topk(queries.limit(0), corpus, 5).count() == 0
+
+
 def test_mean_pool_matches_numpy(spark):
     emb = chat_tables(spark, SF_SMALL).message_embeddings
     got = {r.label: np.asarray(r.mean_vector) for r in V.mean_pool(emb, "label").collect()}
