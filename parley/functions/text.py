@@ -95,7 +95,10 @@ def pair_text(query, response) -> Column:
 
 def is_toxic(text, keywords=TOXIC_KEYWORDS) -> Column:
     low = F.lower(_c(text))
-    return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, k))
+    found = F.lit(False)
+    for k in keywords:
+        found = found | F.contains(low, F.lit(k))
+    return found
 
 
 def is_hallucination(response, context, ratio: int = 2) -> Column:
@@ -126,6 +129,14 @@ def is_blank(text) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
+def record_id(*parts) -> Column:
+    """A stable id in UUID form from the values that identify a record: a
+    re-run gives a record the same id, which a random one would not."""
+    h = F.md5(F.to_json(F.array(*[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])))
+    cut = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in cut])
+
+
 def composite_key(*parts) -> Column:
     """Cache / counter key such as ``rate_limit:<user>:<path>``."""
     return F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .history import with_positions
 
 
 def avg_score(sum_centi: Column, count: Column) -> Column:
@@ -67,6 +68,7 @@ def feedback_dataset(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     message paired with the user message immediately before it; ratings with a
     null score are dropped.
     """
+    messages = with_positions(messages)
     fb = (feedback.filter(F.col("score_centi").isNotNull())
                   .select(F.col("id").alias("feedback_id"), F.col("message_id").alias("id"),
                           "feedback_type", "feedback_text", "score_centi",

@@ -29,27 +29,49 @@ def active_users(users: DataFrame, user_id: int | None = None, email: str | None
     return users.filter(cond).select("id", "email", "username", "subscription_tier")
 
 
-def user_history(conversations: DataFrame, user_id: int | None = None) -> DataFrame:
-    """Non-archived conversations of one owner (or all owners), newest first.
+def with_positions(messages: DataFrame) -> DataFrame:
+    """``messages`` with the 0-based position ``turn`` of each row in its
+    conversation, by (created asc nulls last, id); unchanged if it has one.
 
-    A global sort on (user_id, updated desc nulls first, id) is range
-    partitioned, so even an owner with a third of all rows is split over tasks.
+    Only (id, conversation, time) rows are numbered; texts join back by id."""
+    if "turn" in messages.columns:
+        return messages
+    w = Window.partitionBy("conversation_id").orderBy(F.col("created_s").asc_nulls_last(), "id")
+    place = messages.select("id", "conversation_id", "created_s").select(
+        "id", (F.row_number().over(w) - 1).cast("bigint").alias("turn"))
+    return messages.join(place, "id")
+
+
+def conversation_of_owner(conversations: DataFrame, messages: DataFrame, conversation_id, user_id) -> DataFrame:
+    """One conversation with its messages, only if ``user_id`` owns it; both
+    filters reach the scans, so only that conversation's rows are read."""
+    own = conversations.filter((F.col("id") == conversation_id) & (F.col("user_id") == user_id))
+    return conversation_documents(own, messages.filter(F.col("conversation_id") == conversation_id), nested=True)
+
+
+def user_history(conversations: DataFrame, user_id: int | None = None, ordered: bool = False) -> DataFrame:
+    """Non-archived conversations of one owner (or all owners).
+
+    ``ordered`` sorts them newest first for display: a global sort on (user_id,
+    updated desc nulls first, id), range partitioned, so that even an owner with
+    a third of all rows is split over tasks.
     """
     c = conversations.filter(~F.col("is_archived"))
     if user_id is not None:
         c = c.filter(F.col("user_id") == user_id)
-    return (c.select("id", "user_id", "title", "model_version", "created_s", "updated_s")
-             .orderBy(F.col("user_id").asc(), F.col("updated_s").desc_nulls_first(), F.col("id").asc()))
+    c = c.select("id", "user_id", "title", "model_version", "created_s", "updated_s")
+    return c if not ordered else (
+            c.orderBy(F.col("user_id").asc(), F.col("updated_s").desc_nulls_first(), F.col("id").asc()))
 
 
 def conversation_documents(conversations: DataFrame, messages: DataFrame,
-                           nested: bool = False) -> DataFrame:
-    """Each conversation with its messages in time order.
+                           nested: bool = False, ordered: bool = False) -> DataFrame:
+    """Each conversation with its messages.
 
     Default (``nested=False``): one row per message carrying its conversation's
-    columns, globally sorted by (conversation, created asc nulls last, id) —
-    no conversation is ever gathered into one row, so no task holds a whole
-    conversation.  ``nested=True`` returns the API shape, one row per
+    columns, with ``ordered`` globally sorted by (conversation, created asc
+    nulls last, id) — no conversation is ever gathered into one row, so no task
+    holds a whole conversation.  ``nested=True`` returns the API shape, one row per
     conversation with ``messages: array<struct>`` (only for bounded conversations).
     """
     conv = conversations.select(F.col("id").alias("conversation_id"), "user_id", "title",
@@ -57,7 +79,7 @@ def conversation_documents(conversations: DataFrame, messages: DataFrame,
     msg = messages.select("conversation_id", F.col("id").alias("message_id"), "role", "content", "created_s")
     j = conv.join(msg, "conversation_id")
     if not nested:
-        return j.orderBy("conversation_id", F.col("created_s").asc_nulls_last(), "message_id")
+        return j if not ordered else j.orderBy("conversation_id", F.col("created_s").asc_nulls_last(), "message_id")
     return (j.groupBy("conversation_id", "user_id", "title", "conversation_updated_s")
              .agg(F.array_sort(F.collect_list(F.struct("created_s", "message_id", "role", "content")))
                   .alias("messages")))
@@ -120,7 +142,9 @@ def regenerate_requests(messages: DataFrame) -> DataFrame:
     """For every assistant message preceded by a user message: the prompt to
     resend and how many messages are kept (the history is cut before the
     answer).  Assistant messages at position 0 or after a non-user are skipped.
+    ``kept_history`` gives the kept messages themselves.
     """
+    messages = with_positions(messages)
     asst = messages.filter(F.col("role") == "assistant").select(
         F.col("id").alias("message_id"), "conversation_id", "turn")
     users = messages.filter(F.col("role") == "user").select(
@@ -129,10 +153,30 @@ def regenerate_requests(messages: DataFrame) -> DataFrame:
         "message_id", "conversation_id", "prompt", F.col("turn").alias("kept_messages"))
 
 
+def kept_history(messages: DataFrame, message_id) -> DataFrame:
+    """The messages that stay when the answer ``message_id`` is regenerated."""
+    messages = with_positions(messages)
+    cut = messages.filter((F.col("id") == message_id) & (F.col("role") == "assistant")).select(
+        "conversation_id", F.col("turn").alias("_cut"))
+    return (messages.join(F.broadcast(cut), "conversation_id").filter(F.col("turn") < F.col("_cut"))   # one row
+            .select("conversation_id", "turn", "id", "role", "content"))
+
+
+def prepend_history(conversations: DataFrame, created: DataFrame) -> DataFrame:
+    """Per owner the ids of the history list after ``created`` was put in front
+    (any / append / slice on arrays): newest first, duplicates dropped."""
+    newest = F.array_sort(F.collect_list(F.struct((-F.col("updated_s")).alias("k"), F.col("id"))))
+    old = conversations.filter(~F.col("is_archived")).groupBy("user_id").agg(F.transform(newest, lambda x: x["id"]).alias("ids"))
+    new = created.groupBy("user_id").agg(F.array_sort(F.collect_list("id")).alias("new_ids"))
+    none = F.array().cast("array<bigint>")
+    return old.join(new, "user_id", "full").select("user_id", F.array_distinct(
+        F.concat(F.coalesce("new_ids", none), F.coalesce("ids", none))).alias("ids"))
+
+
 def history_display(conversations: DataFrame) -> DataFrame:
     """Sidebar row: title with fallback and the last-update date."""
     return conversations.select(
-        "id", T.display_title("title").alias("display_title"),
+        "id", T.display_title("title").alias("display_title"), T.initial(T.display_title("title")).alias("initial"),
         F.date_format(F.timestamp_seconds("updated_s"), "yyyy-MM-dd").alias("updated_date"))
 
 

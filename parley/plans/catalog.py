@@ -27,7 +27,7 @@ def register(key: str, oracle: str | None = None):
 
 def _load_all() -> None:
     # Importing the query modules fills the registry.
-    from . import q_feedback, q_history, q_tasks, q_text, q_streams, q_vectors, q_quality, q_training  # noqa: F401
+    from . import q_feedback, q_history, q_tasks, q_text, q_streams, q_vectors, q_quality, q_training, q_rows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

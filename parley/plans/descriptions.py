@@ -72,12 +72,25 @@ DESCRIPTIONS = {
     "stuck_tasks": "tasks running for more than an hour",
     "task_payload": "task payload fields with defaults",
     "task_state": "task table rewritten from its status event log",
-    "token_usage": "prompt / completion / total whitespace tokens per conversation",
+    "token_usage": "prompt / completion / total whitespace tokens per conversation and model",
     "toxicity_check": "keyword toxicity flag and confidence per message",
     "train_test_split": "stable disjoint 80/20 split of the reward dataset",
     "training_batch": "reproducible sample of 8 (query, conversation) rows",
     "training_pool": "distinct user queries of rated conversations",
     "training_progress": "latest progress percent and metrics per session",
     "unanswered_conversations": "conversations whose latest message is the user's",
-    "user_history": "non-archived conversations per owner, newest first",
+    "user_history": "non-archived conversations per owner",
+    "new_conversations": "conversation rows with the writer's defaults",
+    "new_users": "user rows with tier and activity defaults",
+    "new_messages": "incoming messages without blank ones",
+    "rejected_feedback": "feedback rows that a checked append keeps out",
+    "new_tasks": "agent task rows with priority and status defaults",
+    "new_training_sessions": "pending training session rows",
+    "run_manifest": "run manifest rows with stamp and JSON",
+    "cache_entries": "rows of a cached dataset with key and expiry",
+    "counter_keys": "composite counter keys and stable record ids",
+    "conversation_nested": "one row per conversation with its message array",
+    "conversation_of_owner": "one conversation by id and owner with its messages",
+    "kept_history": "messages that stay when an answer is regenerated",
+    "history_list": "conversation ids per owner after new ones are put in front",
 }

@@ -102,6 +102,7 @@ def q_regenerate(spark, sf_dir):
 
 @register("history_display", W(f"""
 select c.id, coalesce(nullif({title_sql('fu.first_message')}, ''), 'New Conversation') as display_title,
+       upper(substr(coalesce(nullif({title_sql('fu.first_message')}, ''), 'New Conversation'), 1, 1)) as initial,
        strftime(make_timestamp((case when fu.first_message is not null then {AS_OF} else c.updated_s end) * 1000000),
                 '%Y-%m-%d') as updated_date
 from conversations_hdr c left join fu on fu.conversation_id = c.id""", "messages", "conversations_hdr",

@@ -102,13 +102,25 @@ def read_cache(spark: SparkSession, root: str, key: str, as_of: int) -> DataFram
     return live_cache(e, as_of)
 
 
-def append_checked(df: DataFrame, path: str, violation) -> DataFrame:
-    """Append the rows that pass a data-quality predicate and return the
-    rejected ones (e.g. feedback with an unknown type or a score outside
-    −1..1), instead of failing the whole write."""
+def feedback_violation():
+    """Predicate of feedback rows with an unknown type or a score outside −1..1."""
+    from ..operators.quality import FEEDBACK_TYPES, SCORE_RANGE_CENTI
+    return (~F.coalesce(F.col("feedback_type").isin(*FEEDBACK_TYPES), F.lit(False))
+            | F.coalesce(~F.col("score_centi").between(*SCORE_RANGE_CENTI), F.lit(False)))
+
+
+def split_checked(df: DataFrame, violation) -> tuple[DataFrame, DataFrame]:
+    """(rows that pass a data-quality predicate, rejected rows); a null verdict rejects."""
     ok = F.coalesce(~violation, F.lit(False))
-    append_parquet(df.filter(ok), path)
-    return df.filter(~ok)
+    return df.filter(ok), df.filter(~ok)
+
+
+def append_checked(df: DataFrame, path: str, violation) -> DataFrame:
+    """Append the rows that pass and return the rejected ones, instead of
+    failing the whole write."""
+    passed, rejected = split_checked(df, violation)
+    append_parquet(passed, path)
+    return rejected
 
 
 def new_messages(messages: DataFrame) -> DataFrame:

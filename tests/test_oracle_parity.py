@@ -5,13 +5,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from parley.plans import catalog
 from parley.sources.tables import DRIVER_TABLES
 from scripts_check import digest, type_mismatches
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
