@@ -93,4 +93,8 @@ DESCRIPTIONS = {
     "conversation_of_owner": "one conversation by id and owner with its messages",
     "kept_history": "messages that stay when an answer is regenerated",
     "history_list": "conversation ids per owner after new ones are put in front",
+    "embedded_users": "embedded-form users in canonical columns",
+    "embedded_conversations": "embedded-form conversations in canonical columns",
+    "embedded_messages": "embedded-form messages in canonical columns",
+    "embedded_model_versions": "embedded-form model versions in canonical columns",
 }

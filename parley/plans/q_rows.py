@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import embedded as E
 from ..operators import history as H
 from ..sources import sinks as S
 from ..sources.fixtures import chat_tables
@@ -155,3 +156,47 @@ def q_history_list(spark, sf_dir):
     c = chat_tables(spark, sf_dir).conversations
     ids = H.prepend_history(c, c.filter(F.col("id") % 10 == 0).select("id", "user_id"))
     return ids.select("user_id", F.md5(F.array_join("ids", ",")).alias("ids_md5"), F.size("ids").cast("bigint").alias("n"))
+
+
+def _text_time(seconds):
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+
+
+@register("embedded_users", W("""
+select id, email, username, case when id % 3 = 0 then subscription_tier else 'free' end as subscription_tier, is_active,
+       case when id % 2 = 0 then id * 1000 end as last_login_s from users""", "users"))
+def q_embedded_users(spark, sf_dir):
+    i = F.col("id")
+    u = chat_tables(spark, sf_dir).users
+    return E.users(u.select("id", "email", "username", F.when(i % 3 == 0, F.col("subscription_tier")).alias("subscription_tier"),
+                            F.col("is_active").cast("int").alias("is_active"),
+                            F.when(i % 2 == 0, _text_time(i * 1000)).otherwise(F.lit("never")).alias("last_login")))
+
+
+@register("embedded_conversations", W("""
+select id, user_id, title, case when id % 2 = 0 then model_version else 'deepseek-chat' end as model_version, system_prompt,
+       created_s, updated_s, is_archived from conversations_hdr""", "conversations_hdr"))
+def q_embedded_conversations(spark, sf_dir):
+    c = chat_tables(spark, sf_dir).conversations
+    return E.conversations(c.select(
+        "id", "user_id", "title", F.when(F.col("id") % 2 == 0, F.col("model_version")).alias("model_version"), "system_prompt",
+        _text_time("created_s").alias("created_at"), _text_time("updated_s").alias("updated_at"),
+        F.when(F.col("is_archived"), 1).alias("is_archived")))
+
+
+@register("embedded_messages", W("""
+select id, conversation_id, role, content, model_version, nullif(inference_time_ms, 0) as inference_time_ms, created_s
+from messages""", "messages"))
+def q_embedded_messages(spark, sf_dir):
+    m = chat_tables(spark, sf_dir).messages
+    return E.messages(m.withColumn("inference_time_ms", F.coalesce("inference_time_ms", F.lit(0)))
+                       .withColumn("created_at", _text_time("created_s")))
+
+
+@register("embedded_model_versions", W("""
+select version_name, 'custom' as model_type, '{}' as config, is_active from model_versions""", "model_versions"))
+def q_embedded_versions(spark, sf_dir):
+    v = chat_tables(spark, sf_dir).model_versions
+    return E.model_versions(v.select(F.split_part("version_name", F.lit("-"), F.lit(1)).alias("name"),
+                                     F.split_part("version_name", F.lit("-"), F.lit(2)).alias("version"),
+                                     F.when(F.col("is_active"), 1).otherwise(0).alias("is_active")))
