@@ -51,7 +51,7 @@ def test_feedback_dataset_previous_user(spark):
         (20, 2, 0, "system", "s", 0), (21, 2, 1, "assistant", "a2", 60),
         (30, 3, 0, "assistant", "a3", 0), (31, 3, 1, "user", "last", 60)], MSG)
     f = spark.createDataFrame([(1, 12, 7, "thumbs_up", 50, 200), (2, 21, 7, "thumbs_up", 10, 200),
-                               (3, 30, 7, "report", -20, 200), (4, 12, 8, "thumbs_down", None, 200)], FBK)
+                               (3, 30, 7, "report", -20, 200), (4, 12, 8, "thumbs_down", None, 200)], FBK).selectExpr("*", "cast(null as string) as feedback_text")
     rows = FB.feedback_dataset(m, f).collect()
     assert [(r.query, r.response, r.score_centi) for r in rows] == [("u2", "a1", 50)]
 
@@ -60,7 +60,7 @@ def test_feedback_stats_null_average_is_zero(spark):
     m = spark.createDataFrame([(1, 1, 0, "assistant", "a", 0)], MSG)
     c = spark.createDataFrame([(1, 5)], "id bigint, user_id bigint")
     f = spark.createDataFrame([(1, 1, 9, "report", None, 0), (2, 1, 9, "report", None, 0),
-                               (3, 1, 9, "thumbs_up", 0, 0)], FBK)
+                               (3, 1, 9, "thumbs_up", 0, 0)], FBK).selectExpr("*", "cast(null as string) as feedback_text")
     got = {r.feedback_type: (r.avg_score, r.feedback_count) for r in FB.feedback_stats(f, m, c).collect()}
     assert got == {"report": (0.0, 2), "thumbs_up": (0.0, 1)}
 
@@ -84,7 +84,7 @@ def test_evaluation_strictly_later_and_min_count(spark):
         (1, 1, 0, "user", "q", 100), (2, 1, 1, "assistant", "same-time", 100),
         (3, 1, 2, "assistant", "later", 160), (4, 1, 3, "assistant", "once", 170)], MSG)
     f = spark.createDataFrame([(1, 2, 1, "t", 10, 0), (2, 2, 1, "t", 20, 0), (3, 3, 1, "t", 30, 0),
-                               (4, 3, 1, "t", 50, 0), (5, 4, 1, "t", 90, 0)], FBK)
+                               (4, 3, 1, "t", 50, 0), (5, 4, 1, "t", 90, 0)], FBK).selectExpr("*", "cast(null as string) as feedback_text")
     rows = PR.evaluation_dataset(m, f).collect()
     assert [(r.response, r.avg_score) for r in rows] == [("later", 0.4)]
 
@@ -123,7 +123,7 @@ def test_chunks_edge_cases(spark):
     got = {r.message_id: r.content for r in CH.assemble_chunks(df).collect()}
     assert got == {1: "Hello", 3: ""}
     stats = {r.message_id: r.n_malformed for r in CH.chunk_stats(df).collect()}
-    assert stats[1] == 1 and stats[3] == 2
+    assert stats[1] == 1 and stats[3] == 0     # valid JSON without choices is skipped, not malformed
 
 
 def test_unknown_task_types(spark):
@@ -134,7 +134,7 @@ def test_unknown_task_types(spark):
         "id bigint, agent_type string, task_type string, input_data string")
     conv = spark.createDataFrame([(1, 1, 0, False)], "id bigint, user_id bigint, created_s bigint, is_archived boolean")
     msgs = spark.createDataFrame([(1, 1, 0, "assistant", "a", 0)], MSG)
-    fb = spark.createDataFrame([], FBK)
+    fb = spark.createDataFrame([], FBK).selectExpr("*", "cast(null as string) as feedback_text")
     out = {r.id: r for r in TK.dispatch_tasks(tasks, conv, fb, msgs, 10**6).collect()}
     assert out[1].status == "completed" and out[1].output_data == '{"status":"submitted"}'
     assert out[2].status == "failed" and out[2].error_message.startswith("unsupported")
@@ -182,7 +182,7 @@ def test_pairing_next_and_latest_context(spark):
     m = spark.createDataFrame([
         (1, 1, 0, "user", "q1", 0), (2, 1, 1, "assistant", "a1", 60),
         (3, 1, 2, "user", "q2", 120), (4, 1, 3, "assistant", "a2", 180)], MSG)
-    f = spark.createDataFrame([(1, 2, 1, "t", 10, 0), (2, 4, 1, "t", 30, 0)], FBK)
+    f = spark.createDataFrame([(1, 2, 1, "t", 10, 0), (2, 4, 1, "t", 30, 0)], FBK).selectExpr("*", "cast(null as string) as feedback_text")
     later = {(r.query, r.response) for r in PR.query_answer_pairs(m, f, "later").collect()}
     nxt = {(r.query, r.response) for r in PR.query_answer_pairs(m, f, "next").collect()}
     assert later == {("q1", "a1"), ("q1", "a2"), ("q2", "a2")}
@@ -255,3 +255,65 @@ def test_tokens_strip_duration_match_python(spark):
     assert [r[0] for r in rows] == [len(t.split()) for t in texts]
     assert [r[1] for r in rows] == [t.strip() for t in texts]
     assert [r[2] for r in rows] == [dur(m) for m in ms]
+
+
+def test_long_conversations_keep_their_ids_apart(spark, scratch):
+    """More than a thousand turns: no id meets one of the next conversation."""
+    from parley.sources.fixtures import chat_tables
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t}") for c in (0, 1, 2) for t in range(1500)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(scratch + "/conversations.parquet")
+    t = chat_tables(spark, scratch)
+    assert t.messages.select("id").distinct().count() == len(rows)
+    assert t.feedback.select("id").distinct().count() == t.feedback.count()
+
+
+def test_positions_are_derived_where_there_are_none(spark):
+    from conftest import SF_SMALL
+    from parley.operators import feedback as FB
+    from parley.operators import history as H
+    from parley.sources.fixtures import chat_tables
+    t = chat_tables(spark, SF_SMALL)
+    bare = t.messages.drop("turn")
+    assert sorted(FB.feedback_dataset(bare, t.feedback).collect()) == sorted(FB.feedback_dataset(t.messages, t.feedback).collect())
+    assert sorted(H.regenerate_requests(bare).collect()) == sorted(H.regenerate_requests(t.messages).collect())
+
+
+def test_finish_chunk_text_and_late_chunks(spark):
+    from parley.operators import chunks as CH
+    def line(text, reason="null"):
+        return 'data: {"choices":[{"delta":{"content":"%s"},"finish_reason":%s}]}' % (text, reason)
+    rows = [(1, 2, line("LAST", '"stop"')), (1, 0, line("a ")), (1, 1, line("b ")), (1, 3, line("after")), (1, 4, "data: [DONE]"),
+            (2, 0, line("never finished")), (3, 0, 'data: {"usage":{}}'), (3, 1, "data: {bad"), (3, 2, "data: [DONE]")]
+    df = spark.createDataFrame(rows, "message_id long, seq long, line string")
+    assert sorted(tuple(r) for r in CH.assemble_chunks(df).collect()) == [(1, "a b LAST"), (3, "")]
+    kinds = {(r.message_id, r.seq): r.kind for r in CH.parse_chunks(df).collect()}
+    assert kinds[3, 0] == "ignored" and kinds[3, 1] == "malformed" and kinds[1, 2] == "finish"
+
+
+def test_last_start_wins_and_completion_clears_the_error(spark):
+    from parley.operators import tasks as TK
+    ev = [(1, "running", 10, None, None), (1, "failed", 20, "boom", None), (1, "running", 30, None, None), (1, "completed", 40, None, "ok")]
+    df = spark.createDataFrame(ev, "session_id long, status string, ts_s long, error_message string, output_data string")
+    r = TK.session_state(df).first()
+    assert (r.status, r.started_s, r.completed_s, r.error_message) == ("completed", 30, 40, None)
+    kept = TK.status_rollup(df, "session_id").first()
+    assert kept.started_s == 30 and kept.error_message == "boom"
+
+
+def test_unique_keys_are_columns_not_joined_text(spark):
+    from parley.operators import quality as Q
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), (None, "x"), ("d", "d"), ("d", "d")], "k string, l string")
+    assert [tuple(r) for r in Q.duplicate_keys(df, "t", ["k", "l"]).collect()] == [("t", "k,l", '["d","d"]', 2)]
+
+
+def test_request_config_keeps_its_types(spark):
+    import json
+    from parley.operators import tasks as TK
+    rows = [("6f1c-uuid", "trainer", "start_rlhf_training", '{"lr": 0.5, "opt": {"k": [1, 2]}, "user_id": "u-1"}'),
+            ("7", "trainer", "start_rlhf_training", "not json")]
+    df = spark.createDataFrame(rows, "id string, agent_type string, task_type string, input_data string")
+    enc = TK.encode_requests(df)
+    values = {r.key: json.loads(r.value) for r in enc.collect()}
+    assert values["6f1c-uuid"]["config"] == {"lr": 0.5, "opt": {"k": [1, 2]}, "user_id": "u-1"} and values["7"]["config"] == {}
+    dec = {r.task_id: r.config_user_id for r in TK.decode_requests(enc).collect()}
+    assert dec == {"6f1c-uuid": "u-1", "7": None}

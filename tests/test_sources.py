@@ -20,7 +20,7 @@ def test_topic_file_round_trip(spark, scratch):
     assert sorted(back.select("topic", "key", "value").collect()) == sorted(rec.collect())
     dec = TK.decode_requests(back)
     assert dec.filter(F.col("task_id").isNull()).count() == 0
-    assert {r.type for r in dec.select("type").distinct().collect()} <= {"rlhf_training", "model_evaluation"}
+    assert {r.type for r in dec.select("type").distinct().collect()} == {"rlhf_training", "supervised_training", "model_evaluation"}
 
 
 def test_new_rows_get_defaults(spark):
