@@ -210,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         run, "label int, lines long, features binary").collect()
     if not sample:
         return LineField()
+    sample.sort(key=lambda r: (r.label, bytes(r.features)))  # sums in one order, whatever order the rows came in
     features = np.frombuffer(b"".join(bytes(r.features) for r in sample), dtype=np.float32).reshape(-1, FEATURES).astype(np.float64)
     counts = np.array([r.lines for r in sample])
     return LineField().fit(features, np.repeat([int(r.label > 0) for r in sample], counts), counts)
