@@ -55,152 +55,128 @@ def rate_limit_fold(ts_us: np.ndarray, limit: int, ttl_us: int, state=None):
     return allowed, remaining, (count, last)
 
 
-def _fold_scan(sorted_rows: DataFrame, group_cols: list[str], out_cols: list[str], schema: str,
-               limit: int, ttl_us: int) -> DataFrame:
-    """Ordered scan of partitions sorted by (group, ts, id): the limiter state
-    restarts at every new group and is carried across Arrow batches."""
+def _reset_chain(ts: np.ndarray, limit: int, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a reset of the counter at each row: the (count, last accepted) state
+    after all rows of ``ts``.
+
+    A reset at row i accepts a run of rows and leads to one next reset: the
+    first idle gap in the run, or the first row after the run's last + ttl.
+    That map is monotone; following it to its end for all rows at once takes
+    log2 steps of index doubling."""
+    n, i = len(ts), np.arange(len(ts))
+    gaps = np.append(np.flatnonzero(np.diff(ts) >= ttl_us) + 1, n)
+    gap = gaps[np.searchsorted(gaps, i, side="right").clip(max=len(gaps) - 1)]
+    full = i + limit
+    expiry = np.searchsorted(ts, ts[np.minimum(full, n) - 1] + ttl_us, side="left")
+    after = np.where(gap < np.minimum(full, n), gap, np.where(full <= n, expiry, n))
+    jump = np.where(after < n, after, i)
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        jump = further
+    return np.minimum(limit, n - jump), ts[np.minimum(jump + limit, n) - 1]
+
+
+def _bucket_map(ts: np.ndarray, limit: int, ttl_us: int) -> dict:
+    """What a bucket of one key's rows does to any state that may enter it: the
+    states after its first rows, as far as an entering counter can last (one
+    ttl and one run of accepted rows), and its size and last time."""
+    n = len(ts)
+    count, last = _reset_chain(ts, limit, ttl_us)
+    reach = max(limit, int(np.searchsorted(ts, ts[min(limit, n) - 1] + ttl_us, side="left")))
+    head = min(n, max(reach, int(np.searchsorted(ts, ts[0] + ttl_us, side="left"))) + 1)
+    return {"n": n, "end_us": int(ts[-1]), "head": ts[:head].tolist(), "counts": count[:head].tolist(), "lasts": last[:head].tolist()}
+
+
+def _through(state: tuple[int, int | None], m: dict, limit: int, ttl_us: int) -> tuple[int, int | None]:
+    """The state after a bucket, from the state before it and the bucket's map."""
+    count, last = state
+    head = np.asarray(m["head"], dtype=np.int64)
+
+    def reset_at(j: int, else_state):
+        return (int(m["counts"][j]), int(m["lasts"][j])) if j < len(head) else else_state
+
+    if last is None or head[0] - last >= ttl_us:
+        return reset_at(0, state)
+    if count < limit:
+        more = limit - count
+        run = head[:min(more, len(head))]
+        gaps = np.flatnonzero(np.diff(run) >= ttl_us) + 1
+        if len(gaps):
+            return reset_at(int(gaps[0]), state)
+        if m["n"] < more:
+            return count + m["n"], m["end_us"]
+        last = int(head[more - 1])
+    return reset_at(int(np.searchsorted(head, last + ttl_us, side="left")), (limit, last))
 
-    def scan(batches):
-        cur, state = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            groups = list(zip(*[pdf[c].tolist() for c in group_cols]))
-            ts = pdf["ts_us"].to_numpy()
-            allowed = np.zeros(len(pdf), dtype=bool)
-            remaining = np.zeros(len(pdf), dtype=np.int64)
-            start = 0
-            for i in range(1, len(pdf) + 1):
-                if i == len(pdf) or groups[i] != groups[start]:
-                    if groups[start] != cur:
-                        cur, state = groups[start], None
-                    a, rem, state = rate_limit_fold(ts[start:i], limit, ttl_us, state)
-                    allowed[start:i], remaining[start:i] = a, rem
-                    start = i
-            out = pdf[out_cols].copy()
-            out["allowed"] = allowed
-            out["remaining"] = remaining
-            yield out
-
-    return sorted_rows.mapInPandas(scan, schema)
 
+def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
+                         keys: tuple[str, ...] = ("user_id", "endpoint"), bucket_ttls: int = 64) -> DataFrame:
+    """Allow / deny every request as the idle-reset limiter would have.
 
-def idle_segments(requests: DataFrame, ttl_s: int, keys: list[str],
-                  num_partitions: int | None = None) -> DataFrame:
-    """Cut every key's request timeline at idle gaps of at least ``ttl_s``.
+    Each key's timeline is cut into buckets of ``bucket_ttls`` ttls; buckets,
+    not keys, are the unit of work, so a key with a third of all requests is
+    spread over as many tasks as it has buckets, with or without idle gaps.
 
-    Such a gap always resets the limiter (its last accepted request is at
-    most the previous request), so segments are independent units of work
-    and a hot key with idle periods is spread over many tasks.
+    1. Every bucket publishes its map from entering to leaving state
+       (``_bucket_map``): about 1 / ``bucket_ttls`` of its rows.
+    2. A key's maps are applied in time order in one ordered scan (O(1) state),
+       which gives each bucket the state it starts from.
+    3. All buckets decide their rows from there, in parallel.
 
-    Plan: range-partition the global (key, ts, id) order, so a hot key spans
-    many partitions in order, and checkpoint it to the cluster's shared folder,
-    so both passes see identical partitions.  Pass 1 summarises each partition
-    (first row, last row, last segment start: one row for each partition, not
-    for each row of data), which the driver chains.  Pass 2 labels every row
-    with the time of its segment's first request; within a key two segments
-    cannot start at the same time.  Ids may have any type.
+    Lazy: nothing runs while the query is built.  Ids may have any type; a key
+    column may be null.  Requests without a time are left out.
     """
-    from ..session import ensure_checkpoint_dir
-
-    spark = requests.sparkSession
-    ensure_checkpoint_dir(spark)
-    ttl_us = ttl_s * 1_000_000
-    r = requests.select(*keys, "id", F.unix_micros("ts").alias("ts_us"),
-                        F.to_json(F.struct(*keys)).alias("_k"))
-    order = [*keys, "ts_us", "id"]
-    ranged = r.repartitionByRange(num_partitions, *order) if num_partitions else r.repartitionByRange(*order)
-    ranged = (ranged.sortWithinPartitions(*order)
-               .withColumn("_pid", F.spark_partition_id())
-               .checkpoint(eager=True))
-
-    def boundaries(k, t, prev_k, prev_t):
-        pk = np.empty(len(k), dtype=object)
-        pt = np.empty(len(t), dtype=np.int64)
-        pk[1:], pt[1:] = k[:-1], t[:-1]
-        pk[0], pt[0] = prev_k, (prev_t if prev_t is not None else 0)
-        return (k != pk) | (t - pt >= ttl_us)
-
-    def summarize(batches):
-        first = last = last_start = None
-        pid = None
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    ks, ttl_us = list(keys), ttl_s * 1_000_000
+    kinds = {c: requests.schema[c].dataType.simpleString() for c in [*ks, "id"]}
+    rows = requests.filter(F.col("ts").isNotNull()).select(
+        *ks, "id", F.unix_micros("ts").alias("ts_us"), F.to_json(F.struct(*ks), {"ignoreNullFields": "false"}).alias("_k")).withColumn(
+        "_bucket", F.floor(F.col("ts_us") / F.lit(ttl_us * bucket_ttls)))
+
+    def publish(pdf):
+        m = _bucket_map(np.sort(pdf["ts_us"].to_numpy()), limit, ttl_us)
+        return pd.DataFrame([{"_k": pdf["_k"].iloc[0], "_bucket": int(pdf["_bucket"].iloc[0])} | m])
+
+    maps = rows.select("_k", "_bucket", "ts_us").groupBy("_k", "_bucket").applyInPandas(
+        publish, "_k string, _bucket bigint, n bigint, end_us bigint, head array<bigint>, counts array<bigint>, lasts array<bigint>")
+
+    def enter(batches):
+        key, state = None, (0, None)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            k, t = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy()
-            st = boundaries(k, t, None if last is None else last[0], None if last is None else last[1])
-            if first is None:
-                pid = int(pdf["_pid"].iloc[0])
-                first = (k[0], int(t[0]))
-                st[0] = False                       # decided by the previous partition
-            hit = np.nonzero(st)[0]
-            if len(hit):
-                last_start = int(t[hit[-1]])
-            last = (k[-1], int(t[-1]))
-        if first is not None:
-            yield pd.DataFrame({"pid": [pid], "first_k": [first[0]], "first_ts": [first[1]],
-                                "last_k": [last[0]], "last_ts": [last[1]], "ls_ts": [last_start]})
-
-    summary = ranged.select("_k", "ts_us", "_pid").mapInPandas(
-        summarize, "pid int, first_k string, first_ts bigint, last_k string, last_ts bigint, ls_ts bigint").collect()
-    info, prev, active = {}, None, None
-    for s_ in sorted(summary, key=lambda x: x.pid):
-        row0_start = (prev is None or prev.last_k != s_.first_k or s_.first_ts - prev.last_ts >= ttl_us)
-        carry = None if row0_start else active
-        info[s_.pid] = (row0_start, carry)
-        active = s_.ls_ts if s_.ls_ts is not None else s_.first_ts if row0_start else carry
-        prev = s_
-    bc = spark.sparkContext.broadcast(info)
-
-    out_schema = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys) + \
-        f", id {requests.schema['id'].dataType.simpleString()}, ts_us bigint, _seg_ts bigint"
-
-    def label(batches):
-        last, seg = None, None
+            out = []
+            for m in pdf.to_dict("records"):
+                if m["_k"] != key:
+                    key, state = m["_k"], (0, None)
+                out.append((key, m["_bucket"], state[0], -1 if state[1] is None else state[1], state[1] is not None))
+                state = _through(state, m, limit, ttl_us)
+            yield pd.DataFrame(out, columns=["_k", "_bucket", "_count", "_last", "_some"])
+
+    entries = maps.repartition("_k").sortWithinPartitions("_k", "_bucket").mapInPandas(
+        enter, "_k string, _bucket bigint, _count bigint, _last bigint, _some boolean")
+
+    def decide(batches):
+        key, state = None, (0, None)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            k, t = pdf["_k"].to_numpy(dtype=object), pdf["ts_us"].to_numpy()
-            st = boundaries(k, t, None if last is None else last[0], None if last is None else last[1])
-            if last is None:
-                row0_start, seg = bc.value[int(pdf["_pid"].iloc[0])]
-                st[0] = row0_start
-            ff = np.maximum.accumulate(np.where(st, np.arange(len(st)), -1))
-            seg_ts = np.where(ff >= 0, t[np.maximum(ff, 0)], seg if seg is not None else 0)
-            out = pdf[keys + ["id", "ts_us"]].copy()
-            out["_seg_ts"] = seg_ts.astype(np.int64)
-            last, seg = (k[-1], int(t[-1])), int(seg_ts[-1])
+            allowed = np.zeros(len(pdf), dtype=bool)
+            remaining = np.zeros(len(pdf), dtype=np.int64)
+            ts, bucket, names = pdf["ts_us"].to_numpy(), pdf["_bucket"].to_numpy(), pdf["_k"].to_numpy(dtype=object)
+            starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (names[1:] != names[:-1])))) if len(pdf) else []
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                if (names[a], bucket[a]) != key:
+                    key = (names[a], bucket[a])
+                    state = (int(pdf["_count"].iloc[a]), int(pdf["_last"].iloc[a]) if pdf["_some"].iloc[a] else None)
+                allowed[a:b], remaining[a:b], state = rate_limit_fold(ts[a:b], limit, ttl_us, state)
+            out = pdf[ks + ["id"]].copy()
+            out["allowed"], out["remaining"] = allowed, remaining
             yield out
 
-    return ranged.mapInPandas(label, out_schema)
-
-
-def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
-                         keys: tuple[str, ...] = ("user_id", "endpoint"),
-                         split_at_idle: bool = True, num_partitions: int | None = None) -> DataFrame:
-    """Allow / deny every request as the idle-reset limiter would have.
-
-    With ``split_at_idle`` (default) each key's timeline is first cut into
-    independent segments at idle gaps ≥ ttl (``idle_segments``), and segments,
-    not keys, are distributed.  Each segment is decided by one ordered scan:
-    hash-partition by segment, sort by (segment, ts, id), then carry the
-    limiter state from row to row (``mapInPandas`` over Arrow batches).
-    Memory is one batch plus O(1) state.  Without idle gaps a key's traffic is
-    one sequential segment, which the limiter's semantics require.
-    """
-    ks = list(keys)
-    key_types = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in ks)
-    schema = f"{key_types}, id {requests.schema['id'].dataType.simpleString()}, allowed boolean, remaining bigint"
-    ttl_us = ttl_s * 1_000_000
-    if split_at_idle:
-        seg = idle_segments(requests, ttl_s, ks, num_partitions)
-        group = ks + ["_seg_ts"]
-        rows = seg.repartition(*group).sortWithinPartitions(*group, "ts_us", "id")
-    else:
-        group = ks
-        r = requests.select(*ks, "id", F.unix_micros("ts").alias("ts_us"))
-        rows = r.repartition(*ks).sortWithinPartitions(*ks, "ts_us", "id")
-    return _fold_scan(rows, group, ks + ["id"], schema, limit, ttl_us)
+    known = (rows.join(entries, ["_k", "_bucket"]).repartition("_k", "_bucket")
+             .sortWithinPartitions("_k", "_bucket", "ts_us", "id"))
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", allowed boolean, remaining bigint"
+    return known.select(*ks, "id", "ts_us", "_k", "_bucket", "_count", "_last", "_some").mapInPandas(decide, schema)
 
 
 # ------------------------------------------------------------ windows

@@ -116,17 +116,37 @@ def _brute_limiter(pdf, limit, ttl_s, keys):
     return want
 
 
-@pytest.mark.parametrize("ttl_s,parts", [(60, 3), (3600, 16), (7200, 64), (86400, 7)])
-def test_idle_segmentation_across_partitions(spark, ttl_s, parts):
+@pytest.mark.parametrize("ttl_s,span", [(60, 64), (3600, 2), (7200, 1), (86400, 3)])
+def test_limiter_buckets_equal_brute_force(spark, ttl_s, span):
     r = chat_tables(spark, SF_SMALL).requests
     r = r.withColumn("user_id", F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("user_id")))
-    got = {row.id: (row.allowed, row.remaining)
-           for row in RQ.rate_limit_decisions(r, 3, ttl_s, num_partitions=parts).collect()}
+    got = {row.id: (row.allowed, row.remaining) for row in RQ.rate_limit_decisions(r, 3, ttl_s, bucket_ttls=span).collect()}
     pdf = r.select("id", "user_id", "endpoint", F.unix_micros("ts").alias("t")).toPandas()
     assert got == _brute_limiter(pdf, 3, ttl_s, ["user_id", "endpoint"])
-    seg = RQ.idle_segments(r, ttl_s, ["user_id", "endpoint"], parts)
-    hot = seg.filter("user_id = 1").select("_seg_ts").distinct().count()
-    assert hot > 1            # the hot key is split into several independent segments
+
+
+@pytest.mark.parametrize("limit", [1, 4, 25])
+def test_gap_free_key_spread_over_buckets(spark, limit):
+    """One key without an idle gap, over many buckets; a null key beside it."""
+    n, ttl_s = 3000, 60
+    r = spark.range(n).select("id", F.when(F.col("id") % 10 != 0, F.lit(1)).alias("user_id"), F.lit("/x").alias("endpoint"),
+                              F.timestamp_micros(F.col("id") * 7_000_000 + F.pmod(F.xxhash64("id"), F.lit(5_000_000))).alias("ts"))
+    got = RQ.rate_limit_decisions(r, limit, ttl_s, bucket_ttls=8).collect()
+    pdf = r.select("id", F.coalesce("user_id", F.lit(-1)).alias("user_id"), "endpoint", F.unix_micros("ts").alias("t")).toPandas()
+    assert {x.id: (x.allowed, x.remaining) for x in got} == _brute_limiter(pdf, limit, ttl_s, ["user_id", "endpoint"])
+    assert n * 7 / (8 * ttl_s) > 40   # buckets of the dense key
+
+
+def test_bucket_maps_equal_the_fold_for_any_state():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for trial in range(400):
+        limit, ttl = int(rng.integers(1, 6)), int(rng.integers(2, 40))
+        ts = np.sort(rng.integers(100, 100 + int(rng.integers(1, 400)), int(rng.integers(1, 60))))
+        m = RQ._bucket_map(ts, limit, ttl)
+        states = [(0, None)] + [(int(rng.integers(1, limit + 1)), int(ts[0] - rng.integers(0, ttl + 3))) for _ in range(8)]
+        for state in states:
+            assert RQ._through(state, m, limit, ttl) == RQ.rate_limit_fold(ts, limit, ttl, state)[2], (trial, state)
 
 
 def test_rate_limiter_takes_text_ids_and_jumps(spark):
