@@ -9,12 +9,15 @@ documents form one group (connected components).
    at similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 2. Documents with the same set are one class; from here on only one
    representative of each class takes part.
-3. Candidates come from band buckets without listing a bucket's pairs: in each
-   round a bucket's most connected member is its pivot, and only members that
-   are not yet in the pivot's component are compared to it.  Rounds go on until
-   every bucket lies within one component or all its pairs have been compared,
-   so no candidate is left out; buckets of at most ``SMALL`` members are
-   compared in one go.
+3. Candidates come from band buckets without listing a bucket's pairs.  First
+   each class meets the most connected member (the pivot) of all its buckets,
+   then the pivot of each bucket whose component it is not yet in.  What is left
+   of a bucket are pairs of members in different components: if they are at most
+   ``LINEAR`` times its members, they are listed; else they are compared in
+   blocks of at most ``BLOCK`` by ``BLOCK`` members, each pair in the first
+   bucket it shares, and only verified links leave a block.  The bulk of a group
+   of copies falls into one component in the first steps, so blocks are made of
+   the few others against the rest.  No candidate pair is left out.
 4. A candidate pair's signatures are compared in batches of 32 values.  After n
    values with m matches the posterior probability (uniform prior) that the
    similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); the
@@ -50,7 +53,8 @@ THRESHOLD = (80, 100)
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
-SMALL = 8
+LINEAR = 8
+BLOCK = 256
 SEED = 7
 #: Bytes of text worked on at once.
 CHUNK_BYTES = 1 << 20
@@ -228,19 +232,68 @@ def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int
     return full.mapInArrow(_confirm(shingle, threshold), "a long, b long")
 
 
-def _candidates(buckets: DataFrame, first: bool) -> DataFrame:
-    """(a, b) to compare from (band, uid, degree, c) rows of buckets with several components."""
-    pivots = buckets.groupBy("band").agg(
-        F.max(F.struct("degree", (-F.col("uid")).alias("u"), "c")).alias("p"), F.count(F.lit(1)).alias("size")).select(
-        "band", (-F.col("p.u")).alias("b"), F.col("p.degree").alias("b_degree"), F.col("p.c").alias("b_c"), "size")
-    to_pivot = buckets.join(pivots, "band").filter("c <> b_c").select(F.col("uid").alias("a"), "b", "b_degree")
-    if first:
-        # At first each class meets only the best pivot of all its buckets.
-        return to_pivot.groupBy("a").agg(F.max(F.struct("b_degree", "b")).alias("p")).select("a", "p.b")
-    small = buckets.join(pivots.filter(F.col("size") <= SMALL).select("band"), "band", "left_semi")
-    other = small.select("band", F.col("uid").alias("b"), F.col("c").alias("b_c"))
-    among = small.join(other, "band").filter("c <> b_c and uid > b").select(F.col("uid").alias("a"), "b")
-    return to_pivot.select("a", "b").unionByName(among)
+def _block_links(shingle: int, threshold: tuple[int, int]):
+    """Verified links between the two sides of one block (side 0: members outside
+    the bucket's largest component, side 1: members)."""
+    least = least_matches(threshold)
+
+    def run(key, block):
+        import pandas as pd
+
+        def side(k):
+            rows = block[block["side"] == k]
+            texts = rows["text"].tolist()
+            return (rows["uid"].to_numpy(), rows["c"].to_numpy(), rows["n"].to_numpy(), np.array(rows["bands"].tolist(), dtype=np.int64),
+                    np.frombuffer(b"".join(rows["signature"]), dtype=np.uint32).reshape(len(rows), BANDS * ROWS), texts)
+
+        own, other = side(0), side(1)
+        if not len(own[0]) or not len(other[0]):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        sets = shingle_sets(other[5], shingle)
+        root = {c: c for c in {*own[1].tolist(), *other[1].tolist()}}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        found = []
+        for i, mine in enumerate(shingle_sets(own[5], shingle)):
+            shared = own[3][i] == other[3]
+            rows = np.flatnonzero((own[1][i] != other[1]) & shared.any(axis=1)
+                                  & (threshold[1] * np.minimum(own[2][i], other[2]) >= threshold[0] * np.maximum(own[2][i], other[2])))
+            rows = rows[own[3][i][shared[rows].argmax(axis=1)] == key[0]]
+            matches = np.zeros(len(rows), dtype=np.int64)
+            for k, fewest in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matches = matches + (own[4][i, part] == other[4][rows, part]).sum(axis=1)
+                rows, matches = rows[matches >= fewest], matches[matches >= fewest]
+            for j in rows[np.argsort(-matches, kind="stable")].tolist():
+                x, y = find(int(own[1][i])), find(int(other[1][j]))
+                if x == y:
+                    continue  # linked already
+                both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                if threshold[1] * both >= threshold[0] * (len(mine) + len(sets[j]) - both):
+                    root[max(x, y)] = min(x, y)
+                    found.append((int(own[0][i]), int(other[0][j])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    return run
+
+
+def _with_components(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(band, uid, degree, c) of the buckets that hold several components."""
+    if component is None:
+        state = rows.withColumn("c", F.col("uid"))
+    else:
+        state = rows.join(component, rows["uid"] == component["node"], "left").select(
+            "band", "uid", "degree", F.coalesce("component", "uid").alias("c"))
+    several = state.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
+    return save(state.join(several, "band", "left_semi"))
+
+
+def _pivots(state: DataFrame) -> DataFrame:
+    return state.groupBy("band").agg(F.max(F.struct("degree", (-F.col("uid")).alias("u"), "c")).alias("p")).select(
+        "band", (-F.col("p.u")).alias("b"), F.col("p.degree").alias("b_degree"), F.col("p.c").alias("b_c"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -248,7 +301,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, threshold: tuple[int, int]):
-    """(classes, links): the classes of equal sets and the verified pairs that connect them."""
+    """(classes, components): the classes of equal sets and (node, component) of the linked ones."""
     classes = save(signed.filter("n > 0").groupBy("set_key").agg(
         F.min("id").alias("id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"),
         F.first("signature").alias("signature"), F.first("bands").alias("bands"))
@@ -258,39 +311,51 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
     rows = save(exploded.join(shared, "band"))
     degree = rows.groupBy("uid").agg(F.sum("size").alias("degree"))
     rows = save(rows.join(degree, "uid").select("band", "uid", "degree"))
-    wanted = classes.join(rows.select("uid").distinct(), "uid", "left_semi").select("uid", "text_key")
+    wanted = classes.join(degree.select("uid"), "uid", "left_semi").select("uid", "text_key")
     carried = docs.select(F.md5(F.col(text_col).cast("binary")).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     texts = save(carried.join(wanted, "text_key").groupBy("uid").agg(F.first("text").alias("text")))
-    links = tested = component = None
-    first = True
-    while True:
-        if component is None:
-            state = rows.withColumn("c", F.col("uid"))
-        else:
-            state = rows.join(component, rows["uid"] == component["node"], "left").select(
-                "band", "uid", "degree", F.coalesce("component", "uid").alias("c"))
-        open_bands = state.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-        state = save(state.join(open_bands, "band", "left_semi"))
-        if state.isEmpty():
-            break
-        pairs = _ordered(_candidates(state, first))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = save(_verify(pairs, classes, texts, shingle, threshold))
-        links = found if links is None else links.unionByName(found)
-        component = components(links, "a", "b")
-        if not first:
-            # The pivots have met all others of their buckets, and small buckets are done.
-            done = state.groupBy("band").agg(F.max(F.struct("degree", (-F.col("uid")).alias("u"))).alias("p"),
-                                             F.count(F.lit(1)).alias("size")).select("band", (-F.col("p.u")).alias("pivot"), "size")
-            rows = save(state.join(done, "band").filter((F.col("uid") != F.col("pivot")) & (F.col("size") > SMALL))
-                        .select("band", "uid", "degree"))
-        else:
-            rows = state.select("band", "uid", "degree")
-        first = False
-    return classes, component
+
+    # Each class and the best pivot of all its buckets.
+    state = _with_components(rows, None)
+    near = state.join(_pivots(state), "band").filter("uid <> b").groupBy(F.col("uid").alias("a")).agg(
+        F.max(F.struct("b_degree", "b")).alias("p")).select("a", "p.b")
+    tested = save(_ordered(near))
+    links = save(_verify(tested, classes, texts, shingle, threshold))
+    component = components(links, "a", "b")
+
+    # Each class and the pivots of its buckets in other components; all pairs of buckets with few.
+    state = _with_components(rows, component)
+    parts = state.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
+    total = F.sum("k")
+    sizes = parts.groupBy("band").agg(total.alias("size"), ((total * total - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"),
+                                      F.max(F.struct("k", "c"))["c"].alias("core"))
+    sizes = save(sizes.withColumn("few", F.col("cross") <= LINEAR * F.col("size")))
+    to_pivot = state.join(_pivots(state), "band").filter("c <> b_c").select(F.col("uid").alias("a"), "b")
+    small = state.join(sizes.filter("few").select("band"), "band", "left_semi").select("band", "uid", "c")
+    among = small.join(small.toDF("band", "b", "b_c"), "band").filter("c <> b_c and uid > b").select(F.col("uid").alias("a"), "b")
+    pairs = save(_ordered(to_pivot.unionByName(among)).join(tested, ["a", "b"], "left_anti"))
+    links = save(links.unionByName(_verify(pairs, classes, texts, shingle, threshold)))
+    component = components(links, "a", "b")
+
+    # The rest: blocks of those outside a bucket's largest component against all its members.
+    many = sizes.filter("not few").select("band", "core")
+    state = _with_components(rows.join(many.select("band"), "band", "left_semi"), component)
+    if state.isEmpty():
+        return classes, component
+    placed = state.join(many, "band").join(component, F.col("core") == component["node"], "left").select(
+        "band", "uid", "c", (F.col("c") != F.coalesce("component", "core")).alias("outside"))
+    count = placed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"),
+                                       F.ceil(F.count_if("outside") / BLOCK).alias("own_blocks"))
+    place = F.pmod(F.xxhash64("uid"), F.col("blocks"))
+    own_place = F.pmod(F.xxhash64("uid", F.lit(1)), F.col("own_blocks"))
+    sized = placed.join(count.filter("own_blocks > 0"), "band")
+    sides = sized.filter("outside").select("band", "uid", "c", F.lit(0).alias("side"), own_place.alias("x"),
+                                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y")).unionByName(
+        sized.select("band", "uid", "c", F.lit(1).alias("side"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1)).alias("x"), place.alias("y")))
+    full = classes.join(state.select("uid").distinct(), "uid", "left_semi").select("uid", "n", "signature", "bands").join(texts, "uid")
+    found = sides.join(full, "uid").groupBy("band", "x", "y").applyInPandas(_block_links(shingle, threshold), "a long, b long")
+    return classes, components(save(links.unionByName(found)), "a", "b")
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -302,13 +367,10 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         _sign(shingle), f"id {kind}, text_key string, n long, set_key binary, signature binary, bands array<long>"))
     classes, component = _links(signed, docs, text_col, shingle, threshold)
     named = classes.select("uid", "set_key", "id")
-    if component is not None:
-        root = named.join(component, named["uid"] == component["node"], "left").select(
-            "set_key", "id", F.coalesce("component", "uid").alias("c"))
-        least = root.groupBy("c").agg(F.min("id").alias("group_id"))
-        groups = root.join(least, "c").select("set_key", "group_id")
-    else:
-        groups = named.select("set_key", F.col("id").alias("group_id"))
+    root = named.join(component, named["uid"] == component["node"], "left").select(
+        "set_key", "id", F.coalesce("component", "uid").alias("c"))
+    least = root.groupBy("c").agg(F.min("id").alias("group_id"))
+    groups = root.join(least, "c").select("set_key", "group_id")
     # Documents are many, their classes' groups fewer; AQE splits a hot set.
     rows = signed.select("id", "n", "set_key").join(groups, "set_key", "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
