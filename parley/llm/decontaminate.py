@@ -359,3 +359,28 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
         names = sorted(found)
         out.append((doc, len(ws), len(marked), len(names), hashlib.sha256(",".join(names).encode()).hexdigest()))
     return out
+
+
+ORACLE = r"""
+with w as (
+  select 'd' as side, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+t as materialized (
+  select side, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+  from w),
+item_windows as materialized (
+  select id as item_id, least(10, len(ws)) as size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as win
+  from (select id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from t where side = 'b' and len(ws) > 0)),
+doc_windows as (
+  select id, size, i, array_to_string(ws[i:i + size - 1], ' ') as win
+  from (select id, ws, size, unnest(range(1, len(ws) - size + 2)) as i
+        from t, (select distinct size from item_windows) where side = 'd' and len(ws) >= size)),
+hits as materialized (
+  select distinct id, i, size, item_id from doc_windows join item_windows using (size, win)),
+places as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + size)) as p from hits) group by id),
+names as (select id, count(*) as n_items, string_agg(name, ',' order by name) as names
+          from (select distinct id, item_id::varchar as name from hits) group by id)
+select t.id as doc_id, len(t.ws)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from t left join places using (id) left join names using (id) where side = 'd'
+"""

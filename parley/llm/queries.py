@@ -33,7 +33,7 @@ def op2_near_dedup(spark, sf_dir):
     return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
-@query("op3_decontaminate")
+@query("op3_decontaminate", decontaminate.ORACLE)
 def op3_decontaminate(spark, sf_dir):
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     marked = decontaminate.n_marked()

@@ -73,7 +73,7 @@ def test_run_gives_the_same_pieces(spark, stages):
 def test_oracles(spark, name):
     from scripts_check import digest
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     got, cur = [tuple(r) for r in df.collect()], con.execute(queries.ORACLE[name])
