@@ -29,8 +29,9 @@ Set elements are 64-bit hashes of shingles.
 Defined results: a text with fewer words than a shingle is one element, its
 whole sequence; null texts and texts without words have an empty set, link with
 nothing and are groups of their own.  Repeated rows and equal texts are linked.
-A null id never names a group unless all its members' are null.  An empty table
-gives an empty result.  Other columns pass through ``drop_near_duplicates``.
+A null id never names a group unless all its members' are null, and a document
+without an id is never dropped.  An empty table gives an empty result.  Other
+columns pass through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -319,9 +320,12 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
     state = _with_components(rows, None)
     near = state.join(_pivots(state), "band").filter("uid <> b").groupBy(F.col("uid").alias("a")).agg(
         F.max(F.struct("b_degree", "b")).alias("p")).select("a", "p.b")
-    tested = save(_ordered(near))
-    links = save(_verify(tested, classes, texts, shingle, threshold))
-    component = components(links, "a", "b")
+    near = save(near)
+    tested = _ordered(near)
+    links = save(_verify(near, classes, texts, shingle, threshold))
+    # A class linked to its pivot is in the pivot's component: so much is known
+    # without working out the components (a pivot ranks above what meets it).
+    component = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     # Each class and the pivots of its buckets in other components; all pairs of buckets with few.
     state = _with_components(rows, component)
@@ -354,8 +358,8 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
         sized.select("band", "uid", "c", F.lit(1).alias("side"),
                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1)).alias("x"), place.alias("y")))
     full = classes.join(state.select("uid").distinct(), "uid", "left_semi").select("uid", "n", "signature", "bands").join(texts, "uid")
-    found = sides.join(full, "uid").groupBy("band", "x", "y").applyInPandas(_block_links(shingle, threshold), "a long, b long")
-    return classes, components(save(links.unionByName(found)), "a", "b")
+    found = save(sides.join(full, "uid").groupBy("band", "x", "y").applyInPandas(_block_links(shingle, threshold), "a long, b long"))
+    return classes, component if found.isEmpty() else components(links.unionByName(found), "a", "b")
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
