@@ -111,6 +111,14 @@ def _through(state: tuple[int, int | None], m: dict, limit: int, ttl_us: int) ->
     return reset_at(int(np.searchsorted(head, last + ttl_us, side="left")), (limit, last))
 
 
+def _runs(names: np.ndarray, bucket: np.ndarray):
+    """(start, end) of the runs of equal (name, bucket) rows."""
+    if len(bucket) == 0:
+        return []
+    starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (names[1:] != names[:-1]))))
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])
+
+
 def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
                          keys: tuple[str, ...] = ("user_id", "endpoint"), bucket_ttls: int = 64) -> DataFrame:
     """Allow / deny every request as the idle-reset limiter would have.
@@ -136,12 +144,29 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
         *ks, "id", F.unix_micros("ts").alias("ts_us"), F.to_json(F.struct(*ks), {"ignoreNullFields": "false"}).alias("_k")).withColumn(
         "_bucket", F.floor(F.col("ts_us") / F.lit(ttl_us * bucket_ttls)))
 
-    def publish(pdf):
-        m = _bucket_map(np.sort(pdf["ts_us"].to_numpy()), limit, ttl_us)
-        return pd.DataFrame([{"_k": pdf["_k"].iloc[0], "_bucket": int(pdf["_bucket"].iloc[0])} | m])
+    def publish(batches):
+        # Rows come sorted by bucket; the last bucket of a batch may go on in the next.
+        key, held = None, []
+
+        def made():
+            return {"_k": key[0], "_bucket": key[1]} | _bucket_map(np.concatenate(held), limit, ttl_us)
 
-    maps = rows.select("_k", "_bucket", "ts_us").groupBy("_k", "_bucket").applyInPandas(
-        publish, "_k string, _bucket bigint, n bigint, end_us bigint, head array<bigint>, counts array<bigint>, lasts array<bigint>")
+        for pdf in batches:
+            out = []
+            ts, bucket, names = pdf["ts_us"].to_numpy(), pdf["_bucket"].to_numpy(), pdf["_k"].to_numpy(dtype=object)
+            for a, b in _runs(names, bucket):
+                if (names[a], int(bucket[a])) != key:
+                    if key is not None:
+                        out.append(made())
+                    key, held = (names[a], int(bucket[a])), []
+                held.append(ts[a:b])
+            if out:
+                yield pd.DataFrame(out)
+        if key is not None:
+            yield pd.DataFrame([made()])
+
+    maps = (rows.select("_k", "_bucket", "ts_us").repartition("_k", "_bucket").sortWithinPartitions("_k", "_bucket", "ts_us")
+            .mapInPandas(publish, "_k string, _bucket bigint, n bigint, end_us bigint, head array<bigint>, counts array<bigint>, lasts array<bigint>"))
 
     def enter(batches):
         key, state = None, (0, None)
@@ -163,11 +188,11 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
             allowed = np.zeros(len(pdf), dtype=bool)
             remaining = np.zeros(len(pdf), dtype=np.int64)
             ts, bucket, names = pdf["ts_us"].to_numpy(), pdf["_bucket"].to_numpy(), pdf["_k"].to_numpy(dtype=object)
-            starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (names[1:] != names[:-1])))) if len(pdf) else []
-            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            count, last, some = (pdf[c].to_numpy() for c in ("_count", "_last", "_some"))
+            for a, b in _runs(names, bucket):
                 if (names[a], bucket[a]) != key:
                     key = (names[a], bucket[a])
-                    state = (int(pdf["_count"].iloc[a]), int(pdf["_last"].iloc[a]) if pdf["_some"].iloc[a] else None)
+                    state = (int(count[a]), int(last[a]) if some[a] else None)
                 allowed[a:b], remaining[a:b], state = rate_limit_fold(ts[a:b], limit, ttl_us, state)
             out = pdf[ks + ["id"]].copy()
             out["allowed"], out["remaining"] = allowed, remaining
