@@ -3,15 +3,17 @@
 A gear hash rolls over the bytes of a text (its tested bits depend on the last
 16 bytes); a cut point is a place where they fall below a limit and the point
 before is at least ``MIN_CHUNK`` bytes away.  Cut points depend on what stands
-around them alone, so an insertion moves no other cut.  Chunks are known by a
-64-bit digest.  A chunk that an earlier document (by id) holds as well is
-repeated; a run of repeated chunks with at least ``min_words`` words is a
-repeated passage, which the later document loses.
-
-The chunks' table is written once; digests are counted with map-side
+around them alone, so an insertion moves no other cut.  A window is a run of
+chunks with just ``min_words`` words or more, known by a 64-bit digest of its
+chunks' digests.  A window that an earlier document (by id) holds as well is
+repeated; what repeated windows cover is a repeated passage, which the later
+document loses.  So each passage rests on ``min_words`` words in a row of one
+earlier document, not on chunks that recur here and there.
+
+The windows' table is written once; digests are counted with map-side
 combination (smallest and largest id), and only digests that two documents hold
 are joined back, which AQE splits for passages that very many documents share.
-A collision of digests marks one chunk, too short for a passage.
+Two different windows have the same digest with a chance of 2^-64.
 
 Defined results: null and empty texts have no chunk.  Repeats within one
 document stay.  Rows with the same id are one document; rows without an id
@@ -95,22 +97,65 @@ def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
     return [(digest[a:b].view(np.int64), ends[a:b], words[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(2).to_pylist()]
-        first, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size < CHUNK_BYTES and i + 1 < len(texts):
-                continue
-            found = chunks(texts[first:i + 1])
-            part = batch.slice(first, i + 1 - first)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())),
-                 pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())),
-                 pa.array([x[2].astype(np.int32) for x in found], pa.list_(pa.int32()))],
-                names=["row", "id", "digests", "ends", "words"])
-            first, size = i + 1, 0
+def windows(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the shortest run from each chunk on, and of the shortest run up to
+    each chunk, with ``min_words`` words: any run with so many is covered to both its ends."""
+    n, least = len(words), max(min_words, 1)
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    end = np.searchsorted(total, total[:-1] + least)
+    first = np.searchsorted(total, total[1:] - least, side="right") - 1
+    ahead, back = np.flatnonzero(end <= n), np.flatnonzero(first >= 0)
+    both = np.unique(np.concatenate((ahead * (n + 1) + end[ahead], first[back] * (n + 1) + back + 1)))
+    return both // (n + 1), both % (n + 1)
+
+
+def window_digests(digests: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Digest of the chunks' digests of each window."""
+    n = len(digests)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(digests.view(np.uint64) * _POWER.upto(n), out=prefix[1:])
+    digest = (prefix[end] - prefix[first]) * _BACK.upto(n)[first] if n else prefix[:0]
+    digest = (digest + (end - first).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    digest ^= digest >> np.uint64(31)
+    return (digest * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+class _Powers:
+    """Powers of an odd number modulo 2^64, kept and grown as texts need them."""
+
+    def __init__(self, base: int):
+        self.base, self.kept = np.uint64(base), np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.kept) < n:
+            self.kept = np.full(2 * n, self.base)
+            self.kept[0] = 1
+            np.cumprod(self.kept, out=self.kept)
+        return self.kept[:n]
+
+
+_POWER, _BACK = _Powers(int(_ODD)), _Powers(pow(int(_ODD), -1, 1 << 64))
+
+
+def _chunk(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            first, size = 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size < CHUNK_BYTES and i + 1 < len(texts):
+                    continue
+                found = chunks(texts[first:i + 1])
+                part = batch.slice(first, i + 1 - first)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1),
+                     pa.array([window_digests(x[0], *windows(x[2], min_words)) for x in found], pa.list_(pa.int64())),
+                     pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())),
+                     pa.array([x[2].astype(np.int32) for x in found], pa.list_(pa.int32()))],
+                    names=["row", "id", "digests", "ends", "words"])
+                first, size = i + 1, 0
+    return run
 
 
 def _runs(min_words: int):
@@ -119,18 +164,16 @@ def _runs(min_words: int):
             out = []
             ids, ends, words, hits = (batch.column(i).to_pylist() for i in range(4))
             for i, marked in enumerate(hits):
-                marked = sorted((h["pos"], h["owner"]) for h in marked)
+                first, end = (x.tolist() for x in windows(np.array(words[i]), min_words))
+                marked = sorted((first[h["pos"]], end[h["pos"]], h["owner"]) for h in marked)
                 k = 0
                 while k < len(marked):
-                    j = k
-                    while j + 1 < len(marked) and marked[j + 1][0] == marked[j][0] + 1:
-                        j += 1
-                    a, b = marked[k][0], marked[j][0]
-                    n = sum(words[i][a:b + 1])
-                    if n >= min_words:
-                        start = ends[i][a - 1] if a else 0
-                        out.append((ids[i], start, ends[i][b], n, sorted({m[1] for m in marked[k:j + 1]})))
-                    k = j + 1
+                    a, b, j = marked[k][0], marked[k][1], k + 1
+                    while j < len(marked) and marked[j][0] <= b:
+                        b, j = max(b, marked[j][1]), j + 1
+                    start = ends[i][a - 1] if a else 0
+                    out.append((ids[i], start, ends[i][b - 1], sum(words[i][a:b]), sorted({m[2] for m in marked[k:j]})))
+                    k = j
             column = list(zip(*out)) or [()] * 5
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays(
@@ -142,11 +185,11 @@ def _runs(min_words: int):
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, start, end, n_words, first_ids): one row for each passage to remove, in code
-    points, with the earlier documents that hold its chunks."""
+    points, with the earlier documents that hold its windows."""
     kind = dict(docs.dtypes)[id_col]
     cut = save(docs.filter(F.col(id_col).isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(_chunk, f"row long, id {kind}, digests array<long>, ends array<int>, words array<int>"))
+        .mapInArrow(_chunk(min_words), f"row long, id {kind}, digests array<long>, ends array<int>, words array<int>"))
     every = cut.select("row", "id", F.posexplode("digests").alias("pos", "digest"))
     shared = (every.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("other"))
               .filter("owner <> other").select("digest", "owner"))

@@ -375,6 +375,28 @@ def test_substring_dedup(docs, none):
     assert cut[8] is None and substring_dedup.find_repeats(none).count() == 0
 
 
+def test_repeated_pieces_of_many_documents_are_no_passage(spark):
+    """Every word stands in an earlier document, 20 in a row at most."""
+    words = prose(41, 400).split()
+    rows = [(k, prose(1000 + k, 30) + " " + " ".join(words[8 * k:8 * k + 20]) + " " + prose(2000 + k, 30)) for k in range(48)]
+    rows.append((900, " ".join(words)))
+    assert substring_dedup.find_repeats(frame(spark, rows)).count() == 0
+    held = rows[:48] + [(800, prose(42, 30) + " " + " ".join(words[100:160]) + " " + prose(43, 30)), rows[-1]]
+    (r,) = substring_dedup.find_repeats(frame(spark, held)).filter("doc_id = 900").collect()
+    assert r.first_ids == [800] and rows[-1][1][r.start:r.end] in held[48][1] and r.n_words >= 25
+
+
+def test_windows_cover_every_long_run():
+    r = random.Random(6)
+    for _ in range(50):
+        words = np.array([r.randrange(0, 9) for _ in range(r.randrange(0, 40))], dtype=np.int64)
+        got = list(zip(*(x.tolist() for x in substring_dedup.windows(words, 25))))
+        assert all(words[a:b].sum() >= 25 for a, b in got)
+        for a, b in itertools.combinations(range(len(words) + 1), 2):
+            if words[a:b].sum() >= 25:
+                assert {k for x, y in got if a <= x and y <= b for k in range(x, y)} == set(range(a, b))
+
+
 def test_chunks_resist_insertions():
     t = prose(40, 2000)
     a = set(substring_dedup.chunks([t.encode()])[0][0].tolist())
