@@ -1,9 +1,18 @@
 """Operator 9: repeated passages by content-defined chunking.
 
-A gear hash rolls over the bytes of a text (its tested bits depend on the last
-16 bytes); a cut point is a place where they fall below a limit and the point
-before is at least ``MIN_CHUNK`` bytes away.  Cut points depend on what stands
-around them alone, so an insertion moves no other cut.  A window is a run of
+A gear hash rolls over the bytes of a text (its 16 bits depend on the last 16
+bytes).  A text is cut before the word with the least hash, the first of equal
+ones, of each ``CUT_WORDS`` words in a row: no stretch of so many words is without
+a cut, repeated words included (those are cut once a period).  Cut points depend
+on what stands around them alone, so an insertion moves no other cut.
+
+Between two texts that share a passage, the cuts differ within its first
+``CUT_WORDS`` + 7 words (8 words fill the hash, as a word and its blank have two
+bytes) and its last ``CUT_WORDS`` at most.  So every shared passage of
+``min_words`` + 2 ``CUT_WORDS`` + 7 words (50) is found; one of fewer words may be
+missed, and up to 16 words at its start and 9 at its end stay.
+
+A window is a run of
 chunks with just ``min_words`` words or more, known by a 64-bit digest of its
 chunks' digests.  A window that an earlier document (by id) holds as well is
 repeated; what repeated windows cover is a repeated passage, which the later
@@ -12,10 +21,12 @@ earlier document, not on chunks that recur here and there.
 
 The windows' table is written once; digests are counted with map-side
 combination (smallest and largest id), and only digests that two documents hold
-are joined back, which AQE splits for passages that very many documents share.
+are joined back.  A window that stands in one document more than once (a line said
+over and over) is counted and joined once for it and marked wherever it stands.
 Two different windows have the same digest with a chance of 2^-64.
 
-Defined results: null and empty texts have no chunk.  Repeats within one
+Defined results: words are runs of bytes above a blank (text in a script without
+blanks is one word).  Null and empty texts have no chunk.  Repeats within one
 document stay.  Rows with the same id are one document; rows without an id
 neither lose nor take part.  An empty table gives an empty result.  Other
 columns pass through ``remove_repeats``.
@@ -34,9 +45,7 @@ from .common import save
 
 #: A passage of 50 words or more holds whole chunks with at least half of its words.
 MIN_WORDS = 25
-MIN_CHUNK = 12
-#: One place in 16 is a candidate for a cut: limit of the 16 tested bits.
-CUT_BELOW = 1 << 12
+CUT_WORDS = 9
 SEED = 11
 CHUNK_BYTES = 1 << 20
 _PAD = bytes(16)
@@ -65,16 +74,18 @@ def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
     inside[n] = False
     for p in first.tolist():
         inside[p - len(_PAD):p] = False
-    # A cut stands after a byte, within a text, and not inside a character.
-    may = (gear(data[:n]) < CUT_BELOW) & inside[:n] & inside[1:] & ((data[1:] & 0xC0) != 0x80)
-    at = np.flatnonzero(may) + 1
+    blank = data[:n] <= 32
+    begins = ~blank & np.concatenate(([True], blank[:-1]))
+    # A cut stands before a word, within a text.
+    at = np.flatnonzero(begins[1:] & inside[:n - 1] & inside[1:n]) + 1
     last = np.flatnonzero(inside[:n] & ~inside[1:]) + 1  # the end of each non-empty text
     begin = first[sizes > 0]
     text_of = np.searchsorted(first, at, side="right") - 1
-    before = np.concatenate(([-1], at[:-1]))
-    other = np.concatenate(([-1], text_of[:-1])) != text_of
-    before[other] = first[text_of[other]]
-    cut = np.unique(np.concatenate((at[at - before >= MIN_CHUNK], last)))
+    least = np.zeros(0, dtype=np.int64)
+    if len(at) >= CUT_WORDS:
+        seen = np.lib.stride_tricks.sliding_window_view(gear(data[:n])[at - 1], CUT_WORDS)
+        least = (np.arange(len(seen)) + seen.argmin(axis=1))[text_of[:len(seen)] == text_of[CUT_WORDS - 1:]]
+    cut = np.unique(np.concatenate((at[least], last)))
     start = np.concatenate((begin, cut[~np.isin(cut, last, assume_unique=True)]))
     start.sort()
     power = np.full(n + 1, _ODD)
@@ -89,8 +100,7 @@ def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
     digest = (digest ^ (digest >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     digest ^= digest >> np.uint64(29)
     points = np.concatenate(([0], np.cumsum((data[:n] & 0xC0) != 0x80)))
-    blank = (data[:n] <= 32)
-    word = np.concatenate(([0], np.cumsum(~blank & np.concatenate(([True], blank[:-1])))))
+    word = np.concatenate(([0], np.cumsum(begins)))
     owner = np.searchsorted(first, start, side="right") - 1
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     ends, words = points[cut] - points[first[owner]], word[cut] - word[start]
@@ -137,6 +147,14 @@ class _Powers:
 _POWER, _BACK = _Powers(int(_ODD)), _Powers(pow(int(_ODD), -1, 1 << 64))
 
 
+def _once(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which are the first of their digest, pairs in turn of each other's place and its first's)."""
+    _, first, of = np.unique(digests, return_index=True, return_inverse=True)
+    like = first[of]
+    later = np.flatnonzero(like != np.arange(len(digests)))
+    return like == np.arange(len(digests)), np.stack((later, like[later]), axis=1).ravel()
+
+
 def _chunk(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,12 +166,15 @@ def _chunk(min_words: int):
                     continue
                 found = chunks(texts[first:i + 1])
                 part = batch.slice(first, i + 1 - first)
+                digests = [window_digests(x[0], *windows(x[2], min_words)) for x in found]
+                once = [_once(d) for d in digests]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1),
-                     pa.array([window_digests(x[0], *windows(x[2], min_words)) for x in found], pa.list_(pa.int64())),
+                     pa.array([pa.array(d, mask=~o[0]) for d, o in zip(digests, once)], pa.list_(pa.int64())),
+                     pa.array([o[1].astype(np.int32) for o in once], pa.list_(pa.int32())),
                      pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())),
                      pa.array([x[2].astype(np.int32) for x in found], pa.list_(pa.int32()))],
-                    names=["row", "id", "digests", "ends", "words"])
+                    names=["row", "id", "digests", "again", "ends", "words"])
                 first, size = i + 1, 0
     return run
 
@@ -162,10 +183,12 @@ def _runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            ids, ends, words, hits = (batch.column(i).to_pylist() for i in range(4))
+            ids, ends, words, again, hits = (batch.column(i).to_pylist() for i in range(5))
             for i, marked in enumerate(hits):
                 first, end = (x.tolist() for x in windows(np.array(words[i]), min_words))
-                marked = sorted((first[h["pos"]], end[h["pos"]], h["owner"]) for h in marked)
+                owner = {h["pos"]: h["owner"] for h in marked}
+                owner |= {k: owner[f] for k, f in zip(again[i][::2], again[i][1::2]) if f in owner}
+                marked = sorted((first[k], end[k], x) for k, x in owner.items())
                 k = 0
                 while k < len(marked):
                     a, b, j = marked[k][0], marked[k][1], k + 1
@@ -189,13 +212,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(docs.dtypes)[id_col]
     cut = save(docs.filter(F.col(id_col).isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(_chunk(min_words), f"row long, id {kind}, digests array<long>, ends array<int>, words array<int>"))
-    every = cut.select("row", "id", F.posexplode("digests").alias("pos", "digest"))
+        .mapInArrow(_chunk(min_words), f"row long, id {kind}, digests array<long>, again array<int>, ends array<int>, words array<int>"))
+    every = cut.select("row", "id", F.posexplode("digests").alias("pos", "digest")).filter("digest is not null")
     shared = (every.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("other"))
               .filter("owner <> other").select("digest", "owner"))
     hits = (every.join(shared, "digest").filter("owner <> id").groupBy("row")
             .agg(F.collect_list(F.struct("pos", "owner")).alias("hits"), F.count(F.lit(1)).alias("n")))
-    rows = cut.join(hits, "row").select("id", "ends", "words", "hits")
+    rows = cut.join(hits, "row").select("id", "ends", "words", "again", "hits")
     return rows.mapInArrow(_runs(min_words), f"id {kind}, start long, end long, n_words long, first_ids array<{kind}>").select(
         F.col("id").alias(id_col), "start", "end", "n_words", "first_ids")
 

@@ -386,6 +386,51 @@ def test_repeated_pieces_of_many_documents_are_no_passage(spark):
     assert r.first_ids == [800] and rows[-1][1][r.start:r.end] in held[48][1] and r.n_words >= 25
 
 
+def repeated_words(a, b):
+    """Words of ``b`` inside windows that ``a`` holds as well."""
+    (da, _, wa), (db, _, wb) = substring_dedup.chunks([a.encode(), b.encode()])
+    held = set(substring_dedup.window_digests(da, *substring_dedup.windows(wa, 25)).tolist())
+    first, end = substring_dedup.windows(wb, 25)
+    marks = np.zeros(len(wb), dtype=bool)
+    for x, y, d in zip(first, end, substring_dedup.window_digests(db, first, end).tolist()):
+        marks[x:y] |= d in held
+    return int(wb[marks].sum())
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4, 7, 12])
+def test_every_shared_passage_of_50_words_is_found(longest):
+    r = random.Random(longest)
+
+    def some(n):
+        return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, longest))) for _ in range(n))
+    for _ in range(600):
+        shared = some(r.choice((50, 51)))
+        a, b = (some(r.randrange(40)) + r.choice("é\n ") + shared + r.choice(" é\n") + some(r.randrange(40)) for _ in "ab")
+        assert 25 <= repeated_words(a, b)
+
+
+@pytest.mark.parametrize("unit", ["ha ", "buy now ", "7 ", "0\t1\t", "x  ", "a bb ", "not so very long ", "über ", "one two three four five six seven "])
+def test_passages_of_a_short_period_are_found(unit):
+    for extra in range(12):
+        shared = (unit * 200)[:50 * 12 + extra] if len(unit) > 8 else unit * (60 + extra)
+        a, b = prose(3000 + extra, 40) + " " + shared + prose(3100 + extra, 40), prose(3200 + extra, 33) + " " + shared + prose(3300, 20)
+        n = len(shared.split())
+        assert n >= 50 and n - 25 <= repeated_words(a, b) <= n
+    assert repeated_words(prose(3400, 200), b) == 0
+
+
+def test_a_line_said_over_and_over_is_counted_once(spark, monkeypatch):
+    line = "the very same line again and again "
+    a, b = prose(3500, 40) + " " + line * 30 + prose(3501, 40), prose(3502, 33) + " " + line * 300 + prose(3503, 20)
+    kept = []
+    monkeypatch.setattr(substring_dedup, "save", lambda df, f=common.save: kept.append(f(df)) or kept[-1])
+    (r,) = substring_dedup.find_repeats(frame(spark, [(1, a), (2, b)])).collect()
+    assert (r.doc_id, r.first_ids) == (2, [1]) and 2100 - 25 <= r.n_words <= 2100 and line * 290 in b[r.start:r.end]
+    for row in kept[0].collect():
+        found = [d for d in row.digests if d is not None]
+        assert len(found) == len(set(found)) and len(found) + len(row.again) // 2 == len(row.digests)
+
+
 def test_windows_cover_every_long_run():
     r = random.Random(6)
     for _ in range(50):
