@@ -7,15 +7,15 @@ labels.  A document's quality is the length-weighted mean of its lines'
 forward-backward marginals of ``good``.
 
 The model is fitted by gradient descent on the conditional likelihood of
-``TRAIN_DOCS`` labelled documents at most (the smallest hashes of their ids;
+``TRAIN_DOCS`` labelled documents at most (of those given, the smallest hashes of their ids;
 each line carries its document's label), of which the first ``TRAIN_LINES``
 lines each enter the fit.  That bounded sample is the only thing the driver
 sees; scoring reads every line of every text, in array operations over batches.
 
 Only the text enters a score.  Defined results: null and empty texts are one
 empty line and get the model's score for it; labels that are null are left
-out, of repeated labels the least counts; with no labels at all every score is
-0.5.  Repeated rows get their own rows, an empty table an empty result.  Extra
+out, of repeated labels the least counts; with no label of a given document every
+score is 0.5 and ``keep_good`` keeps all rows.  Repeated rows get their own rows, an empty table an empty result.  Extra
 columns pass through ``keep_good``.
 """
 
@@ -145,6 +145,7 @@ class LineField:
     """Weights of the chain: ``weights`` on a line's standardised features, ``transition`` between labels."""
 
     def __init__(self, weights=None, transition=None, mean=None, scale=None):
+        self.fitted = weights is not None
         self.weights = np.zeros(FEATURES) if weights is None else weights
         self.transition = np.zeros((2, 2)) if transition is None else transition
         self.mean = np.zeros(FEATURES) if mean is None else mean
@@ -171,6 +172,7 @@ class LineField:
             m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
             theta += RATE * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
         self.weights, self.transition = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
+        self.fitted = True
         return self
 
     def quality(self, texts: list[bytes]) -> np.ndarray:
@@ -192,7 +194,7 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineField:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(
-        F.min(label_col).alias("__label"))
+        F.min(label_col).alias("__label")).join(docs.select(id_col).distinct(), id_col, "left_semi")
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(train_docs).withColumnRenamed(id_col, "__id")
     # A repeated id's first text in order: the sample stays bounded by its ids.
     head = F.substring_index(empty_if_null(text_col), "\n", train_lines)
@@ -245,5 +247,7 @@ def score(docs: DataFrame, model: LineField, text_col: str = "text", out_col: st
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = GOOD, **columns) -> DataFrame:
     """``docs`` without the documents that score below ``least``."""
     model = train(docs, labels, **columns)
+    if not model.fitted:
+        return docs
     scored = score(docs, model, columns.get("text_col", "text"), "__quality")
     return scored.filter(F.col("__quality") >= least).drop("__quality")

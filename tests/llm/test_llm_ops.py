@@ -492,3 +492,15 @@ def test_quality_edges(spark, docs, none):
     assert all(abs(r.score - 0.5) < 1e-9 for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect())
     assert quality.score(none, model).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_labels_beyond_the_documents(spark):
+    junk = [(100 + i, "!!! $$ ## || " * 20) for i in range(40)]
+    part = frame(spark, [(i, prose(i, 60)) for i in range(40)] + junk)
+    kind = "doc_id long, quality int"
+    own = spark.createDataFrame([(i, 1) for i in range(40)] + [(i, 0) for i, _ in junk], kind)
+    wide = own.unionByName(spark.createDataFrame([(i, i % 2) for i in range(1000, 5000)], kind))
+    a, b = (quality.train(part, x, train_docs=30) for x in (own, wide))
+    assert a.fitted and np.array_equal(a.weights, b.weights)
+    for x in (own.limit(0), spark.createDataFrame([(1, None)], kind), wide.filter("doc_id >= 1000")):
+        assert quality.keep_good(part, x).count() == 80
