@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, ``[\x20\x09-\x0D]``.
@@ -57,9 +57,27 @@ def position_after_sort(df: DataFrame, keys: list, start: str) -> DataFrame:
     part, row = F.shiftright("__n", 33), F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = numbered.withColumn("__part", part).withColumn("__row", row)
     counts = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
-    from pyspark.sql import Window
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__part"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     return (numbered.join(F.broadcast(offsets), "__part")
             .withColumn(start, F.col("__before") + F.col("__row"))
             .drop("__n", "__part", "__row", "__before"))
+
+
+def running_total(df: DataFrame, keys: list, value: str, name: str, group: str | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row, in the order of ``keys``.
+
+    With ``group``, the first key and never null, each of its values has a
+    total of its own.  A task sums up its own range of the order; the sums of
+    the tasks, one row for each task and group in it, become offsets.
+    """
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = save(ranged.withColumn("__n", F.monotonically_increasing_id()))
+    own = [group] if group else []
+    numbered = numbered.withColumn("__part", F.shiftright("__n", 33))
+    sums = numbered.groupBy("__part", *own).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*own).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__part", *own, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    local = Window.partitionBy("__part", *own).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    return (numbered.withColumn("__own", F.sum(value).over(local)).join(offsets, ["__part", *own])
+            .withColumn(name, F.col("__before") + F.col("__own")).drop("__n", "__part", "__own", "__before"))

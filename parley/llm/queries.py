@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, near_dedup, packing, quality, secrets, sharding, substring_dedup, url_filter
+from . import (chat_format, collocations, decontaminate, divergence, exact_dedup, mixture, near_dedup, packing, quality, secrets,
+               sharding, substring_dedup, url_filter)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,18 @@ def op10_quality(spark, sf_dir):
     scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
                          (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
+@query("op11_source_divergence", divergence.ORACLE)
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op12_source_mix", mixture.ORACLE)
+def op12_source_mix(spark, sf_dir):
+    return mixture.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", collocations.ORACLE)
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
