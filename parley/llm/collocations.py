@@ -102,9 +102,10 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             numbers = np.frombuffer(ids, np.uint32)
             yield batch(shard=[shard], lang=[lang], context=[context], ids=[numbers.tobytes()])
-            # A run of ends takes a number of its own, so the numbers have gaps.
+            # Runs of ends take up numbers, so there are gaps.  Words of the context
+            # need their ids here as well, but count in the shard before.
             n = np.bincount(numbers[context:], minlength=len(known) + 1)
-            own = [(w, k) for w, k in known.items() if k and n[k]]
+            own = [(w, k) for w, k in known.items() if k]
             for a in range(0, len(own), 1 << 16):
                 part = own[a:a + (1 << 16)]
                 yield batch(shard=[shard] * len(part), lang=[lang] * len(part), word=[w for w, _ in part],

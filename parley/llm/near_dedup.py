@@ -9,15 +9,18 @@ documents form one group (connected components).
    at similarity 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
 2. Documents with the same set are one class; from here on only one
    representative of each class takes part.
-3. Candidates come from band buckets without listing a bucket's pairs.  First
-   each class meets the most connected member (the pivot) of all its buckets,
-   then the pivot of each bucket whose component it is not yet in.  What is left
-   of a bucket are pairs of members in different components: if they are at most
-   ``LINEAR`` times its members, they are listed; else they are compared in
-   blocks of at most ``BLOCK`` by ``BLOCK`` members, each pair in the first
+3. Candidates come from band buckets without listing a bucket's pairs.  A
+   bucket's pivot is its member of the least hash.  First each class meets the
+   pivot of its largest bucket, then the pivot of each bucket whose component it
+   is not yet in.  What is left of a bucket are pairs of members in different
+   components: if they are at most ``LINEAR`` times its members, the members outside
+   the largest component are joined with all; else these two sides are compared
+   in blocks of at most ``BLOCK`` by ``BLOCK`` members, each pair in the first
    bucket it shares, and only verified links leave a block.  The bulk of a group
    of copies falls into one component in the first steps, so blocks are made of
    the few others against the rest.  No candidate pair is left out.
+   Figures of a hot bucket reach its rows by a broadcast of fewer than
+   ``HOT_KEYS`` rows, so no task meets a whole hot bucket.
 4. A candidate pair's signatures are compared in batches of 32 values.  After n
    values with m matches the posterior probability (uniform prior) that the
    similarity reaches the threshold is P(Binomial(n + 1, threshold) <= m); the
@@ -56,6 +59,10 @@ BATCH = 32
 MISS = 1e-6
 LINEAR = 8
 BLOCK = 256
+#: Members that are compared with a pivot in one group; members of a bucket joined in one part.
+GROUP, PART = 256, 4096
+#: A key with more than 1 / HOT_KEYS of all rows is hot.
+HOT_KEYS = 10000
 SEED = 7
 #: Bytes of text worked on at once.
 CHUNK_BYTES = 1 << 20
@@ -187,50 +194,59 @@ def least_matches(threshold: tuple[int, int] = THRESHOLD, miss: float = MISS) ->
     return out
 
 
-def _prune(threshold: tuple[int, int]):
+def _compare(shingle: int, threshold: tuple[int, int]):
+    """Links (a, b) of one pivot b with the members a of one group: batches of
+    signature values first, then both full sets."""
     least = least_matches(threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(len(batch), BANDS * ROWS)
-                           for i in (2, 3))
-            alive, matches = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64)
+    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        found: list[int] = []
+        if members.num_rows and pivots.num_rows:
+            n, size = members["n"].to_numpy(), pivots["p_n"][0].as_py()
+            left, right = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS)
+                           for c in (members["signature"], pivots["p_signature"].slice(0, 1)))
+            alive = np.flatnonzero(threshold[1] * np.minimum(n, size) >= threshold[0] * np.maximum(n, size))
+            matches = np.zeros(len(alive), dtype=np.int64)
             for k, fewest in enumerate(least):
                 part = slice(k * BATCH, (k + 1) * BATCH)
-                matches = matches + (left[alive, part] == right[alive, part]).sum(axis=1)
-                keep = matches >= fewest
-                alive, matches = alive[keep], matches[keep]
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
+                matches = matches + (left[alive, part] == right[0, part]).sum(axis=1)
+                alive, matches = alive[matches >= fewest], matches[matches >= fewest]
+            if len(alive):
+                own = shingle_sets([pivots["p_text"][0].as_py()], shingle)[0]
+                rows = members.take(pa.array(alive))
+                texts, ids = rows["text"].to_pylist(), rows["a"].to_pylist()
+                for lo, hi in _chunks(texts):
+                    for i, other in zip(ids[lo:hi], shingle_sets(texts[lo:hi], shingle)):
+                        both = len(np.intersect1d(own, other, assume_unique=True))
+                        if threshold[1] * both >= threshold[0] * (len(own) + len(other) - both):
+                            found.append(i)
+        pivot = pivots["pivot"][0].as_py() if pivots.num_rows else None
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([pivot] * len(found), pa.int64())})
     return run
 
 
-def _confirm(shingle: int, threshold: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            linked = np.zeros(len(a), dtype=bool)
-            by_pivot: dict = {}
-            for i, pivot in enumerate(b):
-                by_pivot.setdefault(pivot, []).append(i)
-            for rows in by_pivot.values():
-                own = shingle_sets([right[rows[0]]], shingle)[0]
-                for i in rows:
-                    other = shingle_sets([left[i]], shingle)[0]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    linked[i] = threshold[1] * both >= threshold[0] * (len(own) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(linked)) for i in (0, 1)], names=["a", "b"])
-    return run
+def _with_figures(rows: DataFrame, figures: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of figures of their key, of which ``size``
+    is the key's number of rows.  Keys with more than 1 / ``HOT_KEYS`` of all rows
+    are fewer than ``HOT_KEYS``; they are broadcast, so that no task meets all rows
+    of such a key."""
+    hot = F.col("size") * HOT_KEYS > total
+    heavy = F.broadcast(figures.filter(hot))
+    return rows.join(heavy, key).unionByName(
+        rows.join(F.broadcast(figures.filter(hot).select(key)), key, "left_anti").join(figures.filter(~hot), key))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    known = classes.select("uid", "n", "signature")
-    signed = (pairs.join(known.toDF("a", "n_a", "s_a"), "a").join(known.toDF("b", "n_b", "s_b"), "b")
-              .filter(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b"))
-              .select("a", "b", "s_a", "s_b"))
-    alive = save(signed.mapInArrow(_prune(threshold), "a long, b long"))
-    full = alive.join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b").select("a", "b", "t_a", "t_b")
-    return full.mapInArrow(_confirm(shingle, threshold), "a long, b long")
+def _verify(pairs: DataFrame, full: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.  The pairs of one b are
+    dealt out in groups of about ``GROUP``, to each of which b's text goes once."""
+    figures = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")).withColumn("groups", F.ceil(F.col("size") / GROUP))
+    dealt = _with_figures(pairs, figures, "b", pairs.count()).withColumn("part", F.pmod(F.xxhash64("a"), F.col("groups")))
+    known = full.select("uid", "n", "signature", "text")
+    members = dealt.select("a", "b", "part").join(known.withColumnRenamed("uid", "a"), "a")
+    pivots = (figures.select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("of_part"))
+              .join(known.toDF("pivot", "p_n", "p_signature", "p_text"), "pivot"))
+    return (members.groupBy("b", "part").cogroup(pivots.groupBy("pivot", "of_part"))
+            .applyInArrow(_compare(shingle, threshold), "a long, b long"))
 
 
 def _block_links(shingle: int, threshold: tuple[int, int]):
@@ -281,24 +297,18 @@ def _block_links(shingle: int, threshold: tuple[int, int]):
     return run
 
 
-def _with_components(rows: DataFrame, component: DataFrame | None) -> DataFrame:
-    """(band, uid, degree, c) of the buckets that hold several components."""
-    if component is None:
-        state = rows.withColumn("c", F.col("uid"))
-    else:
-        state = rows.join(component, rows["uid"] == component["node"], "left").select(
-            "band", "uid", "degree", F.coalesce("component", "uid").alias("c"))
-    several = state.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    return save(state.join(several, "band", "left_semi"))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _pivots(state: DataFrame) -> DataFrame:
-    return state.groupBy("band").agg(F.max(F.struct("degree", (-F.col("uid")).alias("u"), "c")).alias("p")).select(
-        "band", (-F.col("p.u")).alias("b"), F.col("p.degree").alias("b_degree"), F.col("p.c").alias("b_c"))
+def _with_component(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """``rows`` with the component ``c`` of ``uid``, itself if it has none."""
+    return (rows.join(component.select(F.col("node").alias("uid"), "component"), "uid", "left")
+            .withColumn("c", F.coalesce("component", "uid")).drop("component"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _priority(uid: str):
+    return F.struct(F.xxhash64(uid).alias("h"), F.col(uid).alias("u"))
 
 
 def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, threshold: tuple[int, int]):
@@ -307,76 +317,89 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
         F.min("id").alias("id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"),
         F.first("signature").alias("signature"), F.first("bands").alias("bands"))
         .withColumn("uid", F.monotonically_increasing_id()))
+    total = BANDS * classes.count()
     exploded = classes.select("uid", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = save(exploded.join(shared, "band"))
-    degree = rows.groupBy("uid").agg(F.sum("size").alias("degree"))
-    rows = save(rows.join(degree, "uid").select("band", "uid", "degree"))
-    wanted = classes.join(degree.select("uid"), "uid", "left_semi").select("uid", "text_key")
+    buckets = save(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(_priority("uid"))["u"].alias("pivot"))
+                   .filter("size > 1"))
+    rows = save(_with_figures(exploded, buckets, "band", total))
+    # Each class and the pivot of its largest bucket; a pivot comes before what it meets.
+    near = save(rows.groupBy(F.col("uid").alias("a")).agg(F.max_by("pivot", F.struct("size", F.bitwise_not(F.xxhash64("pivot")), "pivot")).alias("b"),
+                                                          F.count(F.lit(1)).alias("n_bands")))
+    wanted = classes.join(near.select(F.col("a").alias("uid")), "uid", "left_semi")
     carried = docs.select(F.md5(F.col(text_col).cast("binary")).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    texts = save(carried.join(wanted, "text_key").groupBy("uid").agg(F.first("text").alias("text")))
-
-    # Each class and the best pivot of all its buckets.
-    state = _with_components(rows, None)
-    near = state.join(_pivots(state), "band").filter("uid <> b").groupBy(F.col("uid").alias("a")).agg(
-        F.max(F.struct("b_degree", "b")).alias("p")).select("a", "p.b")
-    near = save(near)
-    tested = _ordered(near)
-    links = save(_verify(near, classes, texts, shingle, threshold))
-    # A class linked to its pivot is in the pivot's component: so much is known
-    # without working out the components (a pivot ranks above what meets it).
-    component = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-    # Each class and the pivots of its buckets in other components; all pairs of buckets with few.
-    state = _with_components(rows, component)
-    parts = state.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-    total = F.sum("k")
-    sizes = parts.groupBy("band").agg(total.alias("size"), ((total * total - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"),
-                                      F.max(F.struct("k", "c"))["c"].alias("core"))
-    sizes = save(sizes.withColumn("few", F.col("cross") <= LINEAR * F.col("size")))
-    to_pivot = state.join(_pivots(state), "band").filter("c <> b_c").select(F.col("uid").alias("a"), "b")
-    small = state.join(sizes.filter("few").select("band"), "band", "left_semi").select("band", "uid", "c")
-    among = small.join(small.toDF("band", "b", "b_c"), "band").filter("c <> b_c and uid > b").select(F.col("uid").alias("a"), "b")
-    pairs = save(_ordered(to_pivot.unionByName(among)).join(tested, ["a", "b"], "left_anti"))
-    links = save(links.unionByName(_verify(pairs, classes, texts, shingle, threshold)))
+    texts = carried.join(wanted.select("uid", "text_key"), "text_key").groupBy("uid").agg(F.first("text").alias("text"))
+    full = save(texts.join(wanted.select("uid", "n", "signature", "bands"), "uid"))
+    near = near.filter("a <> b").select("a", "b")
+    links = save(_verify(near, full, shingle, threshold))
+    one_step = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+    # Buckets that still hold several components: each class and the pivot, if that is in
+    # another one; of buckets with few such pairs, all of them.
+    state = save(_with_component(rows.select("uid", "band"), one_step))
+    k, size = F.col("k"), F.sum("k")
+    buckets = save(state.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), F.min(_priority("uid")).alias("p"))
+                   .groupBy("band").agg(size.alias("size"), ((size * size - F.sum(k * k)) / 2).alias("cross"),
+                                        F.max(F.struct("k", "c"))["c"].alias("core"), F.min(F.struct("p", "c")).alias("best"))
+                   .filter("cross > 0").select("band", "size", "core", F.col("best.p.u").alias("pivot"), F.col("best.c").alias("pivot_c"),
+                                               (F.col("cross") <= LINEAR * F.col("size")).alias("few")))
+    open_rows = save(_with_figures(state, buckets, "band", total))
+    to_pivot = open_rows.filter("c <> pivot_c").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+    # Members outside the largest component against all, a large bucket's members in parts.
+    parts = F.ceil(F.col("size") / PART)
+    few = open_rows.filter("few")
+    outside = few.filter("c <> core").select("band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"),
+                                             F.col("uid").alias("a"), F.col("c").alias("a_c"))
+    members = few.select("band", F.pmod(F.xxhash64("uid"), parts).alias("part"), F.col("uid").alias("b"), F.col("c").alias("b_c"))
+    among = outside.join(members, ["band", "part"]).filter("a_c <> b_c").select("a", "b")
+    pairs = save(_ordered(to_pivot.unionByName(among)).join(_ordered(near), ["a", "b"], "left_anti"))
+    links = save(links.unionByName(_verify(pairs, full, shingle, threshold)))
     component = components(links, "a", "b")
+    if buckets.filter("not few").isEmpty():
+        return classes, component
 
     # The rest: blocks of those outside a bucket's largest component against all its members.
-    many = sizes.filter("not few").select("band", "core")
-    state = _with_components(rows.join(many.select("band"), "band", "left_semi"), component)
-    if state.isEmpty():
-        return classes, component
-    placed = state.join(many, "band").join(component, F.col("core") == component["node"], "left").select(
-        "band", "uid", "c", (F.col("c") != F.coalesce("component", "core")).alias("outside"))
-    count = placed.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"),
-                                       F.ceil(F.count_if("outside") / BLOCK).alias("own_blocks"))
+    cores = save(_with_component(buckets.filter("not few").select("band", F.col("core").alias("uid")), component).select(
+        "band", F.col("c").alias("core")))
+    placed = save(_with_component(open_rows.filter("not few").select("uid", "band"), component))
+    count = (placed.join(cores, "band").groupBy("band", "core").agg(
+        F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"),
+        F.ceil(F.count_if(F.expr("c <> core")) / BLOCK).alias("own_blocks")).filter("own_blocks > 0"))
+    sized = _with_figures(placed, save(count), "band", total)
     place = F.pmod(F.xxhash64("uid"), F.col("blocks"))
     own_place = F.pmod(F.xxhash64("uid", F.lit(1)), F.col("own_blocks"))
-    sized = placed.join(count.filter("own_blocks > 0"), "band")
-    sides = sized.filter("outside").select("band", "uid", "c", F.lit(0).alias("side"), own_place.alias("x"),
-                                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y")).unionByName(
+    sides = sized.filter("c <> core").select("band", "uid", "c", F.lit(0).alias("side"), own_place.alias("x"),
+                                             F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("y")).unionByName(
         sized.select("band", "uid", "c", F.lit(1).alias("side"),
                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1)).alias("x"), place.alias("y")))
-    full = classes.join(state.select("uid").distinct(), "uid", "left_semi").select("uid", "n", "signature", "bands").join(texts, "uid")
     found = save(sides.join(full, "uid").groupBy("band", "x", "y").applyInPandas(_block_links(shingle, threshold), "a long, b long"))
-    return classes, component if found.isEmpty() else components(links.unionByName(found), "a", "b")
+    if found.isEmpty():
+        return classes, component
+    # Only the roots that the blocks' links join are worked out anew.
+    by_root = _with_component(_with_component(found.withColumnRenamed("a", "uid"), component).select(F.col("c").alias("a"), F.col("b").alias("uid")),
+                              component).select("a", F.col("c").alias("b"))
+    joined = save(components(by_root, "a", "b"))
+    final = _with_component(component.select("node", F.col("component").alias("uid")), joined).select("node", F.col("c").alias("component"))
+    return classes, final.unionByName(joined.join(component.select("node"), "node", "left_anti"))
 
 
-def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                         threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row for each document: id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """(id, text_key, n, root, group_id) of each document; root and group_id are null for empty sets."""
     text = F.col(text_col).cast("binary")
     kind = dict(docs.dtypes)[id_col]
     signed = save(docs.select(F.col(id_col).alias("id"), F.md5(text).alias("text_key"), text.alias("text")).mapInArrow(
         _sign(shingle), f"id {kind}, text_key string, n long, set_key binary, signature binary, bands array<long>"))
     classes, component = _links(signed, docs, text_col, shingle, threshold)
-    named = classes.select("uid", "set_key", "id")
-    root = named.join(component, named["uid"] == component["node"], "left").select(
-        "set_key", "id", F.coalesce("component", "uid").alias("c"))
-    least = root.groupBy("c").agg(F.min("id").alias("group_id"))
-    groups = root.join(least, "c").select("set_key", "group_id")
+    root = _with_component(classes.select("uid", "set_key", "id"), component).select("set_key", "id", F.col("c").alias("root"))
+    least = root.groupBy("root").agg(F.min("id").alias("group_id"))
+    groups = root.join(least, "root").select("set_key", "root", "group_id")
     # Documents are many, their classes' groups fewer; AQE splits a hot set.
-    rows = signed.select("id", "n", "set_key").join(groups, "set_key", "left")
+    return signed.select("id", "text_key", "n", "set_key").join(groups, "set_key", "left").drop("set_key")
+
+
+def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                         threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row for each document: id, n_shingles, component_id, kept."""
+    rows = _grouped(docs, id_col, text_col, shingle, threshold)
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                        F.when(F.col("n") > 0, F.col("group_id")).otherwise(F.col("id")).alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
@@ -384,10 +407,23 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                          threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names it."""
-    gone = find_near_duplicates(docs, id_col, text_col, shingle, threshold).filter("not kept").select(
-        F.col(id_col).alias("__near_id"))
-    return docs.join(gone, docs[id_col] == gone["__near_id"], "left_anti")
+    """``docs`` with one row of each group: one with the id that names it.  Rows
+    are told apart by id and text, so an id that repeats with another text is
+    judged by that text; of rows with the same id and text one stays, unless their
+    text has no words or they have no id."""
+    rows = _grouped(docs, id_col, text_col, shingle, threshold).filter("n > 0 AND id IS NOT NULL")
+    alike = save(rows.groupBy("root", "id", "text_key").agg(F.count(F.lit(1)).alias("rows"), F.first("group_id").alias("group_id")))
+    best = alike.filter("id = group_id").groupBy("root").agg(F.min("text_key").alias("best"))
+    judged = alike.join(best, "root", "left")
+    stays = (F.col("id") == F.col("group_id")) & (F.col("text_key") == F.col("best"))
+    gone = judged.filter(~stays | (F.col("rows") > 1)).select(
+        F.col("id").alias("__near_id"), F.col("text_key").alias("__near_text"), stays.alias("__near_one"))
+    same = (docs[id_col] == F.col("__near_id")) & (F.md5(docs[text_col].cast("binary")) == F.col("__near_text"))
+    left = docs.join(gone, same, "left_anti")
+    if gone.filter("__near_one").isEmpty():
+        return left
+    once = (docs.join(gone.filter("__near_one"), same).dropDuplicates(["__near_id", "__near_text"]))
+    return left.unionByName(once.select(*[docs[c] for c in docs.columns]))
 
 
 ORACLE = r"""
