@@ -46,11 +46,12 @@ def feedback_stats(feedback: DataFrame, messages: DataFrame, conversations: Data
 def previous_message(messages: DataFrame) -> DataFrame:
     """Each message with the message right before it in its conversation.
 
-    Messages carry their position ``turn``; the predecessor is found by an
-    equi-join on (conversation_id, turn - 1).  Hash partitioning on both
+    Messages get their position ``turn`` if they carry none; the predecessor is
+    found by an equi-join on (conversation_id, turn - 1).  Hash partitioning on both
     columns spreads even a conversation holding a third of all rows evenly
     over the cluster, which a window partitioned by conversation would not.
     """
+    messages = with_positions(messages)
     cur = messages.select("id", "conversation_id", "turn", "role", "content", "created_s")
     prev = messages.select(F.col("conversation_id"),
                            (F.col("turn") + 1).alias("turn"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .skew import numbered_in_group
 
 
 def scan_messages(messages: DataFrame) -> DataFrame:
@@ -33,13 +34,14 @@ def with_positions(messages: DataFrame) -> DataFrame:
     """``messages`` with the 0-based position ``turn`` of each row in its
     conversation, by (created asc nulls last, id); unchanged if it has one.
 
-    Only (id, conversation, time) rows are numbered; texts join back by id."""
+    Only (id, conversation, time) rows are numbered, over range partitions, so a
+    conversation may be of any size (``skew.numbered_in_group``, which writes them
+    once while the query is built); texts join back by id, which is unique."""
     if "turn" in messages.columns:
         return messages
-    w = Window.partitionBy("conversation_id").orderBy(F.col("created_s").asc_nulls_last(), "id")
-    place = messages.select("id", "conversation_id", "created_s").select(
-        "id", (F.row_number().over(w) - 1).cast("bigint").alias("turn"))
-    return messages.join(place, "id")
+    place = numbered_in_group(messages.select("id", "conversation_id", "created_s"), "conversation_id",
+                              [F.col("created_s").asc_nulls_last(), F.col("id").asc()], "turn")
+    return messages.join(place.select("id", "turn"), "id")
 
 
 def conversation_of_owner(conversations: DataFrame, messages: DataFrame, conversation_id, user_id) -> DataFrame:
@@ -158,7 +160,7 @@ def kept_history(messages: DataFrame, message_id) -> DataFrame:
     messages = with_positions(messages)
     cut = messages.filter((F.col("id") == message_id) & (F.col("role") == "assistant")).select(
         "conversation_id", F.col("turn").alias("_cut"))
-    return (messages.join(F.broadcast(cut), "conversation_id").filter(F.col("turn") < F.col("_cut"))   # one row
+    return (messages.join(F.broadcast(cut), "conversation_id").filter(F.col("turn") < F.col("_cut"))   # one row, ids are unique
             .select("conversation_id", "turn", "id", "role", "content"))
 
 

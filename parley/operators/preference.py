@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .feedback import avg_score
+from .history import with_positions
+from .skew import every_part, salt, with_figures
+
+#: Rows of one key and side above which a theta join is cut into tiles.
+TILE = 4096
 
 
 def _rated_answers(messages: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -24,29 +29,51 @@ def _rated_answers(messages: DataFrame, feedback: DataFrame) -> DataFrame:
                   .groupBy("message_id")
                   .agg(F.sum("score_centi").alias("sum_centi"), F.count(F.lit(1)).alias("n_ratings")))
     asst = messages.filter(F.col("role") == "assistant").select(
-        F.col("id").alias("message_id"), "conversation_id", "turn",
+        F.col("id").alias("message_id"), "conversation_id", *[c for c in ("turn",) if c in messages.columns],
         F.col("created_s").alias("answer_created_s"), F.col("content").alias("response"))
     return asst.join(fb, "message_id")
 
 
-def query_answer_pairs(messages: DataFrame, feedback: DataFrame, pairing: str = "later") -> DataFrame:
+def query_answer_pairs(messages: DataFrame, feedback: DataFrame, pairing: str = "later", tile: int = TILE) -> DataFrame:
     """(user message, rated assistant message) pairs of the same conversation.
 
-    ``later``: every assistant message created strictly after the user message
-    (equi-join on conversation, residual time predicate).  ``next``: only the
-    assistant message at the following position.
+    ``later``: every assistant message created strictly after the user message.
+    Conversations with more than ``tile`` messages of a kind are joined in tiles: both sides
+    are cut into parts of about ``tile`` rows, and parts meet on (conversation,
+    part, part), so one conversation's pairs spread over as many groups as it
+    has tiles.  ``next``: only the assistant message at the following position.
     """
-    users = messages.filter(F.col("role") == "user").select(
-        F.col("id").alias("query_id"), "conversation_id", F.col("turn").alias("query_turn"),
-        F.col("created_s").alias("query_created_s"), F.col("content").alias("query"))
-    ans = _rated_answers(messages, feedback)
     if pairing == "next":
+        messages = with_positions(messages)
+        users = messages.filter(F.col("role") == "user").select(
+            F.col("id").alias("query_id"), "conversation_id", F.col("turn").alias("query_turn"),
+            F.col("created_s").alias("query_created_s"), F.col("content").alias("query"))
+        ans = _rated_answers(messages, feedback)
         return users.join(ans, (users.conversation_id == ans.conversation_id)
                           & (ans.turn == users.query_turn + 1)).drop(ans.conversation_id)
     if pairing != "later":
         raise ValueError("pairing must be 'later' or 'next'")
-    return users.join(ans, (users.conversation_id == ans.conversation_id)
-                      & (ans.answer_created_s > users.query_created_s)).drop(ans.conversation_id)
+    users = messages.filter(F.col("role") == "user").select(
+        F.col("id").alias("query_id"), "conversation_id",
+        F.col("created_s").alias("query_created_s"), F.col("content").alias("query"))
+    ans = _rated_answers(messages.drop("turn"), feedback)
+    of_role = messages.select("conversation_id", (F.col("role") == "user").alias("asks"), (F.col("role") == "assistant").alias("answers"))
+    sizes = (of_role.groupBy("conversation_id").agg(F.count_if("asks").alias("asks"), F.count_if("answers").alias("answers"))
+             .filter((F.col("asks") > tile) | (F.col("answers") > tile))
+             .select("conversation_id", (F.col("asks") + F.col("answers")).alias("n"),
+                     F.ceil(F.greatest("asks", F.lit(1)) / tile).alias("q_parts"), F.ceil(F.greatest("answers", F.lit(1)) / tile).alias("a_parts")))
+
+    def cut(rows, id_col, own, own_parts, other, other_parts):
+        # Conversations of ordinary size have one part on either side.
+        one = F.lit(1).cast("bigint")
+        mine, theirs = F.coalesce(own_parts, one), F.coalesce(other_parts, one)
+        return (with_figures(rows, sizes, "conversation_id").withColumn(own, salt(id_col, mine))
+                .withColumn(other, every_part(theirs)).drop("n", "q_parts", "a_parts"))
+
+    q = cut(users, "query_id", "q_part", F.col("q_parts"), "a_part", F.col("a_parts"))
+    a = cut(ans, "message_id", "a_part", F.col("a_parts"), "q_part", F.col("q_parts"))
+    return (q.join(a, ["conversation_id", "q_part", "a_part"]).filter("answer_created_s > query_created_s")
+            .drop("q_part", "a_part"))
 
 
 def evaluation_dataset(messages: DataFrame, feedback: DataFrame, min_count: int = 2,
@@ -81,29 +108,50 @@ def response_scores(messages: DataFrame, feedback: DataFrame, min_count: int = 2
                      "feedback_count", "sum_centi"))
 
 
-def preference_pairs(scores: DataFrame, min_gap_centi: int = 20, ordered: bool = True) -> DataFrame:
+def preference_pairs(scores: DataFrame, min_gap_centi: int = 20, ordered: bool = True, tile: int = TILE) -> DataFrame:
     """Pairs of responses to the same query whose average scores differ by
     more than ``min_gap_centi``/100; ``preference`` = 1 when a beats b.
 
     Exact integer test: |sa·cb − sb·ca| > gap·ca·cb (no float boundary error).
     ``ordered=True`` keeps both orders (a, b) and (b, a) as the reference does;
     ``ordered=False`` keeps one order (a.response < b.response).
+
+    A query with more than ``tile`` responses is joined in tiles: its responses
+    are cut by score into cells as wide as the gap, and a cell into parts of
+    about ``tile`` rows.  Two responses of one cell never differ by more than the gap,
+    so a cell is not joined with itself; all other parts meet on
+    (query, part, part).
     """
-    a = scores.select(F.xxhash64("query").alias("qh"), "query",
-                      F.col("response").alias("response_a"),
-                      F.col("sum_centi").alias("sa"), F.col("feedback_count").alias("ca"))
-    b = scores.select(F.xxhash64("query").alias("qh"), F.col("query").alias("query_b"),
-                      F.col("response").alias("response_b"),
-                      F.col("sum_centi").alias("sb"), F.col("feedback_count").alias("cb"))
+    keyed = scores.select(F.xxhash64("query").alias("qh"), "query", "response", "sum_centi", "feedback_count")
+    sizes = keyed.groupBy("qh").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+    width = F.lit(max(min_gap_centi, 1)) * F.col("feedback_count")
+    cell = F.when(F.col("n").isNotNull(), F.expr("floor((sum_centi - pmod(sum_centi, _width)) / _width)")).otherwise(F.lit(0)).cast("bigint")
+    sized = with_figures(keyed, sizes, "qh").withColumn("_width", width).withColumn("cell", cell).drop("_width")
+    cells = (sized.filter("n IS NOT NULL").groupBy("qh", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"), F.count(F.lit(1)).alias("n_cell")))
+    # (query, cell, part) of the hot queries, and which of them meet.
+    blocks = cells.select("qh", "cell", every_part(F.col("parts")).alias("part"))
+    met = blocks.join(blocks.toDF("qh", "cell_b", "part_b"), "qh")
+    met = met.filter("cell <> cell_b" if min_gap_centi > 0 else "true")
+    hot = sized.filter("n IS NOT NULL").join(cells.select("qh", "cell", "parts"), ["qh", "cell"]).withColumn("part", salt("response", F.col("parts")))
+    sides = ["qh", "cell", "part", "cell_b", "part_b"]
+    figures = ["query", "response", "sum_centi", "feedback_count"]
+    a = hot.join(met, ["qh", "cell", "part"]).select(*sides, F.col("query"), F.col("response").alias("response_a"),
+                                                     F.col("sum_centi").alias("sa"), F.col("feedback_count").alias("ca"))
+    b = (hot.select("qh", F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), *figures).join(met, ["qh", "cell_b", "part_b"])
+         .select(*sides, F.col("query").alias("query_b"), F.col("response").alias("response_b"),
+                 F.col("sum_centi").alias("sb"), F.col("feedback_count").alias("cb")))
+    small = sized.filter("n IS NULL")
     # The join key is the 64-bit hash (cheap to shuffle and compare); the text
     # equality is kept as a residual so hash collisions cannot pair rows.
-    cond = ((a.qh == b.qh) & (a.query == b.query_b) & (a.response_a != b.response_b))
-    if not ordered:
-        cond = cond & (a.response_a < b.response_b)
-    j = a.join(b, cond)
+    x = small.select("qh", "query", F.col("response").alias("response_a"), F.col("sum_centi").alias("sa"), F.col("feedback_count").alias("ca"))
+    y = small.select("qh", F.col("query").alias("query_b"), F.col("response").alias("response_b"),
+                     F.col("sum_centi").alias("sb"), F.col("feedback_count").alias("cb"))
+    columns = ["query", "query_b", "response_a", "sa", "ca", "response_b", "sb", "cb"]
+    j = x.join(y, "qh").select(columns).unionByName(a.join(b, sides).select(columns))
+    order = F.col("response_a") != F.col("response_b") if ordered else F.col("response_a") < F.col("response_b")
     lhs = F.col("sa") * F.col("cb")
     rhs = F.col("sb") * F.col("ca")
-    return (j.filter(F.abs(lhs - rhs) > F.lit(min_gap_centi) * F.col("ca") * F.col("cb"))
+    return (j.filter((F.col("query") == F.col("query_b")) & order & (F.abs(lhs - rhs) > F.lit(min_gap_centi) * F.col("ca") * F.col("cb")))
              .select("query", "response_a", "response_b",
                      F.when(lhs > rhs, 1).otherwise(0).alias("preference")))
 

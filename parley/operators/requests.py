@@ -89,26 +89,53 @@ def _bucket_map(ts: np.ndarray, limit: int, ttl_us: int) -> dict:
     return {"n": n, "end_us": int(ts[-1]), "head": ts[:head].tolist(), "counts": count[:head].tolist(), "lasts": last[:head].tolist()}
 
 
+#: Stands for "no accepted request yet" in arrays of last times.
+NEVER = np.iinfo(np.int64).min
+
+
+def _through_all(count: np.ndarray, last: np.ndarray, m: dict, limit: int, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """The states after the rows of a map, for many states before them at once."""
+    head, counts, lasts = (np.asarray(m[c], dtype=np.int64) for c in ("head", "counts", "lasts"))
+    n_head = len(head)
+    count, last = np.array(count, dtype=np.int64), np.array(last, dtype=np.int64)
+    never = last == NEVER
+    fresh = never | (head[0] - np.where(never, head[0], last) >= ttl_us)
+    room = ~fresh & (count < limit)
+    more = np.where(room, limit - count, 0)
+    gaps = np.flatnonzero(np.diff(head) >= ttl_us) + 1
+    first_gap = int(gaps[0]) if len(gaps) else n_head
+    at_gap = room & (first_gap < np.minimum(more, n_head))
+    passes = room & ~at_gap & (m["n"] < more)
+    fills = room & ~at_gap & ~passes
+    full = np.where(fills, head[np.clip(more - 1, 0, n_head - 1)], last)
+    # Full counters wait for their expiry; the others reset at row 0 or at the gap.
+    wait = fills | (~fresh & ~room)
+    reset = np.where(fresh, 0, np.where(at_gap, first_gap, np.where(wait, np.searchsorted(head, np.where(wait, full, 0) + ttl_us), n_head)))
+    hit = reset < n_head
+    j = np.minimum(reset, n_head - 1)
+    out_count = np.where(hit, counts[j], np.where(passes, count + m["n"], np.where(fills, limit, count)))
+    out_last = np.where(hit, lasts[j], np.where(passes, m["end_us"], np.where(fills, full, last)))
+    return out_count, out_last
+
+
 def _through(state: tuple[int, int | None], m: dict, limit: int, ttl_us: int) -> tuple[int, int | None]:
     """The state after a bucket, from the state before it and the bucket's map."""
-    count, last = state
-    head = np.asarray(m["head"], dtype=np.int64)
-
-    def reset_at(j: int, else_state):
-        return (int(m["counts"][j]), int(m["lasts"][j])) if j < len(head) else else_state
-
-    if last is None or head[0] - last >= ttl_us:
-        return reset_at(0, state)
-    if count < limit:
-        more = limit - count
-        run = head[:min(more, len(head))]
-        gaps = np.flatnonzero(np.diff(run) >= ttl_us) + 1
-        if len(gaps):
-            return reset_at(int(gaps[0]), state)
-        if m["n"] < more:
-            return count + m["n"], m["end_us"]
-        last = int(head[more - 1])
-    return reset_at(int(np.searchsorted(head, last + ttl_us, side="left")), (limit, last))
+    count, last = _through_all(np.array([state[0]]), np.array([NEVER if state[1] is None else state[1]]), m, limit, ttl_us)
+    return int(count[0]), None if last[0] == NEVER else int(last[0])
+
+
+def _compose(a: dict, b: dict, limit: int, ttl_us: int) -> dict:
+    """The map of the rows of ``a`` followed by those of ``b``.  Composition is
+    associative, so maps can be put together in any grouping."""
+    head = np.asarray(a["head"], dtype=np.int64)
+    counts, lasts = _through_all(np.asarray(a["counts"]), np.asarray(a["lasts"]), b, limit, ttl_us)
+    if len(head) == a["n"]:   # an entering counter may outlast all rows of a
+        head, counts, lasts = (np.concatenate((x, np.asarray(b[c], dtype=np.int64)))
+                               for x, c in ((head, "head"), (counts, "counts"), (lasts, "lasts")))
+    n = a["n"] + b["n"]
+    reach = max(limit, int(np.searchsorted(head, head[min(limit, len(head)) - 1] + ttl_us, side="left")))
+    cut = min(len(head), max(reach, int(np.searchsorted(head, head[0] + ttl_us, side="left"))) + 1)
+    return {"n": n, "end_us": b["end_us"], "head": head[:cut], "counts": counts[:cut], "lasts": lasts[:cut]}
 
 
 def _runs(names: np.ndarray, bucket: np.ndarray):
@@ -119,8 +146,69 @@ def _runs(names: np.ndarray, bucket: np.ndarray):
     return zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])
 
 
+_MAP = "_k string, {} bigint, n bigint, end_us bigint, head array<bigint>, counts array<bigint>, lasts array<bigint>"
+_ENTRY = "_k string, {} bigint, _count bigint, _last bigint"
+
+
+def _compose_spans(limit: int, ttl_us: int):
+    """Sorted maps of buckets → one map for each (key, span)."""
+    def run(batches):
+        key, held = None, None
+
+        def made():
+            return pd.DataFrame([{"_k": key[0], "_span": key[1], **{c: held[c] for c in ("n", "end_us")},
+                                  **{c: np.asarray(held[c], dtype=np.int64).tolist() for c in ("head", "counts", "lasts")}}])
+
+        for pdf in batches:
+            for m in pdf.to_dict("records"):
+                if (m["_k"], m["_span"]) != key:
+                    if key is not None:
+                        yield made()
+                    key, held = (m["_k"], m["_span"]), m
+                else:
+                    held = _compose(held, m, limit, ttl_us)
+        if key is not None:
+            yield made()
+    return run
+
+
+def _enter(part: str, unit: list[str], limit: int, ttl_us: int):
+    """Sorted maps of a unit → the state that enters each of them.  A unit starts
+    from its own ``_count`` and ``_last`` if it has them, else from nothing."""
+    def run(batches):
+        key, state = None, (0, None)
+        for pdf in batches:
+            out = []
+            for m in pdf.to_dict("records"):
+                own = tuple(m[c] for c in unit)
+                if own != key:
+                    key, first = own, m.get("_last", NEVER)
+                    state = (int(m.get("_count", 0)), None if first == NEVER else int(first))
+                out.append((m["_k"], m[part], state[0], NEVER if state[1] is None else state[1]))
+                state = _through(state, m, limit, ttl_us)
+            yield pd.DataFrame(out, columns=["_k", part, "_count", "_last"])
+    return run
+
+
+def bucket_entries(maps: DataFrame, limit: int, ttl_us: int, span: int) -> DataFrame:
+    """The state that enters each bucket of each key, by a scan over two levels.
+
+    ``span`` buckets in a row are composed to one map; a key's spans are run
+    through in order, and then the buckets of each span, from the state that
+    enters it.  A key's buckets are spread over as many groups as it has spans,
+    and its spans, ``span`` * ``bucket_ttls`` ttls each, are few whatever its rows."""
+    shared = maps.withColumn("_span", F.floor(F.col("_bucket") / span)).repartition("_k", "_span")
+    spans = (shared.sortWithinPartitions("_k", "_span", "_bucket")
+             .mapInPandas(_compose_spans(limit, ttl_us), _MAP.format("_span")))
+    entered = spans.repartition("_k").sortWithinPartitions("_k", "_span").mapInPandas(
+        _enter("_span", ["_k"], limit, ttl_us), _ENTRY.format("_span"))
+    return (shared.join(entered, ["_k", "_span"]).sortWithinPartitions("_k", "_span", "_bucket")
+            .mapInPandas(_enter("_bucket", ["_k", "_span"], limit, ttl_us), _ENTRY.format("_bucket")))
+
+
 def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
-                         keys: tuple[str, ...] = ("user_id", "endpoint"), bucket_ttls: int = 64) -> DataFrame:
+                         keys: tuple[str, ...] = ("user_id", "endpoint"), bucket_ttls: int = 64,
+                         span_buckets: int = 256) -> DataFrame:
     """Allow / deny every request as the idle-reset limiter would have.
 
     Each key's timeline is cut into buckets of ``bucket_ttls`` ttls; buckets,
@@ -129,12 +217,12 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
 
     1. Every bucket publishes its map from entering to leaving state
        (``_bucket_map``): about 1 / ``bucket_ttls`` of its rows.
-    2. A key's maps are applied in time order in one ordered scan (O(1) state),
-       which gives each bucket the state it starts from.
+    2. The maps are composed in spans of ``span_buckets`` buckets, which gives
+       each span and then each bucket the state it starts from (``bucket_entries``).
     3. All buckets decide their rows from there, in parallel.
 
     Lazy: nothing runs while the query is built.  Ids may have any type; a key
-    column may be null.  Requests without a time are left out.
+    column may be null.  Requests without a time get a null decision.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -166,21 +254,8 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
             yield pd.DataFrame([made()])
 
     maps = (rows.select("_k", "_bucket", "ts_us").repartition("_k", "_bucket").sortWithinPartitions("_k", "_bucket", "ts_us")
-            .mapInPandas(publish, "_k string, _bucket bigint, n bigint, end_us bigint, head array<bigint>, counts array<bigint>, lasts array<bigint>"))
-
-    def enter(batches):
-        key, state = None, (0, None)
-        for pdf in batches:
-            out = []
-            for m in pdf.to_dict("records"):
-                if m["_k"] != key:
-                    key, state = m["_k"], (0, None)
-                out.append((key, m["_bucket"], state[0], -1 if state[1] is None else state[1], state[1] is not None))
-                state = _through(state, m, limit, ttl_us)
-            yield pd.DataFrame(out, columns=["_k", "_bucket", "_count", "_last", "_some"])
-
-    entries = maps.repartition("_k").sortWithinPartitions("_k", "_bucket").mapInPandas(
-        enter, "_k string, _bucket bigint, _count bigint, _last bigint, _some boolean")
+            .mapInPandas(publish, _MAP.format("_bucket")))
+    entries = bucket_entries(maps, limit, ttl_us, span_buckets)
 
     def decide(batches):
         key, state = None, (0, None)
@@ -188,11 +263,11 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
             allowed = np.zeros(len(pdf), dtype=bool)
             remaining = np.zeros(len(pdf), dtype=np.int64)
             ts, bucket, names = pdf["ts_us"].to_numpy(), pdf["_bucket"].to_numpy(), pdf["_k"].to_numpy(dtype=object)
-            count, last, some = (pdf[c].to_numpy() for c in ("_count", "_last", "_some"))
+            count, last = (pdf[c].to_numpy() for c in ("_count", "_last"))
             for a, b in _runs(names, bucket):
                 if (names[a], bucket[a]) != key:
                     key = (names[a], bucket[a])
-                    state = (int(count[a]), int(last[a]) if some[a] else None)
+                    state = (int(count[a]), None if last[a] == NEVER else int(last[a]))
                 allowed[a:b], remaining[a:b], state = rate_limit_fold(ts[a:b], limit, ttl_us, state)
             out = pdf[ks + ["id"]].copy()
             out["allowed"], out["remaining"] = allowed, remaining
@@ -201,7 +276,10 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
     known = (rows.join(entries, ["_k", "_bucket"]).repartition("_k", "_bucket")
              .sortWithinPartitions("_k", "_bucket", "ts_us", "id"))
     schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", allowed boolean, remaining bigint"
-    return known.select(*ks, "id", "ts_us", "_k", "_bucket", "_count", "_last", "_some").mapInPandas(decide, schema)
+    decided = known.select(*ks, "id", "ts_us", "_k", "_bucket", "_count", "_last").mapInPandas(decide, schema)
+    untimed = requests.filter(F.col("ts").isNull()).select(*ks, "id", F.lit(None).cast("boolean").alias("allowed"),
+                                                           F.lit(None).cast("bigint").alias("remaining"))
+    return decided.unionByName(untimed)
 
 
 # ------------------------------------------------------------ windows
