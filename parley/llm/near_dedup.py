@@ -168,17 +168,18 @@ def _sign(shingle: int):
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 signature: list = [None] * len(sets)
+                sketch: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
                 full = np.flatnonzero(size)
                 if len(full):
                     s = signatures([sets[i] for i in full])
                     for i, row, keys in zip(full.tolist(), s, band_keys(s).tolist()):
-                        signature[i], bands[i] = row.tobytes(), keys
+                        signature[i], sketch[i], bands[i] = row.tobytes(), row.astype(np.uint8).tobytes(), keys
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(size), pa.array(digest, pa.binary()),
-                     pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "text_key", "n", "set_key", "signature", "bands"])
+                     pa.array(signature, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["id", "text_key", "n", "set_key", "signature", "sketch", "bands"])
     return run
 
 
@@ -194,6 +195,24 @@ def least_matches(threshold: tuple[int, int] = THRESHOLD, miss: float = MISS) ->
     return out
 
 
+def _prune(threshold: tuple[int, int]):
+    """The pairs that stay likely by the low bytes of their signatures.  Low bytes
+    match at least as often as the values, so no pair goes that these would keep."""
+    least = least_matches(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(len(batch), BANDS * ROWS)
+                           for i in (2, 3))
+            alive, matches = np.arange(len(batch)), np.zeros(len(batch), dtype=np.int64)
+            for k, fewest in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                matches = matches + (left[alive, part] == right[alive, part]).sum(axis=1)
+                alive, matches = alive[matches >= fewest], matches[matches >= fewest]
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
+    return run
+
+
 def _compare(shingle: int, threshold: tuple[int, int]):
     """Links (a, b) of one pivot b with the members a of one group: batches of
     signature values first, then both full sets."""
@@ -236,9 +255,13 @@ def _with_figures(rows: DataFrame, figures: DataFrame, key: str, total: int) ->
         rows.join(F.broadcast(figures.filter(hot).select(key)), key, "left_anti").join(figures.filter(~hot), key))
 
 
-def _verify(pairs: DataFrame, full: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.  The pairs of one b are
-    dealt out in groups of about ``GROUP``, to each of which b's text goes once."""
+def _verify(pairs: DataFrame, sketches: DataFrame, full: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.  The signatures' low bytes
+    leave the likely pairs; those of one b are dealt out in groups of about
+    ``GROUP``, to each of which b's text goes once."""
+    sized = (pairs.join(sketches.toDF("a", "n_a", "s_a"), "a").join(sketches.toDF("b", "n_b", "s_b"), "b")
+             .filter(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b")))
+    pairs = save(sized.select("a", "b", "s_a", "s_b").mapInArrow(_prune(threshold), "a long, b long"))
     figures = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")).withColumn("groups", F.ceil(F.col("size") / GROUP))
     dealt = _with_figures(pairs, figures, "b", pairs.count()).withColumn("part", F.pmod(F.xxhash64("a"), F.col("groups")))
     known = full.select("uid", "n", "signature", "text")
@@ -315,7 +338,7 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
     """(classes, components): the classes of equal sets and (node, component) of the linked ones."""
     classes = save(signed.filter("n > 0").groupBy("set_key").agg(
         F.min("id").alias("id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"),
-        F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
         .withColumn("uid", F.monotonically_increasing_id()))
     total = BANDS * classes.count()
     exploded = classes.select("uid", F.explode("bands").alias("band"))
@@ -326,11 +349,13 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
     near = save(rows.groupBy(F.col("uid").alias("a")).agg(F.max_by("pivot", F.struct("size", F.bitwise_not(F.xxhash64("pivot")), "pivot")).alias("b"),
                                                           F.count(F.lit(1)).alias("n_bands")))
     wanted = classes.join(near.select(F.col("a").alias("uid")), "uid", "left_semi")
+    sketches = save(wanted.select("uid", "n", "sketch"))
     carried = docs.select(F.md5(F.col(text_col).cast("binary")).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    texts = carried.join(wanted.select("uid", "text_key"), "text_key").groupBy("uid").agg(F.first("text").alias("text"))
+    # Saved, so that its size is known and few wanted texts need no shuffle of all.
+    texts = carried.join(save(wanted.select("uid", "text_key")), "text_key").groupBy("uid").agg(F.first("text").alias("text"))
     full = save(texts.join(wanted.select("uid", "n", "signature", "bands"), "uid"))
     near = near.filter("a <> b").select("a", "b")
-    links = save(_verify(near, full, shingle, threshold))
+    links = save(_verify(near, sketches, full, shingle, threshold))
     one_step = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     # Buckets that still hold several components: each class and the pivot, if that is in
@@ -352,7 +377,7 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
     members = few.select("band", F.pmod(F.xxhash64("uid"), parts).alias("part"), F.col("uid").alias("b"), F.col("c").alias("b_c"))
     among = outside.join(members, ["band", "part"]).filter("a_c <> b_c").select("a", "b")
     pairs = save(_ordered(to_pivot.unionByName(among)).join(_ordered(near), ["a", "b"], "left_anti"))
-    links = save(links.unionByName(_verify(pairs, full, shingle, threshold)))
+    links = save(links.unionByName(_verify(pairs, sketches, full, shingle, threshold)))
     component = components(links, "a", "b")
     if buckets.filter("not few").isEmpty():
         return classes, component
@@ -387,11 +412,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     text = F.col(text_col).cast("binary")
     kind = dict(docs.dtypes)[id_col]
     signed = save(docs.select(F.col(id_col).alias("id"), F.md5(text).alias("text_key"), text.alias("text")).mapInArrow(
-        _sign(shingle), f"id {kind}, text_key string, n long, set_key binary, signature binary, bands array<long>"))
+        _sign(shingle), f"id {kind}, text_key string, n long, set_key binary, signature binary, sketch binary, bands array<long>"))
     classes, component = _links(signed, docs, text_col, shingle, threshold)
     root = _with_component(classes.select("uid", "set_key", "id"), component).select("set_key", "id", F.col("c").alias("root"))
-    least = root.groupBy("root").agg(F.min("id").alias("group_id"))
-    groups = root.join(least, "root").select("set_key", "root", "group_id")
+    least = save(root.groupBy("root").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("size")))
+    groups = _with_figures(root, least, "root", classes.count()).select("set_key", "root", "group_id")
     # Documents are many, their classes' groups fewer; AQE splits a hot set.
     return signed.select("id", "text_key", "n", "set_key").join(groups, "set_key", "left").drop("set_key")
 
