@@ -66,6 +66,7 @@ DESCRIPTIONS = {
     "score_feedback_types": "UI rating type to numeric score",
     "score_pairs": "reward of every rated pair from the fitted model",
     "semantic_topk": "exact cosine top-5 messages per label centroid",
+    "semantic_topk_pruned": "exact top-k vectors, tiles skipped by the triangle inequality",
     "session_state": "training session state from its event log",
     "stale_conversations": "unarchived conversations older than the cut-off",
     "start_tasks": "task table rewritten with the dequeued tasks running",

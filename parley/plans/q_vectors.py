@@ -41,16 +41,28 @@ def _corpus(emb):
             .unionByName(emb.filter(m % 50 == 0).select((m + 2000000).alias("message_id"), short)))
 
 
-@register("semantic_topk", W(f"""
+_TOPK_SQL = W(f"""
 select query_id, message_id, rank, round(score, 6) as score from (
   select c.label as query_id, e.message_id, s.score,
          row_number() over (partition by c.label order by s.score desc, e.message_id) as rank
   from cent c join corpus e on len(e.embedding) = len(c.c),
   lateral (select list_cosine_similarity(c.c, e.embedding::double[]) as score) s)
-where rank <= {TOPK}""", "message_embeddings", ctes=_CORPUS))
+where rank <= {TOPK}""", "message_embeddings", ctes=_CORPUS)
+
+
+@register("semantic_topk", _TOPK_SQL)
 def q_semantic_topk(spark, sf_dir):
     emb = chat_tables(spark, sf_dir).message_embeddings
     queries = V.mean_pool(emb, "label").select(F.col("label").alias("query_id"),
                                                F.col("mean_vector").alias("embedding"))
     r = V.semantic_topk(queries, _corpus(emb), TOPK, "cosine")
     return r.select("query_id", "message_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("semantic_topk_pruned", _TOPK_SQL)
+def q_semantic_topk_pruned(spark, sf_dir):
+    emb = chat_tables(spark, sf_dir).message_embeddings
+    queries = V.mean_pool(emb, "label").select(F.col("label").alias("query_id"),
+                                               F.col("mean_vector").alias("embedding"))
+    r = V.semantic_topk_pruned(queries, _corpus(emb), TOPK, "cosine")
+    return r.select("query_id", "message_id", "rank", F.round("score", 6).alias("score"))

@@ -67,3 +67,44 @@ def test_lsh_topk_is_close_to_exact(spark):
     got = {(r.query_id, r.message_id) for r in approx}
     assert len(got & exact) / len(exact) >= 0.6
     assert all(-1.0 - 1e-9 <= r.score <= 1.0 + 1e-9 for r in approx)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("k, kw", [(4, {}), (1, {"tile": 5, "seeds": 9, "query_tile": 2}), (30, {"tile": 11, "seeds": 1}), (100000, {"tile": 64})])
+def test_pruned_topk_equals_the_full_one(spark, metric, k, kw):
+    """Ties (equal vectors under several ids), null, zero, short and broken vectors."""
+    emb = chat_tables(spark, SF_SMALL).message_embeddings.select("message_id", "embedding")
+    m = F.col("message_id")
+    zero = F.transform("embedding", lambda x: x * F.lit(0).cast("float"))
+    corpus = (emb.unionByName(emb.filter(m % 3 == 0).select((m + 1000000).alias("message_id"), "embedding"))
+              .unionByName(emb.filter(m % 9 == 0).select((m + 2000000).alias("message_id"), zero.alias("embedding")))
+              .unionByName(emb.filter(m % 9 == 1).select((m + 3000000).alias("message_id"), F.slice("embedding", 1, 7).alias("embedding")))
+              .unionByName(emb.filter(m % 9 == 2).select((m + 4000000).alias("message_id"), F.lit(None).cast("array<float>").alias("embedding"))))
+    queries = corpus.filter(m % 50 == 7).select(m.alias("query_id"), "embedding")
+
+    def rows(df):
+        return sorted((r.query_id, r.rank, r.message_id, round(r.score, 9)) for r in df.collect())
+    assert rows(V.semantic_topk_pruned(queries, corpus, k, metric, **kw)) == rows(V.semantic_topk(queries, corpus, k, metric))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_most_tiles_of_clustered_vectors_are_never_read(spark, metric):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 10
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.05
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "message_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, x[i * 37].tolist()) for i in range(60)], "query_id long, embedding array<double>")
+    plan = V.prune_tiles(queries, corpus, 5, metric, tile=64, seeds=200)
+    read, all_pairs = plan.wanted.count(), plan.tiles.count() * 60
+    assert plan.tiles.count() >= 60 and read < all_pairs * 0.25
+
+    def rows(df):
+        return sorted((r.query_id, r.rank, r.message_id) for r in df.collect())
+    assert rows(V.semantic_topk_pruned(queries, corpus, 5, metric, tile=64, seeds=200)) == rows(V.semantic_topk(queries, corpus, 5, metric))
+
+
+def test_pruned_topk_of_empty_tables(spark):
+    none = spark.createDataFrame([], "query_id long, message_id long, embedding array<double>")
+    one = spark.createDataFrame([(1, 1, [1.0, 2.0])], "query_id long, message_id long, embedding array<double>")
+    assert V.semantic_topk_pruned(one, none).count() == 0 == V.semantic_topk_pruned(none, one).count()
+    assert [tuple(r)[:3] for r in V.semantic_topk_pruned(one, one).collect()] == [(1, 1, 1)]
