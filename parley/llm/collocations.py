@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quotient_filter as qf
-from .common import empty_if_null, position_after_sort, save
+from .common import empty_if_null, first_of_group, position_after_sort, save
 
 LEAST = 10
 TOP = 2000
@@ -243,9 +243,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     texts, dictionaries = encode(docs, text_col, lang_col)
     words, totals = number_words(dictionaries, least)
     found = candidates(count_phrases(texts, dictionaries, words, least), words, held_by)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = first_of_group(found, ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], top, "rank", "phrase")
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = r"""

@@ -81,3 +81,14 @@ def running_total(df: DataFrame, keys: list, value: str, name: str, group: str |
     local = Window.partitionBy("__part", *own).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
     return (numbered.withColumn("__own", F.sum(value).over(local)).join(offsets, ["__part", *own])
             .withColumn(name, F.col("__before") + F.col("__own")).drop("__n", "__part", "__own", "__before"))
+
+
+def first_of_group(df: DataFrame, group: list[str], order: list, n: int, rank: str, key: str, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, with their rank.  A group's
+    rows are cut down in ``parts`` parts by hash of ``key`` first, so that a task of the
+    last step meets at most ``parts`` * ``n`` rows of a group."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    cut = df.withColumn("__part", part)
+    cut = cut.withColumn("__in_part", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))).filter(F.col("__in_part") <= n)
+    return (cut.drop("__part", "__in_part").withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+            .filter(F.col(rank) <= n))
