@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, position_after_sort, save
+from .common import empty_if_null, first_of_group, position_after_sort, save
 
 LEAST_DOCS = 3
 SCALE = 1000000000
@@ -171,7 +171,8 @@ def _both(left: pa.Table, right: pa.Table) -> pa.Table:
 def pair_divergence(kept: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """(lang, source, item, value) for each ordered pair of a language's sources."""
     vectors = kept.groupBy("lang", "cells").agg(F.count(F.lit(1)).alias("m"))
-    placed = save(position_after_sort(vectors, ["lang", "cells"], "__place")
+    # By the first cells; the hash of all keeps equal beginnings apart and the sort's samples short.
+    placed = save(position_after_sort(vectors, [F.col("lang"), F.slice("cells", 1, 3), F.xxhash64("cells")], "__place")
                   .select("lang", "cells", "m", F.expr(f"__place div {block}").alias("__block")))
     columns = (placed.select("lang", F.col("__block").alias("__of_block")).distinct()
                .join(groups.select("lang", "source", "total"), "lang").withColumnRenamed("lang", "__of_lang"))
@@ -199,13 +200,11 @@ def term_divergence(kept: DataFrame, groups: DataFrame) -> DataFrame:
 def audit_sources(docs: DataFrame, top_terms: int = TOP_TERMS, **columns) -> DataFrame:
     """(lang, source, part, item, value, rank): all ranked pairs, and each group's first terms."""
     kept, groups = count_terms(docs, **columns)
-    best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-
-    def ranked(rows, part):
-        return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value",
-                           F.row_number().over(best).alias("rank"))
-    return (ranked(pair_divergence(kept, groups), "pair")
-            .unionByName(ranked(term_divergence(kept, groups), "term").filter(F.col("rank") <= top_terms)))
+    group, order = ["lang", "source"], [F.desc("value"), F.col("item")]
+    pairs = pair_divergence(kept, groups).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    terms = first_of_group(term_divergence(kept, groups), group, order, top_terms, "rank", "item")
+    return (pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
+            .select("lang", "source", "part", "item", "value", "rank"))
 
 
 ORACLE = r"""
