@@ -3,15 +3,17 @@
 Every page is matched against the rules by host suffix and path prefix (the
 longest rule wins).  Pages that are aliases of each other form one class:
 connected components over redirect rows, over the canonical and refresh links
-in the pages' HTML, and over the link from each URL to its plain form (no
-scheme, fragment, query, ``.html`` ending or closing slash), as servers
-redirect those.  A page that no rule fits is blocked if its class holds a
+in the pages' HTML (every such link, from the page's full URL, relative
+targets resolved against it), and over the link from each URL to its plain
+form (no scheme, fragment, ``.html`` ending or closing slash of the path; the
+query stays), as servers redirect those.  A page that no rule fits is blocked if its class holds a
 blocked page and no explicitly allowed one; an explicit rule of its own always
 decides first, so allow takes precedence over what is propagated.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule, has no alias and is allowed.  An empty or null HTML gives no
-link.  Repeated rows and repeated page ids each keep their own result row.
+link, nor does a target of another scheme without ``//`` (``mailto:``) or within the
+page (``#top``).  Repeated rows and repeated page ids each keep their own result row.
 Other columns of the table are not read.  An empty table gives an empty result.
 """
 
@@ -49,10 +51,42 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark, else empty."""
+    return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
 def plain_form(url: Column) -> Column:
-    """Host and path without ending; null when the URL has no host."""
+    """Host, path without ending, and query; null when the URL has no host."""
     host = host_of(url)
-    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), r"(\.html?|/)$", "")))
+    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), r"(\.html?|/)$", ""), query_of(url)))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments worked off."""
+    none = F.array().cast("array<string>")
+
+    def step(done, part):
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.array_append(done, part))
+    closing = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"), closing)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The full address that ``target`` names on the page ``url``; null if it names none."""
+    site = F.concat(F.regexp_extract(url, r"^[^:]*", 0), F.lit("://"), host_of(url))
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    own_path, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    return (F.when((target == "") | target.startswith("#"), F.lit(None))
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(host_of(url) == "", F.lit(None))
+            .when(target.startswith("?"), F.concat(site, path_of(url), target))
+            .when(target.startswith("/"), F.concat(site, _without_dots(own_path), rest))
+            .otherwise(F.concat(site, _without_dots(F.concat(folder, own_path)), rest)))
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -66,29 +100,31 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str | None, redirects: DataFrame | None) -> DataFrame:
-    """(a, b): two names of one page.  Names of full URLs begin with ``u:``, plain forms with ``p:``."""
+    """(a, b): two names of one page.  Names of full URLs begin with ``u:``, plain
+    forms with ``p:``; each full URL that is met is joined with its plain form."""
     url = F.col(url_col)
-    plain = F.concat(F.lit("p:"), plain_form(url))
-    edges = pages.select(F.concat(F.lit("u:"), url).alias("a"), plain.alias("b"))
 
-    def to(target: Column) -> Column:
-        # A target in the same site may be given from the root on.
-        full = F.when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(
-            target.startswith("/"), F.concat(F.lit("http://"), host_of(url), target)).otherwise(target)
-        return F.concat(F.lit("p:"), plain_form(full))
+    def full(c: Column) -> Column:
+        return F.concat(F.lit("u:"), c)
+
+    def plain(c: Column) -> Column:
+        return F.concat(F.lit("p:"), plain_form(c))
 
+    edges = pages.select(full(url).alias("a"), plain(url).alias("b"))
+    links = []
     if html_col is not None:
         html = F.col(html_col)
-        head = pages.filter(html.contains("canonical") | html.contains("refresh") | html.contains("CANONICAL")
-                            | html.contains("REFRESH") | html.contains("Canonical") | html.contains("Refresh"))
-        links = F.filter(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1)),
-                         lambda x: x != "")
-        edges = edges.unionByName(head.select(url, plain.alias("a"), F.explode(links).alias("t"))
-                                  .select("a", to(F.col("t")).alias("b")))
+        low = _lower(html)
+        found = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))
+        links.append(pages.filter(low.contains("canonical") | low.contains("refresh"))
+                     .select(url.alias("f"), F.explode(found).alias("t"))
+                     .select("f", resolved(F.replace("t", F.lit("&amp;"), F.lit("&")), F.col("f")).alias("t")))
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(
-            F.concat(F.lit("p:"), plain_form(F.col("from_url"))).alias("a"),
-            F.concat(F.lit("p:"), plain_form(F.col("to_url"))).alias("b")))
+        links.append(redirects.select(F.col("from_url").alias("f"), F.col("to_url").alias("t")))
+    for link in links:
+        edges = (edges.unionByName(link.select(full(F.col("f")).alias("a"), full(F.col("t")).alias("b")))
+                 .unionByName(link.select(full(F.col("t")).alias("a"), plain(F.col("t")).alias("b")))
+                 .unionByName(link.select(full(F.col("f")).alias("a"), plain(F.col("f")).alias("b"))))
     return edges.filter("a is not null and b is not null").distinct()
 
 
@@ -120,7 +156,8 @@ with p as (
 q as (
   select page_id, url, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+         coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1), '') as query
   from p),
 r as (
   select *, case
@@ -128,7 +165,7 @@ r as (
     when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
     when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
     when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule,
-    case when host <> '' then host || regexp_replace(path, '(\.html?|/)$', '') end as alias_key
+    case when host <> '' then host || regexp_replace(path, '(\.html?|/)$', '') || query end as alias_key
   from q),
 v as (
   select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end as own from r)
