@@ -47,12 +47,12 @@ def op4_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("alias_class")
 
 
-@query("op5_sharding")
+@query("op5_sharding", sharding.ORACLE)
 def op5_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
-@query("op6_secrets")
+@query("op6_secrets", secrets.ORACLE)
 def op6_secrets(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 

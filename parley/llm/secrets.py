@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, scratch_dir
+from .common import empty_if_null, save, scratch_dir
 
 RULE_VERSION = "2"
 # The base rules' patterns and least lengths.
@@ -74,12 +74,15 @@ def read_ledger(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSI
 
 
 def scan_unseen(docs: DataFrame, ledger: str, text_col: str = "text", rule_version: str = RULE_VERSION) -> None:
-    """Scan each blob of ``docs`` that the ledger lacks and append the results."""
+    """Scan each blob of ``docs`` that the ledger lacks and append the results.
+    Which blobs are unseen is found on digests alone; only their texts move."""
     text = empty_if_null(text_col)
-    blobs = docs.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
-    once = blobs.groupBy("blob").agg(F.first("text").alias("text"))  # combined on the map side
+    blob = F.sha2(text.cast("binary"), 256)
     seen = read_ledger(docs.sparkSession, ledger, rule_version).select("blob")
-    (once.join(seen, "blob", "left_anti").mapInArrow(_scan, LEDGER_SCHEMA.rpartition(",")[0])
+    unseen = save(docs.select(blob.alias("blob")).distinct().join(seen, "blob", "left_anti"))
+    once = (docs.select(blob.alias("blob"), text.alias("text")).join(unseen, "blob")
+            .groupBy("blob").agg(F.first("text").alias("text")))  # combined on the map side
+    (once.mapInArrow(_scan, LEDGER_SCHEMA.rpartition(",")[0])
      .withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger))
 
 
@@ -100,3 +103,28 @@ def find_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_
 def listed(spans):
     """``kind:start:end`` of each span, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+# The texts between the matches and the matches themselves, in turn, give their places.
+ORACLE = r"""
+WITH rules(kind, nr, pattern, part, least) AS (VALUES
+  ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 16), ('hex', 2, '[0-9a-f]+', 0, 32),
+  ('pem', 3, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 0, 0)),
+docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+met AS (
+  SELECT row, kind, nr, least, regexp_split_to_array(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS hits,
+    regexp_extract_all(text, pattern, 2) AS values FROM docs, rules WHERE kind = 'assign'
+  UNION ALL SELECT row, kind, nr, least, regexp_split_to_array(text, pattern), regexp_extract_all(text, pattern),
+    regexp_extract_all(text, pattern) FROM docs, rules WHERE kind <> 'assign'),
+each AS (SELECT row, kind, nr, least, unnest(gaps[:len(hits)]) AS gap, unnest(hits) AS hit, unnest(values) AS value,
+  generate_subscripts(hits, 1) AS i FROM met),
+placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM each),
+spans AS (SELECT row, kind, nr, (stop - length(hit))::BIGINT AS start, kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span
+  FROM placed WHERE length(value) >= least),
+listed AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg(span, ',' ORDER BY start, nr) FILTER (kind <> 'pem') AS base,
+  string_agg(span, ',' ORDER BY start, nr) AS spans FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN listed USING (row)
+"""

@@ -61,3 +61,20 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **kw) -> No
     placed = assign_shards(docs, id_col=id_col, **kw).select(F.col(id_col), "shard", "slot")
     (docs.join(placed, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
+
+
+ORACLE = r"""
+WITH crc_table AS (SELECT [list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)
+  FOR n IN range(256)] AS t),
+bytes AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT row, doc_id, source, (length(h) // 2 + 8)::BIGINT AS size, md5('20250:' || doc_id::VARCHAR) AS shuffle,
+  xor(4294967295, list_reduce([4294967295::BIGINT] || [('0x' || substr(h, k, 2))::BIGINT FOR k IN range(1, length(h), 2)],
+    lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS text_crc32
+  FROM bytes, crc_table),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY shuffle, doc_id, text_crc32) - 1 + 0.5::DOUBLE)
+  / count(*) OVER (PARTITION BY source) AS fraction FROM sized),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, shuffle, doc_id, text_crc32) - 1 AS place,
+  count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 24 // total)::INTEGER AS shard,
+  (place - (place * 24 // total * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM placed
+"""
