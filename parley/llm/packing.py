@@ -42,12 +42,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+# Fixed value: the one token that the vocabulary's JSON file adds to the ranks.
+ADDED = {"<|endoftext|>": 50256}
+
+
 def encoder(path: str):
+    """The ids of a text, as a function; added tokens in it have their own ids."""
     import public_tokenizers
     import tiktoken
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t: i for t, i in ADDED.items() if i not in ranks.values()}
+    made = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return made.encode(text, allowed_special="all")
+        return made.encode_ordinary(text)
+    return encode
 
 
 class BestFit:
@@ -101,7 +113,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encode, bins = encoder(path).encode_ordinary, BestFit(capacity, limit)
+        encode, bins = encoder(path), BestFit(capacity, limit)
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
             source, out, ids = [], [], []
