@@ -6,10 +6,12 @@ before and after it; the chain's transition weights couple neighbouring
 labels.  A document's quality is the length-weighted mean of its lines'
 forward-backward marginals of ``good``.
 
-The model is fitted by gradient descent on the conditional likelihood of
-``TRAIN_DOCS`` labelled documents at most (of those given, the smallest hashes of their ids;
-each line carries its document's label), of which the first ``TRAIN_LINES``
-lines each enter the fit.  That bounded sample is the only thing the driver
+The model is fitted by gradient descent on the conditional likelihood of a
+sample of labelled documents, each with all its lines, which carry its label.
+The sample is drawn from the given documents in the order of the hashes of
+their ids: ``TRAIN_DOCS`` at most, and while their texts and features take no
+more than ``TRAIN_BYTES`` together; a document that takes more than a 16th of
+that by itself is not drawn.  That bounded sample is the only thing the driver
 sees; scoring reads every line of every text, in array operations over batches.
 
 Only the text enters a score.  Defined results: null and empty texts are one
@@ -25,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import empty_if_null
 
 TRAIN_DOCS = 2000
-TRAIN_LINES = 48
+TRAIN_BYTES = 1 << 26
 ROUNDS = 150
 RATE = 0.08
 PENALTY = 1e-4
@@ -192,14 +194,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> LineField:
+          train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> LineField:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(
         F.min(label_col).alias("__label")).join(docs.select(id_col).distinct(), id_col, "left_semi")
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(train_docs).withColumnRenamed(id_col, "__id")
+    chosen = F.broadcast(known.orderBy(F.xxhash64(id_col), id_col).limit(train_docs).withColumnRenamed(id_col, "__id"))
+    texts = docs.select(F.col(id_col).alias("__id"), empty_if_null(text_col).alias("__text"))
+    lines = 1 + F.char_length("__text") - F.char_length(F.translate("__text", "\n", ""))
+    taken = (texts.join(chosen, "__id").select("__id", (F.octet_length("__text") + lines.cast("long") * (4 * FEATURES)).alias("__takes"))
+             .groupBy("__id").agg(F.max("__takes").alias("__takes")).filter(F.col("__takes") <= train_bytes // 16))
+    in_order = Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)  # train_docs rows at most
+    fits = taken.withColumn("__sum", F.sum("__takes").over(in_order)).filter(F.col("__sum") <= train_bytes).select("__id")
     # A repeated id's first text in order: the sample stays bounded by its ids.
-    head = F.substring_index(empty_if_null(text_col), "\n", train_lines)
-    rows = docs.select(F.col(id_col).alias("__id"), F.substring(head, 1, 1 << 16).cast("binary").alias("__text")).join(
-        F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label"))
+    rows = (texts.join(F.broadcast(fits), "__id").join(chosen, "__id").select("__id", "__label", F.col("__text").cast("binary").alias("__text"))
+            .groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__label").alias("__label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: LineField, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """``docs`` with the quality of each text as ``out_col``."""
+    """``docs`` with the quality of each text as ``out_col``; a column of that name
+    is an error, as Spark would not tell the two apart."""
+    if out_col in docs.columns:
+        raise ValueError(f"the table has a column {out_col}; name another out_col")
     from pyspark import cloudpickle
     weights = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     kind = docs.select("*").schema.add(out_col, "double")
