@@ -34,6 +34,7 @@ columns pass through ``remove_repeats``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,11 +171,12 @@ def _chunk(min_words: int):
                 once = [_once(d) for d in digests]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1),
+                     pa.array([hashlib.md5(t).digest() for t in texts[first:i + 1]], pa.binary()),
                      pa.array([pa.array(d, mask=~o[0]) for d, o in zip(digests, once)], pa.list_(pa.int64())),
                      pa.array([o[1].astype(np.int32) for o in once], pa.list_(pa.int32())),
                      pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())),
                      pa.array([x[2].astype(np.int32) for x in found], pa.list_(pa.int32()))],
-                    names=["row", "id", "digests", "again", "ends", "words"])
+                    names=["row", "id", "text_key", "digests", "again", "ends", "words"])
                 first, size = i + 1, 0
     return run
 
@@ -183,7 +185,7 @@ def _runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            ids, ends, words, again, hits = (batch.column(i).to_pylist() for i in range(5))
+            ids, ends, words, again, hits, keys = (batch.column(i).to_pylist() for i in range(6))
             for i, marked in enumerate(hits):
                 first, end = (x.tolist() for x in windows(np.array(words[i]), min_words))
                 owner = {h["pos"]: h["owner"] for h in marked}
@@ -195,44 +197,52 @@ def _runs(min_words: int):
                     while j < len(marked) and marked[j][0] <= b:
                         b, j = max(b, marked[j][1]), j + 1
                     start = ends[i][a - 1] if a else 0
-                    out.append((ids[i], start, ends[i][b - 1], sum(words[i][a:b]), sorted({m[2] for m in marked[k:j]})))
+                    out.append((ids[i], start, ends[i][b - 1], sum(words[i][a:b]), sorted({m[2] for m in marked[k:j]}), keys[i]))
                     k = j
-            column = list(zip(*out)) or [()] * 5
+            column = list(zip(*out)) or [()] * 6
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column[0], kind), pa.array(column[1], pa.int64()), pa.array(column[2], pa.int64()),
-                 pa.array(column[3], pa.int64()), pa.array(column[4], pa.list_(kind))],
-                names=["id", "start", "end", "n_words", "first_ids"])
+                 pa.array(column[3], pa.int64()), pa.array(column[4], pa.list_(kind)), pa.array(column[5], pa.binary())],
+                names=["id", "start", "end", "n_words", "first_ids", "text_key"])
     return run
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, start, end, n_words, first_ids): one row for each passage to remove, in code
-    points, with the earlier documents that hold its windows."""
+def _repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, start, end, n_words, first_ids, text_key) of the repeated passages."""
     kind = dict(docs.dtypes)[id_col]
     cut = save(docs.filter(F.col(id_col).isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(_chunk(min_words), f"row long, id {kind}, digests array<long>, again array<int>, ends array<int>, words array<int>"))
+        .mapInArrow(_chunk(min_words), f"row long, id {kind}, text_key binary, digests array<long>, again array<int>, ends array<int>, words array<int>"))
     every = cut.select("row", "id", F.posexplode("digests").alias("pos", "digest")).filter("digest is not null")
     shared = (every.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("other"))
               .filter("owner <> other").select("digest", "owner"))
     hits = (every.join(shared, "digest").filter("owner <> id").groupBy("row")
             .agg(F.collect_list(F.struct("pos", "owner")).alias("hits"), F.count(F.lit(1)).alias("n")))
-    rows = cut.join(hits, "row").select("id", "ends", "words", "again", "hits")
-    return rows.mapInArrow(_runs(min_words), f"id {kind}, start long, end long, n_words long, first_ids array<{kind}>").select(
-        F.col("id").alias(id_col), "start", "end", "n_words", "first_ids")
+    rows = cut.join(hits, "row").select("id", "ends", "words", "again", "hits", "text_key")
+    return rows.mapInArrow(_runs(min_words),
+                           f"id {kind}, start long, end long, n_words long, first_ids array<{kind}>, text_key binary")
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, start, end, n_words, first_ids): one row for each passage to remove, in code
+    points, with the earlier documents that hold its windows."""
+    return _repeats(docs, id_col, text_col, min_words).select(F.col("id").alias(id_col), "start", "end", "n_words", "first_ids")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated passages cut out of the texts; ids must be unique."""
-    spans = find_repeats(docs, id_col, text_col, min_words).groupBy(F.col(id_col).alias("__cut_id")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    """``docs`` with repeated passages cut out of the texts.  A row loses the
+    passages found in its own text, also where its id stands with other texts."""
+    spans = _repeats(docs, id_col, text_col, min_words).groupBy(
+        F.col("id").alias("__cut_id"), F.lower(F.hex("text_key")).alias("__cut_text")).agg(
+        F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("__cut"))
     text = F.col(text_col)
     # What stays: from each passage's end to the next one's start.
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cut", lambda s: s["end"]))
     ends = F.concat(F.transform("__cut", lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
     kept = F.concat_ws("", F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.substr(
         text, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))
-    joined = docs.join(spans, docs[id_col] == spans["__cut_id"], "left")
+    own = (docs[id_col] == spans["__cut_id"]) & (F.md5(docs[text_col].cast("binary")) == spans["__cut_text"])
+    joined = docs.join(spans, own, "left")
     return joined.select(*[F.when(F.col("__cut").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c]
                            for c in docs.columns])
