@@ -49,9 +49,11 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
                      F.when(F.col("kind") == "finish", F.col("_first.finish_reason")).alias("finish_reason"))
 
 
-def assemble_chunks(chunks: DataFrame) -> DataFrame:
+def assemble_chunks(chunks: DataFrame, flag_gaps: bool = False) -> DataFrame:
     """Finished messages: the pieces in sequence order up to and including the
-    first finish / done marker; unfinished messages are not emitted.
+    first finish / done marker; unfinished messages are not emitted.  Of lines
+    sent twice (equal sequence number) the one with the greatest text counts.
+    ``flag_gaps`` adds ``has_gaps``: whether a line from 0 to the end is missing.
 
     One parse and one aggregation per message: the end position (first
     finish/done) and the pieces are gathered together, then the pieces up to
@@ -62,12 +64,17 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     p = parse_chunks(chunks)
     is_end = F.col("kind").isin("finish", "done")
     is_piece = F.col("kind").isin("content", "finish") & F.col("content").isNotNull()
+    gaps = [F.collect_set("seq").alias("seqs")] if flag_gaps else []
     g = p.groupBy("message_id").agg(
         F.min(F.when(is_end, F.col("seq"))).alias("end_seq"),
-        F.collect_list(F.when(is_piece, F.struct("seq", "content"))).alias("pieces"))
+        F.collect_list(F.when(is_piece, F.struct("seq", "content"))).alias("pieces"), *gaps)
     ordered = F.array_sort(F.filter("pieces", lambda x: x["seq"] <= F.col("end_seq")))
-    return (g.filter(F.col("end_seq").isNotNull())
-             .select("message_id", F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("content")))
+    g = g.filter(F.col("end_seq").isNotNull()).withColumn("pieces", ordered)
+    # Equal numbers stand together, the greatest text last.
+    once = F.filter("pieces", lambda x, i: F.coalesce(F.get("pieces", i + 1)["seq"] != x["seq"], F.lit(True)))
+    met = F.size(F.filter("seqs", lambda q: (q >= 0) & (q <= F.col("end_seq")))) if flag_gaps else None
+    flag = [(met < F.col("end_seq") + 1).alias("has_gaps")] if flag_gaps else []
+    return g.select("message_id", F.array_join(F.transform(once, lambda x: x["content"]), "").alias("content"), *flag)
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -321,8 +321,9 @@ def _sliding(requests: DataFrame, keys: tuple[str, ...], width_s: int, step_s: i
     divide go through Spark's own sliding window instead."""
     if requests.isStreaming or width_s % step_s:
         w = F.window("ts", f"{width_s} seconds", f"{step_s} seconds").alias("w")
+        at = [F.window_time("w").alias("window_time")] if requests.isStreaming else []   # carries the watermark on
         return (requests.groupBy(*keys, w).agg(*[a.alias(n) for n, a in aggs.items()])
-                .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"), epoch_s(F.col("w.end")).alias("window_end_s"), *aggs))
+                .select(*keys, epoch_s(F.col("w.start")).alias("window_start_s"), epoch_s(F.col("w.end")).alias("window_end_s"), *aggs, *at))
     step = (F.floor(epoch_s(F.col("ts")) / step_s) * step_s).cast("bigint")
     steps = (requests.filter(F.col("ts").isNotNull()).groupBy(*keys, step.alias("_step"))
              .agg(*[a.alias(n) for n, a in aggs.items()]))
@@ -350,6 +351,12 @@ def alert_error_rate(requests: DataFrame, threshold_per_s: float = 0.1, hold_s:
         *ks, "window_end_s", "errors", "error_rate")
 
 
+def resolved(alerts: DataFrame, keys: list[str], step_s: int) -> DataFrame:
+    """(keys, window_end_s): the first evaluation after each run of alerts that is none."""
+    after = alerts.select(*keys, (F.col("window_end_s") + step_s).alias("window_end_s"))
+    return after.join(alerts.select(*keys, "window_end_s"), [*keys, "window_end_s"], "left_anti")
+
+
 def histogram_quantile(q: float, cums: list[Column], total: Column, bounds=LATENCY_BUCKETS_MS) -> Column:
     """Linear interpolation inside the bucket holding rank q·total; a rank in
     the +Inf bucket returns the highest finite bound (in the bounds' unit)."""
@@ -370,7 +377,8 @@ def latency_windows(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",),
     aggs |= {f"le_{b}": F.count_if(F.col("latency_ms") <= b).cast("bigint") for b in bounds}
     g = _sliding(requests, keys, width_s, step_s, aggs)
     cums = [F.col(f"le_{b}") for b in bounds]
-    return g.select(*keys, "window_start_s", "window_end_s", "total",
+    at = ["window_time"] if "window_time" in g.columns else []
+    return g.select(*keys, "window_start_s", "window_end_s", "total", *at,
                     F.round(histogram_quantile(q, cums, F.col("total"), bounds) / 1000.0, 6).alias("p95_s"))
 
 

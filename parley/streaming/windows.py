@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.requests import epoch_s, error_rate_windows
+from ..operators.requests import epoch_s, error_rate_windows, latency_windows
+from .stateful import hold_stream
 
 
 def requests_per_window_stream(requests: DataFrame, width: str = "1 minute", watermark: str = "10 minutes",
@@ -23,9 +24,19 @@ def requests_per_window_stream(requests: DataFrame, width: str = "1 minute", wat
 
 def error_rate_stream(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,
                       step_s: int = 60, watermark: str = "5 minutes") -> DataFrame:
-    """Closed sliding windows with error counts; the hold ("for: 2m") is then
-    ``parley.operators.requests.held`` over the emitted windows."""
-    return error_rate_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s)
+    """Closed sliding windows with error counts; ``alert_error_rate_stream`` adds the hold."""
+    return error_rate_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s).drop("window_time")
+
+
+def alert_error_rate_stream(requests: DataFrame, threshold_per_s: float = 0.1, hold_s: int = 120,
+                            keys: tuple[str, ...] = ("endpoint",), width_s: int = 300, step_s: int = 60,
+                            watermark: str = "5 minutes") -> DataFrame:
+    """``requests.alert_error_rate`` as a running stream: a watermarked window
+    aggregation and behind it the hold per key (two stateful operators).  Emits
+    (keys, window_end_s, event, errors, error_rate), ``event`` firing or resolved."""
+    w = error_rate_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s)
+    fires = F.col("errors") > F.lit(threshold_per_s) * width_s
+    return hold_stream(w.withColumn("fires", fires), keys, width_s, step_s, hold_s, ("errors", "error_rate"))
 
 
 def route_stream(decoded: DataFrame, sinks: dict, checkpoint: str, default: str):
@@ -48,22 +59,16 @@ def route_stream(decoded: DataFrame, sinks: dict, checkpoint: str, default: str)
     return decoded.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch).start()
 
 
-def live_gauges_stream(samples: DataFrame, ttl_s: int = 300) -> DataFrame:
-    """Latest value per gauge key, for as long as it is within ``ttl_s`` of the
-    newest event time: samples (key, value, ts) go into windows of the TTL's
-    length, and the watermark drops the state of every window that has ended
-    before it, so state holds the keys of one TTL.  Emits (key, value, ts_s,
-    expires_s) in update mode; readers skip rows whose ``expires_s`` has passed."""
-    ts_s = epoch_s(F.col("ts"))
-    return (samples.withWatermark("ts", f"{ttl_s} seconds")
-                   .groupBy("key", F.window("ts", f"{ttl_s} seconds").alias("w"))
-                   .agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.max(ts_s).alias("ts_s"))
-                   .select("key", "value", "ts_s", (F.col("ts_s") + ttl_s).alias("expires_s")))
-
-
 def latency_stream(requests: DataFrame, keys: tuple[str, ...] = ("endpoint",), width_s: int = 300,
                    step_s: int = 60, watermark: str = "5 minutes") -> DataFrame:
     """Closed sliding windows with the histogram p95 (same expression as the
-    batch ``latency_windows``); the 5-minute hold is ``held`` downstream."""
-    from ..operators.requests import latency_windows
-    return latency_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s)
+    batch ``latency_windows``); ``alert_latency_stream`` adds the hold."""
+    return latency_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s).drop("window_time")
+
+
+def alert_latency_stream(requests: DataFrame, threshold_s: float = 5.0, hold_s: int = 300,
+                         keys: tuple[str, ...] = ("endpoint",), width_s: int = 300, step_s: int = 60,
+                         watermark: str = "5 minutes") -> DataFrame:
+    """``requests.alert_latency`` as a running stream, with resolved rows."""
+    w = latency_windows(requests.withWatermark("ts", watermark), keys, width_s, step_s)
+    return hold_stream(w.withColumn("fires", F.col("p95_s") > threshold_s), keys, width_s, step_s, hold_s, ("total", "p95_s"))

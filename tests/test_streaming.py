@@ -82,10 +82,36 @@ def test_chunk_assembly_stream_equals_batch(spark, scratch):
     stream_in = (spark.readStream.schema("message_id bigint, seq bigint, line string")
                  .option("maxFilesPerTrigger", 1).json(flat))
     got = _run(ST.assemble_chunks_stream(stream_in, None), scratch, "chunks")
-    want = CH.assemble_chunks(chunks)
+    want = CH.assemble_chunks(chunks, flag_gaps=True)
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_messages_with_gaps_are_flushed(spark, scratch):
+    """A missing first line, a missing middle line, lines sent twice, one without an end."""
+    def say(text, end=False):
+        reason = '"stop"' if end else "null"
+        return f'data: {{"choices":[{{"delta":{{"content":"{text}"}},"finish_reason":{reason}}}]}}'
+    lines = [(1, 0, say("a")), (1, 1, say("b")), (1, 1, say("b")), (1, 2, "data: [DONE]"),
+             (2, 1, say("x")), (2, 2, say("y")), (2, 3, "data: [DONE]"), (3, 0, say("p")), (3, 2, say("r", True)),
+             (4, 0, say("open")), (5, 0, say("m")), (5, 0, say("n")), (5, 1, say("o")), (5, 2, "data: [DONE]"), (5, 3, say("late"))]
+    df = spark.createDataFrame(lines, "message_id bigint, seq bigint, line string")
+    want = sorted(map(tuple, CH.assemble_chunks(df, flag_gaps=True).collect()))
+    assert want == [(1, "ab", False), (2, "xy", True), (3, "pr", True), (5, "no", False)]
+    src = os.path.join(scratch, "gap_src")
+    df.repartition(2, "seq").write.json(src)
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(src)
+    out = []
+    q = (ST.assemble_chunks_stream(s, 4000).writeStream.foreachBatch(lambda b, i: out.extend(map(tuple, b.collect())))
+           .option("checkpointLocation", os.path.join(scratch, "gap_ck")).trigger(processingTime="1 second").start())
+    import time
+    until = time.time() + 90
+    while time.time() < until and (len(out) < 4 or q.lastProgress["stateOperators"][0]["numRowsTotal"] > 0):
+        time.sleep(1)
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert sorted(out) == want and left == 0
+
+
 def test_stuck_tasks_stream_equals_batch(spark, scratch):
     t = chat_tables(spark, SF_SMALL)
     # task events as timestamps; every task starts with a 'running' event
@@ -110,10 +136,11 @@ def test_stuck_tasks_stream_equals_batch(spark, scratch):
     assert g == w and len(w) > 0
 
 
-def test_live_gauges_stream_equals_batch(spark, scratch):
+def test_gauges_equal_the_batch_at_every_watermark(spark, scratch):
     from parley.operators.tasks import live_gauges
     t, ttl = chat_tables(spark, SF_SMALL), 86400
-    e = t.raw("events").select(F.concat(F.lit("q:"), "event_type").alias("key"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    e = t.raw("events").select(F.concat_ws(":", "event_type", (F.col("event_id") % 40).cast("string")).alias("key"), "value",
+                               F.col("ts").cast("timestamp").alias("ts"))
     src = os.path.join(scratch, "gauges")
     # one file for each range of days, so that no sample is behind the watermark
     e.withColumn("day", F.floor(F.unix_seconds("ts") / 86400)).repartition("day").write.partitionBy("day").json(src)
@@ -123,22 +150,86 @@ def test_live_gauges_stream_equals_batch(spark, scratch):
     for i, (_, f) in enumerate(files):
         _link_in_order(f, os.path.join(flat, f"{i:05d}.json"), i)
     s = spark.readStream.schema("key string, value double, ts timestamp").option("maxFilesPerTrigger", 4).json(flat)
-    emitted = []
-    q = (SW.live_gauges_stream(s, ttl).writeStream.foreachBatch(lambda b, i: emitted.extend(b.collect()))
-           .option("checkpointLocation", os.path.join(scratch, "g_ck")).outputMode("update")
+    batches = []
+    q = (ST.live_gauges_stream(s, ttl).writeStream.foreachBatch(lambda b, i: batches.append(b.collect()))
+           .option("checkpointLocation", os.path.join(scratch, "g_ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert q.exception() is None
+    import datetime
+    progress = [p for p in q.recentProgress if p["stateOperators"]]
+    plain = e.select("key", "value", F.unix_seconds("ts").alias("ts_s")).toPandas()
+    plain_df = spark.createDataFrame(plain)
+    held, checked, tombstones = {}, 0, 0
+    assert len(batches) == len(progress) > 3
+    for rows, p in zip(batches, progress):
+        for r in sorted(rows, key=lambda r: r.live):   # an expiry comes before a newer value
+            if r.live:
+                held[r.key] = (r.ts_s, r.value)
+            else:
+                tombstones += 1
+                if held[r.key][0] == r.ts_s:
+                    del held[r.key]
+        at = int(datetime.datetime.fromisoformat(p["eventTime"]["watermark"].replace("Z", "+00:00")).timestamp())
+        assert p["stateOperators"][0]["numRowsTotal"] <= 2 * len(held) + 2
+        if at > 0 and checked < 4 and not p["numInputRows"]:   # a batch without input has caught up with its watermark
+            checked += 1
+            want = live_gauges(plain_df, at, ttl)
+            assert {k: v[0] for k, v in held.items() if v[0] <= at} == {r.key: r.ts_s for r in want.collect()}
+    assert tombstones > 0 and checked > 0
+
+
+def _alerts_in(spark, scratch, n_files=8):
+    """Two endpoints: one with long and short error bursts and silent stretches, one quiet;
+    a last request far on closes all windows."""
+    rows, at = [], 1_700_000_000 // 60 * 60
+    for m in range(240):
+        if 100 <= m < 115:
+            continue   # no requests at all
+        burst = 20 <= m < 40 or 60 <= m < 62 or 90 <= m < 100 or 150 <= m < 158 or m % 37 == 5
+        for k in range(4):
+            rows.append((at + 60 * m + 13 * k, "/a", 500 if burst else 200, 9000 if burst else 40))
+        rows.append((at + 60 * m + 7, "/b", 200, 30))
+    rows += [(at + 60 * 1000, e, 200, 1) for e in ("/a", "/b")]
+    src = os.path.join(scratch, "alerts")
+    os.makedirs(src)
+    size = -(-len(rows) // n_files)
+    import json
+    rows.sort()
+    for i in range(n_files):
+        path = os.path.join(src, f"{i}.json")
+        with open(path, "w") as f:
+            for ts, e, st, ms in rows[i * size:(i + 1) * size]:
+                f.write(json.dumps({"ts": f"{pd_time(ts)}", "endpoint": e, "status": st, "latency_ms": ms}) + "\n")
+        os.utime(path, (1_600_000_000 + i, 1_600_000_000 + i))
+    schema = "ts timestamp, endpoint string, status int, latency_ms bigint"
+    return spark.read.schema(schema).json(src), spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+
+
+def pd_time(s):
+    import pandas as pd
+    return pd.Timestamp(s, unit="s").strftime("%Y-%m-%dT%H:%M:%S.000Z")
+
+
+@pytest.mark.parametrize("kind", ["errors", "latency"])
+def test_alert_streams_equal_the_batch(spark, scratch, kind):
+    batch_in, stream_in = _alerts_in(spark, scratch)
+    if kind == "errors":
+        want = RQ.alert_error_rate(batch_in, 0.02, 120)
+        out = SW.alert_error_rate_stream(stream_in, 0.02, 120, watermark="1 minute")
+    else:
+        want = RQ.alert_latency(batch_in, 5.0, 300)
+        out = SW.alert_latency_stream(stream_in, 5.0, 300, watermark="1 minute")
+    got, states = [], []
+    q = (out.writeStream.foreachBatch(lambda b, i: got.extend(b.collect())).option("checkpointLocation", os.path.join(scratch, "a_ck"))
            .trigger(availableNow=True).start())
     q.awaitTermination(300)
     assert q.exception() is None
-    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
-    # state falls back as windows expire: a few windows of a few keys, never all of them
-    assert max(kept) <= 10 * e.select("key").distinct().count() < e.select("key", F.to_date("ts")).distinct().count()
-    as_of = e.agg(F.max(F.unix_seconds("ts"))).first()[0]
-    last = {}
-    for r in emitted:
-        if r.expires_s > as_of and r.ts_s >= last.get(r.key, (-1,))[0]:
-            last[r.key] = (r.ts_s, r.value)
-    want = live_gauges(e.select("key", "value", F.unix_seconds("ts").alias("ts_s")), as_of, ttl)
-    assert {(k, v[0]) for k, v in last.items()} == {(r.key, r.ts_s) for r in want.collect()}
+    firing = sorted(tuple(r)[:2] + tuple(r)[3:] for r in got if r.event == "firing")
+    assert firing == sorted(map(tuple, want.collect())) and len(firing) > 10
+    ended = sorted((r.endpoint, r.window_end_s) for r in got if r.event == "resolved")
+    assert ended == sorted(map(tuple, RQ.resolved(want, ["endpoint"], 60).collect())) and len(ended) >= 3
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if len(p["stateOperators"]) == 2]
+    assert kept[-1] <= 2 and all(len(p["stateOperators"]) == 2 for p in q.recentProgress if p["numInputRows"])
 
 
 def test_route_stream_writes_each_route(spark, scratch):
