@@ -8,12 +8,12 @@ the narrower reading.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .feedback import avg_score
 from .history import with_positions
-from .skew import every_part, salt, with_figures
+from .skew import every_part, salt, with_figures, written
 
 #: Rows of one key and side above which a theta join is cut into tiles.
 TILE = 4096
@@ -38,10 +38,11 @@ def query_answer_pairs(messages: DataFrame, feedback: DataFrame, pairing: str =
     """(user message, rated assistant message) pairs of the same conversation.
 
     ``later``: every assistant message created strictly after the user message.
-    Conversations with more than ``tile`` messages of a kind are joined in tiles: both sides
-    are cut into parts of about ``tile`` rows, and parts meet on (conversation,
-    part, part), so one conversation's pairs spread over as many groups as it
-    has tiles.  ``next``: only the assistant message at the following position.
+    Conversations with more than ``tile`` messages of a kind (looked for while the
+    query is built) are joined in tiles: both sides are cut into parts of about
+    ``tile`` rows, and parts meet on (conversation, part, part), so one
+    conversation's pairs spread over as many groups as it has tiles.  ``next``:
+    only the assistant message at the following position.
     """
     if pairing == "next":
         messages = with_positions(messages)
@@ -62,6 +63,10 @@ def query_answer_pairs(messages: DataFrame, feedback: DataFrame, pairing: str =
              .filter((F.col("asks") > tile) | (F.col("answers") > tile))
              .select("conversation_id", (F.col("asks") + F.col("answers")).alias("n"),
                      F.ceil(F.greatest("asks", F.lit(1)) / tile).alias("q_parts"), F.ceil(F.greatest("answers", F.lit(1)) / tile).alias("a_parts")))
+    if sizes.isEmpty():
+        return users.join(ans, (users.conversation_id == ans.conversation_id)
+                          & (ans.answer_created_s > users.query_created_s)).drop(ans.conversation_id)
+    sizes = written(sizes)
 
     def cut(rows, id_col, own, own_parts, other, other_parts):
         # Conversations of ordinary size have one part on either side.
@@ -116,38 +121,42 @@ def preference_pairs(scores: DataFrame, min_gap_centi: int = 20, ordered: bool =
     ``ordered=True`` keeps both orders (a, b) and (b, a) as the reference does;
     ``ordered=False`` keeps one order (a.response < b.response).
 
-    A query with more than ``tile`` responses is joined in tiles: its responses
-    are cut by score into cells as wide as the gap, and a cell into parts of
+    The scores are written once while the query is built.  A query with more than
+    ``tile`` responses is joined in tiles: its responses are cut by score into cells as wide as the gap, and a cell into parts of
     about ``tile`` rows.  Two responses of one cell never differ by more than the gap,
     so a cell is not joined with itself; all other parts meet on
     (query, part, part).
     """
-    keyed = scores.select(F.xxhash64("query").alias("qh"), "query", "response", "sum_centi", "feedback_count")
-    sizes = keyed.groupBy("qh").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
-    width = F.lit(max(min_gap_centi, 1)) * F.col("feedback_count")
-    cell = F.when(F.col("n").isNotNull(), F.expr("floor((sum_centi - pmod(sum_centi, _width)) / _width)")).otherwise(F.lit(0)).cast("bigint")
-    sized = with_figures(keyed, sizes, "qh").withColumn("_width", width).withColumn("cell", cell).drop("_width")
-    cells = (sized.filter("n IS NOT NULL").groupBy("qh", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"), F.count(F.lit(1)).alias("n_cell")))
-    # (query, cell, part) of the hot queries, and which of them meet.
-    blocks = cells.select("qh", "cell", every_part(F.col("parts")).alias("part"))
-    met = blocks.join(blocks.toDF("qh", "cell_b", "part_b"), "qh")
-    met = met.filter("cell <> cell_b" if min_gap_centi > 0 else "true")
-    hot = sized.filter("n IS NOT NULL").join(cells.select("qh", "cell", "parts"), ["qh", "cell"]).withColumn("part", salt("response", F.col("parts")))
-    sides = ["qh", "cell", "part", "cell_b", "part_b"]
-    figures = ["query", "response", "sum_centi", "feedback_count"]
-    a = hot.join(met, ["qh", "cell", "part"]).select(*sides, F.col("query"), F.col("response").alias("response_a"),
-                                                     F.col("sum_centi").alias("sa"), F.col("feedback_count").alias("ca"))
-    b = (hot.select("qh", F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), *figures).join(met, ["qh", "cell_b", "part_b"])
-         .select(*sides, F.col("query").alias("query_b"), F.col("response").alias("response_b"),
-                 F.col("sum_centi").alias("sb"), F.col("feedback_count").alias("cb")))
-    small = sized.filter("n IS NULL")
     # The join key is the 64-bit hash (cheap to shuffle and compare); the text
     # equality is kept as a residual so hash collisions cannot pair rows.
-    x = small.select("qh", "query", F.col("response").alias("response_a"), F.col("sum_centi").alias("sa"), F.col("feedback_count").alias("ca"))
-    y = small.select("qh", F.col("query").alias("query_b"), F.col("response").alias("response_b"),
-                     F.col("sum_centi").alias("sb"), F.col("feedback_count").alias("cb"))
-    columns = ["query", "query_b", "response_a", "sa", "ca", "response_b", "sb", "cb"]
-    j = x.join(y, "qh").select(columns).unionByName(a.join(b, sides).select(columns))
+    keyed = written(scores.select(F.xxhash64("query").alias("qh"), "query", "response", "sum_centi", "feedback_count"))
+    figures = ["query", "response", "sum_centi", "feedback_count"]
+    left, right = ["query", "response_a", "sa", "ca"], ["query_b", "response_b", "sb", "cb"]
+
+    def side(rows, names, *keys):
+        return rows.select("qh", *keys, *[F.col(c).alias(n) for c, n in zip(figures, names)])
+
+    sizes = keyed.groupBy("qh").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+    if sizes.isEmpty():
+        j = side(keyed, left).join(side(keyed, right), "qh")
+    else:
+        width = F.lit(max(min_gap_centi, 1)) * F.col("feedback_count")
+        cell = F.expr("floor((sum_centi - pmod(sum_centi, _width)) / _width)").cast("bigint")
+        sized = with_figures(keyed, written(sizes), "qh").withColumn("_width", width).withColumn("cell", cell).drop("_width")
+        hot = sized.filter("n IS NOT NULL").drop("n")
+        cells = written(hot.groupBy("qh", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("parts"), F.count(F.lit(1)).alias("n"))
+                        .withColumn("block", F.struct("qh", "cell")))
+        # (query, cell, part) of the hot queries, and which of them meet.
+        blocks = cells.select("qh", "cell", every_part(F.col("parts")).alias("part"))
+        met = blocks.join(blocks.toDF("qh", "cell_b", "part_b"), "qh").filter("cell <> cell_b" if min_gap_centi > 0 else "true")
+        parted = (with_figures(hot.withColumn("block", F.struct("qh", "cell")), cells.select("block", "parts", "n"), "block")
+                  .withColumn("part", salt("response", F.col("parts"))))
+        keys = ["qh", "cell", "part", "cell_b", "part_b"]
+        a = side(parted, left, "cell", "part").join(met, ["qh", "cell", "part"])
+        b = side(parted, right, F.col("cell").alias("cell_b"), F.col("part").alias("part_b")).join(met, ["qh", "cell_b", "part_b"])
+        small = sized.filter("n IS NULL")
+        j = (side(small, left).join(side(small, right), "qh").select(*left, *right)
+             .unionByName(a.join(b, keys).select(*left, *right)))
     order = F.col("response_a") != F.col("response_b") if ordered else F.col("response_a") < F.col("response_b")
     lhs = F.col("sa") * F.col("cb")
     rhs = F.col("sb") * F.col("ca")
@@ -177,3 +186,20 @@ def training_batch(pool: DataFrame, n: int = 8, seed: int = 42) -> DataFrame:
     return (pool.withColumn("sample_key", key)
                 .orderBy("sample_key", "conversation_id", "query")
                 .limit(n))
+
+
+def training_sample(pool: DataFrame, n: int, seed: int = 42, digits: int = 4) -> DataFrame:
+    """The first ``n`` rows in the order of ``training_batch``, for samples of any size.
+
+    The rows are counted by the first ``digits`` hex digits of their sample key;
+    the bin in which the n-th row falls is found from those counts, while the query is
+    built.  All rows of the bins before it are taken by a filter, and only that one bin is cut in order."""
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("conversation_id").cast("string"), F.lit("|"), F.col("query")))
+    keyed = pool.withColumn("sample_key", key).withColumn("_bin", F.substr("sample_key", F.lit(1), F.lit(digits)))
+    upto = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)   # 16 ** digits bins at most
+    bins = keyed.groupBy("_bin").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_upto", F.sum("_rows").over(upto))
+    edge = bins.filter(F.col("_upto") >= n).orderBy("_bin").select("_bin", (F.lit(n) - F.col("_upto") + F.col("_rows")).alias("need")).first()
+    if edge is None:
+        return keyed.drop("_bin")   # the pool holds fewer than n rows
+    cut = keyed.filter(F.col("_bin") == edge["_bin"]).orderBy("sample_key", "conversation_id", "query").limit(max(int(edge["need"]), 0))
+    return keyed.filter(F.col("_bin") < edge["_bin"]).unionByName(cut).drop("_bin")

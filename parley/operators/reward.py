@@ -9,11 +9,14 @@ pairwise sigmoid head; here both are distributed Spark ML pipelines:
 * reward on numeric features of the texts (``size_features``): unregularised
   least squares, the form that plain SQL can check;
 * pairwise model: text features of both responses concatenated
-  (VectorAssembler) → LogisticRegression on the preference label.
+  (VectorAssembler) → LogisticRegression on the preference label;
+* pairwise model on numeric features of both responses: Newton steps, each one
+  aggregation of gradient and Hessian, the form that plain SQL can check.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -127,6 +130,54 @@ def train_pairwise_model(pairs: DataFrame, num_features: int = 1 << 16, max_iter
     return model, out
 
 
+def held_out_queries(pairs: DataFrame, test_pct: int = 20) -> DataFrame:
+    """``pairs`` with ``is_test``: all pairs of a query are on one side."""
+    part = F.conv(F.substr(F.md5(F.col("query").cast("binary")), F.lit(1), F.lit(4)), 16, 10).cast("int")
+    return pairs.withColumn("is_test", part % 100 < test_pct)
+
+
+def pair_sizes(pairs: DataFrame) -> DataFrame:
+    """Features of both responses side by side: thousands of characters of a, of b."""
+    return (pairs.withColumn("size_a", F.char_length("response_a") / F.lit(1000.0))
+                 .withColumn("size_b", F.char_length("response_b") / F.lit(1000.0)))
+
+
+PAIR_FEATURES = ("size_a", "size_b")
+
+
+def fit_pairwise(pairs: DataFrame, features: tuple[str, ...] = PAIR_FEATURES, label: str = "preference",
+                 ridge: float = 1.0, steps: int = 6) -> list[float]:
+    """Weights of a logistic model without intercept by ``steps`` Newton steps with an L2 penalty.
+
+    Each step is one aggregation of the gradient and the upper half of the
+    Hessian, combined on the map side; the driver sees those k + k (k + 1) / 2
+    numbers and solves k equations.  The training pairs are kept in memory and
+    on disk between steps and computed again where an executor is lost."""
+    k = len(features)
+    x = [F.col(c).cast("double") for c in features]
+    train = pairs.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], F.col(label).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    w = np.zeros(k)
+    for _ in range(steps):
+        z = sum((F.lit(float(w[i])) * F.col(f"x{i}") for i in range(k)), F.lit(0.0))
+        p = train.withColumn("p", 1.0 / (1.0 + F.exp(-z)))
+        slope = [F.sum((F.col("y") - F.col("p")) * F.col(f"x{i}")) for i in range(k)]
+        bend = [F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)]
+        sums = [float(v or 0.0) for v in p.agg(*[e.alias(f"s{n}") for n, e in enumerate(slope + bend)]).first()]
+        hessian = np.zeros((k, k))
+        hessian[np.triu_indices(k)] = sums[k:]
+        hessian = hessian + np.triu(hessian, 1).T + ridge * np.eye(k)
+        w = w + np.linalg.solve(hessian, np.array(sums[:k]) - ridge * w)
+    train.unpersist()
+    return w.tolist()
+
+
+def pairwise_scores(weights: list[float], pairs: DataFrame, features: tuple[str, ...] = PAIR_FEATURES) -> DataFrame:
+    """``pairs`` with ``p_a_preferred`` and ``predicted`` (1 if a is; a tie up to rounding is 0)."""
+    z = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, features)), F.lit(0.0))
+    return pairs.withColumn("p_a_preferred", 1.0 / (1.0 + F.exp(-z))).withColumn(
+        "predicted", (F.round("p_a_preferred", 9) > 0.5).cast("int"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

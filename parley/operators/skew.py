@@ -40,6 +40,14 @@ def numbered_in_group(rows: DataFrame, group: str, order: list, name: str) -> Da
             .drop("_n", "_range", "_group", "_of_range", "_first", "_before"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder (an action) and read back: its
+    size is known, and what is built on it does not compute it again."""
+    path = checkpoint_path(df.sparkSession, f"parley-written-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_figures(rows: DataFrame, figures: DataFrame, key: str, size: str = "n") -> DataFrame:
     """``rows`` left-joined with ``figures``, one row for each key; ``size`` is a
     measure of the key's weight.  The ``HOT_KEYS`` heaviest keys are broadcast; a key

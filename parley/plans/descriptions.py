@@ -47,7 +47,9 @@ DESCRIPTIONS = {
     "normalize_feedback": "SQLite-form ratings mapped to the canonical schema",
     "orphan_feedback": "rows whose foreign key has no parent",
     "pair_text": "reward-model input text per rated pair",
-    "pairwise_preference": "pairwise preference model fitted on preference pairs",
+    "pairwise_preference": "P(a over b) of held-out queries' pairs, logistic model by Newton steps",
+    "preference_from_rewards": "P(a over b) from the reward model's scores of both responses",
+    "training_sample": "a tenth of the pool in sample-key order, cut by a histogram of keys",
     "parse_chunks": "SSE lines parsed into kind / content / finish reason",
     "preference_pairs": "response pairs of a query whose averages differ by > 0.2",
     "queue_depth": "waiting tasks per agent type and alarm flag",

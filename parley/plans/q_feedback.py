@@ -168,3 +168,13 @@ from pool order by sample_key, conversation_id, query limit 8""", "feedback", "m
 def q_training_batch(spark, sf_dir):
     t = chat_tables(spark, sf_dir)
     return pr.training_batch(pr.training_pool(t.messages, t.feedback), 8, 42)
+
+
+@register("training_sample", W("""
+select query, conversation_id, md5(concat('42|', cast(conversation_id as varchar), '|', query)) as sample_key
+from pool order by sample_key, conversation_id, query limit (select count(*) // 10 from pool)""", "feedback", "messages", ctes=_POOL))
+def q_training_sample(spark, sf_dir):
+    """A tenth of the pool."""
+    t = chat_tables(spark, sf_dir)
+    pool = pr.training_pool(t.messages, t.feedback)
+    return pr.training_sample(pool, pool.count() // 10, 42)

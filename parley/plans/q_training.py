@@ -155,7 +155,7 @@ def q_score_pairs(spark, sf_dir):
     return scored.select("feedback_id", F.round("reward", 6).alias("reward"))
 
 
-@register("pairwise_preference", W("""
+@register("preference_from_rewards", W("""
 select a.query, a.response as response_a, b.response as response_b,
        case when a.sum_centi * b.feedback_count > b.sum_centi * a.feedback_count then 1 else 0 end as preference,
        case when slope * (length(a.response) - length(b.response)) > 0 then 1 else 0 end as predicted,
@@ -165,7 +165,7 @@ where abs(a.sum_centi * b.feedback_count - b.sum_centi * a.feedback_count) > 20
     "feedback", "messages", ctes=MODEL_CTES + """,
 scores as (select query, response, sum(sum_centi) as sum_centi, sum(n_ratings) as feedback_count
            from qa group by query, response having sum(n_ratings) >= 2)"""))
-def q_pairwise(spark, sf_dir):
+def q_preference_from_rewards(spark, sf_dir):
     """P(a over b) from the reward model's scores of both responses."""
     t = chat_tables(spark, sf_dir)
     model = RW.fit_least_squares(_split(t))
@@ -176,3 +176,33 @@ def q_pairwise(spark, sf_dir):
     return scored.select("query", "response_a", "response_b", "preference",
                          (F.col("reward_a") > F.col("reward_b")).cast("int").alias("predicted"),
                          F.round(p, 6).alias("p_a_preferred"))
+
+
+@register("pairwise_preference", "with recursive " + W("""
+select query, response_a, response_b, preference, case when round(p, 9) > 0.5 then 1 else 0 end as predicted, round(p, 6) as p_a_preferred
+from (select pairs.*, 1.0 / (1.0 + exp(-(wa * size_a + wb * size_b))) as p
+      from pairs, (select wa, wb from newton order by step desc limit 1) where is_test)""", "feedback", "messages", ctes=MODEL_CTES + """,
+scores as (select query, response, sum(sum_centi) as sum_centi, sum(n_ratings) as feedback_count
+           from qa group by query, response having sum(n_ratings) >= 2),
+pairs as (select a.query, a.response as response_a, b.response as response_b,
+                 case when a.sum_centi * b.feedback_count > b.sum_centi * a.feedback_count then 1 else 0 end as preference,
+                 length(a.response) / 1000.0::double as size_a, length(b.response) / 1000.0::double as size_b,
+                 ('0x' || substr(md5(a.query), 1, 4))::int % 100 < 20 as is_test
+          from scores a join scores b on a.query = b.query and a.response <> b.response
+          where abs(a.sum_centi * b.feedback_count - b.sum_centi * a.feedback_count) > 20 * a.feedback_count * b.feedback_count),
+newton as (
+  select 0 as step, 0.0::double as wa, 0.0::double as wb
+  union all
+  select step + 1, wa + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), wb + (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  from (select step, wa, wb, sum((preference - p) * size_a) - wa as ga, sum((preference - p) * size_b) - wb as gb,
+               sum(p * (1 - p) * size_a * size_a) + 1 as haa, sum(p * (1 - p) * size_a * size_b) as hab,
+               sum(p * (1 - p) * size_b * size_b) + 1 as hbb
+        from (select n.*, t.*, 1.0 / (1.0 + exp(-(wa * size_a + wb * size_b))) as p from newton n, pairs t where not is_test) x
+        where step < 6 group by step, wa, wb) y)""").removeprefix("with "))
+def q_pairwise(spark, sf_dir):
+    """P(a over b) for the pairs of held-out queries, fitted on the others' pairs."""
+    t = chat_tables(spark, sf_dir)
+    pairs = RW.held_out_queries(RW.pair_sizes(pr.preference_pairs(pr.response_scores(t.messages, t.feedback, 2), 20, ordered=True)))
+    weights = RW.fit_pairwise(pairs.filter("not is_test"))
+    return RW.pairwise_scores(weights, pairs.filter("is_test")).select(
+        "query", "response_a", "response_b", "preference", "predicted", F.round("p_a_preferred", 6).alias("p_a_preferred"))

@@ -9,6 +9,8 @@ space.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,90 @@ def append_parquet(df: DataFrame, path: str, partition_by: list[str] | None = No
     w.parquet(path)
 
 
+MANIFEST = "batch_id string, folder string, published_us bigint"
+
+
+def publish(df: DataFrame, table: str, batch_id: str = "current") -> None:
+    """Write ``df`` as batch ``batch_id`` of a table of published batches.
+
+    The rows go to a folder of their own, and then one row that names it goes to
+    the table's manifest, in one file: readers see all of a batch or nothing.  A batch
+    that is published again takes the place of its earlier version, so a run may be
+    repeated; a run that dies before its manifest row leaves no trace for readers.
+    ``drop_unpublished`` removes folders that no reader uses any more."""
+    import time
+    spark, table = df.sparkSession, table.rstrip("/")
+    folder = f"batch-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table}/{folder}")
+    row = [(batch_id, folder, time.time_ns() // 1000)]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{table}/manifest")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def published_folders(spark: SparkSession, table: str) -> dict[str, str]:
+    """batch id → folder of its latest version (one small row for each batch)."""
+    table = table.rstrip("/")
+    if not _exists(spark, f"{table}/manifest/_SUCCESS"):
+        return {}
+    m = spark.read.schema(MANIFEST).parquet(f"{table}/manifest")
+    latest = m.groupBy("batch_id").agg(F.max_by("folder", F.struct("published_us", "folder")).alias("folder")).collect()
+    return {r["batch_id"]: f"{table}/{r['folder']}" for r in latest}
+
+
+def read_published(spark: SparkSession, table: str, schema: str, batch_id: str | None = None) -> DataFrame:
+    """The rows of all published batches, or of one; a table or batch that is not there has none."""
+    folders = published_folders(spark, table)
+    paths = list(folders.values()) if batch_id is None else [folders[batch_id]] if batch_id in folders else []
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def drop_unpublished(spark: SparkSession, table: str, older_than_s: int = 86400) -> int:
+    """Delete folders of batches that the manifest does not name any more, if they have
+    not changed for ``older_than_s``, so that readers and writers under way keep theirs."""
+    import time
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(table.rstrip("/"))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    used = {f.rpartition("/")[2] for f in published_folders(spark, table).values()}
+    gone = 0
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("batch-") and name not in used and status.getModificationTime() < (time.time() - older_than_s) * 1000:
+            fs.delete(status.getPath(), True)
+            gone += 1
+    return gone
+
+
+def write_keyed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Write a table in folders by key bucket, for ``rewrite_keyed``."""
+    df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+
+
+def rewrite_keyed(spark: SparkSession, path: str, changes: DataFrame, key: str, apply, buckets: int = 64) -> list[int]:
+    """Rewrite only the buckets that hold keys of ``changes``.
+
+    ``apply(rows, changes)`` gets the rows and the changes of those buckets and
+    returns the rows as they shall be; the buckets' folders are replaced
+    (dynamic partition overwrite) and all others keep their files.  Returns
+    the buckets that were rewritten."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    routed = changes.withColumn("_bucket", bucket)
+    touched = sorted(r["_bucket"] for r in routed.select("_bucket").distinct().collect())   # at most ``buckets`` numbers
+    if not touched:
+        return []
+    table = spark.read.parquet(path)
+    rows = table.filter(F.col("_bucket").isin(touched)).drop("_bucket")
+    new = apply(rows, changes).withColumn("_bucket", bucket).select(table.columns)
+    (new.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_bucket").parquet(path))
+    return touched
+
+
 def new_conversations(requests: DataFrame, as_of: int) -> DataFrame:
     """Conversation rows with the writer's defaults (title null, not archived)."""
     return requests.select(
@@ -89,7 +175,8 @@ def cache_entries(df: DataFrame, key: str, as_of: int, ttl_s: int = DEFAULT_CACH
 
 
 def write_cache(df: DataFrame, root: str, key: str, as_of: int, ttl_s: int = DEFAULT_CACHE_TTL_S) -> None:
-    cache_entries(df, key, as_of, ttl_s).write.mode("overwrite").json(f"{root.rstrip('/')}/{key}")
+    """Replace a key as a whole: a reader meets the old entries or the new ones."""
+    publish(cache_entries(df, key, as_of, ttl_s), f"{root.rstrip('/')}/{key}")
 
 
 def live_cache(entries: DataFrame, as_of: int) -> DataFrame:
@@ -98,7 +185,7 @@ def live_cache(entries: DataFrame, as_of: int) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, root: str, key: str, as_of: int) -> DataFrame:
-    e = spark.read.schema("cache_key string, payload string, expires_s bigint").json(f"{root.rstrip('/')}/{key}")
+    e = read_published(spark, f"{root.rstrip('/')}/{key}", "cache_key string, payload string, expires_s bigint")
     return live_cache(e, as_of)
 
 
@@ -115,11 +202,15 @@ def split_checked(df: DataFrame, violation) -> tuple[DataFrame, DataFrame]:
     return df.filter(ok), df.filter(~ok)
 
 
-def append_checked(df: DataFrame, path: str, violation) -> DataFrame:
+def append_checked(df: DataFrame, path: str, violation, batch_id: str | None = None) -> DataFrame:
     """Append the rows that pass and return the rejected ones, instead of
-    failing the whole write."""
+    failing the whole write.  With ``batch_id`` the rows are published as that
+    batch, and a repeated append adds nothing."""
     passed, rejected = split_checked(df, violation)
-    append_parquet(passed, path)
+    if batch_id is None:
+        append_parquet(passed, path)
+    else:
+        publish(passed, path, batch_id)
     return rejected
 
 

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parley.operators import tasks as TK
@@ -70,3 +72,67 @@ def test_append_checked_and_blank_messages(spark, scratch):
     assert [r.id for r in sinks.new_messages(msgs).collect()] == [1]
     k = spark.range(1).select(composite_key("rate_limit", F.lit(7).cast("string"), "/api/chat").alias("k"))
     assert k.collect()[0].k == "rate_limit:7:/api/chat"
+
+
+def test_a_repeated_append_adds_nothing(spark, scratch):
+    from parley.sources import sinks as K
+    table, schema = scratch + "/messages", "id bigint, content string"
+    one, two = (spark.createDataFrame(rows, schema) for rows in ([(1, "a"), (2, "b")], [(3, "c")]))
+    assert K.read_published(spark, table, schema).count() == 0
+    K.publish(one, table, "b1")
+    K.publish(two, table, "b2")
+    K.publish(one, table, "b1")   # the first run's answer was lost
+    assert sorted(map(tuple, K.read_published(spark, table, schema).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    # a run that died between its rows and its manifest row
+    two.write.parquet(table + "/batch-dead")
+    assert K.read_published(spark, table, schema).count() == 3
+    K.publish(two, table, "b3")
+    assert K.read_published(spark, table, schema, "b3").count() == 1 and K.read_published(spark, table, schema, "none").count() == 0
+    assert K.drop_unpublished(spark, table, older_than_s=3600) == 0
+    assert K.drop_unpublished(spark, table, older_than_s=-10) == 2   # the dead run's and b1's first version
+    assert K.read_published(spark, table, schema).count() == 4
+
+
+def test_a_checked_append_may_be_repeated(spark, scratch):
+    from parley.sources import sinks as K
+    schema = "id bigint, feedback_type string, score_centi bigint"
+    rows = spark.createDataFrame([(1, "thumbs_up", 100), (2, "nonsense", 0), (3, "rating", 500)], schema)
+    for _ in range(2):
+        assert sorted(r.id for r in K.append_checked(rows, scratch + "/fb", K.feedback_violation(), "day-1").collect()) == [2, 3]
+    assert [r.id for r in K.read_published(spark, scratch + "/fb", schema).collect()] == [1]
+
+
+def test_a_cache_is_replaced_as_a_whole(spark, scratch, monkeypatch):
+    from parley.sources import sinks as K
+    old, new = spark.range(3), spark.range(10, 15)
+    K.write_cache(old, scratch, "k", 100, 50)
+    before = K.read_cache(spark, scratch, "k", 120)
+    monkeypatch.setattr(K, "MANIFEST", "no schema at all")
+    with pytest.raises(Exception):
+        K.write_cache(new, scratch, "k", 110, 50)   # dies before it publishes
+    monkeypatch.undo()
+    assert K.read_cache(spark, scratch, "k", 120).count() == 3
+    K.write_cache(new, scratch, "k", 110, 50)
+    assert before.count() == 3   # a reader under way keeps its version
+    assert K.read_cache(spark, scratch, "k", 120).count() == 5 and K.read_cache(spark, scratch, "k", 160).count() == 0
+
+
+def test_rewrites_leave_other_buckets_alone(spark, scratch):
+    from parley.operators.history import last_login
+    from parley.sources import sinks as K
+    path = scratch + "/users"
+    users = spark.range(200).select("id", F.lit(None).cast("bigint").alias("last_login_s"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"))
+    K.write_keyed(users, path, "id", 16)
+
+    def files():
+        return {os.path.join(r, f): os.stat(os.path.join(r, f)).st_mtime_ns for r, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    logins = spark.createDataFrame([(5, 900), (5, 950), (77, 40)], "id bigint, ts_s bigint")
+    touched = K.rewrite_keyed(spark, path, logins, "id", lambda rows, ch: last_login(rows, ch.withColumnRenamed("id", "user_id")), 16)
+    after = files()
+    assert 1 <= len(touched) <= 2
+    changed = {f for f in before.keys() | after.keys() if before.get(f) != after.get(f)}
+    assert changed and all(any(f"_bucket={b}/" in f for b in touched) for f in changed)
+    got = {r.id: r.last_login_s for r in spark.read.parquet(path).collect()}
+    assert len(got) == 200 and {i: t for i, t in got.items() if t is not None} == {5: 950, 77: 40}
+    assert K.rewrite_keyed(spark, path, logins.limit(0), "id", None, 16) == []
