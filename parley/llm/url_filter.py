@@ -114,7 +114,7 @@ def alias_edges(pages: DataFrame, url_col: str, html_col: str | None, redirects:
     links = []
     if html_col is not None:
         html = F.col(html_col)
-        low = _lower(html)
+        low = F.lower(html)  # only sorts out pages without such words
         found = F.concat(F.regexp_extract_all(html, F.lit(_CANONICAL), 1), F.regexp_extract_all(html, F.lit(_REFRESH), 1))
         links.append(pages.filter(low.contains("canonical") | low.contains("refresh"))
                      .select(url.alias("f"), F.explode(found).alias("t"))
