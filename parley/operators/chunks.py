@@ -127,14 +127,18 @@ def token_usage(messages: DataFrame) -> DataFrame:
     whose other models then have completions alone)."""
     n = T.token_count("content")
     asst = F.col("role") == "assistant"
-    model = messages.groupBy(F.col("conversation_id").alias("_c")).agg(F.min(F.when(asst, F.col("model_version"))).alias("_m"))
-    named = messages.join(model, messages["conversation_id"] == model["_c"]).withColumn(
-        "model_version", F.when(asst, F.col("model_version")).otherwise(F.col("_m")))
-    conv_model = named.groupBy("conversation_id", "model_version").agg(
-        F.sum(F.when(~asst, n).otherwise(0)).cast("bigint").alias("prompt_tokens"),
-        F.sum(F.when(asst, n).otherwise(0)).cast("bigint").alias("completion_tokens"),
-        F.sum(F.length("content")).cast("bigint").alias("characters"))
-    return conv_model.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    own = messages.select("conversation_id", F.when(asst, F.col("model_version")).alias("model"), F.coalesce(asst, F.lit(False)).alias("answers"),
+                          n.alias("tokens"), F.length("content").alias("chars"))
+    # A few sums for each conversation; its prompts' sums then go to its first model.
+    sums = own.groupBy("conversation_id", "answers", "model").agg(F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"))
+    gathered = sums.groupBy("conversation_id").agg(F.min("model").alias("first"), F.collect_list(F.struct("answers", "model", "tokens", "chars")).alias("s"))
+    each = gathered.select("conversation_id", "first", F.inline("s"))
+    model = F.when(F.col("answers"), F.col("model")).otherwise(F.col("first")).alias("model_version")
+    return (each.select("conversation_id", model, "answers", "tokens", "chars").groupBy("conversation_id", "model_version").agg(
+        F.sum(F.when(~F.col("answers"), F.col("tokens")).otherwise(0)).cast("bigint").alias("prompt_tokens"),
+        F.sum(F.when(F.col("answers"), F.col("tokens")).otherwise(0)).cast("bigint").alias("completion_tokens"),
+        F.sum("chars").cast("bigint").alias("characters"))
+        .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
 
 
 def latency_by_model(messages: DataFrame, exact: bool = True, accuracy: int = 10000) -> DataFrame:
@@ -146,3 +150,25 @@ def latency_by_model(messages: DataFrame, exact: bool = True, accuracy: int = 10
                     .groupBy("model_version")
                     .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean_ms"),
                          F.round(p95, 6).alias("p95_ms")))
+
+
+# ------------------------------------------------------------ quantiles that merge
+
+#: Size of the quantile sketches, and a bound of their error in rank (as a share
+#: of the rows) that holds with a probability of at least 99 %, merged or not.
+SKETCH_K, RANK_ERROR = 200, 0.0165
+
+
+def latency_sketches(rows: DataFrame, keys: list[str], value: str = "inference_time_ms", k: int = SKETCH_K) -> DataFrame:
+    """(keys, n, sketch): a KLL sketch of a few kB for each key; sketches of finer
+    keys (a minute, a model) roll up into coarser ones by ``merge_sketches``."""
+    x = F.col(value).cast("bigint")
+    return rows.filter(x.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint(x, k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], k: int = SKETCH_K) -> DataFrame:
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+
+
+def sketch_quantile(q: float, sketch: str = "sketch"):
+    return F.kll_sketch_get_quantile_bigint(sketch, F.lit(q))

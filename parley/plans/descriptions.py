@@ -40,6 +40,7 @@ DESCRIPTIONS = {
     "history_display": "sidebar title with fallback and update date",
     "last_login": "user table rewritten with the latest login time",
     "latency_p95_exact": "exact p95 latency per 5-min sliding window (raw values)",
+    "latency_sketch": "p95 per model from merged quantile sketches, within their rank error",
     "latency_by_model": "count, mean and p95 inference latency per model",
     "live_gauges": "latest gauge value per key within its TTL",
     "mean_pool": "element-wise mean embedding per label",

@@ -147,6 +147,21 @@ def q_latency(spark, sf_dir):
     return CH.latency_by_model(chat_tables(spark, sf_dir).messages)
 
 
+@register("latency_sketch", W("""
+select model_version, count(*) as n, true as within_bound
+from messages where inference_time_ms is not null group by model_version""", "messages"))
+def q_latency_sketch(spark, sf_dir):
+    """p95 per model from sketches per model and hour, and whether its rank is within the stated bound."""
+    m = chat_tables(spark, sf_dir).messages.filter(F.col("inference_time_ms").isNotNull())
+    hourly = CH.latency_sketches(m.withColumn("hour", F.floor(F.col("created_s") / 3600)), ["model_version", "hour"])
+    p95 = CH.merge_sketches(hourly, ["model_version"]).select("model_version", CH.sketch_quantile(0.95).alias("p95"))
+    x = F.col("inference_time_ms")
+    ranks = m.join(p95, "model_version").groupBy("model_version").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((x < F.col("p95")).cast("int")).alias("below"), F.avg((x <= F.col("p95")).cast("int")).alias("upto"))
+    near = (F.col("below") <= 0.95 + CH.RANK_ERROR) & (F.col("upto") >= 0.95 - CH.RANK_ERROR)
+    return ranks.select("model_version", "n", near.alias("within_bound"))
+
+
 def _chunks(t):
     return CH.build_sse_lines(t.messages, finished_when=F.col("message_id") % 5 != 0,
                               malformed_when=F.col("seq") % 11 == 5, empty_when=F.col("seq") % 13 == 6,

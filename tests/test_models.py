@@ -38,3 +38,48 @@ def test_planted_signal_beats_mean(spark):
     _, metrics = RW.train_reward_model(d)
     m = metrics.collect()[0]
     assert m.mse < m.baseline_mse
+
+
+def test_newton_steps_equal_the_optimum(spark):
+    """The gradient of the penalised likelihood vanishes, and the held-out label is met better than by chance."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from parley.operators import reward as R
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 3))
+    y = (r.random(600) < 1 / (1 + np.exp(-(x @ np.array([2.0, -1.0, 0.5]))))).astype(int)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y)], "f1 double, f2 double, f3 double, preference int")
+    w = np.array(R.fit_pairwise(df, ("f1", "f2", "f3"), ridge=0.5, steps=9))
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-(x @ w)))) - 0.5 * w).max() < 1e-6
+    s = R.pairwise_scores(w.tolist(), df, ("f1", "f2", "f3"))
+    assert s.filter(F.col("predicted") == F.col("preference")).count() > 420
+    assert R.fit_pairwise(df.limit(0), ("f1", "f2")) == [0.0, 0.0]
+
+
+def test_queries_are_held_out_whole(spark):
+    from parley.operators import reward as R
+    df = spark.createDataFrame([(f"q{i % 50}", i) for i in range(500)], "query string, i long")
+    sides = {(r.query, r.is_test) for r in R.held_out_queries(df).collect()}
+    assert len(sides) == 50 and 0 < sum(t for _, t in sides) < 30
+
+
+def test_sample_of_any_size_is_the_first_rows_in_key_order(spark):
+    from parley.operators import preference as PR
+    pool = spark.createDataFrame([(f"q{i % 90}", i % 37) for i in range(700)] + [("same", 1)] * 5, "query string, conversation_id long")
+    full = [tuple(r) for r in PR.training_batch(pool, 10000).select("sample_key", "conversation_id", "query").collect()]
+    for n, digits in ((0, 1), (1, 4), (70, 1), (350, 2), (704, 4), (705, 1), (9999, 4)):
+        got = PR.training_sample(pool, n, digits=digits).select("sample_key", "conversation_id", "query")
+        assert sorted(map(tuple, got.collect())) == full[:n], n
+
+
+def test_merged_sketches_keep_their_bound(spark):
+    from pyspark.sql import functions as F
+    from parley.operators import chunks as CH
+    rows = spark.range(60000).select((F.col("id") % 300).alias("minute"), (F.col("id") % 2).alias("m"),
+                                     F.pmod(F.xxhash64("id"), F.lit(90000)).alias("inference_time_ms"))
+    merged = CH.merge_sketches(CH.latency_sketches(rows, ["m", "minute"]), ["m"])
+    for q in (0.05, 0.5, 0.95, 0.99):
+        for r in merged.select("m", "n", CH.sketch_quantile(q).alias("x")).collect():
+            own = rows.filter(F.col("m") == r.m)
+            below, upto = (own.filter(c).count() / r.n for c in (F.col("inference_time_ms") < r.x, F.col("inference_time_ms") <= r.x))
+            assert r.n == 30000 and below <= q + CH.RANK_ERROR and upto >= q - CH.RANK_ERROR
