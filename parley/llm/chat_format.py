@@ -91,23 +91,18 @@ def format_branches(messages: DataFrame, top: int | None = None) -> DataFrame:
         best = Window.partitionBy("t").orderBy(F.desc("s"), "leaf")
         chosen = scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).select("t", "leaf")
         on_path = on_path.join(chosen, ["t", "leaf"], "left_semi")
-    turn = F.struct((-F.col("up")).alias("place"), "role", "head", "body")
-    grouped = on_path.groupBy("t", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.avg("score").alias("score"))
-    lengths = F.transform("turns", lambda x: F.char_length(x["head"]) + F.char_length(x["body"]) + len(CLOSE))
-    made = grouped.withColumn("lengths", lengths).withColumn(
-        "formatted", F.concat_ws("", F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE)))))
-    # Running starts: one fold that carries (end so far, spans), spans of assistant turns only.
-    zero = F.struct(F.lit(0).cast("long").alias("at"),
-                    F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def span(acc, x):
-        start = acc["at"] + F.char_length(x["head"])
-        end = start + F.char_length(x["body"])
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct((end + len(CLOSE)).cast("long").alias("at"),
-                        F.when(x["role"] == "assistant", F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
-
-    made = made.withColumn("mask", F.aggregate("turns", zero, span, lambda acc: acc["spans"]))
+    # Where each turn's text ends in the formatted string: a running sum over the
+    # path, which becomes one row in the end anyway.
+    upto = Window.partitionBy("t", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
+    length = F.char_length("head") + F.char_length("body") + len(CLOSE)
+    placed = on_path.withColumn("end", F.sum(length.cast("long")).over(upto) - len(CLOSE)).withColumn(
+        "start", F.col("end") - F.char_length("body"))
+    turn = F.struct((-F.col("up")).alias("place"), "role", "head", "body", "start", "end")
+    grouped = placed.groupBy("t", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.avg("score").alias("score"))
+    said = F.filter("turns", lambda x: x["role"] == "assistant")
+    made = grouped.select("t", "leaf", "score", F.concat_ws("", F.transform(
+        "turns", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE)))).alias("formatted"), F.transform(
+            said, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("mask"))
     ranked = Window.partitionBy("t").orderBy(F.desc("score"), "leaf")
     return made.select("t.tree", "leaf", F.row_number().over(ranked).alias("rank"), "score", "formatted", "mask")
 
@@ -125,10 +120,20 @@ def read_back(formatted: str = "formatted") -> Column:
     return F.transform(parts, turn)
 
 
-def read_loss(formatted: str = "formatted", mask: str = "mask") -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.concat_ws("", F.transform(F.col(mask), lambda m: unescape(
-        F.substr(F.col(formatted), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))))
+def read_loss(formatted: str = "formatted", mask: str = "mask", some: int = 256) -> Column:
+    """The text under the loss mask, unescaped.  Spans are cut from stretches of
+    ``some`` spans, as a cut from the whole string walks through all before it."""
+    def cut(text, start, end):
+        return F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def stretch(at):
+        spans = F.slice(F.col(mask), at, F.lit(some))
+        first, last = F.get(spans, F.lit(0))["start"], F.element_at(spans, -1)["end"]
+        return F.struct(spans.alias("spans"), first.alias("first"), cut(F.col(formatted), first, last).alias("text"))
+
+    starts = F.when(F.size(mask) > 0, F.sequence(F.lit(1), F.size(mask), F.lit(some))).otherwise(F.array().cast("array<int>"))
+    return F.concat_ws("", F.transform(F.transform(starts, stretch), lambda x: F.concat_ws("", F.transform(
+        x["spans"], lambda m: unescape(cut(x["text"], m["start"] - x["first"], m["end"] - x["first"]))))))
 
 
 ORACLE = r"""

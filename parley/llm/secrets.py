@@ -37,6 +37,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the leftmost longest runs, short ones left
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 KINDS = ("assign", "access", "hex", "pem")
 BASE = KINDS[:3]
+#: Unseen blobs (digests of 64 characters) that are broadcast at most.
+BROADCAST_BLOBS = 100000
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -80,8 +82,11 @@ def scan_unseen(docs: DataFrame, ledger: str, text_col: str = "text", rule_versi
     blob = F.sha2(text.cast("binary"), 256)
     seen = read_ledger(docs.sparkSession, ledger, rule_version).select("blob")
     unseen = save(docs.select(blob.alias("blob")).distinct().join(seen, "blob", "left_anti"))
-    once = (docs.select(blob.alias("blob"), text.alias("text")).join(unseen, "blob")
-            .groupBy("blob").agg(F.first("text").alias("text")))  # combined on the map side
+    rows = docs.select(blob.alias("blob"), text.alias("text"))
+    if unseen.count() <= BROADCAST_BLOBS:
+        once = rows.join(F.broadcast(unseen), "blob").groupBy("blob").agg(F.first("text").alias("text"))
+    else:  # copies are combined on the map side before the join
+        once = rows.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob")
     (once.mapInArrow(_scan, LEDGER_SCHEMA.rpartition(",")[0])
      .withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger))
 

@@ -166,7 +166,9 @@ def test_relative_targets(spark, target, want):
     assert row.select(url_filter.resolved(F.col("t"), F.col("u"))).first()[0] == want
 
 
-def test_a_second_run_moves_only_unseen_texts(spark, scratch):
+@pytest.mark.parametrize("most", [0, 100000])
+def test_a_second_run_moves_only_unseen_texts(spark, scratch, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", most)
     df = frame(spark, planted())
     ledger = scratch + "/ledger"
     secrets.find_secrets(df, ledger).count()
@@ -182,3 +184,18 @@ def test_exact_dedup_of_the_smallest_set(spark, texts):
     rows = exact_dedup.find_duplicates(table(spark, SF, "documents")).collect()
     assert {r.doc_id: r.group_size for r in rows} == {
         i: sum("".join(t.split()) == "".join(o.split()) for o in texts.values()) for i, t in texts.items()}
+
+
+def test_a_long_conversation_is_formatted_in_linear_time(spark):
+    import time
+    from parley.llm import chat_format
+    from pyspark.sql import functions as F
+    n = 30000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("t <é\\> "), F.col("id").cast("string")).alias("text"))
+    on_path = chat_format.messages_by_turn(rows)
+    began = time.time()
+    r = chat_format.format_branches(on_path).select(chat_format.read_loss().alias("loss"), F.size("mask").alias("spans")).first()
+    assert r.spans == n // 2 and r.loss == "".join(f"t <é\\> {i}" for i in range(1, n, 2))
+    assert time.time() - began < 60
