@@ -60,12 +60,12 @@ MISS = 1e-6
 LINEAR = 8
 BLOCK = 256
 #: Members that are compared with a pivot in one group; members of a bucket joined in one part.
-GROUP, PART = 256, 4096
+GROUP, PART = 64, 4096
 #: A key with more than 1 / HOT_KEYS of all rows is hot.
 HOT_KEYS = 10000
 SEED = 7
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLANK = np.zeros(256, dtype=bool)

@@ -39,7 +39,7 @@ RATE = 0.08
 PENALTY = 1e-4
 GOOD = 0.7
 #: Bytes of text worked on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _MARK, _SIGN, _HIGH, _BAR = range(9)
 _CLASS = np.full(256, _SIGN, dtype=np.uint8)
