@@ -12,9 +12,17 @@ other, take the automaton back to its root or to a single word, so runs too
 short for any window are skipped with array operations; what is streamed gives
 the same lengths as streaming everything.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words; each block's automaton is broadcast, so its size is bounded
-whatever the benchmark's, and each document row streams through every block.
-A single item longer than that is a block of its own.
+A benchmark of at most ``BLOCK_WORDS`` words is one automaton, built on the driver
+and broadcast, and each text streams through it once.  A larger one is dealt
+into blocks of about that size, and ``find_hits`` reads the corpus once for all of them:
+a bounded filter of the items' hashed windows (``FILTER_BITS`` at most, broadcast) leaves the texts
+that may hold one, the hashes left are joined with the blocks they come from,
+and each (document, block) pair meets in a task that builds the block's
+automaton; a block that many documents hold is dealt in groups of
+``GROUP``.  The hashes only choose pairs; what is marked comes from the automaton.
+``clean`` cuts a large benchmark's blocks one after another, with one broadcast
+automaton for each: it is meant for benchmarks of a few blocks.  A single item
+longer than a block is a block of its own.
 
 Defined results: null or word-less texts have no words and no hits; null or
 word-less items have no window; repeated items with different ids all count,
@@ -37,13 +45,19 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null
+from .common import empty_if_null, save
+from .near_dedup import word_hashes
 
 WINDOW = 10
 #: Words in one automaton: about 1 kB of memory each.
 BLOCK_WORDS = 100_000
 #: Share of marked words from which ``clean`` drops a document.
 MAX_COVERAGE = 0.5
+#: Bits of the filter of hashed windows at most; fewer for benchmarks of few windows.
+FILTER_BITS = 1 << 28
+PROBES = 8
+#: Documents that meet a block in one group.
+GROUP = 1024
 #: Bytes of text whose words are held at once.
 CHUNK_BYTES = 1 << 20
 
@@ -247,33 +261,154 @@ def _scan_batches(automaton, keep: list[str], text: str):
     return run
 
 
+def _windows(texts: list[bytes], lengths: list[int]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """(words of each text, {length: (hashes, their texts' numbers)}) of all windows."""
+    words, counts = word_hashes([t.translate(_TABLE) for t in texts])
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    out = {}
+    for k in lengths:
+        n = max(len(words) - k + 1, 0)
+        h = np.full(n, k, dtype=np.uint64)
+        for j in range(k):
+            h = (h ^ words[j:j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        whole = text_of[:n] == text_of[k - 1:k - 1 + n]
+        out[k] = h[whole], text_of[:n][whole]
+    return counts, out
+
+
+def _probes(h: np.ndarray, bits: int) -> np.ndarray:
+    """``PROBES`` places in a filter of 2^``bits`` for each hash, one row each."""
+    step = (h * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+    return np.stack([((h + np.uint64(i) * step) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - bits) for i in range(PROBES)])
+
+
+def _item_windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            counts, every = _windows(texts, list(range(1, window + 1)))
+            block = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            for k, (h, of) in every.items():
+                own = np.ones(len(h), bool) if k == window else counts[of] == k
+                yield pa.RecordBatch.from_arrays([pa.array(block[of[own]]), pa.array(np.full(int(own.sum()), k, dtype=np.int32)),
+                                                  pa.array(h[own].view(np.int64))], names=["block", "length", "hash"])
+    return run
+
+
+def _places(bits: int):
+    """Window hashes → the filter's 64-bit words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _probes(batch.column(0).to_numpy().view(np.uint64), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(
+                (np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["place", "bit"])
+    return run
+
+
+def _likely(filter_words, bits: int, lengths: list[int]):
+    """(row, id, words, hashes that the filter lets through, the text if there are any)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.frombuffer(filter_words.value, dtype=np.uint64)
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            first, size = 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size < CHUNK_BYTES and i + 1 < len(texts):
+                    continue
+                own = texts[first:i + 1]
+                counts, every = _windows(own, lengths)
+                met: list[list] = [[] for _ in own]
+                for h, of in every.values():
+                    alive = np.arange(len(h))
+                    for at in _probes(h, bits):
+                        at = at[alive]
+                        alive = alive[(kept[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    for k, x in zip(of[alive].tolist(), h[alive].view(np.int64).tolist()):
+                        met[k].append(x)
+                part = batch.slice(first, len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(counts.astype(np.int64)), pa.array([sorted(set(m)) for m in met], pa.list_(pa.int64())),
+                     pa.array([t if m else None for t, m in zip(own, met)], pa.binary())],
+                    names=["__row", "__id", "__words", "__likely", "__text"])
+                first, size = i + 1, 0
+    return run
+
+
+def _scan_pairs(window: int):
+    """One group of documents against one block."""
+    def run(texts: pa.Table, items: pa.Table) -> pa.Table:
+        found = []
+        if texts.num_rows and items.num_rows:
+            own = SuffixAutomaton([(i, words_of(t)) for i, t in zip(items["item"].to_pylist(), items["item_text"].to_pylist())], window)
+            found = scan(texts["__text"].to_pylist(), own)
+        return pa.table({"__row": texts["__row"] if texts.num_rows else pa.array([], pa.int64()),
+                         "__spans": pa.array([[x for s in spans for x in s] for _, spans, _ in found], pa.list_(pa.int64())),
+                         "__items": pa.array([sorted(i for i in own_items if i is not None) for _, _, own_items in found], pa.list_(pa.string()))})
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [union([(m[i], m[i + 1]) for m in many for i in range(0, len(m), 2)]) for many in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x for s in own for x in s] for own in spans], pa.list_(pa.int64())),
+                                          batch.column(2)], names=["__row", "__spans", "__items"])
+
+
+def _find_in_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str,
+                    window: int, block_words: int) -> DataFrame:
+    spark = docs.sparkSession
+    text = empty_if_null(item_text_col)
+    listed = benchmark.select(F.col(item_col).cast("string").alias("item"), text.cast("binary").alias("item_text"),
+                              F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).alias("words"))
+    n_blocks = int(-(-listed.agg(F.sum("words")).first()[0] // block_words))
+    items = save(listed.filter("words > 0").select("item", "item_text", F.pmod(F.xxhash64("item", "item_text"), F.lit(n_blocks)).alias("block")))
+    known = save(items.select("block", "item_text").mapInArrow(_item_windows(window), "block long, length int, hash long").distinct())
+    lengths = sorted(r["length"] for r in known.select("length").distinct().collect())  # window of them at most
+    bits = min(max(16, (24 * known.count()).bit_length()), FILTER_BITS.bit_length() - 1)
+    words = (known.select("hash").mapInArrow(_places(bits), "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits"))
+             .toArrow())  # 2^bits / 64 rows at most
+    filled = np.zeros(1 << (bits - 6), dtype=np.int64)
+    filled[words["place"].to_numpy()] = words["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(filled.tobytes())
+    kind = dict(docs.dtypes)[id_col]
+    base = save(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__text"))
+                .mapInArrow(_likely(shared, bits, lengths), f"__row long, __id {kind}, __words long, __likely array<long>, __text binary"))
+    pairs = save(base.select("__row", F.explode("__likely").alias("hash")).join(known.select("hash", "block").distinct(), "hash")
+                 .select("__row", "block").distinct())
+    load = F.broadcast(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups")))  # one row for each block
+    texts = (pairs.join(load, "block").withColumn("part", F.pmod(F.xxhash64("__row"), F.col("groups")))
+             .join(base.select("__row", "__text"), "__row").select("block", "part", "__row", "__text"))
+    dealt = (items.join(load, "block").select(F.col("block").alias("of_block"), "item", "item_text",
+                                              F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("of_part")))
+    found = (texts.groupBy("block", "part").cogroup(dealt.groupBy("of_block", "of_part"))
+             .applyInArrow(_scan_pairs(window), "__row long, __spans array<long>, __items array<string>"))
+    merged = (found.groupBy("__row").agg(F.collect_list("__spans").alias("__all"),
+                                         F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+              .mapInArrow(_merged, "__row long, __spans array<long>, __items array<string>"))
+    none = F.array()
+    return base.select("__row", "__id", "__words").join(merged, "__row", "left").select(
+        F.col("__id").alias(id_col), F.col("__words").alias("n_words"), F.coalesce("__spans", none.cast("array<long>")).alias("spans"),
+        F.coalesce("__items", none.cast("array<string>")).alias("items"))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
               block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, spans, items) for each document: spans of marked words, flat
     (start, end, start, end, ...), and the sorted ids of the items found."""
-    spark = docs.sparkSession
+    parts = blocks(benchmark, item_col, item_text_col, block_words)
+    first = next(parts)
+    if next(parts, None) is not None:
+        return _find_in_blocks(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_words)
     base = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"),
                        F.col(text_col).cast("binary").alias("__text"))
     kind = dict(base.dtypes)["__id"]
-    parts = []
-    for block in blocks(benchmark, item_col, item_text_col, block_words):
-        automaton = broadcast_automaton(spark, block, window)
-        parts.append(base.mapInArrow(
-            _scan_batches(automaton, ["__id", "__row"], "__text"),
-            f"__id {kind}, __row long, __words long, __spans array<long>, __items array<string>, __hit boolean"))
-    if len(parts) == 1:
-        return parts[0].select(F.col("__id").alias(id_col), F.col("__words").alias("n_words"),
-                               F.col("__spans").alias("spans"), F.col("__items").alias("items"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # The rows of one document from each block meet; their spans are merged.
-    merge = F.udf(lambda many: [x for s in union([(m[i], m[i + 1]) for m in many for i in range(0, len(m), 2)]) for x in s], "array<long>")
-    return (every.groupBy("__row").agg(F.first("__id").alias(id_col), F.first("__words").alias("n_words"),
-                                       F.collect_list("__spans").alias("__all"),
-                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("items"))
-            .select(id_col, "n_words", merge("__all").alias("spans"), "items"))
+    found = base.mapInArrow(_scan_batches(broadcast_automaton(docs.sparkSession, first, window), ["__id", "__row"], "__text"),
+                            f"__id {kind}, __row long, __words long, __spans array<long>, __items array<string>, __hit boolean")
+    return found.select(F.col("__id").alias(id_col), F.col("__words").alias("n_words"),
+                        F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def n_marked(spans: str = "spans"):

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from parley.llm import exact_dedup, near_dedup, packing, quality, secrets, sharding, substring_dedup, url_filter
+from parley.llm import decontaminate, exact_dedup, near_dedup, packing, quality, secrets, sharding, substring_dedup, url_filter
 from parley.llm.common import table
 from parley.llm.queries import QUERIES
 from test_llm_ops import frame, planted, prose
@@ -199,3 +199,30 @@ def test_a_long_conversation_is_formatted_in_linear_time(spark):
     r = chat_format.format_branches(on_path).select(chat_format.read_loss().alias("loss"), F.size("mask").alias("spans")).first()
     assert r.spans == n // 2 and r.loss == "".join(f"t <é\\> {i}" for i in range(1, n, 2))
     assert time.time() - began < 60
+
+
+def test_many_blocks_read_the_corpus_once(spark, monkeypatch):
+    """A benchmark of 50 blocks and more, one item in most documents, repeated rows
+    and items, short items, null ids; the same marks as one automaton gives."""
+    import random
+    r = random.Random(12)
+    items = [(i, prose(5000 + i, r.choice((3, 12, 30)))) for i in range(120)] + [(None, prose(5900, 15)), (7, None), (8, ""), (200, prose(5003, 30))]
+    docs = []
+    for i in range(150):
+        held = [items[r.randrange(120)][1] for _ in range(r.randrange(3))] + ([items[1][1]] if i % 3 else [])
+        docs.append((i, " ".join([prose(6000 + i, 20), *(h + ". " + prose(7000 + i, 9) for h in held)])))
+    docs += [docs[1], docs[1], (None, docs[2][1]), (900, None), (901, "")]
+    df = frame(spark, docs).repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def rows(hits):
+        return sorted(((x.doc_id, x.n_words, list(x.spans), list(x["items"])) for x in hits.collect()), key=str)
+    one = rows(decontaminate.find_hits(df, bench))
+    assert sum(bool(x[2]) for x in one) > 80
+    monkeypatch.setattr(decontaminate, "GROUP", 20)
+    reads = []
+    monkeypatch.setattr(decontaminate, "_likely", lambda *a, f=decontaminate._likely: reads.append(1) or f(*a))
+    assert rows(decontaminate.find_hits(df, bench, block_words=30)) == one and len(reads) == 1
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 16)   # a filter that lets much through changes nothing
+    assert rows(decontaminate.find_hits(df, bench, block_words=200)) == one
+    assert decontaminate.find_hits(df.limit(0), bench, block_words=30).count() == 0
