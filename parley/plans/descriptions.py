@@ -48,6 +48,9 @@ DESCRIPTIONS = {
     "normalize_feedback": "SQLite-form ratings mapped to the canonical schema",
     "orphan_feedback": "rows whose foreign key has no parent",
     "pair_text": "reward-model input text per rated pair",
+    "score_pairs_reloaded": "rewards of held-out pairs by a saved and reloaded model",
+    "reward_text_scores": "held-out pairs scored on their texts",
+    "polled_requests": "closed request windows of a log that a stream has polled",
     "pairwise_preference": "P(a over b) of held-out queries' pairs, logistic model by Newton steps",
     "preference_from_rewards": "P(a over b) from the reward model's scores of both responses",
     "training_sample": "a tenth of the pool in sample-key order, cut by a histogram of keys",

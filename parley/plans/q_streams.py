@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from ..operators import requests as RQ
+from ..session import checkpoint_path
 from ..sources.fixtures import chat_tables
+from ..streaming.runner import start_parquet
+from ..streaming.windows import requests_per_window_stream
 from .catalog import register
 from .oracle_fixtures import with_fixtures as W
 
@@ -44,6 +49,23 @@ def q_requests_per_window(spark, sf_dir):
     return RQ.requests_per_window(chat_tables(spark, sf_dir).requests)
 
 
+@register("polled_requests", W("""
+select window_start_s, user_id, endpoint, request_count from (
+  select (floor(epoch_us(ts) / 60000000) * 60)::bigint as window_start_s, user_id, endpoint, count(*) as request_count
+  from requests group by all)
+where (window_start_s + 60) * 1000 <= (select epoch_ms(max(ts)) from requests) - 600000""", "requests"))
+def q_polled_requests(spark, sf_dir):
+    """The request log as files that a stream polls until none is left; windows
+    that the watermark (10 minutes) has closed are in the sink."""
+    name = f"parley-polled-{uuid.uuid4().hex}"
+    log, out = checkpoint_path(spark, name + "-log"), checkpoint_path(spark, name + "-out")
+    requests = chat_tables(spark, sf_dir).requests.select("user_id", "endpoint", "ts")
+    requests.write.parquet(log)
+    polled = requests_per_window_stream(spark.readStream.schema(requests.schema).parquet(log))
+    start_parquet(polled, out, name, trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema(polled.schema).parquet(out)
+
+
 _SLIDING = """
 sl as (select endpoint, status, latency_ms, (floor(epoch_us(ts) / 60000000) * 60)::bigint - 60 * j as window_start_s
        from requests, (select unnest([0, 1, 2, 3, 4]) as j))"""

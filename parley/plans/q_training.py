@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import feedback as fb
 from ..operators import preference as pr
 from ..operators import reward as RW
 from ..operators import training as TR
+from ..session import checkpoint_path
 from ..sources.fixtures import chat_tables
 from .catalog import register
 from .oracle_fixtures import with_fixtures as W
@@ -155,6 +158,28 @@ def q_score_pairs(spark, sf_dir):
     return scored.select("feedback_id", F.round("reward", 6).alias("reward"))
 
 
+@register("score_pairs_reloaded", W(f"""
+select feedback_id, round(base + slope * length(response) / 1000.0, 6) as reward
+from fd, model where {SPLIT_SQL}""", "feedback", "messages", ctes=MODEL_CTES))
+def q_score_pairs_reloaded(spark, sf_dir):
+    """``score_pairs`` with the model saved to the checkpoint folder and loaded again."""
+    d = _split(chat_tables(spark, sf_dir))
+    path = checkpoint_path(spark, f"parley-model-{uuid.uuid4().hex}")
+    RW.save_model(RW.fit_least_squares(d), path)
+    scored = RW.least_squares_scores(RW.load_model(path), d.filter("is_test").select("feedback_id", "query", "response"))
+    return scored.select("feedback_id", F.round("reward", 6).alias("reward"))
+
+
+@register("reward_text_scores", W(f"""
+select feedback_id, true as scored from fd where {SPLIT_SQL}""", "feedback", "messages", ctes=_FD))
+def q_reward_text_scores(spark, sf_dir):
+    """The held-out pairs scored on their texts; SQL can tell which pairs get a score, not its value."""
+    d = _split(chat_tables(spark, sf_dir))
+    model, _ = RW.train_reward_model(d)
+    scored = RW.score_pairs(model, d.filter("is_test").select("feedback_id", "query", "response"))
+    return scored.select("feedback_id", (F.col("reward").isNotNull() & ~F.isnan("reward")).alias("scored"))
+
+
 @register("preference_from_rewards", W("""
 select a.query, a.response as response_a, b.response as response_b,
        case when a.sum_centi * b.feedback_count > b.sum_centi * a.feedback_count then 1 else 0 end as preference,
