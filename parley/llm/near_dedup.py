@@ -262,10 +262,11 @@ def _verify(pairs: DataFrame, sketches: DataFrame, full: DataFrame, shingle: int
     sized = (pairs.join(sketches.toDF("a", "n_a", "s_a"), "a").join(sketches.toDF("b", "n_b", "s_b"), "b")
              .filter(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b")))
     pairs = save(sized.select("a", "b", "s_a", "s_b").mapInArrow(_prune(threshold), "a long, b long"))
-    figures = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")).withColumn("groups", F.ceil(F.col("size") / GROUP))
-    dealt = _with_figures(pairs, figures, "b", pairs.count()).withColumn("part", F.pmod(F.xxhash64("a"), F.col("groups")))
+    # Narrow tables are saved, so that their sizes are known and few pairs move no text but their own.
+    figures = save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")).withColumn("groups", F.ceil(F.col("size") / GROUP)))
+    dealt = save(_with_figures(pairs, figures, "b", pairs.count()).select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part")))
     known = full.select("uid", "n", "signature", "text")
-    members = dealt.select("a", "b", "part").join(known.withColumnRenamed("uid", "a"), "a")
+    members = dealt.join(known.withColumnRenamed("uid", "a"), "a")
     pivots = (figures.select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("of_part"))
               .join(known.toDF("pivot", "p_n", "p_signature", "p_text"), "pivot"))
     return (members.groupBy("b", "part").cogroup(pivots.groupBy("pivot", "of_part"))
@@ -441,8 +442,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = alike.filter("id = group_id").groupBy("root").agg(F.min("text_key").alias("best"))
     judged = alike.join(best, "root", "left")
     stays = (F.col("id") == F.col("group_id")) & (F.col("text_key") == F.col("best"))
-    gone = judged.filter(~stays | (F.col("rows") > 1)).select(
-        F.col("id").alias("__near_id"), F.col("text_key").alias("__near_text"), stays.alias("__near_one"))
+    # Saved, so that few rows to drop need no shuffle of all texts.
+    gone = save(judged.filter(~stays | (F.col("rows") > 1)).select(
+        F.col("id").alias("__near_id"), F.col("text_key").alias("__near_text"), stays.alias("__near_one")))
     same = (docs[id_col] == F.col("__near_id")) & (F.md5(docs[text_col].cast("binary")) == F.col("__near_text"))
     left = docs.join(gone, same, "left_anti")
     if gone.filter("__near_one").isEmpty():
