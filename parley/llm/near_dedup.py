@@ -63,6 +63,8 @@ BLOCK = 256
 GROUP, PART = 64, 4096
 #: A key with more than 1 / HOT_KEYS of all rows is hot.
 HOT_KEYS = 10000
+#: Narrow rows (ids and digests) that are broadcast at most.
+BROADCAST_ROWS = 200000
 SEED = 7
 #: Bytes of text worked on at once.
 CHUNK_BYTES = 1 << 18
@@ -244,6 +246,12 @@ def _compare(shingle: int, threshold: tuple[int, int]):
     return run
 
 
+def _known_size(saved: DataFrame) -> DataFrame:
+    """A saved table of narrow rows, broadcast if it has at most ``BROADCAST_ROWS``
+    (some 20 MB); beyond that Spark joins it as it finds best, by a shuffle at scale."""
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
 def _with_figures(rows: DataFrame, figures: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with the one row of figures of their key, of which ``size``
     is the key's number of rows.  Keys with more than 1 / ``HOT_KEYS`` of all rows
@@ -262,12 +270,12 @@ def _verify(pairs: DataFrame, sketches: DataFrame, full: DataFrame, shingle: int
     sized = (pairs.join(sketches.toDF("a", "n_a", "s_a"), "a").join(sketches.toDF("b", "n_b", "s_b"), "b")
              .filter(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b")))
     pairs = save(sized.select("a", "b", "s_a", "s_b").mapInArrow(_prune(threshold), "a long, b long"))
-    # Narrow tables are saved, so that their sizes are known and few pairs move no text but their own.
+    # Few pairs move no text but their own.
     figures = save(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size")).withColumn("groups", F.ceil(F.col("size") / GROUP)))
     dealt = save(_with_figures(pairs, figures, "b", pairs.count()).select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part")))
     known = full.select("uid", "n", "signature", "text")
-    members = dealt.join(known.withColumnRenamed("uid", "a"), "a")
-    pivots = (figures.select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("of_part"))
+    members = _known_size(dealt).join(known.withColumnRenamed("uid", "a"), "a")
+    pivots = (_known_size(figures).select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("of_part"))
               .join(known.toDF("pivot", "p_n", "p_signature", "p_text"), "pivot"))
     return (members.groupBy("b", "part").cogroup(pivots.groupBy("pivot", "of_part"))
             .applyInArrow(_compare(shingle, threshold), "a long, b long"))
@@ -352,8 +360,8 @@ def _links(signed: DataFrame, docs: DataFrame, text_col: str, shingle: int, thre
     wanted = classes.join(near.select(F.col("a").alias("uid")), "uid", "left_semi")
     sketches = save(wanted.select("uid", "n", "sketch"))
     carried = docs.select(F.md5(F.col(text_col).cast("binary")).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    # Saved, so that its size is known and few wanted texts need no shuffle of all.
-    texts = carried.join(save(wanted.select("uid", "text_key")), "text_key").groupBy("uid").agg(F.first("text").alias("text"))
+    # Few wanted texts need no shuffle of all.
+    texts = carried.join(_known_size(save(wanted.select("uid", "text_key"))), "text_key").groupBy("uid").agg(F.first("text").alias("text"))
     full = save(texts.join(wanted.select("uid", "n", "signature", "bands"), "uid"))
     near = near.filter("a <> b").select("a", "b")
     links = save(_verify(near, sketches, full, shingle, threshold))
@@ -442,9 +450,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = alike.filter("id = group_id").groupBy("root").agg(F.min("text_key").alias("best"))
     judged = alike.join(best, "root", "left")
     stays = (F.col("id") == F.col("group_id")) & (F.col("text_key") == F.col("best"))
-    # Saved, so that few rows to drop need no shuffle of all texts.
-    gone = save(judged.filter(~stays | (F.col("rows") > 1)).select(
-        F.col("id").alias("__near_id"), F.col("text_key").alias("__near_text"), stays.alias("__near_one")))
+    # Few rows to drop need no shuffle of all texts.
+    gone = _known_size(save(judged.filter(~stays | (F.col("rows") > 1)).select(
+        F.col("id").alias("__near_id"), F.col("text_key").alias("__near_text"), stays.alias("__near_one"))))
     same = (docs[id_col] == F.col("__near_id")) & (F.md5(docs[text_col].cast("binary")) == F.col("__near_text"))
     left = docs.join(gone, same, "left_anti")
     if gone.filter("__near_one").isEmpty():
