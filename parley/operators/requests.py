@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import written
+
 # Default histogram bucket bounds of a Prometheus client, in
 # milliseconds (5 ms … 10 s); observations above the last bound fall in +Inf.
 LATENCY_BUCKETS_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
@@ -94,7 +96,7 @@ NEVER = np.iinfo(np.int64).min
 
 
 def _through_all(count: np.ndarray, last: np.ndarray, m: dict, limit: int, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
-    """The states after the rows of a map, for many states before them at once."""
+    """``_through`` for many states at once, as arrays."""
     head, counts, lasts = (np.asarray(m[c], dtype=np.int64) for c in ("head", "counts", "lasts"))
     n_head = len(head)
     count, last = np.array(count, dtype=np.int64), np.array(last, dtype=np.int64)
@@ -120,8 +122,24 @@ def _through_all(count: np.ndarray, last: np.ndarray, m: dict, limit: int, ttl_u
 
 def _through(state: tuple[int, int | None], m: dict, limit: int, ttl_us: int) -> tuple[int, int | None]:
     """The state after a bucket, from the state before it and the bucket's map."""
-    count, last = _through_all(np.array([state[0]]), np.array([NEVER if state[1] is None else state[1]]), m, limit, ttl_us)
-    return int(count[0]), None if last[0] == NEVER else int(last[0])
+    count, last = state
+    head = np.asarray(m["head"], dtype=np.int64)
+
+    def reset_at(j: int, else_state):
+        return (int(m["counts"][j]), int(m["lasts"][j])) if j < len(head) else else_state
+
+    if last is None or head[0] - last >= ttl_us:
+        return reset_at(0, state)
+    if count < limit:
+        more = limit - count
+        run = head[:min(more, len(head))]
+        gaps = np.flatnonzero(np.diff(run) >= ttl_us) + 1
+        if len(gaps):
+            return reset_at(int(gaps[0]), state)
+        if m["n"] < more:
+            return count + m["n"], m["end_us"]
+        last = int(head[more - 1])
+    return reset_at(int(np.searchsorted(head, last + ttl_us, side="left")), (limit, last))
 
 
 def _compose(a: dict, b: dict, limit: int, ttl_us: int) -> dict:
@@ -193,10 +211,15 @@ def _enter(part: str, unit: list[str], limit: int, ttl_us: int):
 def bucket_entries(maps: DataFrame, limit: int, ttl_us: int, span: int) -> DataFrame:
     """The state that enters each bucket of each key, by a scan over two levels.
 
+    If a key has more than ``span`` buckets (looked for while the query is built),
     ``span`` buckets in a row are composed to one map; a key's spans are run
     through in order, and then the buckets of each span, from the state that
     enters it.  A key's buckets are spread over as many groups as it has spans,
-    and its spans, ``span`` * ``bucket_ttls`` ttls each, are few whatever its rows."""
+    and its spans, ``span`` * ``bucket_ttls`` ttls each, are few whatever its rows.
+    Else each key's buckets are run through at once."""
+    if maps.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > span).isEmpty():
+        return maps.repartition("_k").sortWithinPartitions("_k", "_bucket").mapInPandas(
+            _enter("_bucket", ["_k"], limit, ttl_us), _ENTRY.format("_bucket"))
     shared = maps.withColumn("_span", F.floor(F.col("_bucket") / span)).repartition("_k", "_span")
     spans = (shared.sortWithinPartitions("_k", "_span", "_bucket")
              .mapInPandas(_compose_spans(limit, ttl_us), _MAP.format("_span")))
@@ -221,7 +244,7 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
        each span and then each bucket the state it starts from (``bucket_entries``).
     3. All buckets decide their rows from there, in parallel.
 
-    Lazy: nothing runs while the query is built.  Ids may have any type; a key
+    The maps are written once while the query is built.  Ids may have any type; a key
     column may be null.  Requests without a time get a null decision.
     """
     if limit < 1:
@@ -253,8 +276,8 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 60, ttl_s: int = 60,
         if key is not None:
             yield pd.DataFrame([made()])
 
-    maps = (rows.select("_k", "_bucket", "ts_us").repartition("_k", "_bucket").sortWithinPartitions("_k", "_bucket", "ts_us")
-            .mapInPandas(publish, _MAP.format("_bucket")))
+    maps = written(rows.select("_k", "_bucket", "ts_us").repartition("_k", "_bucket").sortWithinPartitions("_k", "_bucket", "ts_us")
+                   .mapInPandas(publish, _MAP.format("_bucket")))
     entries = bucket_entries(maps, limit, ttl_us, span_buckets)
 
     def decide(batches):
