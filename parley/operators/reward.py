@@ -76,6 +76,15 @@ def with_pair_text(df: DataFrame, query: str = "query", response: str = "respons
     return df.withColumn("pair_text", T.pair_text(query, response))
 
 
+def one_part_a_core(kept: DataFrame) -> DataFrame:
+    """Persisted rows in one partition for each core at most, for a fit on text features.
+
+    Each task of each of the optimiser's passes shuffles a dense gradient of all
+    features (2 MB at ``NUM_FEATURES``), so its volume goes with the partitions, not
+    with the rows.  The rows are not shuffled; a task reads its partitions in turn."""
+    return kept.coalesce(max(kept.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def train_reward_model(dataset: DataFrame, is_test: str = "is_test", label: str = "feedback_score"):
     """Fit on the training rows, evaluate on the held-out rows.
 
@@ -86,7 +95,7 @@ def train_reward_model(dataset: DataFrame, is_test: str = "is_test", label: str
     d = with_pair_text(dataset).withColumn("label", F.col(label).cast("double"))
     train = d.filter(~F.col(is_test)).persist(StorageLevel.MEMORY_AND_DISK)
     test = d.filter(F.col(is_test))
-    model = reward_pipeline().fit(train)
+    model = reward_pipeline().fit(one_part_a_core(train))
     pred = model.transform(test)
     mean_label = train.agg(F.avg("label")).scalar()
     metrics = pred.agg(
@@ -122,7 +131,9 @@ def train_pairwise_model(pairs: DataFrame, num_features: int = 1 << 16, max_iter
                    HashingTF(inputCol=f"_tok_{side}", outputCol=f"_tf_{side}", numFeatures=num_features)]
     stages += [VectorAssembler(inputCols=["_tf_a", "_tf_b"], outputCol="features"),
                LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=0.01)]
-    model = Pipeline(stages=stages).fit(d.filter("not is_test"))
+    train = d.filter("not is_test").persist(StorageLevel.MEMORY_AND_DISK)
+    model = Pipeline(stages=stages).fit(one_part_a_core(train))
+    train.unpersist()
     out = model.transform(d.filter("is_test")).select(
         "query", "response_a", "response_b", "preference",
         F.col("prediction").cast("int").alias("predicted"),

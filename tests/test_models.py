@@ -83,3 +83,20 @@ def test_merged_sketches_keep_their_bound(spark):
             own = rows.filter(F.col("m") == r.m)
             below, upto = (own.filter(c).count() / r.n for c in (F.col("inference_time_ms") < r.x, F.col("inference_time_ms") <= r.x))
             assert r.n == 30000 and below <= q + CH.RANK_ERROR and upto >= q - CH.RANK_ERROR
+
+
+def test_text_fits_take_one_task_a_core(spark):
+    """Each task of a pass shuffles a gradient of all features, so passes have no more tasks than cores."""
+    sc = spark.sparkContext
+    rows = [(i, f"q{i % 7} word{i % 31}", f"answer {i % 13}", (i % 5) - 2.0, i % 2) for i in range(400)]
+    d = spark.createDataFrame(rows, "feedback_id bigint, query string, response string, feedback_score double, preference int").repartition(40)
+    pairs = d.select("query", F.col("response").alias("response_a"), F.lit("other").alias("response_b"), "preference")
+    for name, fit in (("reward", lambda: RW.train_reward_model(TR.train_test_split(d, "feedback_id", 20, 0))),
+                      ("pairwise", lambda: RW.train_pairwise_model(pairs, num_features=256, max_iter=5))):
+        sc.setJobGroup(f"fit-{name}", name)
+        fit()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"fit-{name}")]
+        tasks = [sc.statusTracker().getStageInfo(s).numTasks for j in jobs if j for s in j.stageIds]
+        wide = [n for n in tasks if n > sc.defaultParallelism]
+        assert len(tasks) > 5 and len(wide) <= 1, (name, tasks)   # the rows are persisted once
