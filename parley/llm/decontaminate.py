@@ -45,7 +45,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, save
+from .common import empty_if_null, save, text_slices
 from .near_dedup import word_hashes
 
 WINDOW = 10
@@ -442,7 +442,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     def cleaner(automaton):
         def run(batches):
             own = pickle.loads(automaton.value)
-            for batch in batches:
+            for batch in text_slices(batches, at, CHUNK_BYTES):
                 texts = batch.column(at).to_pylist()
                 keep = np.ones(len(texts), dtype=bool)
                 changed = False

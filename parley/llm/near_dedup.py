@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, text_slices
 from .components import components
 
 #: General default; the registered query sets two-word shingles.
@@ -163,25 +163,22 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for lo, hi in _chunks(texts):
-                sets = shingle_sets(texts[lo:hi], shingle)
-                size = np.array([len(s) for s in sets], dtype=np.int64)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                signature: list = [None] * len(sets)
-                sketch: list = [None] * len(sets)
-                bands: list = [None] * len(sets)
-                full = np.flatnonzero(size)
-                if len(full):
-                    s = signatures([sets[i] for i in full])
-                    for i, row, keys in zip(full.tolist(), s, band_keys(s).tolist()):
-                        signature[i], sketch[i], bands[i] = row.tobytes(), row.astype(np.uint8).tobytes(), keys
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(size), pa.array(digest, pa.binary()),
-                     pa.array(signature, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "text_key", "n", "set_key", "signature", "sketch", "bands"])
+        for part in text_slices(batches, 2, CHUNK_BYTES):
+            sets = shingle_sets([t or b"" for t in part.column(2).to_pylist()], shingle)
+            size = np.array([len(s) for s in sets], dtype=np.int64)
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            signature: list = [None] * len(sets)
+            sketch: list = [None] * len(sets)
+            bands: list = [None] * len(sets)
+            full = np.flatnonzero(size)
+            if len(full):
+                s = signatures([sets[i] for i in full])
+                for i, row, keys in zip(full.tolist(), s, band_keys(s).tolist()):
+                    signature[i], sketch[i], bands[i] = row.tobytes(), row.astype(np.uint8).tobytes(), keys
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(size), pa.array(digest, pa.binary()),
+                 pa.array(signature, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["id", "text_key", "n", "set_key", "signature", "sketch", "bands"])
     return run
 
 

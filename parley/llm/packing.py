@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import text_slices
+
 SEQUENCE = 1024
 END_ID = 2
 OPEN_SEQUENCES = 1024
@@ -115,7 +117,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         from pyspark import TaskContext
         encode, bins = encoder(path), BestFit(capacity, limit)
         base = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             source, out, ids = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 tokens = encode(text or "")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import empty_if_null
+from .common import empty_if_null, text_slices
 
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 1 << 26
@@ -238,17 +238,9 @@ def score(docs: DataFrame, model: LineField, text_col: str = "text", out_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
         own = pickle.loads(weights.value)
-        for batch in batches:
+        for batch in text_slices(batches, at, CHUNK_BYTES):
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            quality, part, size = [], [], 0
-            for t in texts:
-                part.append(t)
-                size += len(t)
-                if size >= CHUNK_BYTES:
-                    quality.append(own.quality(part))
-                    part, size = [], 0
-            quality.append(own.quality(part))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(quality))],
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.quality(texts))],
                                              names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, kind)

@@ -84,3 +84,34 @@ def test_oracles(spark, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
+
+
+def test_stages_work_on_slices_of_a_batch(spark, monkeypatch):
+    """However many rows Spark sends at once, a stage makes Python objects and results of a bounded part of their texts."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from parley.llm import packing, quality
+    from parley.llm.common import text_slices
+
+    lengths = [0, 5, 300000, 0, 0, 7, 700000, 3] + [20000] * 80 + [0]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(lengths))), "text": [None if n == 5 else ("word %d " % n * n)[:n] for n in lengths]})
+    size = 1 << 18
+    parts = list(text_slices(iter([batch, batch.slice(0, 0)]), 1, size))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    for p in parts:
+        assert sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) < size
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    item = spark.createDataFrame([(1, "some words of an item that no text has at all")], "item_id long, text string")
+    found = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: found.append(run) or self)
+    monkeypatch.setattr("pyspark.TaskContext.get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    quality.score(docs, quality.LineField())
+    packing.pack(docs, with_ids=True)
+    decontaminate.clean(docs, item)
+    assert len(found) == 3
+    for run in found:
+        out = list(run(iter([batch])))
+        assert len(out) > 1
+        ids = pa.Table.from_batches(out)["doc_id"].to_pylist()
+        assert list(dict.fromkeys(ids)) == list(range(len(lengths)))
